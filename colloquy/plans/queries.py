@@ -1,13 +1,559 @@
-"""Registered queries over the driver's tables, with their SQL."""
+"""Registered queries over the driver's tables, with their SQL.
 
+Each query applies operators of the library to a view of :mod:`colloquy.plans.fixtures`;
+its SQL states the same result in another way where it can.
+"""
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").count()
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from colloquy.functions import text as T
+from colloquy.operators import edits as E
+from colloquy.operators import intervals as I
+from colloquy.operators import render as R
+from colloquy.operators import signal as S
+from colloquy.operators import turns as W
+from colloquy.plans.fixtures import VIEWS, Fixtures
 
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
 
-def oracle_sql():
-    return {}
+
+def query(sql: str | None = None):
+    def add(f):
+        name = f.__name__
+        _QUERIES[name] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
+        if sql:
+            with_, _, body = sql.partition("SELECT-> ")
+            _SQL[name] = "WITH " + VIEWS.strip() + ("," + with_ if with_.strip() else "") + "\nSELECT " + body if body else "WITH " + VIEWS.strip() + "\n" + sql
+        return f
+
+    return add
+
+
+def queries() -> dict:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return w1_turn_stats(Fixtures(spark, sf_dir))
+
+
+_r6 = lambda c: F.round(F.col(c), 6).alias(c)
+
+# ------------------------------------------------------------- words, speakers, turns
+
+_SMOOTH = """
+sm_b AS (SELECT *, lag(speaker) OVER w AS before, coalesce(lag(speaker) OVER w = lead(speaker) OVER w AND speaker <> lag(speaker) OVER w AND "end" - "start" < 0.6, FALSE) AS base
+         FROM fx_words WINDOW w AS (PARTITION BY rec_id ORDER BY word_ix)),
+sm_r AS (SELECT *, sum(CASE WHEN base THEN 0 ELSE 1 END) OVER (PARTITION BY rec_id ORDER BY word_ix) AS run FROM sm_b),
+sm_n AS (SELECT *, sum(CAST(base AS INTEGER)) OVER (PARTITION BY rec_id, run ORDER BY word_ix) AS nth FROM sm_r),
+smooth AS (SELECT rec_id, word_ix, word, "start", "end", CASE WHEN base AND nth % 2 = 1 THEN before ELSE speaker END AS speaker FROM sm_n)"""
+
+_TURNS = _SMOOTH + """,
+tn_f AS (SELECT *, CASE WHEN lag(speaker) OVER w <> speaker OR "start" - lag("end") OVER w > 0.8 THEN 1 ELSE 0 END AS fresh FROM smooth WINDOW w AS (PARTITION BY rec_id ORDER BY word_ix)),
+tn_i AS (SELECT *, CAST(sum(fresh) OVER (PARTITION BY rec_id ORDER BY word_ix) AS INTEGER) AS turn_ix FROM tn_f),
+tn AS (SELECT rec_id, turn_ix, min(speaker) AS speaker, arg_min("start", word_ix) AS "start", arg_max("end", word_ix) AS "end",
+              regexp_replace(string_agg(CASE WHEN regexp_matches(word, '^[,.;:!?]') THEN word ELSE ' ' || word END, '' ORDER BY word_ix), '^ +', '') AS text
+       FROM tn_i GROUP BY rec_id, turn_ix)"""
+
+
+@query(_SMOOTH + " SELECT-> rec_id, word_ix, speaker FROM smooth")
+def w2_smooth_speakers(fx):
+    return W.smooth_speakers(fx.words()).select("rec_id", "word_ix", "speaker")
+
+
+@query(_TURNS + ' SELECT-> rec_id, turn_ix, speaker, "start", "end", text FROM tn')
+def w1_turns(fx):
+    return W.words_to_turns(W.smooth_speakers(fx.words())).select("rec_id", "turn_ix", "speaker", "start", "end", "text")
+
+
+@query(_TURNS + " SELECT-> rec_id, count(DISTINCT speaker) AS n_speakers, count(*) AS n_turns, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS speakers FROM tn GROUP BY rec_id")
+def w1_turn_stats(fx):
+    return W.transcript_stats(W.make_turns(fx.words()))
+
+
+@query(""" fs AS (SELECT rec_id, speaker, min(word_ix) AS f FROM fx_words GROUP BY ALL), nm AS (SELECT *, printf('SPEAKER_%02d', dense_rank() OVER (PARTITION BY rec_id ORDER BY f)) AS name FROM fs)
+SELECT-> w.rec_id, w.word_ix, nm.name AS speaker FROM fx_words w JOIN nm ON w.rec_id = nm.rec_id AND w.speaker = nm.speaker""")
+def w5_renumber(fx):
+    return I.renumber_first_seen(fx.words(), order="word_ix").select("rec_id", "word_ix", "speaker")
+
+
+@query("""SELECT rec_id, word_ix, CAST(coalesce(sum(CAST(regexp_matches(word, '[.!?。！？]["''”’)\\]]*$') AS INTEGER)) OVER (PARTITION BY rec_id ORDER BY word_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS sentence_ix FROM fx_words""".replace("\\\\", "\\"))
+def w3_sentences(fx):
+    return W.sentence_groups(fx.words()).select("rec_id", "word_ix", "sentence_ix")
+
+
+_SENT = "list_filter(list_transform(regexp_extract_all({}, '[^.!?。！？]*[.!?。！？]|[^.!?。！？]+$'), lambda s: trim(s, E' \\n\\t\\r')), lambda s: s <> '')"
+
+
+@query(f""" st AS (SELECT *, {_SENT.format('text')} AS s, {_SENT.format('text_zh')} AS z FROM fx_turns), sn AS (SELECT *, len(s) AS n, len(z) AS m FROM st),
+sp AS (SELECT *, unnest(range(0, CASE WHEN n <= 3 THEN 1 ELSE (n - 1) // 3 + 1 END)) AS p FROM sn), sq AS (SELECT *, p * 3 AS i, least(p * 3 + 3, n) AS j FROM sp),
+sz AS (SELECT *, greatest(0, least(m - 1, CAST(round_even(i::DOUBLE * m / greatest(n, 1), 0) AS INTEGER))) AS z0, CAST(round_even(j::DOUBLE * m / greatest(n, 1), 0) AS INTEGER) AS zj FROM sq)
+SELECT-> rec_id, turn_ix, CAST(p AS INTEGER) AS part_ix, round(CASE WHEN n <= 3 THEN "start" ELSE "start" + greatest(0.05, "end" - "start") * i / n END, 6) AS "start", round(CASE WHEN n <= 3 THEN "end" ELSE "start" + greatest(0.05, "end" - "start") * j / n END, 6) AS "end",
+  CASE WHEN n <= 3 THEN text ELSE array_to_string(s[i + 1 : j], ' ') END AS text,
+  CASE WHEN n <= 3 THEN text_zh WHEN m = 0 THEN '' WHEN m = n THEN array_to_string(z[i + 1 : j], '') ELSE array_to_string(z[z0 + 1 : greatest(z0 + 1, least(m, greatest(zj, z0 + 1)))], '') END AS text_zh FROM sz""")
+def w4_split_turns(fx):
+    return W.split_turns(fx.turns()).select("rec_id", "turn_ix", "part_ix", _r6("start"), _r6("end"), "text", "text_zh")
+
+
+@query("SELECT rec_id, count(DISTINCT speaker) AS n_speakers, count(*) AS n_turns, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS speakers FROM fx_turns GROUP BY rec_id")
+def a3_transcript_stats(fx):
+    return W.transcript_stats(fx.turns())
+
+
+@query("""SELECT rec_id, trim(string_agg(trim(text, E' \n\t\r'), ' ' ORDER BY "start", "end", turn_ix), E' \n\t\r') AS text FROM fx_turns GROUP BY rec_id""")
+def a4_doc_text(fx):
+    return W.doc_text(fx.turns())
+
+
+def _asr(fx) -> DataFrame:
+    w = fx.words().withColumn("p", F.lit(0.5))
+    seg = w.groupBy("rec_id", "turn").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("word_ix", F.concat(F.lit(" "), "word").alias("word"), "start", "end", F.col("p").alias("probability")))).alias("w"))
+    words = F.when(F.col("turn") % 4 == 3, F.array().cast("array<struct<word:string,start:double,end:double,probability:double>>")).otherwise(F.transform("w", lambda x: F.struct(x["word"], x["start"], F.when(F.length(x["word"]) == 4, None).otherwise(x["end"]).alias("end"), x["probability"])))
+    text = F.concat(F.lit(" "), F.array_join(F.transform("w", lambda x: F.trim(x["word"])), " "))
+    seg = seg.select("rec_id", "turn", F.struct("start", "end", text.alias("text"), words.alias("words")).alias("s"))
+    return seg.groupBy("rec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "s"))), lambda x: x["s"]).alias("segments")).withColumn("language", F.lit(" EN ")).withColumn("text", F.lit(""))
+
+
+@query(""" ps AS (SELECT rec_id, turn, min("start") AS "start", max("end") AS "end", string_agg(word, ' ' ORDER BY word_ix) AS word FROM fx_words WHERE turn % 4 = 3 GROUP BY rec_id, turn),
+al AS (SELECT rec_id, turn, 0 AS pos, word, "start", "end", 0.0::DOUBLE AS probability FROM ps UNION ALL SELECT rec_id, turn, word_ix, word, "start", "end", 0.5::DOUBLE FROM fx_words WHERE turn % 4 <> 3 AND length(word) <> 3)
+SELECT-> rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY "start", "end", turn, pos) - 1 AS INTEGER) AS word_ix, word, "start", "end", probability FROM al""")
+def a1_a2_collect_words(fx):
+    return W.collect_words(W.normalize_asr(_asr(fx)))
+
+
+# ------------------------------------------------------------------------------ joins
+
+_NAMED = """
+sg_f AS (SELECT rec_id, speaker, min(seg_ix) AS f FROM fx_segments GROUP BY ALL), sg_n AS (SELECT *, printf('SPEAKER_%02d', dense_rank() OVER (PARTITION BY rec_id ORDER BY f)) AS name FROM sg_f),
+sg AS (SELECT s.rec_id, s.seg_ix, s."start", s."end", n.name FROM fx_segments s JOIN sg_n n ON s.rec_id = n.rec_id AND s.speaker = n.speaker),
+"""
+
+
+@query(_NAMED + """ pr AS (SELECT w.rec_id, w.word_ix, g.name, g.seg_ix, greatest(0, least(w."end", g."end") - greatest(w."start", g."start")) AS o, abs((w."start" + w."end") / 2 - (g."start" + g."end") / 2) AS d FROM fx_words w JOIN sg g ON w.rec_id = g.rec_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY rec_id, word_ix ORDER BY o DESC, CASE WHEN o > 0 THEN 0 ELSE d END, seg_ix) AS r FROM pr) SELECT-> rec_id, word_ix, name AS speaker FROM rk WHERE r = 1""")
+def j1_speakers_by_overlap(fx):
+    return I.assign_speakers_by_overlap(fx.words(), fx.segments()).select("rec_id", "word_ix", "speaker")
+
+
+@query(""" c0 AS (SELECT rec_id, label, min(win_ix) AS f FROM fx_windows GROUP BY ALL), c1 AS (SELECT *, printf('SPEAKER_%02d', dense_rank() OVER (PARTITION BY rec_id ORDER BY f)) AS name FROM c0),
+c AS (SELECT w.rec_id, w.win_ix, w.center, c1.name FROM fx_windows w JOIN c1 ON w.rec_id = c1.rec_id AND w.label = c1.label),
+pw AS (SELECT rec_id % 7 AS rec_id, rec_id * 100000 + word_ix AS word_ix, ("start" + "end") / 2 AS t FROM fx_words WHERE rec_id < 70 AND word_ix < 100),
+rk AS (SELECT pw.rec_id, pw.word_ix, c.name, row_number() OVER (PARTITION BY pw.rec_id, pw.word_ix ORDER BY abs(c.center - pw.t), c.win_ix) AS r FROM pw LEFT JOIN c ON pw.rec_id = c.rec_id)
+SELECT-> rec_id, word_ix, coalesce(name, 'SPEAKER_01') AS speaker FROM rk WHERE r = 1""".replace(" WHERE rec_id < 70 AND word_ix < 100", ""))
+def j2_nearest(fx):
+    w = fx.words().withColumn("word_ix", F.col("rec_id") * 100000 + F.col("word_ix")).withColumn("rec_id", F.col("rec_id") % 7)
+    near = I.assign_nearest(w.withColumn("word_ix", F.col("word_ix").cast("int")), fx.windows())
+    return near.select("rec_id", F.col("word_ix").cast("long").alias("word_ix"), "speaker")
+
+
+@query(""" pr AS (SELECT w.rec_id, w.word_ix, g.speaker AS name, g.turn_ix, greatest(0, least(w."end", g."end") - greatest(w."start", g."start")) AS o, abs((w."start" + w."end") / 2 - (g."start" + g."end") / 2) AS d FROM fx_words w JOIN fx_turns g ON w.rec_id = g.rec_id),
+rk AS (SELECT *, row_number() OVER (PARTITION BY rec_id, word_ix ORDER BY o DESC, CASE WHEN o > 0 THEN 0 ELSE d END, turn_ix) AS r FROM pr) SELECT-> rec_id, word_ix, name AS speaker FROM rk WHERE r = 1""")
+def j3_inherit_speaker(fx):
+    return I.inherit_speaker(fx.words(), fx.turns()).select("rec_id", "word_ix", "speaker")
+
+
+@query("""SELECT t.rec_id, t.turn_ix FROM fx_turns t WHERE NOT EXISTS (SELECT 1 FROM fx_edits e WHERE e.rec_id = t.rec_id AND least(t."end", e."end") - greatest(t."start", e."start") > 0)""")
+def j6_turns_outside(fx):
+    return I.turns_outside_ranges(fx.turns(), fx.edits()).select("rec_id", "turn_ix")
+
+
+@query("""SELECT t.rec_id, t.turn_ix FROM fx_turns t WHERE EXISTS (SELECT 1 FROM fx_edits e WHERE e.rec_id = t.rec_id AND least(t."end", e."end") - greatest(t."start", e."start") > 0)""")
+def j6_turns_inside(fx):
+    return I.turns_inside_ranges(fx.turns(), fx.edits()).select("rec_id", "turn_ix")
+
+
+@query("""SELECT t.rec_id, t.turn_ix, greatest(0.0, least(t."end", e."end") - greatest(t."start", e."start")) AS overlap FROM fx_turns t JOIN fx_edits e ON t.rec_id = e.rec_id""")
+def j7_interval_overlap(fx):
+    e = fx.edits().select("rec_id", F.col("start").alias("s"), F.col("end").alias("e"))
+    return fx.turns().join(e, "rec_id").select("rec_id", "turn_ix", I.interval_overlap(F.col("start"), F.col("end"), F.col("s"), F.col("e")).alias("overlap"))
+
+
+_Q = " lq AS (SELECT DISTINCT lower(word) AS query FROM fx_words WHERE regexp_matches(word, '^[A-Za-z]+$'))"
+
+
+@query(_Q + """, vr AS (SELECT query, query AS key, 0 AS ix FROM lq
+  UNION ALL SELECT query, query[:-4] || 'y', 1 FROM lq WHERE suffix(query, 'ies') AND length(query) > 4
+  UNION ALL SELECT query, query[:-4], 2 FROM lq WHERE suffix(query, 'ing') AND length(query) > 5
+  UNION ALL SELECT query, query[:-4] || 'e', 3 FROM lq WHERE suffix(query, 'ing') AND length(query) > 5
+  UNION ALL SELECT query, query[:-5], 4 FROM lq WHERE suffix(query, 'ing') AND length(query) > 5 AND query[-4] = query[-5]
+  UNION ALL SELECT query, query[:-3], 5 FROM lq WHERE suffix(query, 'ed') AND length(query) > 4
+  UNION ALL SELECT query, query[:-3] || 'e', 6 FROM lq WHERE suffix(query, 'ed') AND length(query) > 4
+  UNION ALL SELECT query, query[:-4], 7 FROM lq WHERE suffix(query, 'ed') AND length(query) > 4 AND query[-3] = query[-4]
+  UNION ALL SELECT query, query[:-3], 8 FROM lq WHERE suffix(query, 'es') AND length(query) > 3
+  UNION ALL SELECT query, query[:-2], 9 FROM lq WHERE suffix(query, 'es') AND length(query) > 3
+  UNION ALL SELECT query, query[:-2], 10 FROM lq WHERE suffix(query, 's') AND NOT suffix(query, 'es') AND NOT suffix(query, 'ss') AND length(query) > 3),
+ht AS (SELECT vr.query, arg_min(d.word, vr.ix) AS headword FROM vr JOIN fx_dict d ON d.word = vr.key AND d.translation <> '' GROUP BY vr.query)
+SELECT-> lq.query, lq.query AS lemma, ht.headword IS NOT NULL AS found, ht.headword, 'n. ' || ht.headword AS translation FROM lq LEFT JOIN ht ON lq.query = ht.query""")
+def j4_lookup_words(fx):
+    q = fx.words().where(F.col("word").rlike("^[A-Za-z]+$")).select(F.lower("word").alias("query"))
+    return E.lookup_words(q, fx.dictionary()).select("query", "lemma", "found", "headword", "translation")
+
+
+def _names(fx) -> DataFrame:
+    return fx.table("orders").select(F.concat(F.lit("rec"), (F.col("o_orderkey") % 5000).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, ".work.wav").when(F.col("o_orderkey") % 3 == 1, ".m4a").otherwise(".v2.wav")).alias("name")).distinct()
+
+
+_NAMES = " nm AS (SELECT DISTINCT 'rec' || (o_orderkey % 5000) || CASE o_orderkey % 3 WHEN 0 THEN '.work.wav' WHEN 1 THEN '.m4a' ELSE '.v2.wav' END AS name FROM orders), ns AS (SELECT name, CASE WHEN suffix(name, '.work.wav') THEN name[:-10] ELSE regexp_replace(name, '\\.[^./]+$', '') END AS stem FROM nm)"
+
+
+@query(_NAMES + " SELECT-> name, stem FROM ns")
+def f1_media_stem(fx):
+    return _names(fx).withColumn("stem", T.media_stem("name"))
+
+
+def _docs_of(fx) -> DataFrame:
+    return fx.table("customer").select(F.concat(F.lit("rec"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 4 == 0, ".work.json").when(F.col("c_custkey") % 4 == 1, ".json").otherwise(".v2.json")).alias("name"))
+
+
+@query(_NAMES + """, dn AS (SELECT 'rec' || c_custkey || CASE c_custkey % 4 WHEN 0 THEN '.work.json' WHEN 1 THEN '.json' ELSE '.v2.json' END AS t FROM customer),
+bs AS (SELECT ns.name, ns.stem, arg_min(t, CASE WHEN t = ns.stem || '.json' THEN '0' WHEN t = ns.stem || '.work.json' THEN '1' ELSE '2' || t END) AS transcript_name FROM ns JOIN dn ON starts_with(t, ns.stem || '.') GROUP BY ns.name, ns.stem)
+SELECT-> ns.name, ns.stem, bs.transcript_name, bs.transcript_name IS NOT NULL AS has_transcript FROM ns LEFT JOIN bs ON ns.name = bs.name""")
+def j5_library(fx):
+    return E.library(_names(fx), _docs_of(fx)).select("name", "stem", "transcript_name", "has_transcript")
+
+
+@query(_NAMES + """, sd AS (SELECT 'rec' || (c_custkey * 3) AS stem FROM customer), h AS (SELECT ns.name, min(sd.stem) AS stem FROM ns JOIN sd ON ns.stem = sd.stem OR starts_with(ns.name, sd.stem || '.') GROUP BY ns.name)
+SELECT-> ns.name, h.stem, h.stem IS NOT NULL AS deleted FROM ns LEFT JOIN h ON ns.name = h.name""")
+def u6_delete_recordings(fx):
+    stems = fx.table("customer").select(F.concat(F.lit("rec"), (F.col("c_custkey") * 3).cast("string")).alias("stem"))
+    return E.delete_recordings(_names(fx).withColumn("kind", F.lit("recording")), stems).select("name", "stem", "deleted")
+
+
+# ---------------------------------------------------------------- scalars and filters
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN h > 0 THEN printf('%02d:%02d:%02d.%03d', h, m, s, ms) ELSE printf('%02d:%02d.%03d', m, s, ms) END AS ts FROM (
+  SELECT l_orderkey, l_linenumber, l_partkey, CAST(w // 3600 AS INTEGER) AS h, CAST(w % 3600 // 60 AS INTEGER) AS m, CAST(w % 60 AS INTEGER) AS s, CAST(round_even((x - w) * 1000, 0) AS INTEGER) AS ms FROM (SELECT *, l_extendedprice / 8 AS x, CAST(floor(l_extendedprice / 8) AS BIGINT) AS w FROM lineitem))""")
+def f2_format_ts(fx):
+    return fx.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.format_ts(F.col("l_extendedprice") / 8).alias("ts"))
+
+
+@query("""SELECT rec_id, turn_ix, replace(printf('%02d:%02d.%03d', CAST("start" AS INTEGER) // 60, CAST("start" AS INTEGER) % 60, 0), '.', ',') AS ts FROM fx_turns""")
+def f3_srt_ts(fx):
+    return fx.turns().select("rec_id", "turn_ix", T.srt_ts(F.col("start")).alias("ts"))
+
+
+@query("""SELECT rec_id, turn, regexp_replace(string_agg(CASE WHEN regexp_matches(w, '^[,.;:!?]') THEN w ELSE ' ' || w END, '' ORDER BY word_ix), '^ +', '') AS joined FROM (SELECT rec_id, turn, word_ix, CASE WHEN word_ix % 5 = 4 THEN ',' ELSE word END AS w FROM fx_words) GROUP BY rec_id, turn""")
+def f4_join_words(fx):
+    w = fx.words().withColumn("w", F.when(F.col("word_ix") % 5 == 4, ",").otherwise(F.col("word")))
+    return w.groupBy("rec_id", "turn").agg(T.join_words(F.transform(F.array_sort(F.collect_list(F.struct("word_ix", "w"))), lambda x: x["w"])).alias("joined"))
+
+
+@query("""SELECT rec_id, word_ix, regexp_matches(word, '[.!?。！？]["''”’)\\]]*$') AS ends FROM fx_words""".replace("\\\\", "\\"))
+def f5_ends_sentence(fx):
+    return fx.words().select("rec_id", "word_ix", T.ends_sentence(F.col("word")).alias("ends"))
+
+
+@query("SELECT doc_id, len(s) AS n, array_to_string(s, '|') AS sentences FROM (SELECT doc_id, " + _SENT.format("text") + " AS s FROM documents)")
+def f6_split_sentences(fx):
+    return fx.table("documents").select("doc_id", T.split_sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").cast("long").alias("n"), F.array_join("s", "|").alias("sentences"))
+
+
+@query("SELECT rec_id, turn_ix, array_to_string(" + _SENT.format("text_zh") + ", '|') AS sentences FROM fx_turns")
+def f7_split_zh(fx):
+    return fx.turns().select("rec_id", "turn_ix", F.array_join(T.split_zh_sentences(F.col("text_zh")), "|").alias("sentences"))
+
+
+@query("""SELECT p_partkey, CASE WHEN m = n THEN array_to_string(a[i + 1 : j], '') ELSE array_to_string(a[z0 + 1 : greatest(z0 + 1, least(m, greatest(zj, z0 + 1)))], '') END AS part FROM (
+  SELECT *, greatest(0, least(m - 1, CAST(round_even(i::DOUBLE * m / n, 0) AS INTEGER))) AS z0, CAST(round_even(j::DOUBLE * m / n, 0) AS INTEGER) AS zj FROM (
+  SELECT p_partkey, range(0, 1 + p_size % 9) AS a, 1 + p_size % 9 AS m, 1 + CAST(p_partkey % 7 AS INTEGER) AS n, CAST(p_partkey % 7 AS INTEGER) // 2 AS i, 1 + CAST(p_partkey % 7 AS INTEGER) AS j FROM part))""")
+def f8_zh_slice(fx):
+    k = (F.col("p_partkey") % 7).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.col("p_size") % 9), lambda x: x.cast("string"))
+    return fx.table("part").select("p_partkey", T.zh_slice(parts, F.floor(k / 2).cast("int"), k + 1, k + 1).alias("part"))
+
+
+_PUNCT = r"""regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({0}, E' \n\t\r'), '\s+([,.;:!?])', '\1', 'g'), '([,.;:!?])([A-Za-z])', '\1 \2', 'g'), '\bMm\s*-\s*hmm\b', 'Mm-hmm', 'gi'), '\s+', ' ', 'g')), '([^.?!…"'')])$', '\1.')"""
+
+
+@query("SELECT doc_id, " + _PUNCT.format("text") + " AS text FROM documents")
+def f9_punctuate(fx):
+    return fx.table("documents").select("doc_id", T.punctuate(F.col("text")).alias("text"))
+
+
+_STRAY = "CASE WHEN turn_ix % 3 = 0 THEN text_zh || ' 沒有任何樓盤符合您的搜尋結果.。。 。' WHEN turn_ix % 3 = 1 THEN '，沒有任何樓盤符合您的搜尋 - ' || text_zh ELSE text_zh END"
+_SCRUB = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({0}, E' \n\t\r'), '沒有任何樓盤符合您的搜尋結果\.?', '', 'g'), '沒有任何樓盤符合您的搜尋\s*[-—–-]?\s*', '', 'g'), '沒有任何樓盤符合您的搜尋\.?', '', 'g'), '[ \t]{{2,}}', ' ', 'g'), '^[。，、；：\s]+', ''), '[。]{{2,}}', '。', 'g'), '\s+([。，、])', '\1', 'g'), E' \n\t\r')"""
+
+
+def _stray(fx) -> DataFrame:
+    z = F.when(F.col("turn_ix") % 3 == 0, F.concat("text_zh", F.lit(" 沒有任何樓盤符合您的搜尋結果.。。 。"))).when(F.col("turn_ix") % 3 == 1, F.concat(F.lit("，沒有任何樓盤符合您的搜尋 - "), "text_zh")).otherwise(F.col("text_zh"))
+    answer = F.when(F.col("turn_ix") % 4 == 1, F.lit("Yeah, thank you.")).otherwise(F.col("text"))
+    return fx.turns().withColumn("text_zh", z).withColumn("text", answer)
+
+
+@query("SELECT rec_id, turn_ix, " + _SCRUB.format(_STRAY) + " AS text_zh FROM fx_turns")
+def f10_scrub_zh(fx):
+    return _stray(fx).select("rec_id", "turn_ix", T.scrub_zh(F.col("text_zh")).alias("text_zh"))
+
+
+@query("SELECT rec_id, turn_ix, contains(z, '樓盤') OR contains(z, '搜尋結果') AS contaminated FROM (SELECT *, " + _STRAY + " AS z FROM fx_turns)")
+def p6_contaminated(fx):
+    return _stray(fx).select("rec_id", "turn_ix", T.is_contaminated(F.col("text_zh")).alias("contaminated"))
+
+
+_ANSWERS = "CASE word_ix % 6 WHEN 0 THEN 'Yeah 42' WHEN 1 THEN 'Thank you. No' WHEN 2 THEN 'you' WHEN 3 THEN 'Mm-hmm, ' || word WHEN 4 THEN 'OK right' ELSE word END"
+
+
+@query(f"SELECT rec_id, word_ix, CASE word_ix % 6 WHEN 0 THEN '嗯。' WHEN 1 THEN '謝謝。不。' WHEN 4 THEN '好。對。' ELSE CASE WHEN word_ix % 6 = 3 AND NOT regexp_matches(word, '[A-Za-z]') THEN '嗯嗯。' END END AS zh FROM fx_words WHERE word_ix % 6 <> 5 AND NOT (word_ix % 6 = 3 AND lower(regexp_replace(word, '[^A-Za-z]', '', 'g')) IN ('no', 'on', 'an', 'oh', 'ah', 'hi', 'um', 'uh', 'ok', 'yes', 'mm'))")
+def f11_glossary(fx):
+    ix = F.col("word_ix") % 6
+    w = fx.words().where(ix != 5).where(~((ix == 3) & F.lower(F.regexp_replace("word", "[^A-Za-z]", "")).isin("no", "on", "an", "oh", "ah", "hi", "um", "uh", "ok", "yes", "mm")))
+    t = F.when(ix == 0, "Yeah 42").when(ix == 1, "Thank you. No").when(ix == 2, "you").when(ix == 3, F.concat(F.lit("Mm-hmm, "), "word")).when(ix == 4, "OK right")
+    return w.select("rec_id", "word_ix", T.glossary(t).alias("zh"))
+
+
+@query()
+def f12_translation_pieces(fx):
+    return fx.table("documents").select("doc_id", F.posexplode(T.translation_pieces(F.col("text"))).alias("piece_ix", "piece"))
+
+
+@query(r"""SELECT rec_id, word_ix, CASE WHEN regexp_matches(w, '^[a-z]+(''[a-z]+)?(-[a-z]+)*$') THEN w END AS lemma FROM (SELECT rec_id, word_ix, trim(replace(lower(regexp_replace(word, '^[^A-Za-z'']+|[^A-Za-z'']+$', '', 'g')), '’', ''''), '''') AS w FROM fx_words)""")
+def f13_normalize_query(fx):
+    return fx.words().select("rec_id", "word_ix", T.normalize_query(F.col("word")).alias("lemma"))
+
+
+@query()
+def f14_lemma_variants(fx):
+    return fx.dictionary().select("word", F.posexplode(T.lemma_variants(F.col("word"))).alias("variant_ix", "variant"))
+
+
+@query(r"SELECT doc_id, len(l) AS n FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[\r\n]+'), lambda x: trim(x, E' \t')), lambda x: x <> '') AS l FROM documents)")
+def f15_dict_lines(fx):
+    return fx.table("documents").select("doc_id", F.size(T.dict_lines(F.col("text"))).cast("long").alias("n"))
+
+
+@query("SELECT word AS lemma, phonetic, 'n' AS pos, word AS zh, 'the ' || word AS en FROM fx_dict WHERE translation <> ''")
+def f16_parse_dict_row(fx):
+    e = fx.dictionary().select(T.parse_dict_row(*[F.col(c) for c in ("word", "phonetic", "definition", "translation", "pos")]).alias("e")).where("e is not null")
+    return e.select("e.lemma", "e.phonetic", F.explode("e.senses").alias("s")).select("lemma", "phonetic", "s.pos", "s.zh", "s.en")
+
+
+@query("""SELECT job_id, seq, CASE WHEN d <= 0 THEN 0 ELSE greatest(0, least(100, CAST(floor(100 * e / nullif(d, 0)) AS INTEGER))) END AS pct FROM (SELECT job_id, seq, CAST(pct AS DOUBLE) AS e, CAST(seq % 50 AS DOUBLE) AS d FROM fx_log)""")
+def f21_progress_pct(fx):
+    return fx.log().select("job_id", "seq", T.progress_pct(F.col("pct").cast("double"), (F.col("seq") % 50).cast("double")).alias("pct"))
+
+
+@query("SELECT rec_id, word_ix, try_cast(CASE WHEN word_ix % 3 = 0 THEN '' WHEN word_ix % 3 = 1 THEN CAST(word_ix AS VARCHAR) || '.5' ELSE word END AS DOUBLE) AS t FROM fx_words WHERE NOT regexp_matches(word, '^(?i)(nan|inf|infinity)[.,]?$')")
+def f22_coerce_time(fx):
+    x = F.when(F.col("word_ix") % 3 == 0, "").when(F.col("word_ix") % 3 == 1, F.concat(F.col("word_ix").cast("string"), F.lit(".5"))).otherwise(F.col("word"))
+    return fx.words().where(~F.col("word").rlike("^(?i)(nan|inf|infinity)[.,]?$")).select("rec_id", "word_ix", T.coerce_time(x).alias("t"))
+
+
+@query("SELECT doc_id, lower(lang) IN ('en', 'english') AS accepted, CASE WHEN lower(lang) NOT IN ('en', 'english') THEN lower(lang) END AS detected FROM documents")
+def p1_language_gate(fx):
+    return E.language_gate(fx.table("documents").withColumnRenamed("lang", "language")).select("doc_id", "accepted", "detected")
+
+
+@query('SELECT rec_id, count(*) AS n FROM fx_words WHERE "start" < 45 GROUP BY rec_id')
+def p2_probe_prefix(fx):
+    return fx.words().where(F.col("start") < 45.0).groupBy("rec_id").agg(F.count("*").alias("n"))
+
+
+@query(_NAMES + " SELECT-> name, suffix(name, '.wav') OR suffix(name, '.m4a') AS supported FROM nm")
+def p4_supported_suffix(fx):
+    return _names(fx).withColumn("supported", F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1)).isin(*T.SUFFIXES))
+
+
+@query("""SELECT e.edit_id, w.rec_id, w.word_ix FROM fx_words w JOIN fx_edits e ON w.rec_id = e.rec_id WHERE (w."start" + w."end") / 2 BETWEEN e."start" AND e."end" """)
+def p5_words_in_range(fx):
+    return E.words_in_range(fx.words(), fx.edits()).select("edit_id", "rec_id", "word_ix")
+
+
+@query("""SELECT e.edit_id, CASE WHEN e."end" <= e."start" THEN 'empty range' END AS reason, 2.5::DOUBLE AS clip_start, least(d.duration, e."end" + 1.5) AS clip_end FROM fx_edits e JOIN (SELECT rec_id, max("end") + 30 AS duration FROM fx_turns GROUP BY rec_id) d ON e.rec_id = d.rec_id""")
+def p7_validate_edits(fx):
+    durations = fx.turns().groupBy("rec_id").agg((F.max("end") + 30).alias("duration"))
+    edits = fx.edits().withColumns({c: F.col(c).cast("string") for c in ("start", "end", "padding")})
+    return E.validate_edits(edits, durations).select("edit_id", "reason", "clip_start", "clip_end")
+
+
+@query('SELECT rec_id, word_ix, "start" + 12.5::DOUBLE AS "start", "end" + 12.5::DOUBLE AS "end" FROM fx_words')
+def p9_shift_times(fx):
+    return E.shift_times(fx.words(), 12.5).select("rec_id", "word_ix", "start", "end")
+
+
+# ------------------------------------------------------------------- edits and exports
+
+
+def _fresh(fx) -> DataFrame:
+    return fx.turns().where("turn_ix = 1").withColumns({"start": F.col("start") + 0.5, "end": F.col("end") - 0.5, "text": F.lit("new.")})
+
+
+@query(""" nw AS (SELECT rec_id, turn_ix, "start" + 0.5::DOUBLE AS "start", "end" - 0.5::DOUBLE AS "end", 'new.' AS text, 1 AS is_new FROM fx_turns WHERE turn_ix = 1),
+al AS (SELECT rec_id, turn_ix, "start", "end", text, 0 AS is_new FROM fx_turns t WHERE NOT EXISTS (SELECT 1 FROM fx_edits e WHERE e.rec_id = t.rec_id AND least(t."end", e."end") - greatest(t."start", e."start") > 0) UNION ALL SELECT * FROM nw)
+SELECT-> rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY "start", "end", is_new, turn_ix) - 1 AS INTEGER) AS turn_ix, "start", "end", text FROM al""")
+def u1_splice_turns(fx):
+    return E.splice_turns(fx.turns(), _fresh(fx), fx.edits()).select("rec_id", "turn_ix", "start", "end", "text")
+
+
+@query()
+def u2_apply_range_edits(fx):
+    clips = fx.words().join(fx.edits().select("edit_id", "rec_id"), "rec_id").withColumn("offset", F.lit(0.0)).select("edit_id", "rec_id", "word_ix", "word", "start", "end", "offset")
+    return E.apply_range_edits(fx.turns(), clips, fx.edits()).select("rec_id", "turn_ix", "speaker", "start", "end", "text")
+
+
+@query("""SELECT rec_id, count(*) AS n_turns FROM fx_turns WHERE rec_id % 2 = 0 GROUP BY rec_id UNION ALL SELECT DISTINCT rec_id, -1 FROM fx_turns WHERE rec_id % 2 = 1""")
+def u3_restore_version(fx):
+    turns = fx.turns().groupBy("rec_id").agg(F.collect_list(F.struct("turn_ix", "text")).alias("turns"))
+    old = turns.where("rec_id % 2 = 0").withColumn("version", F.lit(1))
+    versions = old.unionByName(turns.withColumn("turns", F.slice("turns", 1, 1)).withColumn("version", F.lit(2)))
+    out = E.restore_version(versions, turns.select("rec_id", F.lit(2).alias("current")))
+    return out.select("rec_id", F.when(F.col("error").isNull(), F.size("turns")).otherwise(-1).cast("long").alias("n_turns"))
+
+
+@query("""SELECT e.edit_id, (SELECT count(*) FROM fx_turns t WHERE t.rec_id = e.rec_id AND least(t."end", e."end") - greatest(t."start", e."start") > 0) AS replaced_turns,
+ (SELECT count(*) FROM fx_words w WHERE w.rec_id = e.rec_id AND (w."start" + w."end") / 2 BETWEEN e."start" AND e."end") AS kept_words FROM fx_edits e""")
+def a6_edit_report(fx):
+    return E.edit_report(fx.turns(), _fresh(fx), E.words_in_range(fx.words(), fx.edits()), fx.edits()).select("edit_id", "replaced_turns", "kept_words")
+
+
+@query("SELECT rec_id, turn_ix, CASE WHEN turn_ix % 4 = 1 THEN '嗯。謝謝。' ELSE " + _SCRUB.format("z") + " END AS text_zh FROM (SELECT rec_id, turn_ix, " + _STRAY + " AS z FROM fx_turns)")
+def u7_rescrub(fx):
+    return E.rescrub(_stray(fx)).select("rec_id", "turn_ix", "text_zh")
+
+
+@query("""SELECT rec_id, CAST(count(*) FILTER (WHERE turn_ix % 3 <> 2 OR turn_ix % 4 = 1) AS BIGINT) AS candidates, CAST(0 AS BIGINT) AS remaining FROM fx_turns GROUP BY rec_id""")
+def a5_scrub_report(fx):
+    before = _stray(fx)
+    return E.scrub_report(before, E.rescrub(before)).select("rec_id", "candidates", "remaining")
+
+
+_CUE = """CAST(row_number() OVER (PARTITION BY rec_id ORDER BY turn_ix) AS VARCHAR)"""
+_TS = """replace(printf('%02d:%02d.%03d', CAST({0} AS INTEGER) // 60, CAST({0} AS INTEGER) % 60, 0), '.', '{1}')"""
+_READY = " rd AS (SELECT rec_id, turn_ix, speaker, " + _TS.format('"start"', "{0}") + " AS a, " + _TS.format('"end"', "{0}") + " AS b, " + _PUNCT.format("text").replace("{", "{{").replace("}", "}}") + r""" AS text, trim(text_zh, E' \n\t\r') AS zh FROM fx_turns)"""
+
+
+@query(_READY.format(",").replace("{{", "{").replace("}}", "}") + f" SELECT-> rec_id, turn_ix, {_CUE} || E'\\n' || a || ' --> ' || b || E'\\n' || speaker || ': ' || text || CASE WHEN zh <> '' THEN E'\\n' || zh ELSE '' END || E'\\n' AS cue FROM rd")
+def k2_srt_cues(fx):
+    return R.srt_cues(fx.turns())
+
+
+@query(_READY.format(".").replace("{{", "{").replace("}}", "}") + r""" SELECT-> rec_id, regexp_replace(string_agg('[' || a || ' → ' || b || '] ' || speaker || E'\n' || text || E'\n' || CASE WHEN zh <> '' THEN zh || E'\n' ELSE '' END, E'\n' ORDER BY turn_ix), '\s+$', '') || E'\n' AS content FROM rd GROUP BY rec_id""")
+def k3_txt(fx):
+    return R.render_txt(fx.turns())
+
+
+@query(_READY.format(".").replace("{{", "{").replace("}}", "}") + r""" SELECT-> rec_id, regexp_replace('# Transcript: ' || rec_id || E'\n\n- Language: en\n- Speakers: ' || count(DISTINCT speaker) || E'\n- Segments: ' || count(*) || E'\n- Bilingual: English + 中文翻譯\n\n---\n\n' || string_agg('### [' || a || ' → ' || b || '] ' || speaker || E'\n\n' || text || E'\n\n' || CASE WHEN zh <> '' THEN zh || E'\n\n' ELSE '' END, '' ORDER BY turn_ix), '\s+$', '') || E'\n' AS content FROM rd GROUP BY rec_id""")
+def k4_markdown(fx):
+    return R.render_markdown(fx.turns(), fx.turns().select("rec_id", F.lit("en").alias("language")).distinct())
+
+
+@query("SELECT rec_id, CAST(count(*) AS INTEGER) AS n_turns, TRUE AS bilingual FROM fx_turns GROUP BY rec_id")
+def k1_transcript_docs(fx):
+    return R.to_transcript_docs(fx.turns(), fx.turns().select("rec_id", F.lit("en").alias("language")).distinct()).select("rec_id", F.size("turns").alias("n_turns"), "bilingual")
+
+
+def _notes(fx) -> DataFrame:
+    t = fx.turns().where("speaker = 'user' and turn_ix < 4")
+    first = F.transform(F.slice(F.split("text", "[ \n\t]+"), 1, 2), lambda w: F.struct(w.alias("lemma"), F.lit("").alias("phonetic"), F.array(F.struct(F.lit("n").alias("pos"), F.lit("").alias("zh"), w.alias("en"), F.lit("").alias("example"))).alias("senses"), F.lit("x").alias("source")))
+    return t.select("rec_id", F.concat(F.col("rec_id").cast("string"), F.lit("-"), F.col("turn_ix").cast("string")).alias("id"), F.lit("w").alias("word"), F.col("text").alias("text_en"), F.lit("").alias("text_zh"), F.when(F.col("turn_ix") == 2, None).otherwise(F.col("start")).alias("start"), F.lit(None).cast("double").alias("end"), F.lit("manual").alias("source"), (100.0 + F.col("turn_ix")).alias("created_at"), F.lit(None).cast("double").alias("updated_at"), first.alias("lemmas"), F.lit(None).cast(T.LEMMA_ENTRY).alias("dict"))
+
+
+_NOTES = " nt AS (SELECT rec_id, rec_id || '-' || turn_ix AS id, turn_ix, text, CASE WHEN turn_ix <> 2 THEN \"start\" END AS \"start\", string_split_regex(text, '[ \\n\\t]+') AS w FROM fx_turns WHERE speaker = 'user' AND turn_ix < 4)"
+
+
+@query(_NOTES + ' SELECT-> rec_id, id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY "start" IS NULL, coalesce("start", 0), turn_ix) - 1 AS INTEGER) AS note_ix FROM nt')
+def l3_note_order(fx):
+    return E.note_order(_notes(fx)).select("rec_id", "id", "note_ix")
+
+
+@query(_NOTES + r""" SELECT-> CAST(rec_id AS VARCHAR) AS stem, id, array_to_string(list_filter(CASE WHEN lower(trim(w[1])) = lower(trim(coalesce(w[2], ''))) THEN [w[1]] ELSE [w[1], w[2]] END, lambda x: x IS NOT NULL AND x <> ''), '; ') AS dict_lemma, coalesce(CAST("start" AS VARCHAR), '') AS "start" FROM nt""")
+def k5_notes_csv(fx):
+    n = _notes(fx).withColumn("source", F.col("id"))
+    return R.notes_csv(n).select("stem", F.col("source").alias("id"), "dict_lemma", "start")
+
+
+@query(_NOTES + """ SELECT-> rec_id, id, CASE WHEN turn_ix = 0 THEN 'changed' ELSE text END AS text_en FROM nt UNION ALL SELECT DISTINCT rec_id, 'new-' || rec_id, 'added' FROM nt""")
+def u4_upsert_notes(fx):
+    n = _notes(fx)
+    base = dict(word=F.lit(""), text_zh=F.lit(""), start=F.lit("1.5"), end=F.lit(""), source=F.lit(""), dict=F.lit(None).cast(T.LEMMA_ENTRY), has_dict=F.lit(False), remove_lemma=F.lit(""), now=F.lit(200.0))
+    old = n.where(F.col("id").endswith("-0")).select("rec_id", F.lit(None).cast("string").alias("change_id"), "id", F.lit("changed").alias("text_en"), *[v.alias(k) for k, v in base.items()])
+    new = n.select("rec_id").distinct().select("rec_id", F.concat(F.lit("new-"), F.col("rec_id").cast("string")).alias("change_id"), F.lit(None).cast("string").alias("id"), F.lit("added").alias("text_en"), *[v.alias(k) for k, v in base.items()])
+    return E.upsert_notes(n, old.unionByName(new)).where("error is null").select("rec_id", "id", "text_en")
+
+
+@query(_NOTES + " SELECT-> rec_id, id FROM nt WHERE turn_ix <> 0")
+def u5_delete_notes(fx):
+    n = _notes(fx)
+    return E.delete_notes(n, n.where(F.col("id").endswith("-0")).select("rec_id", "id"))[0].select("rec_id", "id")
+
+
+@query("""SELECT job_id, seq, line FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS r FROM fx_log) WHERE r <= 5""")
+def l4_tail_per_key(fx):
+    return E.tail_per_key(fx.log(), 5).select("job_id", "seq", "line")
+
+
+@query("SELECT event_id AS inserted_seq FROM events ORDER BY event_id DESC LIMIT 2000")
+def l5_trim_cache(fx):
+    return E.trim_cache(fx.table("events").select(F.col("event_id").cast("string").alias("lemma"), F.col("event_id").alias("inserted_seq"))).select("inserted_seq")
+
+
+@query(""" ca AS (SELECT 'u' || user_id AS lemma, min(event_id) AS s FROM events GROUP BY user_id) SELECT-> lemma, s AS inserted_seq FROM ca ORDER BY s DESC, lemma LIMIT 2000""")
+def u8_upsert_cache(fx):
+    rows = fx.table("events").groupBy("user_id").agg(F.min("event_id").alias("inserted_seq")).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("lemma"), F.struct(F.lit("old").alias("v")).alias("entry"), "inserted_seq")
+    found = rows.where("inserted_seq % 2 = 0").withColumn("entry", F.struct(F.lit("new").alias("v"))).withColumn("inserted_seq", F.col("inserted_seq") + 1_000_000_000)
+    return E.upsert_cache(rows, found).select("lemma", "inserted_seq")
+
+
+@query(""" pr AS (SELECT *, max(pct) OVER w AS m, max(pct // 5) OVER w AS f FROM fx_log WINDOW w AS (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT-> job_id, seq, (m IS NULL OR pct // 5 > f OR (pct >= 100 AND m < 100)) AS emit FROM pr""")
+def w6_throttle_progress(fx):
+    return E.throttle_progress(fx.log()).select("job_id", "seq", "emit")
+
+
+# --------------------------------------------------------------------------- signals
+
+
+@query(""" mo AS (SELECT series_id, i, avg(value) AS v FROM fx_series GROUP BY ALL), pk AS (SELECT series_id, max(abs(v)) AS p FROM mo GROUP BY series_id) SELECT-> mo.series_id, i, round(CASE WHEN p > 1 THEN v / p ELSE v END, 6) AS value FROM mo JOIN pk ON mo.series_id = pk.series_id""")
+def m1_downmix(fx):
+    return S.downmix_normalize(fx.series()).select("series_id", "i", _r6("value"))
+
+
+@query(""" sz AS (SELECT series_id, max(i) + 1 AS n, greatest(1, CAST(round_even((max(i) + 1) * 3 / 2, 0) AS BIGINT)) AS m FROM fx_series GROUP BY series_id), gj AS (SELECT *, unnest(range(0, m)) AS j FROM sz),
+ps AS (SELECT *, greatest(0.0, least(n - 1.0::DOUBLE, (j + 0.5::DOUBLE) * n / m - 0.5::DOUBLE)) AS pos FROM gj)
+SELECT-> ps.series_id, j AS i, round(a.value * (1 - (pos - floor(pos))) + coalesce(b.value, a.value) * (pos - floor(pos)), 6) AS value FROM ps JOIN fx_series a ON a.series_id = ps.series_id AND a.i = CAST(floor(pos) AS BIGINT) LEFT JOIN fx_series b ON b.series_id = ps.series_id AND b.i = CAST(floor(pos) AS BIGINT) + 1""")
+def m2_resample(fx):
+    return S.resample_linear(fx.series(), 2, 3).select("series_id", "i", _r6("value"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 6) AS norm FROM embeddings")
+def m3_l2_normalize(fx):
+    v = S.l2_normalize(F.col("embedding").cast("array<double>"))
+    return fx.table("embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+
+
+@query(""" sz AS (SELECT series_id, max(i) + 1 AS n FROM fx_series GROUP BY series_id), wn AS (SELECT *, unnest(range(0, (greatest(1, n - 30 + 1) - 1) // 15 + 1)) AS win_ix FROM sz)
+SELECT-> wn.series_id, win_ix, count(*) AS n_samples, round(sqrt(avg(value * value)), 6) AS rms FROM wn JOIN fx_series s ON s.series_id = wn.series_id AND s.i >= win_ix * 15 AND s.i < least(n, win_ix * 15 + 30) GROUP BY ALL HAVING count(*) >= 8 AND sqrt(avg(value * value)) >= 0.01""")
+def w7_hop_windows(fx):
+    return S.hop_windows(fx.series(), rate=20.0).select("series_id", "win_ix", "n_samples", _r6("rms"))
+
+
+@query(""" nv AS (SELECT vec_id % 5 AS rec_id, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS v FROM embeddings),
+ds AS (SELECT a.rec_id, a.vec_id, a.label, b.label AS ob, sum(1 - list_dot_product(a.v, b.v)) AS t, count(*) AS n FROM nv a JOIN nv b ON a.rec_id = b.rec_id AND a.vec_id <> b.vec_id GROUP BY ALL),
+ab AS (SELECT rec_id, vec_id, max(CASE WHEN label = ob THEN t / n END) AS a, min(CASE WHEN label <> ob THEN t / n END) AS b FROM ds GROUP BY ALL)
+SELECT-> rec_id, round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM ab GROUP BY rec_id""")
+def a7_silhouette(fx):
+    return S.silhouette_by_group(fx.windows().select("rec_id", "embedding", "label"), ["rec_id"]).select("rec_id", _r6("silhouette"))
+
+
+@query(""" sc AS (SELECT p_brand AS rec_id, 5 AS n, 2 + CAST(p_partkey % 3 AS INTEGER) AS k, p_retailprice AS score FROM part), mx AS (SELECT rec_id, n, k, max(score) AS score FROM sc GROUP BY ALL)
+SELECT-> rec_id, arg_max(k, score * 100 - k) AS k FROM mx GROUP BY rec_id""")
+def m4_choose_k(fx):
+    p = fx.table("part").select(F.col("p_brand").alias("rec_id"), F.lit(5).alias("n"), (2 + F.col("p_partkey") % 3).cast("int").alias("k"), F.col("p_retailprice").alias("score"))
+    return S.choose_k(p.groupBy("rec_id", "n", "k").agg(F.max("score").alias("score")))
+
+
+@query("SELECT p_partkey, greatest(1, least(CASE WHEN p_size % 5 < 2 AND p_partkey % 10 >= 4 THEN 2 ELSE p_size % 5 END, CAST(p_partkey % 10 AS INTEGER))) AS k FROM part")
+def m5_k_floor(fx):
+    return fx.table("part").select("p_partkey", S.k_floor(F.col("p_size") % 5, (F.col("p_partkey") % 10).cast("int"), 2).alias("k"))
+
+
+@query()
+def m6_cluster_windows(fx):
+    return S.cluster_windows(fx.windows(), [2, 3]).select("rec_id", "win_ix", "k", "label")
