@@ -63,10 +63,10 @@ def queries() -> dict:
 
 _OP2_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
-  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), p -> p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank" FROM s)
 SELECT query_id, "rank", vec_id, score FROM r WHERE "rank" <= 20
@@ -76,11 +76,11 @@ _OP10_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, payload, sha1(payload) AS h,
              min(page_id) OVER (PARTITION BY payload) AS first_id FROM p),
-b AS (SELECT *, list_reduce(list_transform(range(0, 160), i -> CAST(
-        (instr('0123456789abcdef', substr(h, CAST(i // 4 + 1 AS INTEGER), 1)) - 1) >> CAST(3 - i % 4 AS INTEGER) & 1 AS VARCHAR)), (x, y) -> x || y) AS bits FROM d),
-e AS (SELECT *, list_reduce(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+b AS (SELECT *, list_reduce(list_transform(range(0, 160), lambda i: CAST(
+        (instr('0123456789abcdef', substr(h, CAST(i // 4 + 1 AS INTEGER), 1)) - 1) >> CAST(3 - i % 4 AS INTEGER) & 1 AS VARCHAR)), lambda x, y: x || y) AS bits FROM d),
+e AS (SELECT *, list_reduce(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
         16 * CAST(substr(bits, CAST(5*k+1 AS INTEGER), 1) AS INTEGER) + 8 * CAST(substr(bits, CAST(5*k+2 AS INTEGER), 1) AS INTEGER) + 4 * CAST(substr(bits, CAST(5*k+3 AS INTEGER), 1) AS INTEGER) +
-        2 * CAST(substr(bits, CAST(5*k+4 AS INTEGER), 1) AS INTEGER) + CAST(substr(bits, CAST(5*k+5 AS INTEGER), 1) AS INTEGER) AS INTEGER), 1)), (x, y) -> x || y) AS payload_digest FROM b)
+        2 * CAST(substr(bits, CAST(5*k+4 AS INTEGER), 1) AS INTEGER) + CAST(substr(bits, CAST(5*k+5 AS INTEGER), 1) AS INTEGER) AS INTEGER), 1)), lambda x, y: x || y) AS payload_digest FROM b)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to FROM e
 """
