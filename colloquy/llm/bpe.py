@@ -36,7 +36,7 @@ from colloquy.llm.common import map_batches, worker_state
 #: The pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces up to this many bytes are remembered; at most so many of them.
-MEMO_BYTES, MEMO_MOST = 64, 500_000
+MEMO_BYTES, MEMO_MOST = 64, 200_000
 WINDOW_BYTES = 1 << 14
 NONE = 1 << 62
 #: PATTERN for texts in which the classes of ``re`` agree with it, and what those texts must not hold.
