@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from colloquy.llm.common import map_batches
+from colloquy.llm.common import map_batches, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "iban", "local_phone", "national_id")
 BASE_KINDS = KINDS[:4]
@@ -126,6 +126,8 @@ SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 def detect_pii(df: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:
     """Adds ``out``, the spans of every whole text. Map-only: nothing is shuffled."""
 
+    small_batches(df.sparkSession)
+
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"kind": k, "start": a, "end": b, "score": s} for k, a, b, s in find_spans(t)] for t in texts])
@@ -149,6 +151,8 @@ def redact(text: str | None) -> str | None:
 def redact_pii(df: DataFrame, text: str = "text") -> DataFrame:
     """Replaces the spans in ``text``; rows without personal data are unchanged."""
 
+    small_batches(df.sparkSession)
+
     @F.pandas_udf(T.StringType())
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(redact)
