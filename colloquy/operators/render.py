@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from colloquy.functions.text import format_ts, note_lemmas, punctuate, srt_ts, strip
 
-_BY_TURN = Window.partitionBy("rec_id").orderBy("turn_ix")
 BOM = "﻿"
 
 
@@ -23,7 +22,7 @@ def _documents(cues: DataFrame, head=None) -> DataFrame:
 
 
 def srt_cues(turns: DataFrame) -> DataFrame:
-    t = _ready(turns).withColumn("cue_ix", F.row_number().over(_BY_TURN))
+    t = _ready(turns).withColumn("cue_ix", F.row_number().over(Window.partitionBy("rec_id").orderBy("turn_ix")))
     zh = F.when(F.col("text_zh") != "", F.concat(F.lit("\n"), "text_zh")).otherwise("")
     cue = F.concat(F.col("cue_ix").cast("string"), F.lit("\n"), srt_ts(F.col("start")), F.lit(" --> "), srt_ts(F.col("end")), F.lit("\n"), "speaker", F.lit(": "), "text", zh, F.lit("\n"))
     return t.select("rec_id", "turn_ix", cue.alias("cue"))

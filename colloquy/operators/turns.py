@@ -9,7 +9,10 @@ from colloquy.functions.text import ends_sentence, join_words, punctuate, split_
 from colloquy.operators.intervals import DEFAULT_SPEAKER
 
 MAX_GAP, SHORT_WORD, MAX_SENTENCES = 0.8, 0.6, 3
-_BY_WORD = Window.partitionBy("rec_id").orderBy("word_ix")
+
+
+def _by_word():
+    return Window.partitionBy("rec_id").orderBy("word_ix")
 
 
 def normalize_asr(docs: DataFrame) -> DataFrame:
@@ -38,10 +41,10 @@ def collect_words(docs: DataFrame) -> DataFrame:
 def smooth_speakers(words: DataFrame) -> DataFrame:
     """A short word between two words of one other speaker takes theirs, from left to right:
     within a run of such words the 1st, 3rd, ... change."""
-    before, after = F.lag("speaker").over(_BY_WORD), F.lead("speaker").over(_BY_WORD)
+    before, after = F.lag("speaker").over(_by_word()), F.lead("speaker").over(_by_word())
     base = (before == after) & (F.col("speaker") != before) & (F.col("end") - F.col("start") < SHORT_WORD)
     out = words.withColumn("_before", before).withColumn("_base", F.coalesce(base, F.lit(False)))
-    running = _BY_WORD.rowsBetween(Window.unboundedPreceding, 0)
+    running = _by_word().rowsBetween(Window.unboundedPreceding, 0)
     out = out.withColumn("_run", F.sum(F.when(F.col("_base"), 0).otherwise(1)).over(running))
     nth = F.sum(F.col("_base").cast("int")).over(Window.partitionBy("rec_id", "_run").orderBy("word_ix").rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("speaker", F.when(F.col("_base") & (nth % 2 == 1), F.col("_before")).otherwise(F.col("speaker"))).drop("_before", "_base", "_run")
@@ -50,9 +53,9 @@ def smooth_speakers(words: DataFrame) -> DataFrame:
 def words_to_turns(words: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
     """Sessions of one speaker without longer gaps; ``end`` is that of the last word."""
     w = words.where(strip(F.col("word")) != "").withColumn("speaker", F.coalesce("speaker", F.lit(DEFAULT_SPEAKER)))
-    new = (F.lag("speaker").over(_BY_WORD) != F.col("speaker")) | (F.col("start") - F.lag("end").over(_BY_WORD) > max_gap)
+    new = (F.lag("speaker").over(_by_word()) != F.col("speaker")) | (F.col("start") - F.lag("end").over(_by_word()) > max_gap)
     w = w.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int"))
-    w = w.withColumn("turn_ix", F.sum("_new").over(_BY_WORD.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    w = w.withColumn("turn_ix", F.sum("_new").over(_by_word().rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     listed = F.array_sort(F.collect_list(F.struct("word_ix", "word", "start", "end", "probability", "speaker"))) if "probability" in w.columns else F.array_sort(F.collect_list(F.struct("word_ix", "word", "start", "end", "speaker")))
     out = w.groupBy("rec_id", "turn_ix").agg(F.first("speaker").alias("speaker"), F.min_by("start", "word_ix").alias("start"), F.max_by("end", "word_ix").alias("end"), listed.alias("words"))
     return out.withColumn("text", join_words(F.transform("words", lambda x: x["word"])))
@@ -60,7 +63,7 @@ def words_to_turns(words: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
 
 def sentence_groups(words: DataFrame) -> DataFrame:
     """``sentence_ix``: how many earlier words end a sentence."""
-    earlier = F.sum(ends_sentence(F.col("word")).cast("int")).over(_BY_WORD.rowsBetween(Window.unboundedPreceding, -1))
+    earlier = F.sum(ends_sentence(F.col("word")).cast("int")).over(_by_word().rowsBetween(Window.unboundedPreceding, -1))
     return words.withColumn("sentence_ix", F.coalesce(earlier, F.lit(0)).cast("int"))
 
 
