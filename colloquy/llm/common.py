@@ -75,7 +75,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and
     small-star steps; rows ``(node, component)``, where ``component`` is the smallest
-    node reachable. Nodes without edges are absent. Null ends and loops are ignored.
+    node reachable. Nodes without edges, and the smallest nodes themselves, are absent. Null ends and loops are ignored.
 
     Each step only needs minima by key, which Spark combines before the shuffle, and
     joins that adaptive execution can split, so a node with very many edges is no
