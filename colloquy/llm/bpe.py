@@ -134,6 +134,8 @@ class Bpe:
                     break
                 stable.append(p)
                 end += len(token[p])
+            if not end:
+                raise ValueError("the window must hold the lookahead and the longest token")
             yield stable
             at += end
 
