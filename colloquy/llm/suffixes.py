@@ -220,9 +220,10 @@ def _decide(splitters: list[np.ndarray]):
     """Decides one bucket: which places are repeated, and which need their windows compared."""
 
     def run(batches):
-        table = pa.Table.from_batches(batches)
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         col = {c: table[c].to_numpy() for c in ("bucket", "kind", "key", "context", "doc", "place")}
         for bucket in np.unique(col["bucket"]):
             here = col["bucket"] == bucket
