@@ -25,7 +25,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import cut, map_batches
@@ -35,6 +35,8 @@ MIN_PAGES, SUPPORT = 3, 0.5
 #: Share of a host's slot text that its content container holds.
 CONTENT_SHARE = 0.8
 BROADCAST_BYTES = 32 << 20
+#: Parts that a host's tokens are dealt to where they meet its row.
+HOST_PARTS = 32
 
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -154,17 +156,26 @@ def deduce_templates(pages: DataFrame) -> DataFrame:
     vectors = seen.groupBy("host", "path", "token").agg(F.count("*").alias("support"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"))
     pages_of = F.max(F.when(F.col("token") == 0, F.col("support")))
     sizes = vectors.where("token = 0").groupBy("host").agg(pages_of.alias("pages")).where(F.col("pages") >= MIN_PAGES)
-    judged = vectors.where("token <> 0").join(sizes, "host").withColumn("valid", F.col("support") >= F.greatest(F.lit(MIN_PAGES), SUPPORT * F.col("pages")))
+    judged = _with_host(vectors.where("token <> 0"), sizes, F.col("token")).withColumn("valid", F.col("support") >= F.greatest(F.lit(MIN_PAGES), SUPPORT * F.col("pages")))
     # equivalence classes: valid tokens with one vector; text runs among them are template text
     classes = judged.where("valid").groupBy("host", "vector").agg(F.count("*").alias("tokens"), F.collect_set(F.when(F.col("chars") > 0, F.col("token"))).alias("texts"))
     boiler = classes.where("tokens > 1").groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("boilerplate"))
     slots = judged.where("not valid and chars > 0").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
-    slots = slots.withColumn("total", F.sum("chars").over(Window.partitionBy("host")))
-    within = slots.withColumn("container", F.explode(_container_paths())).groupBy("host", "container").agg(F.sum("chars").alias("chars"), F.max("total").alias("total"))
+    # all slot text of a host counts under the container "", so that sums combine before the shuffle
+    within = slots.withColumn("container", F.explode(F.array_prepend(_container_paths(), F.lit("")))).groupBy("host", "container").agg(F.sum("chars").alias("chars"))
+    totals = within.where("container = ''").select("host", F.col("chars").alias("total"))
+    within = _with_host(within.where("container <> ''"), totals, F.xxhash64("container"))
     content = within.where(F.col("chars") >= CONTENT_SHARE * F.col("total")).groupBy("host").agg(F.max_by("container", F.length("container")).alias("content"))
     return sizes.select("host").join(content, "host", "left").join(boiler, "host", "left")
 
 
+def _with_host(rows: DataFrame, hosts: DataFrame, spread: Column) -> DataFrame:
+    """Inner join with one row for each host; a host's rows are dealt to HOST_PARTS parts by ``spread``."""
+    dealt = rows.withColumn("part", F.pmod(F.hash(spread), F.lit(HOST_PARTS)))
+    copies = hosts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(HOST_PARTS - 1))))
+    return dealt.join(copies, ["host", "part"]).drop("part")
+
+
 def _container_paths():
     """Prefixes of ``path`` whose last step is a container."""
     steps = F.split(F.col("path"), "/")
