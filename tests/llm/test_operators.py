@@ -216,10 +216,13 @@ def test_repeats(spark, monkeypatch, local):
 # -------------------------------------------------------------------------- op7
 
 
-def test_html(spark):
+@pytest.mark.parametrize("most", [html_extract.BROADCAST_BYTES, 0])
+def test_html(spark, monkeypatch, most):
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", most)
     page = lambda i: f"<html><head><title>T</title></head><body><header>Site</header><nav><a>Home</a></nav><div class='cookie-notice'>OK?</div><article><h1>Head {i}</h1><p>One&amp;two\n  {i}<br>x<p>Last &eacute;</p><form>f</form><div id=comments>bad</div></article><aside>s</aside><footer>&copy;</footer><script>var a='<p>';</script></body></html>"
     rows = [(i, "http://h.example/x", page(i)) for i in range(4)] + [(10, None, None), (11, "u", ""), (12, "http://z.example/", "<div>plain <b>text</b></div>"), (13, "http://z.example/", "<p>cut <a href='")]
     got = {r.page_id: (r.text, r.n_chars) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert got[2][0] == "Head 2\nOne&two 2 x\nLast é" and got[10] == got[11] == ("", 0) and got[12] == ("plain text", 10) and got[13][0].startswith("cut")
 
 
@@ -311,6 +314,31 @@ def test_zip_is_a_zip(zip64):
         warc.ZipReader(lambda at, n: b"x" * n, 100)
 
 
+def test_pipeline(spark, tmp_path, coder):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("bcdefghi") for _ in range(5))
+    texts, toxic = {}, {}
+    for i in range(400):
+        w = [word() for _ in range(rnd.randrange(60, 120))]
+        toxic[i] = i % 4 == 0
+        if toxic[i]:
+            for _ in range(12):
+                w.insert(rnd.randrange(len(w)), rnd.choice(["badone", "badtwo"]))
+        texts[i] = " ".join(w) + (" mail a@b.co" if i % 5 == 0 else "")
+    texts |= {500: texts[1], 501: texts[1] + " more", 502: None, 503: ""}
+    rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(rows, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, int(x)) for i, x in toxic.items()]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r.doc_id for r in got}
+    assert {i for i in toxic if not toxic[i]} <= kept and not {i for i in toxic if toxic[i]} & kept
+    assert not {500, 501, 503} & kept and 502 in kept
+    for r in got:
+        assert r.ids == coder[1].encode(pii.redact(texts[r.doc_id]) or "", add_special_tokens=False).ids
+
+
 def test_clashing_columns_and_empty_tables(spark):
     d = docs(spark, ["some words here", "more"]).withColumn("fp", F.lit(1)).withColumn("key", F.lit("k")).withColumn("place", F.lit(2))
     empty = d.limit(0)
