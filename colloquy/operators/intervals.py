@@ -41,8 +41,10 @@ def nearest(probes: DataFrame, centers: DataFrame) -> DataFrame:
     both = one.select("rec_id", "t", F.struct(F.col("t").alias("t"), F.col("c.ix").alias("ix"), F.col("c.speaker").alias("speaker")).alias("c"), F.lit(None).cast("long").alias("word_ix"))
     both = both.unionByName(probes.select("rec_id", "t", F.lit(None).cast(both.schema["c"].dataType).alias("c"), F.col("word_ix").cast("long").alias("word_ix")))
     order = Window.partitionBy("rec_id").orderBy("t")
+    # frames that end at the partition's end are scanned anew for each row, so the centers ahead are found in descending order
+    down = Window.partitionBy("rec_id").orderBy(F.desc("t"))
     back = F.last("c", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.first("c", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    ahead = F.last("c", ignorenulls=True).over(down.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     both = both.withColumn("b", back).withColumn("a", ahead).where("word_ix is not null")
     db, da = F.abs(F.col("t") - F.col("b.t")), F.abs(F.col("a.t") - F.col("t"))
     pick = F.when(F.col("b").isNull() | (da < db) | ((da == db) & (F.col("a.ix") < F.col("b.ix"))), F.col("a")).otherwise(F.col("b"))
