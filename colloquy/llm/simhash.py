@@ -120,12 +120,19 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "t
 
 # ------------------------------------------------------- similar texts, one of each group
 
-#: 64-bit lanes of a wide fingerprint, bytes of one posted gram, words of a shingle.
-LANES, GRAM_BYTES, WORDS = 48, 3, 5
+#: 64-bit lanes of a wide fingerprint, bytes of one posted gram and from one to the next, words of a shingle.
+LANES, GRAM_BYTES, STRIDE, WORDS = 48, 3, 2, 5
+#: Members before a member of a posting that it is compared with, besides the first.
+BEFORE = 32
+#: Sets of up to so many shingles are compared as sets: few shingles leave many ties in the bits.
+SMALL_SET = 100
+#: Differing bits of the first lane up to which a pair goes on to all lanes: five standard
+#: deviations over what a pair at SIMILAR has; of unrelated pairs 3 % go on.
+NEAR_LANE = 24
 #: Jaccard similarity of shingle sets that counts as near, and what it leaves of equal bits:
 #: equal sets' cosine is 2J/(1+J), and a bit differs with the share angle/pi.
 SIMILAR = 0.8
-DIFFERENT = float(np.arccos(2 * SIMILAR / (1 + SIMILAR)) / np.pi) * 1.04
+DIFFERENT = float(np.arccos(2 * SIMILAR / (1 + SIMILAR)) / np.pi) * 1.08
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,16 +157,26 @@ def _majority(words: np.ndarray) -> np.ndarray:
     return counts * 2 > n
 
 
-def wide_fingerprint(text: str | None, words: int = WORDS) -> bytes:
-    """LANES * 64 bits over the distinct shingles of a whole text; texts without words are all zero."""
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    """Hashes of the distinct shingles of a whole text, ascending."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return bytes(LANES * 8)
+        return np.empty(0, np.uint64)
     joined, size = b" ".join(tokens), np.cumsum([0] + [len(t) + 1 for t in tokens])
     n = max(1, len(tokens) - words + 1)
     begin, end = size[:n].tolist(), (size[min(words, len(tokens)) :][:n] - 1).tolist()
     digest = xxhash.xxh64_digest
-    hashes = np.unique(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(begin, end)]), ">u8").astype(np.uint64))
+    return np.unique(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(begin, end)]), ">u8").astype(np.uint64))
+
+
+def wide_fingerprint(text: str | None, words: int = WORDS) -> bytes:
+    """LANES * 64 bits over the distinct shingles of a whole text; texts without words are all zero."""
+    return _wide(_shingles(text, words))
+
+
+def _wide(hashes: np.ndarray) -> bytes:
+    if not len(hashes):
+        return bytes(LANES * 8)
     counts = None
     for at in range(0, len(hashes), 1 << 14):
         x = hashes[at : at + (1 << 14), None] + _STEP * np.arange(1, LANES + 1, dtype=np.uint64)[None, :]
@@ -173,33 +190,86 @@ def wide_fingerprint(text: str | None, words: int = WORDS) -> bytes:
     return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
+def _grams(fps: DataFrame) -> DataFrame:
+    """``(gram, id, lane)``: postings for every second run of GRAM_BYTES positional bytes, with the first lane."""
+
+    def run(batches):
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, LANES * 8)
+            starts = np.arange(0, x.shape[1] - GRAM_BYTES + 1, STRIDE)
+            gram = np.repeat(starts[None, :], len(x), 0)
+            for i in range(GRAM_BYTES):
+                gram = (gram << 8) | x[:, starts + i]
+            lane = x[:, :8].copy().view(np.int64)[:, 0]
+            yield {"gram": gram.ravel(), "id": np.repeat(batch.column("id").to_numpy(), len(starts)), "lane": np.repeat(lane, len(starts))}
+
+    return map_batches(fps.select("id", "fp"), run, "gram long, id long, lane long")
+
+
+def _far(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) > NEAR_LANE
+
+
+def _meet(posted: DataFrame, *keys: str) -> DataFrame:
+    """``posted`` with ``others``: of the first member of a row's posting and the BEFORE
+    members before the row, the first two whose lanes are near; ``stray`` marks rows of
+    larger postings that aren't near the first. One sort; no list is longer than BEFORE."""
+    order, member = Window.partitionBy(*keys).orderBy("id"), F.struct("id", "lane")
+    met = posted.select(
+        *posted.columns,
+        F.first(member).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
+        F.collect_list(member).over(order.rowsBetween(-BEFORE, -1)).alias("before"),
+        F.count("*").over(Window.partitionBy(*keys)).alias("n"),
+    ).where("n > 1")
+    near = F.filter(F.concat(F.array("first"), "before"), lambda m: (m["id"] != F.col("id")) & ~_far(m["lane"], F.col("lane")))
+    others = F.slice(F.array_distinct(F.transform(near, lambda m: m["id"])), 1, 2)
+    stray = (F.col("n") > BEFORE + 2) & _far(F.col("first.lane"), F.col("lane"))
+    return met.select(*posted.columns, others.alias("others"), stray.alias("stray")).where(F.col("stray") | (F.size("others") > 0))
+
+
+def similar_pairs(fps: DataFrame) -> DataFrame:
+    """Candidate pairs ``(id, least)`` of distinct wide fingerprints ``(id, fp)``.
+
+    A posting of up to BEFORE + 2 members is compared as a whole. Members of a larger one
+    that aren't near its first are posted once more together with each byte of their
+    first lane, so that unrelated members part, and meet there in the same way."""
+    met = cut(_meet(_grams(fps), "gram"))
+    lane_bytes = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(i.alias("place"), F.call_function("shiftright", F.col("lane"), i * 8).bitwiseAND(F.lit(255)).alias("byte")))
+    parted = met.where("stray").select("gram", "id", "lane", F.explode(lane_bytes).alias("k")).select("gram", "id", "lane", "k.place", "k.byte")
+    both = met.select("id", "others").unionAll(_meet(parted, "gram", "place", "byte").select("id", "others"))
+    return both.select("id", F.explode("others").alias("least")).distinct()
+
+
 def similar_groups(documents: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``doc_id, component_id`` for every distinct doc_id: texts whose shingle sets have
     a similarity of about SIMILAR or more are linked.
 
-    The inverted index posts GRAM_BYTES positional bytes at a time. A posting links each
-    of its members to its smallest id, and every link is verified on all bits; a pair of
-    SIMILAR texts shares some posting with a chance of over 0.9, and members of larger
-    groups meet under many. Equal fingerprints are merged first."""
+    The inverted index proposes pairs (``similar_pairs``). Texts of up to SMALL_SET
+    shingles are verified by the exact similarity of their sets, longer ones on all bits.
+    Equal fingerprints are merged first."""
 
     def run(batches):
         for batch in batches:
-            yield {"doc_id": batch.column("doc_id"), "fp": [wide_fingerprint(t.as_py(), words) for t in batch.column("text")]}
+            sets = [_shingles(t.as_py(), words) for t in batch.column("text")]
+            yield {"doc_id": batch.column("doc_id"), "fp": [_wide(x) for x in sets], "small": [x.tobytes() if len(x) <= SMALL_SET else None for x in sets]}
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    fps = cut(map_batches(rows, run, "doc_id long, fp binary"))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("id")))
-    places = F.sequence(F.lit(0), F.lit(LANES * 8 // GRAM_BYTES - 1))
-    keys = F.transform(places, lambda i: F.xxhash64(i, F.substring("fp", i * GRAM_BYTES + 1, F.lit(GRAM_BYTES))))
-    posted = distinct.select("id", F.explode(keys).alias("gram"))
-    pairs = posted.withColumn("least", F.min("id").over(Window.partitionBy("gram"))).where("id <> least").select("id", "least").distinct()
-    both = pairs.join(distinct, "id").join(distinct.select(F.col("id").alias("least"), F.col("fp").alias("other")), "least").select("id", "least", "fp", "other")
+    fps = cut(map_batches(rows, run, "doc_id long, fp binary, small binary"))
+    distinct = cut(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "small")).alias("m")).select("fp", F.col("m.doc_id").alias("id"), "m.small"))
+    pairs = similar_pairs(distinct)
+    other = distinct.select(F.col("id").alias("least"), F.col("fp").alias("other"), F.col("small").alias("other_small"))
+    both = pairs.join(distinct, "id").join(other, "least").select("id", "least", "fp", "other", "small", "other_small")
 
     def verify(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, LANES) for c in ("fp", "other"))
-            near = pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= DIFFERENT * 64 * LANES)
-            yield {"a": batch.column("id").filter(near), "b": batch.column("least").filter(near)}
+            near = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= DIFFERENT * 64 * LANES
+            for i, (x, y) in enumerate(zip(batch.column("small").to_pylist(), batch.column("other_small").to_pylist())):
+                if x is not None and y is not None:
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    shared = len(np.intersect1d(x, y, assume_unique=True))
+                    near[i] = shared >= SIMILAR * (len(x) + len(y) - shared)
+            yield {"a": batch.column("id").filter(pa.array(near)), "b": batch.column("least").filter(pa.array(near))}
 
     linked = components(map_batches(both, verify, "a long, b long"))
     root = distinct.join(linked, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))

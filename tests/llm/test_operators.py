@@ -167,6 +167,34 @@ def test_similar_texts_keep_one(spark):
     assert kept == {i for i in range(36) if i % 3 != 1}
 
 
+@pytest.mark.parametrize("before", [32, 2])
+def test_similar_pairs_in_large_postings(spark, monkeypatch, before):
+    """Unrelated fingerprints that share a run of bytes don't hide the pairs behind them."""
+    monkeypatch.setattr(simhash, "BEFORE", before)
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 256, (60, simhash.LANES * 8), np.uint8)
+    fps[:, 100:103] = 7
+    fps[30:] = fps[:30]
+    for i in range(30, 60):  # the only run that the pair shares is the common one
+        flip = np.ones(simhash.LANES * 8, bool)
+        flip[[*range(8), 100, 101, 102]] = False
+        fps[i, flip] ^= np.uint8(1)
+    df = spark.createDataFrame([(i, bytearray(f.tobytes())) for i, f in enumerate(fps)], "id long, fp binary")
+    got = {(r.id, r.least) for r in simhash.similar_pairs(df).collect()}
+    assert {(i + 30, i) for i in range(30)} <= got
+
+
+def test_small_sets_are_compared_as_sets(spark):
+    rnd = random.Random(9)
+    texts = []
+    for _ in range(30):  # 4 of 5 shingles shared; 3 of 5
+        w = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(9)]
+        texts += [" ".join(w[:8]), " ".join(w)]
+    pairs = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, [*texts, "a b c d e f g", "a b c d e x y"])).collect()}
+    assert sum(pairs[i + 1] == i for i in range(0, 60, 2)) >= 15 and pairs[61] == 61
+    assert all(pairs[i] == i for i in range(0, 61, 2))
+
+
 # -------------------------------------------------------------------------- op4
 
 
