@@ -126,6 +126,8 @@ LANES, GRAM_BYTES, STRIDE, WORDS = 48, 3, 2, 5
 BEFORE = 32
 #: Sets of up to so many shingles are compared as sets: few shingles leave many ties in the bits.
 SMALL_SET = 100
+#: One text of so many is read for the order of shingles, of which so many at most are put last.
+ORDER_SAMPLE, ORDER_MOST = 16, 200_000
 #: Differing bits of the first lane up to which a pair goes on to all lanes: five standard
 #: deviations over what a pair at SIMILAR has; of unrelated pairs 3 % go on.
 NEAR_LANE = 24
@@ -228,7 +230,8 @@ def _meet(posted: DataFrame, *keys: str) -> DataFrame:
 
 
 def similar_pairs(fps: DataFrame) -> DataFrame:
-    """Candidate pairs ``(id, least)`` of distinct wide fingerprints ``(id, fp)``.
+    """Candidate pairs ``(id, least)`` of distinct wide fingerprints ``(id, fp)``, some of
+    all: ``similar_groups`` doesn't use them, as only ``similar_links`` finds every pair.
 
     A posting of up to BEFORE + 2 members is compared as a whole. Members of a larger one
     that aren't near its first are posted once more together with each byte of their
@@ -240,27 +243,119 @@ def similar_pairs(fps: DataFrame) -> DataFrame:
     return both.select("id", F.explode("others").alias("least")).distinct()
 
 
-def similar_groups(documents: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``doc_id, component_id`` for every distinct doc_id: texts whose shingle sets have
-    a similarity of about SIMILAR or more are linked.
+def _needed(n):
+    """Least number of a set's ``n`` shingles that a set at SIMILAR or more to it holds."""
+    return np.ceil(SIMILAR * n - 1e-9).astype(np.int64)
 
-    The inverted index proposes pairs (``similar_pairs``). Texts of up to SMALL_SET
-    shingles are verified by the exact similarity of their sets, longer ones on all bits.
-    Equal fingerprints are merged first."""
+
+def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (ascending) and ranks (from 1, the rarer first) of shingles that several texts
+    of a sample share. They only set the order of shingles: any order finds every pair, and
+    one with common shingles last proposes few others."""
 
     def run(batches):
         for batch in batches:
-            sets = [_shingles(t.as_py(), words) for t in batch.column("text")]
-            yield {"doc_id": batch.column("doc_id"), "fp": [_wide(x) for x in sets], "small": [x.tobytes() if len(x) <= SMALL_SET else None for x in sets]}
+            yield {"shingle": np.concatenate([_shingles(t.as_py(), words) for t in batch.column("text")] or [np.empty(0, np.uint64)]).view(np.int64)}
+
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(ORDER_SAMPLE)) == 0).select("text")
+    seen = map_batches(sample, run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    most = seen.orderBy(F.desc("n"), "shingle").limit(ORDER_MOST).toPandas()
+    hashes = most["shingle"].to_numpy(np.int64).view(np.uint64)
+    ranks = np.arange(len(hashes), 0, -1)
+    order = np.argsort(hashes)
+    return hashes[order], ranks[order]
+
 
+def _rarest_first(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The same hashes (ascending) in the order of postings."""
+    if not len(common) or not len(hashes):
+        return hashes
+    at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+    return hashes[np.argsort(np.where(common[at] == hashes, ranks[at], 0), kind="stable")]
+
+
+def _possible(a: Column, b: Column) -> Column:
+    """Whether two sets that meet at places ``at`` (from 0) of their orders, with ``n``
+    shingles each, can reach SIMILAR by their sizes and by what is before and after."""
+    n, m, i, j = (x[c] for c in ("n", "at") for x in (a, b))
+    shared = F.least(i, j) + F.least(n - i, m - j)
+    return (F.least(n, m) >= SIMILAR * F.greatest(n, m) - 1e-6) & (shared >= SIMILAR / (1 + SIMILAR) * (n + m) - 1e-6)
+
+
+def set_postings(sets: DataFrame) -> DataFrame:
+    """``shingle, m (id, n, at)`` of sets ``(id, n, known)``: postings of the first shingles
+    of each set, so many that two sets at SIMILAR or more have one in common."""
+
+    def run(batches):
+        for batch in batches:
+            n = batch.column("n").to_numpy().astype(np.int64)
+            posted = np.where(n > 0, n - _needed(n) + 1, 0)
+            first = [np.frombuffer(k, np.int64, int(p)) for k, p in zip(batch.column("known").to_pylist(), posted)]
+            at = np.concatenate([np.arange(p) for p in posted] or [np.empty(0)])
+            yield {"shingle": np.concatenate(first or [np.empty(0, np.int64)]), "id": np.repeat(batch.column("id").to_numpy(), posted), "n": np.repeat(n, posted), "at": at.astype(np.int64)}
+
+    return map_batches(sets.select("id", "n", "known"), run, "shingle long, id long, n long, at long").select("shingle", F.struct("id", "n", "at").alias("m"))
+
+
+def similar_links(sets: DataFrame, verify) -> DataFrame:
+    """Verified pairs ``(a, b)`` whose components are those of all pairs of sets ``(id, n,
+    known)`` at SIMILAR or more; ``verify`` takes candidate pairs ``(id, least)``.
+
+    Every member of a posting is first compared with the first member of its largest
+    posting and with the one before it there. That joins most members of large groups;
+    then all other pairs of a posting that are not joined yet are compared, whatever its
+    size. Pairs that are joined through others need no link of their own."""
+    order = Window.partitionBy("shingle").orderBy("m.n", "m.id")
+    met = set_postings(sets).select(
+        "shingle",
+        "m",
+        F.count("*").over(Window.partitionBy("shingle")).alias("size"),
+        F.first("m").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
+        F.lag("m").over(order).alias("before"),
+    )
+    met = cut(met.where("size > 1"))
+    hubs = met.where("before is not null").groupBy(F.col("m.id").alias("id")).agg(F.max(F.struct("size", "shingle", F.col("first.id").alias("first"), F.col("before.id").alias("before"))).alias("h"))
+    tried = hubs.select("id", F.explode(F.array_distinct(F.array("h.first", "h.before"))).alias("least"))
+    links = cut(verify(tried))
+    joined = components(links)
+    member = met.select("shingle", "m", F.col("m.id").alias("node")).join(joined, "node", "left")
+    groups = cut(member.groupBy("shingle", F.coalesce("component", "node").alias("group")).agg(F.collect_list("m").alias("all")).withColumn("groups", F.count("*").over(Window.partitionBy("shingle"))).where("groups > 1"))
+    a = groups.select("shingle", F.col("group").alias("group_a"), F.col("all").alias("all_a"))
+    b = groups.select("shingle", F.col("group").alias("group_b"), F.col("all").alias("all_b"))
+    # the pairs of two lists, without those that can't be near, before any of them is a row
+    either = F.flatten(F.transform("all_a", lambda x: F.transform(F.filter("all_b", lambda y: _possible(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
+    pairs = a.join(b, "shingle").where("group_a < group_b").select(F.explode(either).alias("p"))
+    rest = pairs.select(F.greatest("p.a", "p.b").alias("id"), F.least("p.a", "p.b").alias("least")).distinct()
+    return links.unionAll(verify(rest))
+
+
+def similar_groups(documents: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """``doc_id, component_id`` for every distinct doc_id: texts whose shingle sets have
+    a similarity of about SIMILAR or more are linked.
+
+    Postings of shingles propose every pair at SIMILAR or more (``similar_links``). Texts
+    of up to SMALL_SET shingles are verified by the exact similarity of their sets, longer
+    ones on all bits. Equal fingerprints are merged first."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    fps = cut(map_batches(rows, run, "doc_id long, fp binary, small binary"))
-    distinct = cut(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "small")).alias("m")).select("fp", F.col("m.doc_id").alias("id"), "m.small"))
-    pairs = similar_pairs(distinct)
-    other = distinct.select(F.col("id").alias("least"), F.col("fp").alias("other"), F.col("small").alias("other_small"))
-    both = pairs.join(distinct, "id").join(other, "least").select("id", "least", "fp", "other", "small", "other_small")
+    common = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
 
-    def verify(batches):
+    def run(batches):
+        for batch in batches:
+            out = {c: [] for c in ("fp", "n", "known")}
+            for t in batch.column("text"):
+                x = _shingles(t.as_py(), words)
+                # of larger sets only what is posted
+                kept = len(x) if len(x) <= SMALL_SET else len(x) - int(_needed(len(x))) + 1
+                for c, v in zip(out, (_wide(x), len(x), _rarest_first(x, *common.value)[:kept].tobytes())):
+                    out[c].append(v)
+            yield out | {"doc_id": batch.column("doc_id")}
+
+    fps = cut(map_batches(rows, run, "doc_id long, fp binary, n long, known binary"))
+    distinct = cut(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "known")).alias("m")).select("fp", F.col("m.doc_id").alias("id"), "m.n", "m.known"))
+    own = distinct.select("id", "fp", F.when(F.col("n") <= SMALL_SET, F.col("known")).alias("small"))
+    other = own.select(F.col("id").alias("least"), F.col("fp").alias("other"), F.col("small").alias("other_small"))
+
+    def near(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, LANES) for c in ("fp", "other"))
             near = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= DIFFERENT * 64 * LANES
@@ -271,9 +366,13 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text: str = "te
                     near[i] = shared >= SIMILAR * (len(x) + len(y) - shared)
             yield {"a": batch.column("id").filter(pa.array(near)), "b": batch.column("least").filter(pa.array(near))}
 
-    linked = components(map_batches(both, verify, "a long, b long"))
+    def verify(pairs):
+        both = pairs.join(own, "id").join(other, "least").select("id", "least", "fp", "other", "small", "other_small")
+        return map_batches(both, near, "a long, b long")
+
+    linked = components(similar_links(distinct, verify))
     root = distinct.join(linked, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(root, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return fps.select("doc_id", "fp").join(root, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

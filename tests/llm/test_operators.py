@@ -195,6 +195,38 @@ def test_small_sets_are_compared_as_sets(spark):
     assert all(pairs[i] == i for i in range(0, 61, 2))
 
 
+def base_groups(texts, words=5):
+    """Components of all pairs at 0.8 or more."""
+    sets = [{tuple(t.split()[i : i + words]) for i in range(max(1, len(t.split()) - words + 1))} for t in texts]
+    return roots([(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], range(len(sets)))
+
+
+def test_all_small_pairs_are_found(spark):
+    rnd = random.Random(9)
+    texts = []
+    for k in range(60):  # 4 of 5 shingles shared; 12 of 15
+        w = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(19)]
+        texts += [" ".join(w[:8]), " ".join(w[:9])] if k % 2 else [" ".join(w[:16]), " ".join(w)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, texts)).collect()}
+    assert got == base_groups(texts) == {i: i - i % 2 for i in range(120)}
+
+
+@pytest.mark.parametrize("common", [1, 16])
+def test_copies_among_texts_of_one_template(spark, monkeypatch, common):
+    """Many texts share a passage and are at about 0.65; the copies among them are found."""
+    monkeypatch.setattr(simhash, "ORDER_SAMPLE", common)
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    passage, texts = [word() for _ in range(240)], []
+    for i in range(120):
+        own = [word() for _ in range(60)]
+        texts.append(" ".join(passage + own))
+        if i % 4 == 0:
+            texts.append(" ".join(passage + own[:-8] + [word() for _ in range(8)]))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, texts)).collect()}
+    assert got == base_groups(texts) and len(set(got.values())) == 120
+
+
 # -------------------------------------------------------------------------- op4
 
 
