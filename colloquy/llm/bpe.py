@@ -191,27 +191,51 @@ def encode_documents(documents: DataFrame, path: str, id_col: str = "doc_id", te
     return map_batches(_columns(documents, id_col, text), run, "doc_id long, ids array<int>, decoded string")
 
 
+def _digests(bpe: Bpe, text: str | None, keep: list | None = None) -> tuple[int, str, str]:
+    """Number of tokens and digests of the ids and of the decoded text, both as a stream;
+    runs of ids are added to ``keep``."""
+    n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
+    utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+    for run_ in bpe.encode(text):
+        ids.update(run_)
+        n += len(run_) // 4
+        bytes_ = b"".join(map(bpe.token.__getitem__, np.frombuffer(run_, "<u4").tolist()))
+        back.update(utf8.decode(bytes_).encode())
+        if keep is not None:
+            keep.append(run_)
+    back.update(utf8.decode(b"", final=True).encode())
+    return n, ids.hexdigest(), back.hexdigest()
+
+
 def encoding_digest(documents: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``, from a stream of ids for each text."""
 
     def run(batches):
         bpe = worker_state(f"bpe {path}", lambda: Bpe(path))
         for batch in batches:
-            out = {c: [] for c in ("n_tokens", "ids_sha256", "decoded_sha256")}
+            found = [_digests(bpe, t.as_py()) for t in batch.column("text")]
+            yield {"doc_id": batch.column("doc_id")} | {c: [f[i] for f in found] for i, c in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}
+
+    return map_batches(_columns(documents, id_col, text), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_and_check(documents: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, ids array<int>, n_tokens, ids_sha256, decoded_sha256, same``: every text is
+    encoded and decoded again; ``same`` says whether the decoded text has the digest of its
+    source. A null text counts as empty."""
+
+    def run(batches):
+        bpe = worker_state(f"bpe {path}", lambda: Bpe(path))
+        for batch in batches:
+            out = {c: [] for c in ("ids", "n_tokens", "ids_sha256", "decoded_sha256", "same")}
             for t in batch.column("text"):
-                n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
-                utf8 = codecs.getincrementaldecoder("utf-8")("replace")
-                for run_ in bpe.encode(t.as_py()):
-                    ids.update(run_)
-                    n += len(run_) // 4
-                    bytes_ = b"".join(map(bpe.token.__getitem__, np.frombuffer(run_, "<u4").tolist()))
-                    back.update(utf8.decode(bytes_).encode())
-                back.update(utf8.decode(b"", final=True).encode())
-                for c, v in zip(out, (n, ids.hexdigest(), back.hexdigest())):
+                source, runs = t.as_py() or "", []
+                n, ids, back = _digests(bpe, source, runs)
+                for c, v in zip(out, (np.frombuffer(b"".join(runs), "<u4").astype(np.int32), n, ids, back, back == hashlib.sha256(source.encode()).hexdigest())):
                     out[c].append(v)
             yield out | {"doc_id": batch.column("doc_id")}
 
-    return map_batches(_columns(documents, id_col, text), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(_columns(documents, id_col, text), run, "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")
 
 
 def _columns(documents: DataFrame, id_col: str, text: str) -> DataFrame:

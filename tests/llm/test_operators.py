@@ -332,6 +332,21 @@ def test_bpe_equals_the_library(spark, coder):
         assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest())
 
 
+def test_pipeline_decodes_and_compares(spark, coder):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts = [*ODD, "x �\ud7ff 中 é'll"]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    got = {r.doc_id: r for r in corpus_pipeline.encode(spark, docs(spark, texts), "").collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        want = coder[1].encode(t or "", add_special_tokens=False).ids
+        assert (got[i].ids, got[i].n_tokens, got[i].ids_sha256) == (want, len(want), sha(np.array(want, "<u4").tobytes()))
+        assert got[i].decoded_sha256 == sha((t or "").encode()) and got[i].same
+    wrong = bpe.Bpe(coder[0])
+    wrong.token[wrong.byte_id[ord("a")]] = b"b"
+    assert bpe._digests(wrong, "a")[2] == sha(b"b")
+
+
 def test_bpe_window_of_the_lookahead(coder):
     path, ref = coder
     small = bpe.Bpe(path)
