@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import components, cut, map_batches
+from colloquy.llm.common import components, cut, map_batches, slices
 
 SEED = 42
 MAX_BITS = 2
@@ -134,7 +134,11 @@ NEAR_LANE = 24
 #: Jaccard similarity of shingle sets that counts as near, and what it leaves of equal bits:
 #: equal sets' cosine is 2J/(1+J), and a bit differs with the share angle/pi.
 SIMILAR = 0.8
-DIFFERENT = float(np.arccos(2 * SIMILAR / (1 + SIMILAR)) / np.pi) * 1.08
+DIFFERENT = float(np.arccos(2 * SIMILAR / (1 + SIMILAR)) / np.pi)
+#: Differing bits of a pair at SIMILAR are within so many: six standard deviations. Pairs
+#: below are near, pairs above are not, pairs between are compared as sets.
+_SPREAD = 6 * float(np.sqrt(64 * LANES * DIFFERENT * (1 - DIFFERENT)))
+SURE_BITS, MOST_BITS = 64 * LANES * DIFFERENT - _SPREAD, 64 * LANES * DIFFERENT + _SPREAD
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -282,6 +286,17 @@ def _possible(a: Column, b: Column) -> Column:
     return (F.least(n, m) >= SIMILAR * F.greatest(n, m) - 1e-6) & (shared >= SIMILAR / (1 + SIMILAR) * (n + m) - 1e-6)
 
 
+def _mark(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def _similar(x: bytes, y: bytes) -> bool:
+    """Whether two sets of hashes, each in any order, reach SIMILAR."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared >= SIMILAR * (len(x) + len(y) - shared)
+
+
 def set_postings(sets: DataFrame) -> DataFrame:
     """``shingle, m (id, n, at)`` of sets ``(id, n, known)``: postings of the first shingles
     of each set, so many that two sets at SIMILAR or more have one in common."""
@@ -331,44 +346,63 @@ def similar_links(sets: DataFrame, verify) -> DataFrame:
 
 def similar_groups(documents: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``doc_id, component_id`` for every distinct doc_id: texts whose shingle sets have
-    a similarity of about SIMILAR or more are linked.
+    a similarity of SIMILAR or more are linked.
 
     Postings of shingles propose every pair at SIMILAR or more (``similar_links``). Texts
-    of up to SMALL_SET shingles are verified by the exact similarity of their sets, longer
-    ones on all bits. Equal fingerprints are merged first."""
+    of up to SMALL_SET shingles are verified by the exact similarity of their sets; longer
+    ones on all bits, and by their sets, from the texts, where the bits leave doubt. Equal
+    fingerprints are merged first."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     common = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
 
     def run(batches):
         for batch in batches:
-            out = {c: [] for c in ("fp", "n", "known")}
+            out = {c: [] for c in ("fp", "n", "known", "mark")}
             for t in batch.column("text"):
                 x = _shingles(t.as_py(), words)
                 # of larger sets only what is posted
                 kept = len(x) if len(x) <= SMALL_SET else len(x) - int(_needed(len(x))) + 1
-                for c, v in zip(out, (_wide(x), len(x), _rarest_first(x, *common.value)[:kept].tobytes())):
+                for c, v in zip(out, (_wide(x), len(x), _rarest_first(x, *common.value)[:kept].tobytes(), _mark(x))):
                     out[c].append(v)
             yield out | {"doc_id": batch.column("doc_id")}
 
-    fps = cut(map_batches(rows, run, "doc_id long, fp binary, n long, known binary"))
-    distinct = cut(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "known")).alias("m")).select("fp", F.col("m.doc_id").alias("id"), "m.n", "m.known"))
+    fps = cut(map_batches(rows, run, "doc_id long, fp binary, n long, known binary, mark long"))
+    distinct = cut(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "known", "mark")).alias("m")).select("fp", F.col("m.doc_id").alias("id"), "m.n", "m.known", "m.mark"))
     own = distinct.select("id", "fp", F.when(F.col("n") <= SMALL_SET, F.col("known")).alias("small"))
     other = own.select(F.col("id").alias("least"), F.col("fp").alias("other"), F.col("small").alias("other_small"))
 
-    def near(batches):
+    def by_bits(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, LANES) for c in ("fp", "other"))
-            near = np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= DIFFERENT * 64 * LANES
+            bits = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+            near, doubt = bits <= MOST_BITS, (bits > SURE_BITS) & (bits <= MOST_BITS)
             for i, (x, y) in enumerate(zip(batch.column("small").to_pylist(), batch.column("other_small").to_pylist())):
                 if x is not None and y is not None:
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    near[i] = shared >= SIMILAR * (len(x) + len(y) - shared)
-            yield {"a": batch.column("id").filter(pa.array(near)), "b": batch.column("least").filter(pa.array(near))}
+                    near[i], doubt[i] = _similar(x, y), False
+            near = pa.array(near)
+            yield {"a": batch.column("id").filter(near), "b": batch.column("least").filter(near), "doubt": pa.array(doubt).filter(near)}
+
+    def sets_of(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = [_shingles(t.as_py(), words) for t in part.column("text")]
+                yield {"id": part.column("doc_id"), "mark": [_mark(x) for x in sets], "set": [x.tobytes() for x in sets]}
+
+    def by_sets(batches):
+        for batch in batches:
+            near = pa.array([_similar(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"))], pa.bool_())
+            yield {"a": batch.column("a").filter(near), "b": batch.column("b").filter(near)}
 
     def verify(pairs):
         both = pairs.join(own, "id").join(other, "least").select("id", "least", "fp", "other", "small", "other_small")
-        return map_batches(both, near, "a long, b long")
+        found = cut(map_batches(both, by_bits, "a long, b long, doubt boolean"))
+        doubt = found.where("doubt").select("a", "b")
+        asked = doubt.select(F.col("a").alias("doc_id")).unionAll(doubt.select("b")).distinct()
+        # a repeated id can have other texts besides: the mark tells which is meant
+        sets = map_batches(rows.join(asked, "doc_id").select("doc_id", "text"), sets_of, "id long, mark long, set binary")
+        sets = cut(sets.join(distinct.select("id", "mark"), ["id", "mark"]).dropDuplicates(["id"]).select("id", "set"))
+        met = doubt.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
+        return found.where("not doubt").select("a", "b").unionAll(map_batches(met.select("a", "b", "x", "y"), by_sets, "a long, b long"))
 
     linked = components(similar_links(distinct, verify))
     root = distinct.join(linked, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))

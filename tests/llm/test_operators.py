@@ -213,18 +213,15 @@ def test_all_small_pairs_are_found(spark):
 
 @pytest.mark.parametrize("common", [1, 16])
 def test_copies_among_texts_of_one_template(spark, monkeypatch, common):
-    """Many texts share a passage and are at about 0.65; the copies among them are found."""
+    """Many texts share a passage and are at about 0.72; the copies among them are found."""
     monkeypatch.setattr(simhash, "ORDER_SAMPLE", common)
     rnd = random.Random(13)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
-    passage, texts = [word() for _ in range(240)], []
-    for i in range(120):
-        own = [word() for _ in range(60)]
-        texts.append(" ".join(passage + own))
-        if i % 4 == 0:
-            texts.append(" ".join(passage + own[:-8] + [word() for _ in range(8)]))
+    passage = [word() for _ in range(252)]
+    own = [[word() for _ in range(48)] for _ in range(200)]
+    texts = [" ".join(passage + w) for w in own] + [" ".join(passage + w[:20] + [word() for _ in range(28)]) for w in own[::4]]
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, texts)).collect()}
-    assert got == base_groups(texts) and len(set(got.values())) == 120
+    assert got == base_groups(texts) and len(set(got.values())) == 200
 
 
 # -------------------------------------------------------------------------- op4
@@ -414,6 +411,26 @@ def test_pipeline(spark, tmp_path, coder):
         assert r.ids == coder[1].encode(pii.redact(texts[r.doc_id]) or "", add_special_tokens=False).ids
 
 
+def test_pipeline_keeps_the_order_of_the_mixture(spark, tmp_path, coder):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(14)
+    rows = [(i, "word " * rnd.randrange(1, 400), "en", "hot" if i % 3 == 0 else f"s{i % 7}", 1) for i in range(3000)]
+    spark.createDataFrame(rows, DOC).repartition(8).write.parquet(f"{tmp_path}/in")
+    corpus_pipeline.mix_sources(spark, spark.read.parquet(f"{tmp_path}/in"), "").write.parquet(f"{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"{tmp_path}/mixed")
+    assert mixed.columns == corpus_pipeline.COLUMNS
+    want = [r.doc_id for r in mixing.mix(spark.read.parquet(f"{tmp_path}/in")).orderBy("mix_slot", "doc_id").collect()]
+    got = [r.doc_id for r in corpus_pipeline.encode(spark, mixed, "").collect()]
+    assert got == want
+    source = {r[0]: r[3] for r in rows}
+    weights = {r.source: r.w for r in mixing.integer_weights(mixed.select("doc_id", "source").distinct().groupBy("source").agg(F.count("*").alias("n"))).collect()}
+    had = dict.fromkeys(weights, 0)
+    for t, i in enumerate(got, 1):
+        had[source[i]] += 1
+        if t % 320 == 0:  # blocks of 16 rows; the last block of a source is shorter
+            assert all(abs(had[k] - t * w / mixing.PERIOD) < 4 * mixing.BLOCK_ROWS for k, w in weights.items())
+
+
 def test_clashing_columns_and_empty_tables(spark):
     d = docs(spark, ["some words here", "more"]).withColumn("fp", F.lit(1)).withColumn("key", F.lit("k")).withColumn("place", F.lit(2))
     empty = d.limit(0)
