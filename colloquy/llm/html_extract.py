@@ -54,7 +54,8 @@ _MARKS = frozenset(
     "search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo".split()
 )
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Any attribute with its value, so that no name is found within another's value.
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -64,6 +65,8 @@ def _boilerplate(name: str, attrs: dict[str, str], inside: bool) -> bool:
     if "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
     marks = set(_WORD.findall(" ".join((attrs.get("class", ""), attrs.get("id", ""), attrs.get("role", ""))).lower()))
+    if inside:  # as the element, a class of this name holds the title there
+        marks.discard("header")
     return bool(marks & _MARKS) and name not in ("html", "body", "article", "main")
 
 

@@ -283,6 +283,16 @@ def test_html(spark, monkeypatch, most):
     assert got[2][0] == "Head 2\nOne&two 2 x\nLast é" and got[10] == got[11] == ("", 0) and got[12] == ("plain text", 10) and got[13][0].startswith("cut")
 
 
+def test_html_attributes_by_name():
+    text = html_extract.main_text
+    for attrs in ('style="overflow:hidden"', 'title="hidden gems"', "data-x='id=menu'", "data-hidden", 'title="class=nav"'):
+        assert text(f"<body {attrs}><div {attrs}><p>one</p></div></body>") == "one"
+    for attrs in ("hidden", 'HIDDEN=""', "aria-hidden=true", 'style="a" hidden', "class='x nav'", "id=menu"):
+        assert text(f"<body><div {attrs}><p>one</p></div><p>two</p></body>") == "two"
+    assert text('<article><div class="article-header"><h1 class="entry-header">T</h1></div><p>one</p></article>') == "T\none"
+    assert text('<body><div class="page-header">T</div><p>one</p></body>') == "one"
+
+
 # -------------------------------------------------------------------------- op8
 
 
