@@ -240,9 +240,40 @@ def test_mixing(spark):
     for t, s in enumerate(blocks.source, 1):
         had[s] += 1
         assert all(abs(had[k] - t * w / mixing.PERIOD) < 1 for k, w in weights.items())
+    # rows, not only blocks: every block but the last of all is full, also where an epoch ends
+    sizes = out.groupby("mix_slot").size()
+    assert (sizes.iloc[:-1] == 4).all() and (out.groupby(["source", "doc_id"], dropna=False).mix_epoch.max() > 0).any()
     assert mixing.mix(rows.limit(0)).count() == 0
 
 
+def test_mixing_small_source_keeps_its_share_of_rows(spark):
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 17, "few").otherwise("many").alias("source"))
+    out = mixing.mix(rows, targets={"few": 0.04, "many": 0.96}).toPandas().sort_values(["mix_slot", "doc_id"])
+    assert out.doc_id.nunique() == 2000
+    had = (out.source == "few").cumsum().to_numpy()
+    assert np.abs(had - 0.04 * np.arange(1, len(had) + 1)).max() <= 16 and abs(had[-1] / len(had) - 0.04) < 0.01
+    # a source without a target has the least weight
+    weights = {r.source: r.w for r in mixing.integer_weights(rows.groupBy("source").agg(F.count("*").alias("n")), targets={"many": 3}).collect()}
+    assert weights == {"few": 1, "many": 999}
+
+
+def test_mixing_more_sources_than_slots(spark):
+    rows = spark.range(9000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3000, "hot").otherwise(F.col("id").cast("string")).alias("source"))
+    out = mixing.mix(rows, block_rows=2, period=100).select("doc_id", "source", "mix_slot", "mix_release", "mix_deadline").toPandas()
+    assert out.doc_id.nunique() == 9000
+    assert ((out.mix_release <= out.mix_slot) & (out.mix_slot < out.mix_deadline)).all()
+    assert sorted(out.mix_slot.unique()) == list(range(out.mix_slot.max() + 1))
+
+
+def test_mixing_clashing_columns(spark):
+    names = ["_key", "_rank", "_block", "_source", "_before", "row", "of", "part", "rank", "n", "w", "period", "slots", "mix_slot", "a.b"]
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), *[F.concat(F.lit(f"{c}-"), "id").alias(c) for c in names])
+    out = mixing.mix(rows)
+    assert out.columns == ["doc_id", "source", *[c for c in names if c != "mix_slot"], *mixing.PLACES]
+    for r in out.collect():
+        assert all(r[c] == f"{c}-{r.doc_id}" for c in names if c != "mix_slot")
+
+
 # -------------------------------------------------------------------------- op5
 
 
@@ -437,8 +468,7 @@ def test_pipeline_keeps_the_order_of_the_mixture(spark, tmp_path, coder):
     had = dict.fromkeys(weights, 0)
     for t, i in enumerate(got, 1):
         had[source[i]] += 1
-        if t % 320 == 0:  # blocks of 16 rows; the last block of a source is shorter
-            assert all(abs(had[k] - t * w / mixing.PERIOD) < 4 * mixing.BLOCK_ROWS for k, w in weights.items())
+        assert all(abs(had[k] - t * w / mixing.PERIOD) <= 2 * mixing.BLOCK_ROWS for k, w in weights.items())
 
 
 def test_clashing_columns_and_empty_tables(spark):
