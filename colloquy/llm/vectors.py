@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,165 +36,211 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 K = 20
 SCALE = 64
+#: Cells of a dimension; a code of two dimensions is one byte.
 CELLS = 16
-DATA_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Vectors of a block of codes, queries of a block, and of these so many at a time.
+DATA_BLOCK, QUERY_BLOCK, STEP = 8192, 8192, 256
+#: Vectors that place the cells' edges and give every query a first bar.
+SAMPLE = 4096
+#: Scaled components are below this, so that scores are exact in a long.
+LARGEST = 1 << 28
 
 
-def _packed(rows: DataFrame, block: str, dim: int, score_sample=None, k: int = K) -> DataFrame:
-    """One row per block: ids and integer vectors, rows that repeat an id once; for
-    queries also a score that the kth result reaches, from the sample of candidates."""
+def _down(x: np.ndarray) -> np.ndarray:
+    """Below any rounding of sums of large products (small sums of integers and halves are exact)."""
+    return np.where(np.abs(x) < 2**51, x, x - np.abs(x) * 1e-12)
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["vec_id"], kind="stable")
-        ids = pdf["vec_id"].to_numpy(np.int64)
-        x = np.floor(SCALE * _matrix(pdf["v"], dim))
-        order = np.lexsort([*x.T[::-1], ids])
-        order = order[np.diff(ids[order], prepend=ids[order[0]] - 1) != 0]
-        ids, x = ids[order], x[order]
-        least = np.full(len(ids), -np.inf)
-        if score_sample is not None:
-            sample_ids, sample = score_sample
-            scores = np.where(sample_ids[None, :] == ids[:, None], -np.inf, _down(x @ sample.T))
-            if scores.shape[1] > k:
-                least = -np.partition(-scores, k, axis=1)[:, k - 1]
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "ids": [ids.tobytes()], "x": [x.tobytes()], "least": [least.tobytes()]})
 
-    return rows.withColumnRenamed(block, "block").groupBy("block").applyInPandas(pack, "block long, ids binary, x binary, least binary")
+def _up(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < 2**51, x, x + np.abs(x) * 1e-12)
 
 
-def _down(x: np.ndarray) -> np.ndarray:
-    """Below any rounding of sums of large products (small sums of integers are exact)."""
-    return np.where(np.abs(x) < 2**52, x, x - np.abs(x) * 1e-12)
+def _edges(sample: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Ends of the cells, dimensions x (CELLS + 1): cells of about equal filling, from the least to the greatest value."""
+    inner = np.quantile(sample, np.arange(1, CELLS) / CELLS, axis=0).T if len(sample) else np.repeat(low[:, None], CELLS - 1, 1)
+    return np.concatenate([low[:, None], np.clip(np.round(inner), low[:, None], high[:, None]), high[:, None]], axis=1)
 
 
-def _up(x: np.ndarray) -> np.ndarray:
-    return np.where(np.abs(x) < 2**52, x, x + np.abs(x) * 1e-12)
+def _encode(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Codes of integer vectors, two dimensions a byte: a cell's values lie from its lower to its upper end."""
+    code = np.stack([np.searchsorted(e[1:-1], v, side="left") for e, v in zip(edges, x.T)], axis=1).astype(np.uint8)
+    code = np.pad(code, ((0, 0), (0, code.shape[1] % 2)))
+    return code[:, ::2] << 4 | code[:, 1::2]
+
 
+def _decode(codes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Middle and half width of the cells of packed codes."""
+    code = np.stack([codes >> 4, codes & 15], axis=2).reshape(len(codes), -1)[:, : len(edges)]
+    dims = np.arange(len(edges))
+    low, high = edges[dims, code], edges[dims, code + 1]
+    return (low + high) / 2, (high - low) / 2
 
-def _scan(q_ids, q, least, d_ids, d, edges_lo, edges_hi, width, low, k: int):
-    """Top k of one block pair. Bounds come from the cells; exact vectors are read in the
-    order of their upper bounds until no bound left can reach the kth score."""
-    code = np.minimum(((d - low) / width).astype(np.int64), CELLS - 1)
-    dims = np.arange(d.shape[1])
-    lo, hi = edges_lo[dims, code], edges_hi[dims, code]
-    upper = _up(np.maximum(q, 0) @ hi.T + np.minimum(q, 0) @ lo.T)
-    exact = d.astype(np.int64)
+
+def _bounds(q_ids, q, bar, d_ids, middle, half, k: int):
+    """``(query_id, vec_id, lower, upper)`` of the pairs of two blocks that can be among the
+    ``k`` best of a query: their upper bound reaches its bar and the kth lower bound here."""
     out = []
-    for i in range(len(q_ids)):
-        bound, bar = upper[i], least[i]
-        some = np.flatnonzero((bound >= bar) & (d_ids != q_ids[i]))
-        some = some[np.argsort(-bound[some], kind="stable")]
-        vector, best, best_ids = q[i].astype(np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for at in range(0, len(some), 4 * k):
-            part = some[at : at + 4 * k]
-            if bound[part[0]] < bar:
-                break
-            best, best_ids = np.concatenate([best, exact[part] @ vector]), np.concatenate([best_ids, d_ids[part]])
-            order = np.lexsort([best_ids, -best])[:k]
-            best, best_ids = best[order], best_ids[order]
-            if len(best) == k:
-                bar = max(bar, best[-1])
-        keep = best >= least[i]
-        out += [(int(q_ids[i]), int(v), int(s)) for v, s in zip(best_ids[keep], best[keep])]
-    return out
+    for at in range(0, len(q_ids), STEP):
+        part = slice(at, at + STEP)
+        centre, spread = q[part] @ middle.T, np.abs(q[part]) @ half.T
+        lower, upper = _down(centre - spread), _up(centre + spread)
+        own = q_ids[part, None] == d_ids[None, :]
+        lower[own], upper[own] = -np.inf, -np.inf
+        least = bar[part].copy()
+        if lower.shape[1] >= k:
+            least = np.maximum(least, -np.partition(-lower, k - 1, axis=1)[:, k - 1])
+        row, col = np.nonzero((upper >= least[:, None]) & ~own)
+        out.append((q_ids[part][row], d_ids[col], lower[row, col], upper[row, col]))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0)] * 4
 
 
 def top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row whose vec_id is divisible by
-    ``every`` the ``k`` rows (other than its own) of highest integer inner product, ties
+    ``every`` the ``k`` rows of another vec_id with the highest integer inner product, ties
     to the smaller vec_id; components are floor(64 * x).
 
-    Rows that repeat a vec_id count once (the least vector). The approximation file cuts
-    every dimension's range into CELLS cells. Data and queries meet in blocks of fixed
-    size, so a task holds one block of each whatever the size of the table. A first bar
-    for every query comes from two blocks of the data, which hashing makes a sample of
-    bounded size; it only saves work, any bar so found is one that the kth result reaches.
-    """
+    The approximation file holds a code of CELLS cells a dimension for every vector, 16
+    times smaller than the vectors. Blocks of codes meet blocks of queries, give bounds of
+    every score, and pairs whose upper bound reaches the kth lower bound of the query are
+    kept. Exact vectors are then read for these alone, through joins on their ids: first
+    those of the highest bounds, whose kth score is a new bar, then the rest that reaches it.
+
+    Repeated rows are candidates of their own; rows that repeat a query's id are one query
+    with the scores of each. Vectors with a scaled component of LARGEST or more in size
+    take no part; neither do rows without an id."""
     rows = _valid(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")), "v").where("vec_id is not null")
-    n, dim = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    scaled = rows.select("vec_id", F.transform("v", lambda c: F.floor(SCALE * c)).alias("x")).where(~F.exists("x", lambda c: F.abs(c) >= LARGEST))
+    exact = cut(scaled.groupBy("vec_id", "x").agg(F.count("*").alias("copies")))
+    n, dim = exact.agg(F.count("*"), F.max(F.size("x"))).first()
     if not n or not dim:
-        return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
-    blocks = math.ceil(n / DATA_BLOCK)
-    place = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    data = cut(_packed(rows.withColumn("b", place), "b", dim))
-    sample = data.where(F.col("block") < 2).select("ids", "x").toPandas()
-    sample_ids = np.concatenate([np.frombuffer(b, np.int64) for b in sample["ids"]] or [np.zeros(0, np.int64)])
-    sample_x = np.concatenate([np.frombuffer(b, np.float64).reshape(-1, dim) for b in sample["x"]] or [np.zeros((0, dim))])
-
-    def ranges(batches):
+        return exact.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
+    at = lambda i: F.coalesce(F.get("x", F.lit(i)), F.lit(0))
+    ends = exact.agg(*[f(at(i)).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(dim)]).first()
+    sample = exact.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "x").toPandas()
+    sample_ids, sample = sample["vec_id"].to_numpy(np.int64), _matrix(sample["x"], dim)
+    edges = _edges(sample, np.array(ends[:dim], float), np.array(ends[dim:], float))
+
+    def write(batches):
+        ids, codes, held = [], [], 0
         for batch in batches:
-            for blob in batch.column("x"):
-                x = np.frombuffer(blob.as_py(), np.float64).reshape(-1, dim)
-                yield {"dim": list(range(dim)), "low": x.min(0), "high": x.max(0)}
-
-    ends = map_batches(data.select("x"), ranges, "dim int, low double, high double").groupBy("dim").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas().sort_values("dim")
-    low, high = ends["low"].to_numpy(), ends["high"].to_numpy()
-    width = np.maximum((high - low + 1) / CELLS, 1.0)
-    # the ends of a cell are widened to whole integers, so its members lie inside whatever the rounding
-    edges_lo = np.floor(low[:, None] + width[:, None] * np.arange(CELLS)) - 1
-    edges_hi = np.ceil(low[:, None] + width[:, None] * np.arange(1, CELLS + 1)) + 1
-    edges_hi[:, -1] = np.maximum(edges_hi[:, -1], high)
-
-    asked = rows.where(F.col("vec_id") % every == 0)
+            ids.append(batch.column("vec_id").to_numpy())
+            codes.append(_encode(_matrix(batch.column("x").to_pylist(), dim), edges))
+            held += batch.num_rows
+            if held >= DATA_BLOCK:
+                yield {"ids": [np.concatenate(ids).tobytes()], "codes": [np.concatenate(codes).tobytes()]}
+                ids, codes, held = [], [], 0
+        if held:
+            yield {"ids": [np.concatenate(ids).tobytes()], "codes": [np.concatenate(codes).tobytes()]}
+
+    file = cut(map_batches(exact.select("vec_id", "x"), write, "ids binary, codes binary"))
     query_blocks = max(1, math.ceil(n / every / QUERY_BLOCK))
-    queries = _packed(asked.withColumn("b", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks))), "b", dim, (sample_ids, sample_x), k)
-    queries = queries.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("x").alias("q"), "least")
-    grid = data.drop("least").withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
-    met = grid.join(queries, "q_block").repartition("q_block", "block")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, x = pdf["vec_id"].to_numpy(np.int64), _matrix(pdf["x"], dim)
+        bar = np.full(len(ids), -np.inf)
+        if len(sample_ids) > k:
+            scores = np.where(sample_ids[None, :] == ids[:, None], -np.inf, _down(x @ sample.T))
+            bar = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        return pd.DataFrame({"q_block": [pdf["q_block"].iloc[0]], "q_ids": [ids.tobytes()], "q": [x.astype(np.int32).tobytes()], "bar": [bar.tobytes()]})
+
+    asked = exact.where(F.pmod("vec_id", F.lit(every)) == 0)
+    queries = cut(asked.withColumn("q_block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks))).groupBy("q_block").applyInPandas(pack, "q_block long, q_ids binary, q binary, bar binary"))
+    # every block of codes meets every block of queries: parts spread a block of queries over tasks
+    parts = max(1, math.ceil(n / DATA_BLOCK))
+    spread = file.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts))).withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+    met = spread.join(queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))), ["q_block", "part"]).drop("q_block", "part")
 
     def scan(batches):
         for batch in batches:
             for b in batch.to_pylist():
-                ids = [np.frombuffer(b[c], np.int64) for c in ("q_ids", "ids")]
-                x = [np.frombuffer(b[c], np.float64).reshape(-1, dim) for c in ("q", "x")]
-                found = _scan(ids[0], x[0], np.frombuffer(b["least"], np.float64), ids[1], x[1], edges_lo, edges_hi, width, low, k)
-                yield dict(zip(("query_id", "vec_id", "score"), np.array(found, np.int64).reshape(-1, 3).T))
-
-    found = map_batches(met, scan, "query_id long, vec_id long, score long")
+                d_ids, q_ids = (np.frombuffer(b[c], np.int64) for c in ("ids", "q_ids"))
+                middle, half = _decode(np.frombuffer(b["codes"], np.uint8).reshape(len(d_ids), -1), edges)
+                found = _bounds(q_ids, np.frombuffer(b["q"], np.int32).reshape(-1, dim).astype(float), np.frombuffer(b["bar"], np.float64), d_ids, middle, half, k)
+                yield dict(zip(("query_id", "vec_id", "lower", "upper"), (found[0].astype(np.int64), found[1].astype(np.int64), *found[2:])))
+
+    bounded = cut(map_batches(met, scan, "query_id long, vec_id long, lower double, upper double"))
+    kept = cut(_reach(bounded, "lower", k).groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper")))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id"))
+    best = cut(_scores(kept.withColumn("turn", first).where(F.col("turn") <= 2 * k).drop("turn"), exact, k))
+    bars = best.groupBy("query_id").agg(F.sum("copies").alias("n"), F.min("score").alias("bar")).where(F.col("n") >= k)
+    rest = kept.join(best.select("query_id", "vec_id").distinct(), ["query_id", "vec_id"], "left_anti").join(bars, "query_id", "left").where(F.col("bar").isNull() | (F.col("upper") >= F.col("bar")))
+    both = best.unionAll(_scores(rest, exact, k)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _reach(bounded: DataFrame, lower: str, k: int) -> DataFrame:
+    """Pairs whose upper bound reaches the kth lower bound of their query."""
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(lower)))
+    bars = bounded.select("query_id", lower).withColumn("nth", nth).where(F.col("nth") <= k).groupBy("query_id").agg(F.count("*").alias("n"), F.min(lower).alias("bar")).where(F.col("n") >= k)
+    return bounded.join(bars, "query_id", "left").where(F.col("bar").isNull() | (F.col("upper") >= F.col("bar"))).drop("n", "bar")
+
+
+def _scores(pairs: DataFrame, exact: DataFrame, k: int) -> DataFrame:
+    """``query_id, vec_id, score, copies`` of the ``k`` best of the pairs by their exact vectors."""
+    c, q = exact.select("vec_id", F.col("x").alias("c"), "copies"), exact.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), F.col("copies").alias("asked"))
+    product = F.zip_with("c", "q", lambda a, b: F.coalesce(a * b, F.lit(0).cast("long")))
+    score = F.aggregate(product, F.lit(0).cast("long"), lambda a, b: a + b)
+    scored = pairs.select("query_id", "vec_id").join(c, "vec_id").join(q, "query_id").select("query_id", "vec_id", score.alias("score"), (F.col("copies") * F.col("asked")).alias("copies"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return scored.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
 
 
 # ------------------------------------------------------------------ near duplicates
 
 SIMILAR = 0.98
-ROWS_PER_CELL, MOST_CELLS = 1000, 1024
+#: Rows of a label for each of its cells, and the most cells of all labels together.
+ROWS_PER_CELL, MOST_CELLS = 2000, 4096
 #: Rows that fit the centroids, and rounds.
 FIT_ROWS, FIT_ROUNDS = 20_000, 5
-BLOCK = 1024
-
-
-def _centroids(units: DataFrame, n: int, dim: int) -> np.ndarray:
-    """Spherical k-means on a sample of at most FIT_ROWS rows; sums are made by Spark."""
-    k = max(1, min(MOST_CELLS, n // ROWS_PER_CELL, n))
-    sample = cut(units.select("unit").sample(min(1.0, 1.2 * FIT_ROWS / n), seed=11).limit(FIT_ROWS))
-    first = sample.orderBy(F.xxhash64("unit")).limit(k).toPandas()["unit"]
-    centers = np.stack([np.frombuffer(b, np.float64) for b in first]) if len(first) else np.zeros((1, dim))
-    for _ in range(FIT_ROUNDS if k > 1 else 0):
-        now = centers
-
-        def sums(batches):
-            for batch in batches:
-                x = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(-1, dim)
-                own = (x @ now.T).argmax(1)
-                for cell in np.unique(own):
-                    yield {"cell": [int(cell)], "total": [x[own == cell].sum(0).tolist()]}
-
-        parts = map_batches(sample, sums, "cell int, total array<double>").select("cell", F.posexplode("total").alias("d", "x"))
-        parts = parts.groupBy("cell", "d").agg(F.sum("x").alias("x")).toPandas()
-        fresh = centers.copy()
+BLOCK = 2048
+#: Rows of a small table that is broadcast (about 50 bytes each).
+BROADCAST_ROWS = 500_000
+
+
+def _units(blobs, dim: int, kind: str) -> np.ndarray:
+    """Unit vectors, in double precision, of vectors as bytes."""
+    x = np.frombuffer(b"".join(blobs), kind).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True) + 0.0
+
+
+def _fit(x: np.ndarray, k: int) -> np.ndarray:
+    """Centroids of spherical k-means."""
+    centers = x[np.linspace(0, len(x) - 1, k).astype(int)]
+    for _ in range(FIT_ROUNDS):
+        own = (x @ centers.T).argmax(1)
         total = np.zeros_like(centers)
-        total[parts["cell"], parts["d"]] = parts["x"]
+        np.add.at(total, own, x)
         norm = np.linalg.norm(total, axis=1)
-        fresh[norm > 0] = total[norm > 0] / norm[norm > 0, None]
-        centers = fresh
+        centers = np.where(norm[:, None] > 0, total / np.maximum(norm, 1e-300)[:, None], centers)
     return centers
 
 
+def _centroids(distinct: DataFrame, dim: int, kind: str) -> dict:
+    """Centroids by label, for labels with more than one cell: their number follows the
+    label's rows, and each label is fitted on its part of a sample of FIT_ROWS rows."""
+    sizes = cut(distinct.groupBy("label").agg(F.count("*").alias("n")))
+    n = sizes.agg(F.sum("n")).first()[0]
+    per = max(ROWS_PER_CELL, math.ceil(n / MOST_CELLS))
+    large = sizes.where(F.col("n") > per).withColumn("k", F.ceil(F.col("n") / per).cast("int"))
+    if large.isEmpty():
+        return {}
+    sample = distinct.select("label", "vec").sample(min(1.0, FIT_ROWS / n), seed=11).join(F.broadcast(large.select("label", "k")), "label")  # at most MOST_CELLS rows
+    label_type = dict(distinct.dtypes)["label"]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = _units(pdf["vec"].sort_values(), dim, kind)
+        centers = _fit(x, min(int(pdf["k"].iloc[0]), len(x)))
+        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "centers": [centers.tobytes()]})
+
+    return {r["label"]: np.frombuffer(r["centers"], np.float64).reshape(-1, dim) for r in sample.groupBy("label").applyInPandas(fit, f"label {label_type}, centers binary").collect()}
+
+
 def _local_links(linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among rows of one block."""
     left, out = np.ones(len(linked), bool), []
-    for root in range(len(linked)):
+    for root in np.flatnonzero(linked.any(1)).tolist():
         if not left[root]:
             continue
         left[root] = False
@@ -211,15 +258,16 @@ def near_duplicate_vectors(embeddings: DataFrame, similar: float = SIMILAR) -> D
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
     Vectors link if their labels are equal and not null and their cosine is at least
-    ``similar``. Equal vectors of a label are merged first and counted. Vectors go to the
-    cell of their nearest centroid. Links across cells are not lost: if x lies in cell i
-    and y in cell j, x·(ci-cj) >= 0 >= y·(ci-cj), and |x-y| <= sqrt(2-2*similar), so
-    x·(ci-cj) <= sqrt(2-2*similar)*|ci-cj|; x visits every earlier cell for which that
-    holds. Cells of more than BLOCK rows are compared block by block; a block reports
-    counts and a spanning forest of its links, never the pairs. Rows that repeat a vec_id
-    are vectors of their own. Vectors that take no part (null, zero, not finite, null
-    label) have no links and are kept.
+    ``similar``. Vectors of a label that are equal in direction (128 bits of hash) are
+    merged first and counted. A label's vectors go to the cell of their nearest centroid.
+    Links across cells are not lost: if x lies in cell i and y in cell j, x·(ci-cj) >= 0 >=
+    y·(ci-cj), and |x-y| <= sqrt(2-2*similar), so x·(ci-cj) <= sqrt(2-2*similar)*|ci-cj|; x
+    visits every earlier cell for which that holds, as a guest. Cells of more than BLOCK
+    rows are compared block by block; a block reports counts and a spanning forest of its
+    links, never the pairs. Rows that repeat a vec_id are vectors of their own. Vectors that
+    take no part (null, zero, not finite, null label) have no links and are kept.
     """
+    kind = "f4" if dict(embeddings.dtypes)["embedding"] == "array<float>" else "f8"
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").alias("v"))
     usable = _valid(rows.where("label is not null"), "v").where(F.exists("v", lambda c: c != 0))
     n, dim = usable.agg(F.count("*"), F.max(F.size("v"))).first()
@@ -228,71 +276,81 @@ def near_duplicate_vectors(embeddings: DataFrame, similar: float = SIMILAR) -> D
 
     label_type = dict(rows.dtypes)["label"]
 
-    def norm(batches):
+    def read(batches):
         for batch in batches:
-            x = _matrix(batch.column("v").to_pylist(), dim)
-            x = x / np.abs(x).max(1, keepdims=True)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True) + 0.0
-            yield {"vec_id": batch.column("vec_id"), "label": batch.column("label"), "unit": pa.array([r.tobytes() for r in x], pa.binary())}
-
-    units = map_batches(usable, norm, f"vec_id long, label {label_type}, unit binary").withColumn("key", F.xxhash64("label", "unit"))
-    distinct = cut(units.groupBy("label", "unit", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")))
-    centers = _centroids(distinct, n, dim)
-    gaps = np.linalg.norm(centers[:, None, :] - centers[None, :, :], axis=2)
+            x = _matrix(batch.column("v").to_pylist(), dim).astype(kind)
+            units = _units([x.tobytes()], dim, kind)
+            labels = [repr(v).encode() for v in batch.column("label").to_pylist()]
+            yield {
+                "vec_id": batch.column("vec_id"), "label": batch.column("label"), "vec": pa.array([r.tobytes() for r in x], pa.binary()),
+                "key": pa.array([xxhash.xxh3_128_digest(r.tobytes() + v) for r, v in zip(units, labels)], pa.binary()),
+            }
+
+    units = cut(map_batches(usable, read, f"vec_id long, label {label_type}, vec binary, key binary"))
+    distinct = cut(units.groupBy("label", "key").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.min("vec").alias("vec")))
+    centers = _centroids(distinct, dim, kind)
     reach = math.sqrt(2 - 2 * similar) + 1e-9
 
     def cells(batches):
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.float64).reshape(-1, dim)
-            near = x @ centers.T
-            own = near.argmax(1)
-            margin = near[np.arange(len(x)), own][:, None] - near
-            goes = (margin <= reach * gaps[own] + 1e-9) & (np.arange(len(centers))[None, :] < own[:, None])
-            goes[np.arange(len(x)), own] = True
-            row, cell = np.nonzero(goes)
-            took = pa.array(row)
-            yield {c: batch.column(c).take(took) for c in ("label", "unit", "key", "copies")} | {"cell": cell.astype(np.int32), "member": own[row] == cell}
-
-    placed = cut(map_batches(distinct, cells, f"label {label_type}, unit binary, key long, copies long, cell int, member boolean"))
-    sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count_if("member") / BLOCK).alias("blocks"), F.ceil(F.count_if(~F.col("member")) / BLOCK).alias("guests"))
+            x, labels = _units(batch.column("vec").to_pylist(), dim, kind), batch.column("label").to_pylist()
+            row, cell, member = [], [], []
+            for label in set(labels):
+                at = np.flatnonzero([v == label for v in labels])
+                c = centers.get(label)
+                if c is None:
+                    row, cell, member = [*row, at], [*cell, np.zeros(len(at), np.int32)], [*member, np.ones(len(at), bool)]
+                    continue
+                near = x[at] @ c.T
+                own = near.argmax(1)
+                gaps = np.linalg.norm(c[own][:, None, :] - c[None, :, :], axis=2)
+                goes = (near[np.arange(len(at)), own][:, None] - near <= reach * gaps + 1e-9) & (np.arange(len(c))[None, :] < own[:, None])
+                goes[np.arange(len(at)), own] = True
+                i, j = np.nonzero(goes)
+                row, cell, member = [*row, at[i]], [*cell, j.astype(np.int32)], [*member, own[i] == j]
+            took = pa.array(np.concatenate(row) if row else np.zeros(0, np.int64))
+            yield {c: batch.column(c).take(took) for c in ("label", "vec", "key", "copies")} | {"cell": np.concatenate(cell or [np.zeros(0, np.int32)]), "member": np.concatenate(member or [np.zeros(0, bool)])}
+
+    placed = map_batches(distinct, cells, f"label {label_type}, vec binary, key binary, copies long, cell int, member boolean")
+    sizes = cut(placed.groupBy("label", "cell").agg(F.ceil(F.count_if("member") / BLOCK).alias("blocks"), F.ceil(F.count_if(~F.col("member")) / BLOCK).alias("guests")))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes
+    # blocks of members and of guests; a block of members meets itself together with the first
+    # block of guests, the other blocks of guests, and the other blocks of members
     dealt = placed.join(sizes, ["label", "cell"]).where("blocks > 0")
-    # a pair of blocks (a, b), a <= b, for members; guests meet each block of members
-    own = F.pmod(F.xxhash64("key"), F.when(F.col("member"), F.col("blocks")).otherwise(F.greatest("guests", F.lit(1))))
-    other = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(other))
-    pair = F.when(F.col("member"), F.struct(F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.lit(-1).cast("long").alias("g")))
-    members = dealt.where("member").select("label", "cell", "key", "copies", "unit", "member", "own", pair.alias("p"))
-    guest_turns = dealt.where("not member").select("label", "cell", "key", "copies", "unit", "member", "own", F.struct(F.col("other").alias("a"), F.col("other").alias("b"), F.col("own").alias("g")).alias("p"))
-    hosts = (
-        placed.join(sizes, ["label", "cell"]).where("member and guests > 0")
-        .withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
-        .withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("guests") - 1)))
-        .select("label", "cell", "key", "copies", "unit", "member", "own", F.struct(F.col("own").alias("a"), F.col("own").alias("b"), "g").alias("p"))
-    )
-    jobs = members.unionAll(guest_turns).unionAll(hosts).select(F.xxhash64("label", "cell", "p").alias("job"), F.col("p.a").alias("a"), F.col("p.g").alias("g"), "key", "copies", "unit", "member", "own")
+    own = F.pmod(F.xxhash64("key"), F.when(F.col("member"), F.col("blocks")).otherwise(F.col("guests")))
+    long = lambda c: F.lit(c).cast("long")
+    pair = lambda a, b, g: F.struct(a.alias("a"), b.alias("b"), g.alias("g"))
+    mates = F.transform(F.filter(F.sequence(long(0), F.col("blocks") - 1), lambda o: o != F.col("own")), lambda o: pair(F.least("own", o), F.greatest("own", o), long(-1)))
+    with_guests = F.transform(F.sequence(long(0), F.greatest("guests", long(1)) - 1), lambda g: pair(F.col("own"), F.col("own"), g))
+    visits = F.transform(F.sequence(long(0), F.col("blocks") - 1), lambda o: pair(o, o, F.col("own")))
+    jobs = dealt.withColumn("own", own).withColumn("p", F.explode(F.when(F.col("member"), F.concat(with_guests, mates)).otherwise(visits)))
+    jobs = jobs.select("label", "cell", "p", "key", "copies", "vec", "member", "own")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(-1, dim)
-        key, copies = pdf["key"].to_numpy(), pdf["copies"].to_numpy()
-        linked = x @ x.T >= similar
+        x = _units(pdf["vec"], dim, kind)
+        key, copies, member, own_ = (pdf[c].to_numpy() for c in ("key", "copies", "member", "own"))
+        guests, linked = pdf["p"].iloc[0]["g"], np.zeros((len(x), len(x)), bool)
+        for at in range(0, len(x), 512):
+            some = slice(at, at + 512)
+            near = x[some] @ x.T >= similar
+            if guests < 0:  # two blocks of members: pairs within one belong to its own job
+                near &= own_[some, None] != own_[None, :]
+            elif guests == 0:
+                near &= member[some, None] | member[None, :]
+            else:
+                near &= member[some, None] != member[None, :]
+            linked[some] = near
         np.fill_diagonal(linked, False)
-        if pdf["g"].iloc[0] >= 0:  # guests with members only
-            member = pdf["member"].to_numpy()
-            linked &= member[:, None] != member[None, :]
-        else:  # two blocks of members: pairs within a block belong to the job of the block with itself
-            own_ = pdf["own"].to_numpy()
-            if own_.min() != own_.max():
-                linked &= own_[:, None] != own_[None, :]
+        linked |= linked.T  # products of a pair are equal but for rounding
         counts = linked @ copies
-        some = np.flatnonzero(counts)
-        edges = _local_links(linked)
+        some, edges = np.flatnonzero(counts), _local_links(linked)
         return pd.DataFrame({
-            "key": np.concatenate([key[some], key[[a for a, _ in edges]]]).astype(np.int64),
-            "other": pd.array([None] * len(some) + [int(key[b]) for _, b in edges], dtype="Int64"),
+            "key": np.concatenate([key[some], key[[a for a, _ in edges]]]) if len(some) else np.zeros(0, object),
+            "other": [None] * len(some) + [key[b] for _, b in edges],
             "n": np.concatenate([counts[some], np.zeros(len(edges), np.int64)]).astype(np.int64),
         })
 
-    found = cut(jobs.groupBy("job").applyInPandas(compare, "key long, other long, n long"))
+    found = cut(jobs.groupBy("label", "cell", "p").applyInPandas(compare, "key binary, other binary, n long"))
     linked = components(found.where("other is not null"), "key", "other")
     counts = found.groupBy("key").agg(F.sum("n").alias("n"))
     roots = distinct.select("key", "least", "copies").join(linked, F.col("key") == F.col("node"), "left").join(counts, "key", "left")
