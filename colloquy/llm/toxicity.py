@@ -1,20 +1,24 @@
 """Toxicity by class-conditional Kneser-Ney bigram models.
 
-Each class (toxic, ordinary) has an interpolated bigram model with discounts
-estimated from its counts of counts. Both orders count distinct contexts, as Kneser and
-Ney count the lower orders, so the copies of a text count once.
-Both
-orders back off through counts that the classes share: a class's bigrams to the bigrams
-of both classes, these to the class's unigrams, and those to the unigrams of both. So an
-expression that is rare says little for or against a class, wherever it was seen. The evidence of a word is
+Each class (toxic, ordinary) has an interpolated bigram model with discounts estimated
+from its counts of counts. Both orders count distinct contexts, as Kneser and Ney count
+the lower orders: passages are repeated across documents, and by occurrences they would
+mark any text that shares them. Both orders back off through counts that the classes share: a class's
+bigrams to the bigrams of both classes, these to the class's words, and those to the
+words of all documents that aren't held out, labelled or not, mixed with an even share
+of EVEN. So an expression that is
+rare says little for or against a class, wherever it was seen. The evidence of a word is
 the difference of its two log-likelihoods. A text is judged on length-normalised sums of
 it: over the whole text and over its strongest window of WINDOW words, so a few toxic
 words count in a long text too. A logistic curve over these, fitted on labelled texts
 that the counts have not seen, gives a score from 0 to 1.
 
-Only rows with crc32(doc_id) mod 5 other than 0 are learnt from: those with 1 to 3 give
-the counts, those with 4 the curve. At most FIT_ROWS texts of each class are used (those
-of the smallest hashed ids), so the model that is broadcast has a bounded size.
+Only rows with crc32(doc_id) mod 5 other than 0 are learnt from: of labelled rows those
+with 1 to 3 give the classes' counts, those with 4 the curve. The labelled rows are a
+sample: those of the smallest hashed ids, at most FIT_ROWS of each class and as many whole
+texts as FIT_BYTES hold. That bounds what the driver and each executor hold of the model
+(at most 20 bytes for each of the sample's pairs of words). The shared words are counted
+over every document, for the words of the model; other words are equal in both classes.
 """
 
 from __future__ import annotations
@@ -27,14 +31,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import map_batches, slices
+from colloquy.llm.common import cut, map_batches, slices
 
-FIT_ROWS = 4_000
-#: Words of a text that may be learnt from; scoring reads whole texts.
-FIT_WORDS = 4_000
+#: Labelled texts of a class that are learnt from, and bytes of them; texts are read whole.
+FIT_ROWS, FIT_BYTES = 2_000, 12 << 20
+#: Share of the last order that is the same for every word.
+EVEN = 0.5
 WINDOW = 48
 FEATURES = 4
 #: Bytes of text that are scored in one step.
@@ -104,7 +109,7 @@ class Model:
 
 @dataclass
 class Fitted:
-    """The model, broadcast once (its size is bounded by FIT_ROWS and FIT_WORDS), and the curve's weights."""
+    """The model, broadcast once (its size is bounded by FIT_BYTES), and the curve's weights."""
 
     model: Broadcast
     weights: np.ndarray
@@ -124,17 +129,50 @@ def fold(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % 5
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def _sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learnable labelled rows, at most FIT_ROWS of each class; of a repeated doc_id the largest label counts."""
+    """``text, toxic, fold`` of the sample of learnable labelled rows, each distinct text once;
+    of a repeated doc_id, and of texts that are equal, the largest label counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", F.crc32(F.col("doc_id").cast("string")) % 5).where("fold <> 0")
+    place = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "fold")
     few = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS) for c in (0, 1)]
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(few[0].unionAll(few[1])), "doc_id")  # at most 2 * FIT_ROWS rows
+    texts = _texts(documents).join(F.broadcast(few[0].unionAll(few[1])), "doc_id").where("text is not null")  # at most 2 * FIT_ROWS ids
+    texts = texts.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min(place).alias("at"))
+    held = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("at"))
+    return cut(texts.withColumn("held", held).where(F.col("held") <= FIT_BYTES).select("text", "toxic", "at.fold"))
+
+
+def _shared(documents: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:
+    """Occurrences of each of ``words`` (ascending) in all documents that aren't held out, and of all words."""
+    sent = documents.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches):
+        memo, known = _Hash(), sent.value
+        found, total = np.zeros(len(known), np.int64), 0
+        for batch in batches:
+            for part in slices(batch, "text", STEP_BYTES):
+                w = np.concatenate([_words(t, memo) for t in part.column("text").to_pylist()] or [np.zeros(0, np.uint64)])
+                total += len(w)
+                if len(known) and len(w):
+                    at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+                    found += np.bincount(at[known[at] == w], minlength=len(known))
+        some = np.flatnonzero(found)
+        yield {"word": np.append(some, -1), "n": np.append(found[some], total)}
+
+    learnt = _texts(documents).where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 != 0, F.lit(True))).select("text")
+    counts = map_batches(learnt, count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    at, n = counts["word"].to_numpy(), counts["n"].to_numpy()
+    out = np.zeros(len(words), np.int64)
+    out[at[at >= 0]] = n[at >= 0]
+    return out, int(n[at < 0].sum())
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Fitted:
-    """Counts are made by Spark from the sample; the model is put together on the driver."""
+    """Counts are made by Spark; the model is put together on the driver from a table of bounded size."""
     sample = _sample(documents, labels)
 
     def grams(batches):
@@ -142,15 +180,15 @@ def fit(documents: DataFrame, labels: DataFrame) -> Fitted:
         for batch in batches:
             for part in slices(batch, "text", STEP_BYTES):
                 for toxic, text in zip(part.column("toxic").to_pylist(), part.column("text").to_pylist()):
-                    w = _words(text, memo)[:FIT_WORDS]
-                    w = np.concatenate([[_START, _START], w]).astype(np.uint64).view(np.int64)
+                    w = np.concatenate([[_START, _START], _words(text, memo)]).astype(np.uint64).view(np.int64)
                     yield {"toxic": np.full(len(w) - 2, toxic, np.int32), "second": w[:-2], "before": w[1:-1], "word": w[2:]}
 
-    seen = map_batches(sample.where("fold <> 4"), grams, "toxic int, second long, before long, word long").distinct()
+    seen = map_batches(sample.where("fold <> 4").select("toxic", "text"), grams, "toxic int, second long, before long, word long").distinct()
     counts = seen.groupBy("before", "word").agg(*[F.count_if(F.col("toxic") == c).cast("int").alias(f"n{c}") for c in (0, 1)]).toArrow()
     columns = [counts[c].to_numpy() for c in ("before", "word", "n0", "n1")]
     del counts
-    model = documents.sparkSession.sparkContext.broadcast(vars(_kneser_ney(*columns)))
+    shared = _shared(documents, np.unique(columns[1].view(np.uint64)))
+    model = documents.sparkSession.sparkContext.broadcast(vars(_kneser_ney(*columns[:2], *shared, *columns[2:])))
     del columns
 
     def measure(batches):
@@ -160,7 +198,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Fitted:
                 x = Model(**model.value).features([_words(t, memo) for t in part.column("text").to_pylist()])
                 yield {"toxic": part.column("toxic"), "x": x.tolist()}
 
-    seen = map_batches(sample.where("fold = 4"), measure, "toxic int, x array<double>").toPandas()
+    seen = map_batches(sample.where("fold = 4").select("toxic", "text"), measure, "toxic int, x array<double>").toPandas()
     y = seen["toxic"].to_numpy(float)
     return Fitted(model, _logistic(np.array(seen["x"].tolist()).reshape(-1, FEATURES), y))
 
@@ -176,29 +214,31 @@ def _discounted(n: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.maximum(n - d[np.clip(n.astype(int), 1, 3) - 1], 0.0)
 
 
-def _kneser_ney(before: np.ndarray, word: np.ndarray, *n: np.ndarray) -> Model:
-    """From one row for each pair of words, with its counts in the ordinary and the toxic texts."""
+def _kneser_ney(before: np.ndarray, word: np.ndarray, common: np.ndarray, total: int, *n: np.ndarray) -> Model:
+    """From one row for each pair of words, with its counts in the ordinary and the toxic
+    texts; ``common`` has the count of each word (ascending) in all documents, ``total`` that of all words."""
     before, word = before.view(np.uint64), word.view(np.uint64)
     pair = (before * np.uint64(0x9E3779B97F4A7C15)) ^ (word * np.uint64(0xC2B2AE3D27D4EB4F) + (word >> np.uint64(29)))
     order = np.argsort(pair)
     pair, n = pair[order], [x[order] for x in n]
     ctx, of = (x.astype(t) for x, t in zip(np.unique(before[order], return_inverse=True), (np.uint64, np.int32)))
     uni, w = (x.astype(t) for x, t in zip(np.unique(word[order], return_inverse=True), (np.uint64, np.int32)))
-    # shared continuation counts: distinct words before each word, over both classes
-    shared = np.bincount(w, minlength=len(uni)) + 0.5
-    shared = shared / (shared.sum() + 1.0)
 
     def bigrams(count):
         left, follow = _discounted(count, _discounts(count)), np.bincount(of, weights=count, minlength=len(ctx))
         share = left / np.maximum(follow[of], 1)
         return 1 - np.bincount(of, weights=share, minlength=len(ctx)), share
 
+    total_words = max(total, common.sum())
+    # the last order: frequency in all documents, and evenly over the words
+    even = 1 / (len(uni) + 1.0)
+    shared = (1 - EVEN) * common / max(total_words, 1) + EVEN * even
     uni_p, ctx_mass, pair_p, unseen = np.zeros((2, len(uni))), np.ones((3, len(ctx)), np.float32), np.zeros((3, len(pair)), np.float32), np.zeros(2)
     for c in (0, 1):
         count = np.bincount(w[n[c] > 0], minlength=len(uni)).astype(float)  # continuation counts: distinct words before
-        left, total = _discounted(count, _discounts(count)), max(count.sum(), 1.0)
-        uni_p[c] = left / total + (1 - left.sum() / total) * shared
-        unseen[c] = (1 - left.sum() / total) / (len(uni) + 1.0)
+        left, all_ = _discounted(count, _discounts(count)), max(count.sum(), 1.0)
+        uni_p[c] = left / all_ + (1 - left.sum() / all_) * shared
+        unseen[c] = (1 - left.sum() / all_) * EVEN * even
         ctx_mass[c], pair_p[c] = bigrams(n[c])
     # a word that neither class has seen says nothing
     unseen[:] = max(unseen.mean(), 1e-12)
@@ -226,8 +266,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, model: Fitted | None
     empty texts have the score of no evidence; repeated rows are scored row by row; a
     null doc_id is never held out. Without labels every score is the same."""
     model = model or fit(documents, labels)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _score(rows, model, "doc_id long, held_out boolean, score double, predicted int")
+    return _score(_texts(documents), model, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def _score(rows: DataFrame, model: Fitted, schema: str) -> DataFrame:
@@ -246,7 +285,9 @@ def _score(rows: DataFrame, model: Fitted, schema: str) -> DataFrame:
 
 
 def reject_toxic(documents: DataFrame, labels: DataFrame, model: Fitted | None = None) -> DataFrame:
-    """Rows of ``documents`` that are not predicted toxic, with their columns."""
+    """Rows of ``documents`` that are not predicted toxic, with their columns, whatever their
+    names. Null and empty texts stay as long as no evidence doesn't mean toxic; repeated rows
+    stay or go together; a null doc_id makes no difference. Empty tables give no rows."""
     model = model or fit(documents, labels)
 
     def keep(batches):

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from colloquy.llm import bpe, html_extract, mixing, pii, simhash, suffixes, toxicity, vectors, warc
+from colloquy.llm import queries as llm_queries
 from colloquy.llm.common import components
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -118,6 +119,32 @@ def test_top_k(spark, monkeypatch):
     assert vectors.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sample", [4096, 25])
+def test_top_k_equals_its_sql(spark, monkeypatch, sample):
+    """Repeated ids and rows, ties at the last place, few distinct values, clashing columns."""
+    import duckdb
+
+    for name, value in (("DATA_BLOCK", 30), ("QUERY_BLOCK", 5), ("SAMPLE", sample), ("STEP", 2)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [float(v) for v in rng.integers(-2, 3, 6) / 4]) for i in rng.integers(-40, 160, 300)]
+    rows += rows[:20] + [(0, rows[0][1])] * 25 + [(7, None), (20, [1.0, float("inf"), 0.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).withColumn("copies", F.lit(2))
+    got = sorted(tuple(r) for r in vectors.top_k(df).collect())
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    assert got == sorted(con.execute(llm_queries.oracle_sql()["op2_top_k"]).fetchall())
+
+
+def test_near_duplicate_vectors_repeated_rows(spark):
+    df = embeddings(spark).where("vec_id < 70")
+    df = df.unionAll(df.limit(20)).withColumn("cell", F.lit(1)).withColumn("key", F.lit("k")).withColumn("least", F.lit(0))
+    got = vectors.near_duplicate_vectors(df).collect()
+    assert len(got) == df.count()
+    first = {r.vec_id for r in df.limit(20).collect()}
+    assert all(r.n_links >= 1 for r in got if r.vec_id in first and r.vec_id < 30)
+
+
 def test_near_duplicate_vectors(spark, monkeypatch):
     for name, value in (("BLOCK", 16), ("ROWS_PER_CELL", 40)):
         monkeypatch.setattr(vectors, name, value)
@@ -390,6 +417,71 @@ def test_html_attributes_by_name():
 # -------------------------------------------------------------------------- op8
 
 
+def plain_kneser_ney(classes, everything):
+    """P(word | before, class) by dictionaries: a function of (class, before, word)."""
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+
+    def discounts(counts):
+        c = [1 + sum(1 for n in counts if min(n, 5) == k) for k in (1, 2, 3, 4)]
+        y = c[0] / (c[0] + 2 * c[1])
+        return [min(max(d, 0.5), top) for d, top in ((1 - 2 * y * c[1] / c[0], 1), (2 - 3 * y * c[2] / c[1], 2), (3 - 4 * y * c[3] / c[2], 3))]
+
+    def cut(n, d):
+        return max(n - d[min(n, 3) - 1], 0.0) if n else 0.0
+
+    trigrams = [{(a, b, c) for t in texts for w in [["<", "<", *words(t)]] for a, b, c in zip(w, w[1:], w[2:])} for texts in classes]
+    pairs = [{} for _ in range(3)]
+    for c, seen in enumerate(trigrams):
+        for _, b, w in seen:
+            for table in (pairs[c], pairs[2]):
+                table[b, w] = table.get((b, w), 0) + 1
+    vocabulary = {w for _, w in pairs[2]}
+    common, total = {}, 0
+    for t in everything:
+        for w in words(t):
+            total += 1
+            common[w] = common.get(w, 0) + 1
+    even = toxicity.EVEN / (len(vocabulary) + 1)
+    last = {w: (1 - toxicity.EVEN) * common.get(w, 0) / total + even for w in vocabulary}
+
+    def bigram(table, d, b, w, below):
+        follow = {x: n for (y, x), n in table.items() if y == b}
+        if not follow:
+            return below
+        all_ = sum(follow.values())
+        return cut(follow.get(w, 0), d) / all_ + (1 - sum(cut(n, d) for n in follow.values()) / all_) * below
+
+    tops = [discounts(t.values()) for t in pairs]
+    contexts = [{} for _ in range(2)]
+    for c in (0, 1):
+        for _, w in pairs[c]:
+            contexts[c][w] = contexts[c].get(w, 0) + 1
+    lows = [discounts(t.values()) for t in contexts]
+
+    def p(c, b, w):
+        all_ = sum(contexts[c].values())
+        left = 1 - sum(cut(n, lows[c]) for n in contexts[c].values()) / all_
+        one = cut(contexts[c].get(w, 0), lows[c]) / all_ + left * last[w]
+        return bigram(pairs[c], tops[c], b, w, bigram(pairs[2], tops[2], b, w, one))
+
+    return p, vocabulary
+
+
+def test_toxicity_model_is_kneser_ney(spark):
+    rnd = random.Random(17)
+    texts = [" ".join(rnd.choice("abcdefghij") + rnd.choice("xy") for _ in range(rnd.randrange(1, 40))) for _ in range(50)]
+    learnt = [i for i in range(50) if 1 <= toxicity.fold(i) <= 3]
+    labels = [(i, i % 2) for i in range(50) if toxicity.fold(i)]
+    model = toxicity.Model(**toxicity.fit(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")).model.value)
+    p, vocabulary = plain_kneser_ney([[texts[i] for i in learnt if i % 2 == c] for c in (0, 1)], [t for i, t in enumerate(texts) if toxicity.fold(i)])
+    memo = toxicity._Hash()
+    for t in texts:
+        w = [x for x in t.split() if x in vocabulary]
+        got = model.evidence(toxicity._words(" ".join(w), memo), np.array([0]))
+        want = [np.log(p(1, b, x)) - np.log(p(0, b, x)) for b, x in zip(["<", *w], w)]
+        assert np.allclose(got, want, atol=1e-5)
+
+
 def test_toxicity(spark):
     rnd = random.Random(9)
     rows, labels = [], []
