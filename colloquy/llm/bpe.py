@@ -1,7 +1,9 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer.
 
-A text is cut at special tokens and by the split pattern into pieces; merges never
-cross pieces. A piece is encoded from left to right in a window of bytes. A token is
+A text is read from left to right in windows of characters. Special tokens and the split
+pattern cut it into pieces; merges never cross pieces, so the tokens of a piece are stable as
+soon as its end is: pieces that later characters could still change wait for the next
+window. A piece that fills a window is itself encoded in windows of bytes. A token is
 emitted once no later byte can change it, and the window moves on from its end: the
 encoding right of a token boundary doesn't depend on what is left of it.
 
@@ -10,7 +12,8 @@ make or prevent changes whether its left part, or its result, is there for anoth
 merge, which must come later in the list and have that token as its right part; that
 merge may pass the change on again. ``lookahead`` is the length of the longest such
 chain, measured in bytes of the left parts, so tokens that end that far before the end
-of the window are stable. Memory is the window, however long the piece is.
+of the window are stable. Besides the text, memory is that of the windows and of the memo of
+short pieces, however long the text or the piece is.
 
 Decoding maps ids to bytes and feeds an incremental UTF-8 state machine, so a character
 whose bytes are spread over tokens comes out when it is complete.
@@ -24,7 +27,8 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import regex
@@ -37,7 +41,9 @@ from colloquy.llm.common import map_batches, worker_state
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces up to this many bytes are remembered; at most so many of them.
 MEMO_BYTES, MEMO_MOST = 64, 200_000
-WINDOW_BYTES = 1 << 14
+#: Bytes of a window in a long piece; characters of a window of text, and how far from
+#: its end a piece must end to be stable (the longest look ahead of the split pattern).
+WINDOW_BYTES, WINDOW_CHARS, MARGIN = 1 << 14, 1 << 16, 8
 NONE = 1 << 62
 #: PATTERN for texts in which the classes of ``re`` agree with it, and what those texts must not hold.
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+")
@@ -119,13 +125,17 @@ class Bpe:
                 heapq.heappush(heap, (r, h, parts[h], parts[i]))
         return [p for p in parts if p >= 0]
 
-    def piece(self, data: bytes) -> Iterator[list[int]]:
-        """Runs of stable tokens of one piece."""
-        at, token = 0, self.token
-        while at < len(data):
-            window = data[at : at + self.window]
+    def piece(self, chunks: Iterable[bytes]) -> Iterator[list[int]]:
+        """Runs of stable tokens of one piece that comes in chunks of bytes."""
+        held, token, more, chunks = b"", self.token, True, iter(chunks)
+        while True:
+            while more and len(held) <= self.window:
+                chunk = next(chunks, None)
+                more = chunk is not None
+                held += chunk or b""
+            window = held[: self.window]
             parts = self._merge(window)
-            if at + len(window) == len(data):
+            if len(window) == len(held):
                 yield parts
                 return
             stable, end = [], 0
@@ -137,17 +147,32 @@ class Bpe:
             if not end:
                 raise ValueError("the window must hold the lookahead and the longest token")
             yield stable
-            at += end
+            held = held[end:]
+
+    def _part(self, text: str, at: int, end: int) -> Iterator[bytes]:
+        """Ids of text[at:end], which holds no special token."""
+        while at < end:
+            stop = min(end, at + WINDOW_CHARS)
+            split = self._split if _NOT_PLAIN.search(text, at, stop) else _PLAIN
+            found = split.findall(text, at, stop)
+            if stop < end:
+                keep = stop - MARGIN
+                while found and stop > keep:
+                    stop -= len(found.pop())
+            if not found:  # a piece longer than the window
+                stop = self._split.match(text, at, end).end()
+                chunks = (text[i : min(i + WINDOW_CHARS, stop)].encode("utf-8", "surrogatepass") for i in range(at, stop, WINDOW_CHARS))
+                for run in self.piece(chunks):
+                    yield array("I", run).tobytes()
+            else:
+                yield b"".join(map(self._memo.__getitem__, found))
+            at = stop
 
     def encode(self, text: str | None) -> Iterator[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, piece by piece."""
-        text, at, memo = text or "", 0, self._memo
-        marks = self._special.finditer(text) if self._special else ()
-        for m in [*marks, None]:
-            part = text[at : m.start()] if m else text[at:]
-            if part:
-                split = self._split if _NOT_PLAIN.search(part) else _PLAIN
-                yield b"".join(map(memo.__getitem__, split.findall(part)))
+        """Ids as little-endian unsigned 32-bit integers, as soon as they are stable."""
+        text, at = text or "", 0
+        for m in chain(self._special.finditer(text) if self._special else (), (None,)):
+            yield from self._part(text, at, m.start() if m else len(text))
             if m:
                 yield np.array([self.special[m[0]]], "<u4").tobytes()
                 at = m.end()
@@ -169,7 +194,7 @@ class _Memo(dict):
 
     def __missing__(self, piece: str) -> bytes:
         data = piece.encode("utf-8", "surrogatepass")
-        out = b"".join([array("I", run).tobytes() for run in self.bpe.piece(data)])
+        out = b"".join([array("I", run).tobytes() for run in self.bpe.piece([data])])
         if len(data) <= MEMO_BYTES:
             if len(self) >= MEMO_MOST:
                 self.clear()
@@ -208,7 +233,9 @@ def _digests(bpe: Bpe, text: str | None, keep: list | None = None) -> tuple[int,
 
 
 def encoding_digest(documents: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``, from a stream of ids for each text."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` for every row, from a stream of ids
+    for each text. A null or empty text has no tokens and the digests of nothing; repeated
+    rows are repeated; an empty table gives no rows; other columns are not returned."""
 
     def run(batches):
         bpe = worker_state(f"bpe {path}", lambda: Bpe(path))

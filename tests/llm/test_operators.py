@@ -550,6 +550,35 @@ def test_bpe_window_of_the_lookahead(coder):
         assert list(np.frombuffer(b"".join(small.encode(text)), "<u4")) == ref.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("chars", [20, 64, 1000])
+def test_bpe_windows_of_text(coder, monkeypatch, chars):
+    """Pieces, contractions, white space and special tokens at the windows' ends."""
+    path, ref = coder
+    monkeypatch.setattr(bpe, "WINDOW_CHARS", chars)
+    one = bpe.Bpe(path)
+    rnd = random.Random(19)
+    parts = ["it's", "we'll", "'re", "  \n\n ", " " * 70, "word", "12345", "...", "é中", "<|endoftext|>", "x" * 150, "'", "l", "_a", "\t", " I'd"]
+    for _ in range(150):
+        text = "".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randrange(60)))
+        ids = np.frombuffer(b"".join(one.encode(text)), "<u4")
+        assert ids.tolist() == ref.encode(text, add_special_tokens=False).ids and "".join(one.decode(ids)) == text
+
+
+def test_bpe_memory_is_constant(coder):
+    """A text of 50 MB, with one piece of 2 MB in it: what encoding and decoding hold doesn't follow its length."""
+    import tracemalloc
+
+    one = bpe.Bpe(coder[0])
+    text = "an unremarkable sentence about internationalisation " * 480_000 + "z" * 2_000_000 + " and so characteristically on " * 800_000
+    assert len(text) > 48_000_000
+    n, ids, back = bpe._digests(one, text[:500_000])
+    tracemalloc.start()
+    n, ids, back = bpe._digests(one, text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20 and n > 4_000_000 and back == hashlib.sha256(text.encode()).hexdigest()
+
+
 # ------------------------------------------------------------------------- op10
 
 
