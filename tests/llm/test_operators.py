@@ -351,6 +351,18 @@ def test_repeats(spark, monkeypatch, local):
     assert sorted(r.n_removed for r in twice) == [149, 150]
 
 
+def test_repeats_of_rows_without_an_id(spark):
+    """Many rows of one id, null ids beside the least one, and equal rows."""
+    many = spark.range(70_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("n"), F.col("id") % 9).alias("text"))
+    few = spark.createDataFrame([(None, "w" * 99 + "v" * 120), (-(1 << 63), "w" * 99 + "v" * 120), (3, "x" + "v" * 120), (3, "y" + "v" * 120)] + [(None, "u" + "v" * 110)] * 5, "doc_id long, text string")
+    out = suffixes.remove_repeats(many.unionAll(few).withColumn("copy", F.lit(1)).withColumn("place", F.lit(1)), keep_text=True)
+    assert out.count() == 70_009
+    long_ = out.where("n_bytes > 9").collect()
+    # each string starts first in one row of the null and least ids; the rows of id 3 keep their first byte
+    assert sum(r.doc_id is None for r in long_) == 6 and [bytes(r.kept) for r in long_ if r.doc_id == 3] in ([b"x", b"y"], [b"y", b"x"])
+    assert sorted(r.n_removed for r in long_ if r.n_bytes == 111)[1:] == [111] * 4 and out.where("n_bytes <= 9 and n_removed > 0").count() == 0
+
+
 # -------------------------------------------------------------------------- op7
 
 
