@@ -16,7 +16,9 @@ THANKS = "謝謝。"
 STRAY_PHRASES = (r"沒有任何樓盤符合您的搜尋結果\.?", r"沒有任何樓盤符合您的搜尋\s*[-—–-]?\s*", r"沒有任何樓盤符合您的搜尋\.?")
 STRAY_MARKS = ("樓盤", "搜尋結果")
 SUFFIXES = (".wav", ".m4a", ".mp3", ".aac", ".flac", ".ogg", ".caf", ".aiff", ".aif")
+# The form of a single word, and what is cleaned after the phrases are removed, in this order.
 LEMMA = r"^[a-z]+(?:'[a-z]+)?(?:-[a-z]+)*$"
+TIDY = ((r"[ \t]{2,}", " "), (r"^[。，、；：\s]+", ""), (r"。{2,}", "。"), (r"\s+([。，、])", r"$1"))
 
 
 def strip(c) -> Column:
@@ -91,13 +93,16 @@ def is_contaminated(zh: Column) -> Column:
 
 def scrub_zh(zh: Column) -> Column:
     out = strip(F.coalesce(zh, F.lit("")))
-    for phrase in STRAY_PHRASES:
-        out = F.regexp_replace(out, "(?U)" + phrase, "")
-    for pattern, to in ((r"[ \t]{2,}", " "), (r"(?U)^[。，、；：\s]+", ""), (r"[。]{2,}", "。"), (r"(?U)\s+([。，、])", "$1")):
-        out = F.regexp_replace(out, pattern, to)
+    for pattern, to in (*((p, "") for p in STRAY_PHRASES), *TIDY):
+        out = F.regexp_replace(out, "(?U)" + pattern, to)
     return strip(out)
 
 
+def supported_suffix(name: Column) -> Column:
+    """Whether a file has a suffix of recordings; a flag only, nothing is dropped by it."""
+    return F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).isin(*SUFFIXES)
+
+
 def glossary(text: Column) -> Column:
     """Translation of an utterance that holds short answers only, else null."""
     words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([A-Za-z]+(?:-[A-Za-z]+)?)"), 1), F.lower)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import LEMMA_ENTRY, coerce_time, glossary, is_contaminated, lemma_entry, lemma_variants, media_stem, merge_lemma, normalize_query, note_lemmas, remove_lemma, same_stem, scrub_zh, strip
+from colloquy.functions.text import LEMMA_ENTRY, coerce_time, flatten_fallback_entry, glossary, is_contaminated, lemma_entry, lemma_variants, media_stem, merge_lemma, normalize_query, note_lemmas, parse_dict_row, remove_lemma, same_stem, scrub_zh, strip
 from colloquy.operators.intervals import turns_inside_ranges, turns_outside_ranges
 
 RANGE_LIMIT = 180.0
@@ -45,7 +45,7 @@ def splice_turns(old: DataFrame, new: DataFrame, edits: DataFrame) -> DataFrame:
     """Old turns outside the ranges with the new ones, numbered by time, old before new on ties."""
     both = turns_outside_ranges(old, edits).withColumn("is_new", F.lit(0)).unionByName(new.withColumn("is_new", F.lit(1)), allowMissingColumns=True)
     ix = F.row_number().over(Window.partitionBy("rec_id").orderBy("start", "end", "is_new", "turn_ix")) - 1
-    return both.withColumn("_ix", ix).drop("turn_ix").withColumnRenamed("_ix", "turn_ix")
+    return both.withColumn("_ix", ix).drop("turn_ix", "is_new").withColumnRenamed("_ix", "turn_ix")
 
 
 def edit_report(old: DataFrame, new: DataFrame, kept_words: DataFrame, edits: DataFrame) -> DataFrame:
@@ -59,26 +59,54 @@ def edit_report(old: DataFrame, new: DataFrame, kept_words: DataFrame, edits: Da
     return out.withColumn("status", F.when(F.col("kept_words") == 0, "rejected").otherwise("applied"))
 
 
-def apply_range_edits(turns: DataFrame, clip_words: DataFrame, edits: DataFrame) -> DataFrame:
-    """Turns after re-transcription of the ranges. ``clip_words`` have (edit_id, rec_id,
-    word_ix, word, start, end) in clip time and ``offset``. Of edits that overlap another
-    on the same recording only the earliest of the batch is applied; edits without words
-    in the range change nothing."""
+def apply_range_edits(turns: DataFrame, clip_words: DataFrame, edits: DataFrame, durations: DataFrame | None = None, memory: DataFrame | None = None, translate=None) -> tuple[DataFrame, DataFrame]:
+    """Turns after re-transcription of the ranges, and a report with a row for each edit.
+
+    ``clip_words`` have (edit_id, rec_id, word_ix, word, start, end) in clip time and
+    ``offset``; an edit takes words of its own clip only, those with their midpoint in its
+    range. Where two ranges touch, a word at the shared end belongs to the later one. Each
+    edit makes its own turns, translated if a memory or a translator is given. Edits that
+    are not valid, that overlap an earlier one of the batch on the same recording, or that
+    have no words change nothing; the report gives the ``reason``."""
+    from colloquy.functions.text import punctuate
     from colloquy.operators.intervals import inherit_speaker
+    from colloquy.operators.translate import translate_turns
     from colloquy.operators.turns import split_turns, words_to_turns
-    from colloquy.functions.text import punctuate
 
-    by_time = Window.partitionBy("rec_id").orderBy("start", "edit_id").rowsBetween(Window.unboundedPreceding, -1)
-    apart = edits.withColumn("_until", F.max("end").over(by_time)).where(F.col("_until").isNull() | (F.col("start") >= F.col("_until"))).drop("_until")
-    kept = words_in_range(shift_times(clip_words).drop("offset", "edit_id"), apart)
-    ix = F.row_number().over(Window.partitionBy("rec_id").orderBy("start", "end", "word_ix")) - 1
-    kept = kept.withColumn("word_ix", ix)
-    spoken = apart.join(kept.select("edit_id").distinct(), "edit_id", "left_semi")
-    new = words_to_turns(inherit_speaker(kept, turns)).withColumn("text", punctuate(F.col("text"))).withColumn("text_zh", F.lit(""))
-    new = split_turns(new)
+    if durations is None:
+        durations = edits.select("rec_id").distinct().withColumn("duration", F.lit(None).cast("double"))
+    checked = validate_edits(edits.select("edit_id", "rec_id", "start", "end", "padding"), durations)
+    checked = checked.withColumns({c: F.col(c).try_cast("double") for c in ("start", "end")})
+    valid = checked.where("reason is null")
+    by_time = Window.partitionBy("rec_id").orderBy("start", "edit_id")
+    until = F.max("end").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
+    valid = valid.withColumn("apart", until.isNull() | (F.col("start") >= until))
+    apart = valid.where("apart").withColumn("shared_end", F.coalesce(F.lead("start").over(by_time) == F.col("end"), F.lit(False)))
+    own = apart.select("edit_id", F.col("start").alias("_s"), F.col("end").alias("_e"), "shared_end")
+    middle = (F.col("start") + F.col("end")) / 2
+    kept = shift_times(clip_words).drop("offset").join(own, "edit_id").where(middle.between(F.col("_s"), F.col("_e")) & ~(F.col("shared_end") & (middle == F.col("_e"))))
+    ix = F.row_number().over(Window.partitionBy("rec_id").orderBy("_s", "start", "end", "word_ix")) - 1
+    kept = kept.withColumn("word_ix", ix).drop("_s", "_e", "shared_end")
+    # turns are made within an edit, so its id stands for the recording until they are
+    new = words_to_turns(inherit_speaker(kept, turns).drop("rec_id").withColumnRenamed("edit_id", "rec_id")).withColumn("text", punctuate(F.col("text")))
+    new = split_turns(new.withColumn("text_zh", F.lit("")))
     new = new.withColumn("turn_ix", F.row_number().over(Window.partitionBy("rec_id").orderBy("turn_ix", "part_ix")) - 1)
+    if memory is not None or translate is not None:
+        new = translate_turns(new, memory, translate)
+    new = new.withColumnRenamed("rec_id", "edit_id").join(apart.select("edit_id", "rec_id"), "edit_id")
+    spoken = apart.join(kept.select("edit_id").distinct(), "edit_id", "left_semi")
     columns = ["rec_id", "turn_ix", "speaker", "start", "end", "text", "text_zh"]
-    return splice_turns(turns.select(*columns), new.select(*columns), spoken)
+    after = splice_turns(turns.select(*columns), new.select(*columns), spoken)
+
+    count = lambda df, name: df.groupBy("edit_id").agg(F.count("*").alias(name))
+    ranges = spoken.select("edit_id", "rec_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
+    replaced = count(turns.join(ranges, "rec_id").where(F.least("end", "_e") - F.greatest("start", "_s") > 0), "replaced_turns")
+    report = checked.select("edit_id", "rec_id", "reason").join(valid.select("edit_id", "apart"), "edit_id", "left")
+    for part in (replaced, count(new, "new_turns"), count(kept, "kept_words")):
+        report = report.join(part, "edit_id", "left")
+    report = report.na.fill(0, ["replaced_turns", "new_turns", "kept_words"])
+    why = F.coalesce("reason", F.when(~F.col("apart"), "overlaps another edit"), F.when(F.col("kept_words") == 0, "no words"))
+    return after, report.select("edit_id", "rec_id", why.alias("reason"), "replaced_turns", "new_turns", "kept_words", F.when(why.isNull(), "applied").otherwise("rejected").alias("status"))
 
 
 def restore_version(versions: DataFrame, current: DataFrame) -> DataFrame:
@@ -111,33 +139,64 @@ def note_order(notes: DataFrame, out: str = "note_ix") -> DataFrame:
     return notes.withColumn(out, F.row_number().over(order) - 1)
 
 
-def upsert_notes(notes: DataFrame, changes: DataFrame) -> DataFrame:
-    """Notes after the changes, and rows with ``error`` for changes that fail.
+NOTE_STATE = f"struct<word:string,text_en:string,text_zh:string,start:double,end:double,source:string,created_at:double,updated_at:double,lemmas:array<{LEMMA_ENTRY}>,dict:{LEMMA_ENTRY}>"
+
+
+def _changed(note, c):
+    """``(note, error)`` of a note (null: there is none) after one change."""
+    none = F.array().cast(f"array<{LEMMA_ENTRY}>")
+    old = F.when(note.isNull(), none).otherwise(note_lemmas(note["lemmas"], note["dict"], F.coalesce(note["word"], F.lit(""))))
+    entry = lemma_entry(c["dict"], c["word"])
+    removes, left = ~c["is_new"] & (c["remove"] != ""), remove_lemma(old, c["remove"])
+    # a new note has its dictionary entry or word merged, an old one if the change brings an entry
+    merges = ~removes & entry.isNotNull() & F.when(c["is_new"], c["dict"].isNotNull() | (c["word"] != "")).otherwise(c["has_dict"])
+    named = F.when(c["word"] != "", c["word"]).otherwise(F.coalesce(note["word"], F.lit("")))
+    last = F.try_element_at(left, F.lit(-1))
+    plain = F.when(c["is_new"], none).when(c["has_dict"] | (F.coalesce(F.size(note["lemmas"]), F.lit(0)) > 0), old).otherwise(note_lemmas(none, note["dict"], named))
+    error = F.when((c["text_en"] == "") & (c["text_zh"] == ""), "no text").when(~c["is_new"] & note.isNull(), "unknown note").when(c["is_new"] & note.isNotNull(), "id in use").when(removes & (F.size(left) == F.size(old)), "no such lemma")
+    after = F.struct(
+        F.when(removes, F.coalesce(last["lemma"], F.lit(""))).when(merges, entry["lemma"]).when(c["has_dict"] & ~c["is_new"], F.coalesce(note["word"], F.lit(""))).otherwise(named).alias("word"),
+        c["text_en"].alias("text_en"), c["text_zh"].alias("text_zh"), c["start"].alias("start"), c["end"].alias("end"),
+        F.when(c["source"] != "", c["source"]).when(c["is_new"] | (F.coalesce(note["source"], F.lit("")) == ""), "manual").otherwise(note["source"]).alias("source"),
+        F.when(c["is_new"], c["now"]).otherwise(note["created_at"]).alias("created_at"), F.when(~c["is_new"], c["now"]).alias("updated_at"),
+        F.when(removes, left).when(merges, merge_lemma(old, entry)).otherwise(plain).alias("lemmas"),
+        F.when(removes, last).when(merges, entry).when(~c["is_new"], note["dict"]).alias("dict"),
+    ).cast(NOTE_STATE)
+    return F.when(error.isNull(), after).otherwise(note), error
+
+
+def upsert_notes(notes: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Notes after the changes, and the changes that failed with their ``error``.
 
     ``changes``: rec_id, change_id (id of a new note), id (null for new), word, text_en,
-    text_zh, start, end (strings), source, dict, has_dict, remove_lemma, now."""
+    text_zh, start, end (strings), source, dict, has_dict, remove_lemma, now. The changes
+    of one note are applied one after the other, by ``now`` and then change_id; one that
+    fails leaves the note as it was."""
     blank = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
-    c = changes.select(
-        F.col("rec_id"), F.when(blank("id") != "", blank("id")).otherwise(F.col("change_id")).alias("id"), (blank("id") == "").alias("is_new"), blank("word").alias("c_word"), blank("text_en").alias("c_en"), blank("text_zh").alias("c_zh"),
-        coerce_time(F.col("start")).alias("c_start"), coerce_time(F.col("end")).alias("c_end"), blank("source").alias("c_source"), F.col("dict").alias("c_dict"), F.coalesce("has_dict", F.lit(False)).alias("has_dict"), blank("remove_lemma").alias("c_remove"), F.col("now"),
-    )
-    j = notes.join(c.withColumn("_hit", F.lit(True)), ["rec_id", "id"], "full")
-    old = note_lemmas(F.col("lemmas"), F.col("dict"), F.coalesce("word", F.lit("")))
-    entry = lemma_entry(F.col("c_dict"), F.col("c_word"))
-    none = F.array().cast(f"array<{LEMMA_ENTRY}>")
-    new_lemmas = F.when(F.col("is_new"), F.when(F.col("c_dict").isNotNull() | (F.col("c_word") != ""), merge_lemma(none, entry)).otherwise(none)).when(F.col("c_remove") != "", remove_lemma(old, F.col("c_remove"))).when(F.col("has_dict"), merge_lemma(old, entry)).otherwise(old)
-    known = F.col("source").isNotNull() | F.col("created_at").isNotNull() | F.col("text_en").isNotNull()
-    error = F.when((F.col("c_en") == "") & (F.col("c_zh") == ""), "no text").when(~F.col("is_new") & ~known, "unknown note").when(~F.col("is_new") & (F.col("c_remove") != "") & (F.size(remove_lemma(old, F.col("c_remove"))) == F.size(old)), "no such lemma")
-    j = j.withColumn("error", F.when(F.col("_hit"), error)).withColumn("_put", F.col("_hit") & F.col("error").isNull()).withColumn("_l", new_lemmas)
-    last = F.try_element_at(F.col("_l"), F.lit(-1))
-    merged = F.col("is_new") | F.col("has_dict")
-    word = F.when((F.col("c_remove") != "") & ~F.col("is_new"), F.coalesce(last["lemma"], F.lit(""))).when(merged & entry.isNotNull(), entry["lemma"]).when(F.col("c_word") != "", F.col("c_word")).otherwise(F.coalesce("word", F.lit("")))
-    put = lambda new, col: F.when(F.coalesce("_put", F.lit(False)), new).otherwise(F.col(col)).alias(col)
-    return j.select(
-        "rec_id", "id", put(word, "word"), put(F.col("c_en"), "text_en"), put(F.col("c_zh"), "text_zh"), put(F.col("c_start"), "start"), put(F.col("c_end"), "end"),
-        put(F.when(F.col("c_source") != "", F.col("c_source")).otherwise(F.coalesce(F.when(F.col("source") != "", F.col("source")), F.lit("manual"))), "source"),
-        put(F.when(F.col("is_new"), F.col("now")).otherwise(F.col("created_at")), "created_at"), put(F.when(F.col("is_new"), F.lit(None).cast("double")).otherwise(F.col("now")), "updated_at"), put(F.col("_l"), "lemmas"), "error",
+    is_new = blank("id") == ""
+    change = F.struct(
+        F.col("now").cast("double").alias("now"), "change_id", is_new.alias("is_new"), blank("word").alias("word"), blank("text_en").alias("text_en"), blank("text_zh").alias("text_zh"), coerce_time(F.col("start")).alias("start"),
+        coerce_time(F.col("end")).alias("end"), blank("source").alias("source"), F.col("dict").cast(LEMMA_ENTRY).alias("dict"), F.coalesce("has_dict", F.lit(False)).alias("has_dict"), blank("remove_lemma").alias("remove"),
     )
+    c = changes.select("rec_id", F.when(is_new, F.col("change_id")).otherwise(blank("id")).alias("id"), change.alias("c")).groupBy("rec_id", "id").agg(F.array_sort(F.collect_list("c"), lambda x, y: _earlier(x, y)).alias("cs"))
+    fields = ["word", "text_en", "text_zh", "start", "end", "source", "created_at", "updated_at", "lemmas", "dict"]
+    old = notes.select("rec_id", "id", F.struct(*[F.col(f) for f in fields]).cast(NOTE_STATE).alias("note"))
+    errors = "array<struct<change_id:string,error:string>>"
+    start = F.struct(F.col("note"), F.array().cast(errors).alias("errors"))
+
+    def step(state, c):
+        note, error = _changed(state["note"], c)
+        failed = F.array(F.struct(c["change_id"].cast("string").alias("change_id"), error.alias("error")))
+        return F.struct(note.alias("note"), F.when(error.isNull(), state["errors"]).otherwise(F.concat(state["errors"], failed)).cast(errors).alias("errors"))
+
+    both = old.join(c, ["rec_id", "id"], "full").withColumn("state", F.aggregate(F.coalesce("cs", F.array().cast(dict(c.dtypes)["cs"])), start, step))
+    after = both.where("state.note is not null").select("rec_id", "id", "state.note.*")
+    return after, both.select("rec_id", "id", F.explode("state.errors").alias("e")).select("rec_id", "id", "e.change_id", "e.error")
+
+
+def _earlier(x, y):
+    key = lambda a: F.struct(a["now"], a["change_id"])
+    return F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)
 
 
 def delete_notes(notes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -160,20 +219,34 @@ def delete_recordings(files: DataFrame, stems: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------- lookup
 
 
-def lookup_words(queries: DataFrame, dictionary: DataFrame, cache: DataFrame | None = None) -> DataFrame:
-    """``query, lemma, found, cached, headword, translation``: cache, then the dictionary over
-    the variants of the word, the first with a translation. Rows of one key go by word."""
+def lookup_words(queries: DataFrame, dictionary: DataFrame, fallback: DataFrame | None = None, cache: DataFrame | None = None) -> DataFrame:
+    """``query, lemma, ok, cached, source, entry`` of every distinct query: a cached entry with
+    senses, unless it is the fallback's and the dictionary has the word; else the dictionary over
+    the variants of the word, the first with a translation; else the ``fallback`` (lemma,
+    payload), if it has senses. What is no single word has no lemma. Rows of one key go by word."""
     q = queries.select("query").distinct().withColumn("lemma", normalize_query(F.col("query")))
-    d = dictionary.where(strip(F.coalesce("translation", F.lit(""))) != "").groupBy(F.lower("word").alias("key")).agg(F.min_by(F.struct("word", "translation"), "word").alias("row"))
+    row = F.struct("word", "phonetic", "definition", "translation", "pos")
+    d = dictionary.where(strip(F.coalesce("translation", F.lit(""))) != "").groupBy(F.lower("word").alias("key")).agg(F.min_by(row, "word").alias("row"))
     each = q.where("lemma is not null").select("lemma").distinct().select("lemma", F.posexplode(lemma_variants(F.col("lemma"))).alias("variant_ix", "key"))
     hit = each.join(d, "key").groupBy("lemma").agg(F.min_by("row", "variant_ix").alias("row"))
-    out = q.join(hit, "lemma", "left")
+    main = parse_dict_row(*[F.col(f"row.{c}") for c in ("word", "phonetic", "definition", "translation", "pos")])
+    out = q.join(hit, "lemma", "left").withColumn("main", main.cast(LEMMA_ENTRY)).drop("row")
+    senses = lambda e: F.coalesce(F.size(e), F.lit(0)) > 0
+    none = F.lit(None).cast(LEMMA_ENTRY)
+    if fallback is None:
+        out = out.withColumn("other", none)
+    else:
+        entry = flatten_fallback_entry(F.col("lemma"), F.col("payload")).cast(LEMMA_ENTRY)
+        other = fallback.groupBy("lemma").agg(F.first("payload", ignorenulls=True).alias("payload")).withColumn("other", entry).where(senses("other.senses"))
+        out = out.join(other.select("lemma", "other"), "lemma", "left")
     if cache is None:
-        return out.select("query", "lemma", F.col("row").isNotNull().alias("found"), F.lit(False).alias("cached"), F.col("row.word").alias("headword"), F.col("row.translation").alias("translation"))
-    good = cache.where((F.coalesce(F.size("entry.senses"), F.lit(0)) > 0) & (F.col("entry.lemma") != "")).select("lemma", "entry")
-    out = out.join(good, "lemma", "left")
-    stays = F.col("entry").isNotNull() & ~((F.col("entry.source") == "free-dictionary") & F.col("row").isNotNull())
-    return out.select("query", "lemma", (stays | F.col("row").isNotNull()).alias("found"), stays.alias("cached"), F.when(stays, F.col("entry.lemma")).otherwise(F.col("row.word")).alias("headword"), F.when(stays, F.get("entry.senses", F.lit(0))["zh"]).otherwise(F.col("row.translation")).alias("translation"))
+        out = out.withColumn("known", none)
+    else:
+        good = cache.where(senses("entry.senses") & (F.col("entry.lemma") != "")).select("lemma", F.col("entry").cast(LEMMA_ENTRY).alias("known"))
+        out = out.join(good, "lemma", "left")
+    stays = F.col("known").isNotNull() & ~((F.col("known.source") == "free-dictionary") & F.col("main").isNotNull())
+    entry = F.when(stays, F.col("known")).otherwise(F.coalesce("main", "other"))
+    return out.select("query", "lemma", entry.isNotNull().alias("ok"), stays.alias("cached"), entry["source"].alias("source"), entry.alias("entry"))
 
 
 def trim_cache(cache: DataFrame, most: int = 2000) -> DataFrame:
@@ -208,3 +281,11 @@ def throttle_progress(log: DataFrame, step: int = 5) -> DataFrame:
     earlier = Window.partitionBy("job_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     most, floors = F.max("pct").over(earlier), F.max(F.floor(F.col("pct") / step)).over(earlier)
     return log.withColumn("emit", most.isNull() | (F.floor(F.col("pct") / step) > floors) | ((F.col("pct") >= 100) & (most < 100)))
+
+
+def closing_ticks(log: DataFrame, durations: DataFrame) -> DataFrame:
+    """``job_id, seq, pct``: a tick of 100 behind the last one of each job (``durations``:
+    job_id, duration) that has a duration and did not reach 100."""
+    most = log.groupBy("job_id").agg(F.max("pct").alias("most"), F.max("seq").alias("last"))
+    open_ = durations.where("duration > 0").select("job_id").join(most, "job_id", "left").where(F.coalesce("most", F.lit(-1)) < 100)
+    return open_.select("job_id", (F.coalesce("last", F.lit(0)) + 1).alias("seq"), F.lit(100).alias("pct"))

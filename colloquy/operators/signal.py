@@ -14,17 +14,23 @@ def downmix_normalize(samples: DataFrame) -> DataFrame:
 
 
 def resample_linear(samples: DataFrame, from_rate: int, to_rate: int) -> DataFrame:
-    """Linear interpolation at (j+0.5)*n/m-0.5; neighbours meet by equi-join, not by a window over samples."""
+    """Linear interpolation at (j+0.5)*n/m-0.5. Every sample makes the outputs between it and
+    the next one, which it meets by equi-join, so no row holds more than a few of them."""
     if from_rate <= 0 or to_rate <= 0:
         raise ValueError("rates must be positive")
     if from_rate == to_rate:
         return samples.select("series_id", "i", "value")
     sizes = samples.groupBy("series_id").agg((F.max("i") + 1).alias("n")).withColumn("m", F.greatest(F.lit(1), F.rint(F.col("n") * to_rate / from_rate).cast("long")))
-    at = sizes.select("series_id", "n", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("j"))
-    at = at.withColumn("pos", F.greatest(F.lit(0.0), F.least(F.col("n") - 1.0, (F.col("j") + 0.5) * F.col("n") / F.col("m") - 0.5))).withColumn("i", F.floor("pos"))
     low = samples.select("series_id", "i", F.col("value").alias("v0"))
     high = samples.select("series_id", (F.col("i") - 1).alias("i"), F.col("value").alias("v1"))
-    out = at.join(low, ["series_id", "i"]).join(high, ["series_id", "i"], "left")
+    pairs = low.join(high, ["series_id", "i"], "left").join(sizes, "series_id")
+    # outputs near the sample, of which those between it and the next stay
+    near = lambda i: F.floor((i + 0.5) * F.col("m") / F.col("n") - 0.5)
+    first = F.when(F.col("i") == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), near(F.col("i")) - 1))
+    last = F.when(F.col("i") == F.col("n") - 1, F.col("m") - 1).otherwise(F.least(F.col("m") - 1, near(F.col("i") + 1) + 1))
+    at = pairs.where(first <= last).withColumn("j", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    at = at.withColumn("pos", F.greatest(F.lit(0.0), F.least(F.col("n") - 1.0, (F.col("j") + 0.5) * F.col("n") / F.col("m") - 0.5)))
+    out = at.where(F.floor("pos") == F.col("i"))
     part = F.col("pos") - F.col("i")
     return out.select("series_id", F.col("j").alias("i"), (F.col("v0") * (1 - part) + F.coalesce("v1", "v0") * part).alias("value"))
 
@@ -51,18 +57,22 @@ def hop_windows(samples: DataFrame, rate: float, window: float = 1.5, hop: float
 
 def silhouette_by_group(df: DataFrame, group: list[str], vector: str = "embedding", label: str = "label") -> DataFrame:
     """Mean silhouette by cosine distance per group, exact and linear: the mean distance of a
-    unit vector x to a cluster is 1 - x·(sum of its members)/n."""
-    x = df.withColumn("_id", F.monotonically_increasing_id()).select(*group, "_id", F.col(label).alias("_label"), F.posexplode(l2_normalize(F.col(vector).cast("array<double>"))).alias("_d", "_x"))
-    sums = x.groupBy(*group, "_label", "_d").agg(F.sum("_x").alias("_sum"))
-    sizes = df.groupBy(*group, F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
-    other = sums.select(*group, F.col("_label").alias("_other"), "_d", "_sum")
-    dots = x.join(other, [*group, "_d"]).groupBy(*group, "_id", "_label", "_other").agg(F.sum(F.col("_x") * F.col("_sum")).alias("_dot"))
-    dots = dots.join(sizes.withColumnRenamed("_label", "_other"), [*group, "_other"])
-    mean = 1 - F.col("_dot") / F.col("_n")
-    own = F.max(F.when(F.col("_label") == F.col("_other"), F.when(F.col("_n") > 1, F.col("_n") * mean / (F.col("_n") - 1)))).alias("_a")
-    each = dots.groupBy(*group, "_id", "_label").agg(own, F.min(F.when(F.col("_label") != F.col("_other"), mean)).alias("_b"))
-    score = F.when(F.col("_a").isNull() | F.col("_b").isNull(), 0.0).otherwise((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b"))
-    return each.groupBy(*group).agg(F.avg(score).alias("silhouette"), F.countDistinct("_label").alias("k"))
+    unit vector x to a cluster is 1 - x·(sum of its members)/n. A group's sums (one vector for
+    each label) meet its rows by one join; rows need no id and are shuffled once."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    x = df.select(*group, F.col(label).alias("_label"), l2_normalize(F.col(vector).cast("array<double>")).alias("_x"))
+    sums = x.groupBy(*group, "_label").agg(vector_to_array(Summarizer.sum(array_to_vector("_x"))).alias("sum"), F.count("*").alias("n"))
+    all_ = sums.groupBy(*group).agg(F.collect_list(F.struct(F.col("_label").alias("label"), "n", "sum")).alias("_all"), F.count("*").alias("k"))
+    dot = lambda s: F.aggregate(F.zip_with("_x", s["sum"], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    far = F.transform("_all", lambda s: F.struct((s["label"] == F.col("_label")).alias("own"), s["n"].alias("n"), (1 - dot(s) / s["n"]).alias("mean")))
+    each = x.join(all_, group).withColumn("_far", far)
+    own = F.get(F.filter("_far", lambda s: s["own"] & (s["n"] > 1)), F.lit(0))
+    a = own["n"] * own["mean"] / (own["n"] - 1)
+    b = F.array_min(F.transform(F.filter("_far", lambda s: ~s["own"]), lambda s: s["mean"]))
+    score = F.when(a.isNull() | b.isNull(), 0.0).otherwise((b - a) / F.greatest(a, b))
+    return each.withColumn("_score", score).groupBy(*group).agg(F.avg("_score").alias("silhouette"), F.max("k").alias("k"))
 
 
 def choose_k(scores: DataFrame, least: int = 2, most: int = 4) -> DataFrame:

@@ -38,6 +38,11 @@ def collect_words(docs: DataFrame) -> DataFrame:
     return rows.withColumn("word_ix", ix).select("rec_id", "word_ix", "word", "start", "end", "probability")
 
 
+def probe_prefix(words: DataFrame, seconds: float = 45.0) -> DataFrame:
+    """The words that start in the first seconds of a recording, by which its language is judged."""
+    return words.where(F.col("start") < seconds)
+
+
 def smooth_speakers(words: DataFrame) -> DataFrame:
     """A short word between two words of one other speaker takes theirs, from left to right:
     within a run of such words the 1st, 3rd, ... change."""
@@ -75,15 +80,15 @@ def split_turns(turns: DataFrame, max_sentences: int = MAX_SENTENCES) -> DataFra
     if "words" not in t.columns:
         t = t.withColumn("words", F.lit(None).cast("array<struct<word:string,start:double,end:double>>"))
     spoken = F.coalesce(F.size("words"), F.lit(0)) > 0
-    ends = F.transform("words", lambda w: ends_sentence(w["word"]).cast("int"))
-    # sentence of each word: sentence ends before it
-    sentence = F.transform(ends, lambda e, i: F.aggregate(F.slice(ends, 1, i), F.lit(0), lambda a, x: a + x))
-    t = t.withColumn("_spoken", spoken).withColumn("_s", F.when(spoken, sentence)).withColumn("_sent", split_sentences(F.col("text")))
-    t = t.withColumn("_n", F.when(spoken, F.element_at("_s", -1) + 1).otherwise(F.size("_sent")))
+    # places of the words that end a sentence; the last word closes one anyway
+    ends = F.filter(F.transform("words", lambda w, k: F.when(ends_sentence(w["word"]) & (k < F.size("words") - 1), k)), lambda k: k.isNotNull())
+    t = t.withColumn("_spoken", spoken).withColumn("_s", F.when(spoken, ends)).withColumn("_sent", split_sentences(F.col("text")))
+    t = t.withColumn("_n", F.when(spoken, F.size("_s") + 1).otherwise(F.size("_sent")))
     whole = t.where(F.col("_n") <= n).withColumn("part_ix", F.lit(0))
     cut = t.where(F.col("_n") > n).withColumn("part_ix", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / n).cast("int"))))
     i, j = F.col("part_ix") * n, F.least(F.col("part_ix") * n + n, F.col("_n"))
-    mine = F.filter("words", lambda w, k: (F.get(F.col("_s"), k) >= i) & (F.get(F.col("_s"), k) < j))
+    first, last = F.coalesce(F.get("_s", i - 1) + 1, F.lit(0)), F.coalesce(F.get("_s", j - 1), F.size("words") - 1)
+    mine = F.slice("words", first + 1, last - first + 1)
     span = F.greatest(F.lit(0.05), F.col("end") - F.col("start"))
     cut = cut.withColumn("_w", F.when(F.col("_spoken"), mine))
     cut = cut.withColumn("_from", F.when(F.col("_spoken"), F.get(F.col("_w"), F.lit(0))["start"]).otherwise(F.col("start") + span * i / F.col("_n")))

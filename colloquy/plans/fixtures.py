@@ -49,6 +49,18 @@ class Fixtures:
         w = self.table("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1)).alias("word")).distinct()
         return w.select("word", F.concat(F.lit("/"), "word", F.lit("/")).alias("phonetic"), F.concat(F.lit("the "), "word").alias("definition"), F.when(F.length("word") % 5 == 0, "").otherwise(F.concat(F.lit("n. "), "word")).alias("translation"), F.lit("n:60/v:40").alias("pos"))
 
+    def fallback(self) -> DataFrame:
+        """Payloads of a second dictionary: two entries, blank phonetics and definitions, more senses than are kept."""
+        text = lambda *c: F.concat(*[F.lit(x) if x != "word" else F.col(x) for x in c])
+        means = lambda d, e=None: F.struct(d.alias("definition"), F.lit(e).cast("string").alias("example") if e is None else e.alias("example"))
+        meaning = lambda pos, *ds: F.struct(F.lit(pos).alias("partOfSpeech"), F.array(*ds).alias("definitions"))
+        first = F.struct(
+            F.when(F.length("word") % 2 == 0, " ").otherwise(text("[", "word", "]")).alias("phonetic"), F.array(F.struct(F.lit("").alias("text")), F.struct(text("/", "word").alias("text"))).alias("phonetics"),
+            F.array(meaning("noun", means(text("a ", "word"), text("as in ", "word")), means(F.lit(" "))), meaning("verb", means(text("to ", "word")), means(text("to ", "word", " it")))).alias("meanings"),
+        )
+        second = F.struct(F.lit("later").alias("phonetic"), F.array(F.struct(F.lit("x").alias("text"))).alias("phonetics"), F.array(meaning("noun", *[means(text(n, "word")) for n in ("one ", "two ", "three ", "four ")])).alias("meanings"))
+        return self.dictionary().where(F.length("word") % 3 != 0).select(F.col("word").alias("lemma"), F.array(first, second).alias("payload"))
+
     def windows(self) -> DataFrame:
         return self.table("embeddings").select((F.col("vec_id") % 5).alias("rec_id"), F.col("vec_id").cast("int").alias("win_ix"), (0.75 * F.col("vec_id")).alias("center"), "embedding", "label")
 

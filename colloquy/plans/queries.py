@@ -179,7 +179,7 @@ def j7_interval_overlap(fx):
 _Q = " lq AS (SELECT DISTINCT lower(word) AS query FROM fx_words WHERE regexp_matches(word, '^[A-Za-z]+$'))"
 
 
-@query(_Q + """, vr AS (SELECT query, query AS key, 0 AS ix FROM lq
+_VARIANTS = """ vr AS (SELECT query, query AS key, 0 AS ix FROM lq
   UNION ALL SELECT query, query[:-4] || 'y', 1 FROM lq WHERE suffix(query, 'ies') AND length(query) > 4
   UNION ALL SELECT query, query[:-4], 2 FROM lq WHERE suffix(query, 'ing') AND length(query) > 5
   UNION ALL SELECT query, query[:-4] || 'e', 3 FROM lq WHERE suffix(query, 'ing') AND length(query) > 5
@@ -189,12 +189,32 @@ _Q = " lq AS (SELECT DISTINCT lower(word) AS query FROM fx_words WHERE regexp_ma
   UNION ALL SELECT query, query[:-4], 7 FROM lq WHERE suffix(query, 'ed') AND length(query) > 4 AND query[-3] = query[-4]
   UNION ALL SELECT query, query[:-3], 8 FROM lq WHERE suffix(query, 'es') AND length(query) > 3
   UNION ALL SELECT query, query[:-2], 9 FROM lq WHERE suffix(query, 'es') AND length(query) > 3
-  UNION ALL SELECT query, query[:-2], 10 FROM lq WHERE suffix(query, 's') AND NOT suffix(query, 'es') AND NOT suffix(query, 'ss') AND length(query) > 3),
-ht AS (SELECT vr.query, arg_min(d.word, vr.ix) AS headword FROM vr JOIN fx_dict d ON d.word = vr.key AND d.translation <> '' GROUP BY vr.query)
-SELECT-> lq.query, lq.query AS lemma, ht.headword IS NOT NULL AS found, ht.headword, 'n. ' || ht.headword AS translation FROM lq LEFT JOIN ht ON lq.query = ht.query""")
+  UNION ALL SELECT query, query[:-2], 10 FROM lq WHERE suffix(query, 's') AND NOT suffix(query, 'es') AND NOT suffix(query, 'ss') AND length(query) > 3)"""
+
+
+def _cache(fx) -> DataFrame:
+    """Cached entries of some words: of either source, and some without senses."""
+    w = fx.words().where(F.col("word").rlike("^[A-Za-z]+$")).select(F.lower("word").alias("lemma")).distinct().where(F.length("lemma") % 4 == 0)
+    sense = F.struct(F.lit("c").alias("pos"), F.lit("").alias("zh"), F.concat(F.lit("cached "), "lemma").alias("en"), F.lit("").alias("example"))
+    senses = F.when(F.col("lemma").rlike("^[a-m]"), F.array(sense)).otherwise(F.array().cast(T.SENSES))
+    source = F.when(F.length("lemma") % 8 == 0, "free-dictionary").otherwise("ecdict")
+    return w.select("lemma", F.struct("lemma", F.lit("").alias("phonetic"), senses.alias("senses"), source.alias("source")).cast(T.LEMMA_ENTRY).alias("entry"))
+
+
+@query(_Q + "," + _VARIANTS + """,
+ht AS (SELECT vr.query, arg_min(d.word, vr.ix) AS headword FROM vr JOIN fx_dict d ON d.word = vr.key AND d.translation <> '' GROUP BY vr.query),
+fb AS (SELECT word FROM fx_dict WHERE length(word) % 3 <> 0),
+al AS (SELECT lq.query, ht.headword, fb.word IS NOT NULL AS other, length(lq.query) % 4 = 0 AND regexp_matches(lq.query, '^[a-m]') AND NOT (length(lq.query) % 8 = 0 AND ht.headword IS NOT NULL) AS stays
+       FROM lq LEFT JOIN ht ON lq.query = ht.query LEFT JOIN fb ON lq.query = fb.word)
+SELECT-> query, query AS lemma, stays OR headword IS NOT NULL OR other AS ok, stays AS cached,
+  CASE WHEN stays THEN CASE WHEN length(query) % 8 = 0 THEN 'free-dictionary' ELSE 'ecdict' END WHEN headword IS NOT NULL THEN 'ecdict' WHEN other THEN 'free-dictionary' END AS source,
+  CASE WHEN stays THEN query WHEN headword IS NOT NULL THEN headword WHEN other THEN query END AS headword,
+  CASE WHEN stays THEN 'c::cached ' || query WHEN headword IS NOT NULL THEN 'n:' || headword || ':the ' || headword WHEN other THEN 'noun::a ' || query || '|verb::to ' || query || '|verb::to ' || query || ' it|noun::one ' || query || '|noun::two ' || query || '|noun::three ' || query END AS senses FROM al""")
 def j4_lookup_words(fx):
     q = fx.words().where(F.col("word").rlike("^[A-Za-z]+$")).select(F.lower("word").alias("query"))
-    return E.lookup_words(q, fx.dictionary()).select("query", "lemma", "found", "headword", "translation")
+    out = E.lookup_words(q, fx.dictionary(), fx.fallback(), _cache(fx))
+    senses = F.array_join(F.transform("entry.senses", lambda x: F.concat_ws(":", x["pos"], x["zh"], x["en"])), "|")
+    return out.select("query", "lemma", "ok", "cached", "source", F.col("entry.lemma").alias("headword"), senses.alias("senses"))
 
 
 def _names(fx) -> DataFrame:
@@ -236,9 +256,10 @@ def f2_format_ts(fx):
     return fx.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.format_ts(F.col("l_extendedprice") / 8).alias("ts"))
 
 
-@query("""SELECT rec_id, turn_ix, replace(printf('%02d:%02d.%03d', CAST("start" AS INTEGER) // 60, CAST("start" AS INTEGER) % 60, 0), '.', ',') AS ts FROM fx_turns""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN h > 0 THEN printf('%02d:%02d:%02d,%03d', h, m, s, ms) ELSE printf('%02d:%02d,%03d', m, s, ms) END AS ts FROM (
+  SELECT l_orderkey, l_linenumber, l_partkey, CAST(w // 3600 AS INTEGER) AS h, CAST(w % 3600 // 60 AS INTEGER) AS m, CAST(w % 60 AS INTEGER) AS s, CAST(round_even((x - w) * 1000, 0) AS INTEGER) AS ms FROM (SELECT *, l_extendedprice / 16 AS x, CAST(floor(l_extendedprice / 16) AS BIGINT) AS w FROM lineitem))""")
 def f3_srt_ts(fx):
-    return fx.turns().select("rec_id", "turn_ix", T.srt_ts(F.col("start")).alias("ts"))
+    return fx.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.srt_ts(F.col("l_extendedprice") / 16).alias("ts"))
 
 
 @query("""SELECT rec_id, turn, regexp_replace(string_agg(CASE WHEN regexp_matches(w, '^[,.;:!?]') THEN w ELSE ' ' || w END, '' ORDER BY word_ix), '^ +', '') AS joined FROM (SELECT rec_id, turn, word_ix, CASE WHEN word_ix % 5 = 4 THEN ',' ELSE word END AS w FROM fx_words) GROUP BY rec_id, turn""")
@@ -299,18 +320,25 @@ def p6_contaminated(fx):
     return _stray(fx).select("rec_id", "turn_ix", T.is_contaminated(F.col("text_zh")).alias("contaminated"))
 
 
-_ANSWERS = "CASE word_ix % 6 WHEN 0 THEN 'Yeah 42' WHEN 1 THEN 'Thank you. No' WHEN 2 THEN 'you' WHEN 3 THEN 'Mm-hmm, ' || word WHEN 4 THEN 'OK right' ELSE word END"
+_ANSWERS = "CASE word_ix % 6 WHEN 0 THEN 'Yeah 42' WHEN 1 THEN 'Thank you. No' WHEN 2 THEN 'you' WHEN 3 THEN 'Mm-hmm, ' || word WHEN 4 THEN 'OK right, thanks you' ELSE word END"
+_SHORT = ", ".join(f"('{k}', '{v}')" for k, v in T.SHORT_ANSWERS.items())
 
 
-@query(f"SELECT rec_id, word_ix, CASE word_ix % 6 WHEN 0 THEN '嗯。' WHEN 1 THEN '謝謝。不。' WHEN 4 THEN '好。對。' ELSE CASE WHEN word_ix % 6 = 3 AND NOT regexp_matches(word, '[A-Za-z]') THEN '嗯嗯。' END END AS zh FROM fx_words WHERE word_ix % 6 <> 5 AND NOT (word_ix % 6 = 3 AND lower(regexp_replace(word, '[^A-Za-z]', '', 'g')) IN ('no', 'on', 'an', 'oh', 'ah', 'hi', 'um', 'uh', 'ok', 'yes', 'mm'))")
+@query(f""" gl AS (SELECT * FROM (VALUES {_SHORT}) g(w, v)), tx AS (SELECT rec_id, word_ix, regexp_extract_all({_ANSWERS}, '[A-Za-z]+(?:-[A-Za-z]+)?') AS t FROM fx_words),
+tk AS (SELECT rec_id, word_ix, lower(unnest(t)) AS w, generate_subscripts(t, 1) AS pos FROM tx), tv AS (SELECT tk.*, gl.v, last_value(gl.v IGNORE NULLS) OVER (PARTITION BY rec_id, word_ix ORDER BY pos) AS said FROM tk LEFT JOIN gl ON tk.w = gl.w),
+ag AS (SELECT rec_id, word_ix, bool_and(v IS NOT NULL OR (w = 'you' AND coalesce(said, '') = '謝謝。')) AS ok, string_agg(v, '' ORDER BY pos) AS zh FROM tv GROUP BY ALL)
+SELECT-> tx.rec_id, tx.word_ix, CASE WHEN ag.ok AND ag.zh <> '' THEN ag.zh END AS zh FROM tx LEFT JOIN ag ON tx.rec_id = ag.rec_id AND tx.word_ix = ag.word_ix""")
 def f11_glossary(fx):
     ix = F.col("word_ix") % 6
-    w = fx.words().where(ix != 5).where(~((ix == 3) & F.lower(F.regexp_replace("word", "[^A-Za-z]", "")).isin("no", "on", "an", "oh", "ah", "hi", "um", "uh", "ok", "yes", "mm")))
-    t = F.when(ix == 0, "Yeah 42").when(ix == 1, "Thank you. No").when(ix == 2, "you").when(ix == 3, F.concat(F.lit("Mm-hmm, "), "word")).when(ix == 4, "OK right")
-    return w.select("rec_id", "word_ix", T.glossary(t).alias("zh"))
+    t = F.when(ix == 0, "Yeah 42").when(ix == 1, "Thank you. No").when(ix == 2, "you").when(ix == 3, F.concat(F.lit("Mm-hmm, "), "word")).when(ix == 4, "OK right, thanks you").otherwise(F.col("word"))
+    return fx.words().select("rec_id", "word_ix", T.glossary(t).alias("zh"))
 
 
-@query()
+@query(r""" sn AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS six FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents)),
+cu AS (WITH RECURSIVE c AS (SELECT doc_id, six, 0 AS k, '' AS piece, trim(s, E' \n\t\r') AS rest FROM sn
+  UNION ALL SELECT doc_id, six, k + 1, trim(left(rest, n), E' \n\t\r'), substr(rest, n + 1) FROM (SELECT *, CAST(CASE WHEN length(rest) <= 350 THEN length(rest) WHEN contains(left(rest, 350)[2:], ' ') THEN 350 - instr(reverse(left(rest, 350)), ' ') ELSE 350 END AS INTEGER) AS n FROM c WHERE rest <> ''))
+  SELECT * FROM c WHERE piece <> '')
+SELECT-> doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY six, k) - 1 AS INTEGER) AS piece_ix, piece FROM cu""")
 def f12_translation_pieces(fx):
     return fx.table("documents").select("doc_id", F.posexplode(T.translation_pieces(F.col("text"))).alias("piece_ix", "piece"))
 
@@ -320,20 +348,57 @@ def f13_normalize_query(fx):
     return fx.words().select("rec_id", "word_ix", T.normalize_query(F.col("word")).alias("lemma"))
 
 
-@query()
+@query(" lq AS (SELECT word AS query FROM fx_dict)," + _VARIANTS + """, fs AS (SELECT query, key, min(ix) AS ix FROM vr GROUP BY ALL)
+SELECT-> query AS word, CAST(row_number() OVER (PARTITION BY query ORDER BY ix) - 1 AS INTEGER) AS variant_ix, key AS variant FROM fs""")
 def f14_lemma_variants(fx):
     return fx.dictionary().select("word", F.posexplode(T.lemma_variants(F.col("word"))).alias("variant_ix", "variant"))
 
 
-@query(r"SELECT doc_id, len(l) AS n FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[\r\n]+'), lambda x: trim(x, E' \t')), lambda x: x <> '') AS l FROM documents)")
+@query(r"SELECT doc_id, len(l) AS n, array_to_string(l, '|') AS lines FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(replace(text, 'e ', '\n') || '\n' || chr(13) || chr(10) || lang, '\n', chr(10)), '[\r\n]+'), lambda x: trim(x, E' \t')), lambda x: x <> '') AS l FROM documents)")
 def f15_dict_lines(fx):
-    return fx.table("documents").select("doc_id", F.size(T.dict_lines(F.col("text"))).cast("long").alias("n"))
+    raw = F.concat(F.replace("text", F.lit("e "), F.lit("\\n")), F.lit("\\n\r\n"), "lang")
+    return fx.table("documents").select("doc_id", T.dict_lines(raw).alias("l")).select("doc_id", F.size("l").cast("long").alias("n"), F.array_join("l", "|").alias("lines"))
 
 
-@query("SELECT word AS lemma, phonetic, 'n' AS pos, word AS zh, 'the ' || word AS en FROM fx_dict WHERE translation <> ''")
+_LINES = "['n. ' || word, 'vt. ' || word || ' 1', '一 ' || word, 'adj ' || word || ' 2', '', 'v.' || word, 'n.  ' || word || ' 3', 'n. ' || word || ' 4', 'n. ' || word || ' 5']"
+
+
+@query(f""" dl AS (SELECT word, phonetic, CASE WHEN length(word) % 3 = 0 THEN {_LINES} WHEN translation = '' THEN [] ELSE ['n. ' || word] END AS l FROM fx_dict), dn AS (SELECT word, phonetic, unnest(list_filter(l, lambda x: x <> '')) AS line, generate_subscripts(list_filter(l, lambda x: x <> ''), 1) AS ix FROM dl)
+SELECT-> word AS lemma, phonetic, CAST(ix - 1 AS INTEGER) AS sense_ix, CASE WHEN regexp_matches(line, '^[A-Za-z]{{1,5}}\\.?\\s+\\S') THEN regexp_extract(line, '^([A-Za-z]{{1,5}})', 1) ELSE 'n' END AS pos,
+  CASE WHEN regexp_matches(line, '^[A-Za-z]{{1,5}}\\.?\\s+\\S') THEN regexp_replace(line, '^[A-Za-z]{{1,5}}\\.?\\s+', '') ELSE line END AS zh, CASE WHEN ix = 1 THEN 'the ' || word ELSE '' END AS en FROM dn WHERE ix <= 6""")
 def f16_parse_dict_row(fx):
-    e = fx.dictionary().select(T.parse_dict_row(*[F.col(c) for c in ("word", "phonetic", "definition", "translation", "pos")]).alias("e")).where("e is not null")
-    return e.select("e.lemma", "e.phonetic", F.explode("e.senses").alias("s")).select("lemma", "phonetic", "s.pos", "s.zh", "s.en")
+    w = F.col("word")
+    many = F.concat_ws("\\n", F.concat(F.lit("n. "), w), F.concat(F.lit("vt. "), w, F.lit(" 1")), F.concat(F.lit("一 "), w), F.concat(F.lit("adj "), w, F.lit(" 2")), F.lit(" "), F.concat(F.lit("v."), w), *[F.concat(F.lit("n.  " if i == 3 else "n. "), w, F.lit(f" {i}")) for i in (3, 4, 5)])
+    d = fx.dictionary().withColumn("translation", F.when(F.length("word") % 3 == 0, many).otherwise(F.col("translation")))
+    e = d.select(T.parse_dict_row(*[F.col(c) for c in ("word", "phonetic", "definition", "translation", "pos")]).alias("e")).where("e is not null")
+    return e.select("e.lemma", "e.phonetic", F.posexplode("e.senses").alias("sense_ix", "s")).select("lemma", "phonetic", "sense_ix", "s.pos", "s.zh", "s.en")
+
+
+@query(""" fb AS (SELECT word FROM fx_dict WHERE length(word) % 3 <> 0), sn AS (SELECT word, unnest(['noun', 'verb', 'verb', 'noun', 'noun', 'noun']) AS pos, unnest(['a ' || word, 'to ' || word, 'to ' || word || ' it', 'one ' || word, 'two ' || word, 'three ' || word]) AS en, unnest(['as in ' || word, '', '', '', '', '']) AS example, unnest(range(0, 6)) AS ix FROM fb)
+SELECT-> word AS lemma, CASE WHEN length(word) % 2 = 0 THEN '/' || word ELSE '[' || word || ']' END AS phonetic, 'free-dictionary' AS source, CAST(ix AS INTEGER) AS sense_ix, pos, '' AS zh, en, example FROM sn""")
+def f17_fallback_entry(fx):
+    e = fx.fallback().select(T.flatten_fallback_entry(F.col("lemma"), F.col("payload")).alias("e"))
+    return e.select("e.lemma", "e.phonetic", "e.source", F.posexplode("e.senses").alias("sense_ix", "s")).select("lemma", "phonetic", "source", "sense_ix", "s.pos", "s.zh", "s.en", "s.example")
+
+
+_ENTRY = "CASE word_ix % 4 WHEN 0 THEN word WHEN 1 THEN 'given ' || word WHEN 2 THEN NULL ELSE word END"
+
+
+@query(f"SELECT rec_id, word_ix, {_ENTRY} AS lemma, CASE WHEN word_ix % 4 = 1 THEN '/p/' WHEN word_ix % 4 = 2 THEN NULL ELSE '' END AS phonetic, CASE WHEN word_ix % 4 = 1 THEN 1 WHEN word_ix % 4 = 2 THEN NULL ELSE 0 END AS n_senses, CASE WHEN word_ix % 4 = 2 THEN NULL WHEN word_ix % 4 = 1 THEN 's' ELSE '' END AS source FROM fx_words")
+def f18_lemma_entry(fx):
+    ix = F.col("word_ix") % 4
+    sense = F.array(F.struct(F.lit("n").alias("pos"), F.lit("z").alias("zh"), F.lit("").alias("en"), F.lit("").alias("example")))
+    entry = F.when(ix == 1, F.struct(F.concat(F.lit(" given "), "word").alias("lemma"), F.lit(" /p/ ").alias("phonetic"), sense.alias("senses"), F.lit("s ").alias("source"))).when(ix == 3, F.struct(F.lit("").alias("lemma"), F.lit(None).cast("string").alias("phonetic"), F.lit(None).cast(T.SENSES).alias("senses"), F.lit(None).cast("string").alias("source")))
+    word = F.when(ix == 2, " ").otherwise(F.concat(F.lit(" "), "word"))
+    return fx.words().select("rec_id", "word_ix", T.lemma_entry(entry.cast(T.LEMMA_ENTRY), word).alias("e")).select("rec_id", "word_ix", "e.lemma", "e.phonetic", F.when(F.col("e").isNotNull(), F.size("e.senses")).alias("n_senses"), "e.source")
+
+
+@query("""SELECT word, CASE WHEN length(word) % 2 = 0 THEN upper(word) || ';b' ELSE word || ';b;c' END AS merged, CASE WHEN length(word) % 2 = 0 THEN upper(word) ELSE word || ';c' END AS removed, CASE WHEN length(word) % 2 = 0 THEN 'b' ELSE 'b;c' END AS other FROM fx_dict""")
+def f20_merge_remove_lemma(fx):
+    entry = lambda c: F.struct(c.alias("lemma"), F.lit("").alias("phonetic"), F.array().cast(T.SENSES).alias("senses"), F.lit("").alias("source")).cast(T.LEMMA_ENTRY)
+    names = lambda c: F.array_join(F.transform(c, lambda e: e["lemma"]), ";")
+    merged = T.merge_lemma(F.array(entry(F.col("word")), entry(F.lit("b"))), entry(F.when(F.length("word") % 2 == 0, F.upper("word")).otherwise("c")))
+    return fx.dictionary().select("word", merged.alias("m")).select("word", names(F.col("m")).alias("merged"), names(T.remove_lemma(F.col("m"), F.lit(" B "))).alias("removed"), names(T.remove_lemma(T.remove_lemma(F.col("m"), F.col("word")), F.lit("absent"))).alias("other"))
 
 
 @query("""SELECT job_id, seq, CASE WHEN d <= 0 THEN 0 ELSE greatest(0, least(100, CAST(floor(100 * e / nullif(d, 0)) AS INTEGER))) END AS pct FROM (SELECT job_id, seq, CAST(pct AS DOUBLE) AS e, CAST(seq % 50 AS DOUBLE) AS d FROM fx_log)""")
@@ -341,10 +406,10 @@ def f21_progress_pct(fx):
     return fx.log().select("job_id", "seq", T.progress_pct(F.col("pct").cast("double"), (F.col("seq") % 50).cast("double")).alias("pct"))
 
 
-@query("SELECT rec_id, word_ix, try_cast(CASE WHEN word_ix % 3 = 0 THEN '' WHEN word_ix % 3 = 1 THEN CAST(word_ix AS VARCHAR) || '.5' ELSE word END AS DOUBLE) AS t FROM fx_words WHERE NOT regexp_matches(word, '^(?i)(nan|inf|infinity)[.,]?$')")
+@query("SELECT rec_id, word_ix, try_cast(CASE WHEN word_ix % 3 = 0 THEN '' WHEN word_ix % 3 = 1 THEN CAST(word_ix AS VARCHAR) || '.5' ELSE word END AS DOUBLE) AS t FROM fx_words")
 def f22_coerce_time(fx):
     x = F.when(F.col("word_ix") % 3 == 0, "").when(F.col("word_ix") % 3 == 1, F.concat(F.col("word_ix").cast("string"), F.lit(".5"))).otherwise(F.col("word"))
-    return fx.words().where(~F.col("word").rlike("^(?i)(nan|inf|infinity)[.,]?$")).select("rec_id", "word_ix", T.coerce_time(x).alias("t"))
+    return fx.words().select("rec_id", "word_ix", T.coerce_time(x).alias("t"))
 
 
 @query("SELECT doc_id, lower(lang) IN ('en', 'english') AS accepted, CASE WHEN lower(lang) NOT IN ('en', 'english') THEN lower(lang) END AS detected FROM documents")
@@ -354,12 +419,16 @@ def p1_language_gate(fx):
 
 @query('SELECT rec_id, count(*) AS n FROM fx_words WHERE "start" < 45 GROUP BY rec_id')
 def p2_probe_prefix(fx):
-    return fx.words().where(F.col("start") < 45.0).groupBy("rec_id").agg(F.count("*").alias("n"))
+    return W.probe_prefix(fx.words()).groupBy("rec_id").agg(F.count("*").alias("n"))
+
+
+_SUFFIX = "CASE p_partkey % 12 WHEN 0 THEN '.wav' WHEN 1 THEN '.M4A' WHEN 2 THEN '.mp3' WHEN 3 THEN '.aac' WHEN 4 THEN '.flac' WHEN 5 THEN '.ogg' WHEN 6 THEN '.caf' WHEN 7 THEN '.aiff' WHEN 8 THEN '.Aif' WHEN 9 THEN '.txt' WHEN 10 THEN '.wav.json' ELSE '' END"
 
 
-@query(_NAMES + " SELECT-> name, suffix(name, '.wav') OR suffix(name, '.m4a') AS supported FROM nm")
+@query(f"SELECT p_partkey, 'rec' || p_partkey || {_SUFFIX} AS name, p_partkey % 12 < 9 AS supported FROM part")
 def p4_supported_suffix(fx):
-    return _names(fx).withColumn("supported", F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1)).isin(*T.SUFFIXES))
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".wav", ".M4A", ".mp3", ".aac", ".flac", ".ogg", ".caf", ".aiff", ".Aif", ".txt", ".wav.json", "")]), (F.col("p_partkey") % 12 + 1).cast("int"))
+    return fx.table("part").select("p_partkey", F.concat(F.lit("rec"), F.col("p_partkey").cast("string"), suffix).alias("name")).withColumn("supported", T.supported_suffix(F.col("name")))
 
 
 @query("""SELECT e.edit_id, w.rec_id, w.word_ix FROM fx_words w JOIN fx_edits e ON w.rec_id = e.rec_id WHERE (w."start" + w."end") / 2 BETWEEN e."start" AND e."end" """)
@@ -367,11 +436,16 @@ def p5_words_in_range(fx):
     return E.words_in_range(fx.words(), fx.edits()).select("edit_id", "rec_id", "word_ix")
 
 
-@query("""SELECT e.edit_id, CASE WHEN e."end" <= e."start" THEN 'empty range' END AS reason, 2.5::DOUBLE AS clip_start, least(d.duration, e."end" + 1.5) AS clip_end FROM fx_edits e JOIN (SELECT rec_id, max("end") + 30 AS duration FROM fx_turns GROUP BY rec_id) d ON e.rec_id = d.rec_id""")
+@query(""" ed AS (SELECT rec_id, CASE rec_id % 5 WHEN 1 THEN NULL WHEN 4 THEN 5000.0::DOUBLE ELSE 4.0::DOUBLE END AS s, CASE rec_id % 5 WHEN 2 THEN 2.0::DOUBLE WHEN 3 THEN 400.0::DOUBLE WHEN 4 THEN 5010.0::DOUBLE ELSE 20.0::DOUBLE END AS e, CASE WHEN rec_id % 2 = 0 THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END AS pad FROM (SELECT DISTINCT rec_id FROM fx_turns)),
+dr AS (SELECT rec_id, max("end") + 30 AS duration FROM fx_turns GROUP BY rec_id)
+SELECT-> ed.rec_id, CASE rec_id % 5 WHEN 1 THEN 'not a number' WHEN 2 THEN 'empty range' WHEN 3 THEN 'too long' WHEN 4 THEN 'empty clip' END AS reason, CASE WHEN s IS NULL THEN 0.0 ELSE greatest(0.0, s - pad) END AS clip_start, least(duration, e + pad) AS clip_end FROM ed JOIN dr USING (rec_id)""")
 def p7_validate_edits(fx):
     durations = fx.turns().groupBy("rec_id").agg((F.max("end") + 30).alias("duration"))
-    edits = fx.edits().withColumns({c: F.col(c).cast("string") for c in ("start", "end", "padding")})
-    return E.validate_edits(edits, durations).select("edit_id", "reason", "clip_start", "clip_end")
+    kind = F.col("rec_id") % 5
+    edits = fx.turns().select("rec_id").distinct().select(
+        "rec_id", F.when(kind == 1, "soon").when(kind == 4, "5000").otherwise("4").alias("start"), F.when(kind == 2, "2").when(kind == 3, "400").when(kind == 4, "5010").otherwise("20.0").alias("end"), F.when(F.col("rec_id") % 2 == 0, "1.5").otherwise("-3").alias("padding")
+    )
+    return E.validate_edits(edits, durations).select("rec_id", "reason", "clip_start", "clip_end")
 
 
 @query('SELECT rec_id, word_ix, "start" + 12.5::DOUBLE AS "start", "end" + 12.5::DOUBLE AS "end" FROM fx_words')
@@ -393,36 +467,78 @@ def u1_splice_turns(fx):
     return E.splice_turns(fx.turns(), _fresh(fx), fx.edits()).select("rec_id", "turn_ix", "start", "end", "text")
 
 
-@query()
+_U2 = """ ed AS (SELECT 'a' || rec_id AS edit_id, rec_id, 4.0::DOUBLE AS s, 8.0::DOUBLE AS e FROM (SELECT DISTINCT rec_id FROM fx_turns) UNION ALL SELECT 'b' || rec_id, rec_id, 8.0::DOUBLE, 12.0::DOUBLE FROM (SELECT DISTINCT rec_id FROM fx_turns)),
+kw AS (SELECT edit_id, w.rec_id, w.word_ix, w.word, w."start", w."end" FROM fx_words w JOIN ed ON w.rec_id = ed.rec_id AND (w."start" + w."end") / 2 >= s AND ((w."start" + w."end") / 2 < e OR (e = 12 AND (w."start" + w."end") / 2 = e))),
+pr AS (SELECT k.*, g.speaker, row_number() OVER (PARTITION BY k.rec_id, k.word_ix ORDER BY greatest(0, least(k."end", g."end") - greatest(k."start", g."start")) DESC, CASE WHEN least(k."end", g."end") - greatest(k."start", g."start") > 0 THEN 0 ELSE abs((k."start" + k."end") / 2 - (g."start" + g."end") / 2) END, g.turn_ix) AS r FROM kw k JOIN fx_turns g ON k.rec_id = g.rec_id),
+fl AS (SELECT *, CASE WHEN lag(speaker) OVER w <> speaker OR "start" - lag("end") OVER w > 0.8 THEN 1 ELSE 0 END AS fresh FROM pr WHERE r = 1 WINDOW w AS (PARTITION BY edit_id ORDER BY "start", "end", word_ix)),
+tn AS (SELECT *, sum(fresh) OVER (PARTITION BY edit_id ORDER BY "start", "end", word_ix) AS t, regexp_matches(word, '[.!?。！？]["''”’)\\]]*$') AS closes FROM fl),
+sx AS (SELECT *, coalesce(sum(CAST(closes AS INTEGER)) OVER (PARTITION BY edit_id, t ORDER BY "start", "end", word_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM tn),
+ch AS (SELECT *, CASE WHEN max(sentence) OVER (PARTITION BY edit_id, t) < 3 THEN 0 ELSE sentence // 3 END AS part, max(sentence) OVER (PARTITION BY edit_id, t) < 3 AS whole FROM sx),
+nt AS (SELECT edit_id, any_value(rec_id) AS rec_id, t, part, any_value(speaker) AS speaker, arg_min("start", word_ix) AS "start", arg_max("end", word_ix) AS "end", any_value(whole) AS whole,
+       regexp_replace(string_agg(CASE WHEN regexp_matches(word, '^[,.;:!?]') THEN word ELSE ' ' || word END, '' ORDER BY word_ix), '^ +', '') AS text FROM ch GROUP BY edit_id, t, part)"""
+
+
+def _touching(fx) -> tuple[DataFrame, DataFrame]:
+    """Two touching edits with padding for each recording, and the words of their clips in clip time."""
+    r = fx.turns().select("rec_id").distinct()
+    edit = lambda name, s: r.select(F.concat(F.lit(name), F.col("rec_id").cast("string")).alias("edit_id"), "rec_id", F.lit(s).alias("start"), F.lit(s + 4.0).alias("end"), F.lit(1.5).alias("padding"))
+    edits = edit("a", 4.0).unionAll(edit("b", 8.0))
+    e = edits.select("edit_id", "rec_id", (F.col("start") - 1.5).alias("offset"), (F.col("end") + 1.5).alias("until"))
+    w = fx.words().join(e, "rec_id").where("end > offset and start < until")
+    return edits, w.select("edit_id", "rec_id", "word_ix", "word", (F.col("start") - F.col("offset")).alias("start"), (F.col("end") - F.col("offset")).alias("end"), "offset")
+
+
+@query((_U2 + """,
+al AS (SELECT rec_id, speaker, "start", "end", CASE WHEN whole THEN PUNCT ELSE text END AS text, 1 AS is_new, edit_id || printf('%09d', CAST(t * 1000 + part AS INTEGER)) AS o FROM nt
+  UNION ALL SELECT rec_id, speaker, "start", "end", text, 0, printf('%09d', turn_ix) FROM fx_turns t WHERE NOT EXISTS (SELECT 1 FROM ed JOIN nt ON ed.edit_id = nt.edit_id WHERE ed.rec_id = t.rec_id AND least(t."end", ed.e) - greatest(t."start", ed.s) > 0))
+SELECT-> rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY "start", "end", is_new, o) - 1 AS INTEGER) AS turn_ix, speaker, "start", "end", text FROM al""").replace("PUNCT", _PUNCT.format("text")))
 def u2_apply_range_edits(fx):
-    clips = fx.words().join(fx.edits().select("edit_id", "rec_id"), "rec_id").withColumn("offset", F.lit(0.0)).select("edit_id", "rec_id", "word_ix", "word", "start", "end", "offset")
-    return E.apply_range_edits(fx.turns(), clips, fx.edits()).select("rec_id", "turn_ix", "speaker", "start", "end", "text")
+    edits, clips = _touching(fx)
+    return E.apply_range_edits(fx.turns(), clips, edits)[0].select("rec_id", "turn_ix", "speaker", "start", "end", "text")
+
 
+@query(_U2 + """, bad AS (SELECT 'c' || rec_id AS edit_id, rec_id, CASE WHEN rec_id % 2 = 0 THEN 'overlaps another edit' ELSE 'empty range' END AS reason FROM (SELECT DISTINCT rec_id FROM fx_turns)),
+al AS (SELECT ed.edit_id, ed.rec_id, (SELECT count(*) FROM nt WHERE nt.edit_id = ed.edit_id) AS new_turns, (SELECT count(*) FROM kw WHERE kw.edit_id = ed.edit_id) AS kept_words, (SELECT count(*) FROM fx_turns t WHERE t.rec_id = ed.rec_id AND least(t."end", ed.e) - greatest(t."start", ed.s) > 0) AS hit FROM ed)
+SELECT-> edit_id, rec_id, CASE WHEN kept_words = 0 THEN 'no words' END AS reason, CASE WHEN kept_words = 0 THEN 0 ELSE hit END AS replaced_turns, new_turns, kept_words, CASE WHEN kept_words = 0 THEN 'rejected' ELSE 'applied' END AS status FROM al
+UNION ALL SELECT edit_id, rec_id, reason, 0, 0, 0, 'rejected' FROM bad""")
+def u2_a6_edit_report(fx):
+    edits, clips = _touching(fx)
+    bad = edits.where(F.col("start") == 8).select(F.concat(F.lit("c"), F.col("rec_id").cast("string")).alias("edit_id"), "rec_id", F.when(F.col("rec_id") % 2 == 0, 10.0).otherwise(20.0).alias("start"), F.when(F.col("rec_id") % 2 == 0, 14.0).otherwise(20.0).alias("end"), "padding")
+    return E.apply_range_edits(fx.turns(), clips, edits.unionAll(bad))[1]
 
-@query("""SELECT rec_id, count(*) AS n_turns FROM fx_turns WHERE rec_id % 2 = 0 GROUP BY rec_id UNION ALL SELECT DISTINCT rec_id, -1 FROM fx_turns WHERE rec_id % 2 = 1""")
+
+@query("""SELECT rec_id, CAST(turn_ix AS INTEGER) AS turn_ix, text, NULL AS error FROM fx_turns WHERE rec_id % 3 = 0 UNION ALL SELECT DISTINCT rec_id, NULL, NULL, 'nothing to restore' FROM fx_turns WHERE rec_id % 3 <> 0""")
 def u3_restore_version(fx):
     turns = fx.turns().groupBy("rec_id").agg(F.collect_list(F.struct("turn_ix", "text")).alias("turns"))
-    old = turns.where("rec_id % 2 = 0").withColumn("version", F.lit(1))
-    versions = old.unionByName(turns.withColumn("turns", F.slice("turns", 1, 1)).withColumn("version", F.lit(2)))
-    out = E.restore_version(versions, turns.select("rec_id", F.lit(2).alias("current")))
-    return out.select("rec_id", F.when(F.col("error").isNull(), F.size("turns")).otherwise(-1).cast("long").alias("n_turns"))
+    # the version before the current one; an older one, one that has no turns, and one above are not taken
+    version = lambda keep, n, v: turns.where(keep).withColumn("turns", F.slice("turns", 1, n)).withColumn("version", F.lit(v))
+    versions = version("rec_id % 3 = 0", 1, 1).unionAll(version("rec_id % 3 = 0", 100_000, 2)).unionAll(version("rec_id % 3 = 1", 0, 2)).unionAll(version("true", 1, 3)).unionAll(version("true", 1, 4))
+    out = E.restore_version(versions, turns.select("rec_id", F.lit(3).alias("current")))
+    return out.select("rec_id", "error", F.explode_outer("turns").alias("t")).select("rec_id", "t.turn_ix", "t.text", "error")
 
 
-@query("""SELECT e.edit_id, (SELECT count(*) FROM fx_turns t WHERE t.rec_id = e.rec_id AND least(t."end", e."end") - greatest(t."start", e."start") > 0) AS replaced_turns,
- (SELECT count(*) FROM fx_words w WHERE w.rec_id = e.rec_id AND (w."start" + w."end") / 2 BETWEEN e."start" AND e."end") AS kept_words FROM fx_edits e""")
+@query("""SELECT e.edit_id, e.rec_id, (SELECT count(*) FROM fx_turns t WHERE t.rec_id = e.rec_id AND least(t."end", e."end") - greatest(t."start", e."start") > 0) AS replaced_turns,
+ (SELECT count(*) FROM fx_turns t WHERE t.turn_ix = 1 AND t.rec_id = e.rec_id AND least(t."end" - 0.5, e."end") - greatest(t."start" + 0.5, e."start") > 0) AS new_turns,
+ (SELECT count(*) FROM fx_words w WHERE w.rec_id = e.rec_id AND (w."start" + w."end") / 2 BETWEEN e."start" AND e."end") AS kept_words,
+ CASE WHEN EXISTS (SELECT 1 FROM fx_words w WHERE w.rec_id = e.rec_id AND (w."start" + w."end") / 2 BETWEEN e."start" AND e."end") THEN 'applied' ELSE 'rejected' END AS status FROM fx_edits e""")
 def a6_edit_report(fx):
-    return E.edit_report(fx.turns(), _fresh(fx), E.words_in_range(fx.words(), fx.edits()), fx.edits()).select("edit_id", "replaced_turns", "kept_words")
+    return E.edit_report(fx.turns(), _fresh(fx), E.words_in_range(fx.words(), fx.edits()), fx.edits())
+
 
+_RESCRUBBED = " rz AS (SELECT rec_id, turn_ix, text, " + _STRAY + " AS z FROM fx_turns), rs AS (SELECT *, turn_ix % 4 = 1 AS known, CASE WHEN turn_ix % 4 = 1 THEN '嗯。謝謝。' ELSE " + _SCRUB.format("z") + r" END AS n, contains(z, '樓盤') OR contains(z, '搜尋結果') AS stray, trim(text, E' \n\t\r') <> '' AS spoken FROM rz)"
 
-@query("SELECT rec_id, turn_ix, CASE WHEN turn_ix % 4 = 1 THEN '嗯。謝謝。' ELSE " + _SCRUB.format("z") + " END AS text_zh FROM (SELECT rec_id, turn_ix, " + _STRAY + " AS z FROM fx_turns)")
+
+@query(_RESCRUBBED + " SELECT-> rec_id, turn_ix, n AS text_zh, n <> z AS changed, NOT known AND stray AND spoken AS to_translate FROM rs")
 def u7_rescrub(fx):
-    return E.rescrub(_stray(fx)).select("rec_id", "turn_ix", "text_zh")
+    return E.rescrub(_stray(fx)).select("rec_id", "turn_ix", "text_zh", "changed", "to_translate")
 
 
-@query("""SELECT rec_id, CAST(count(*) FILTER (WHERE turn_ix % 3 <> 2 OR turn_ix % 4 = 1) AS BIGINT) AS candidates, CAST(0 AS BIGINT) AS remaining FROM fx_turns GROUP BY rec_id""")
+@query(_RESCRUBBED + """ SELECT-> rec_id, count(*) FILTER (WHERE stray OR known) AS candidates, count(*) FILTER (WHERE CASE WHEN turn_ix % 5 = 0 THEN z ELSE n END <> z) AS changed, count(*) FILTER (WHERE contains(CASE WHEN turn_ix % 5 = 0 THEN z ELSE n END, '樓盤')) AS remaining FROM rs GROUP BY rec_id""")
 def a5_scrub_report(fx):
     before = _stray(fx)
-    return E.scrub_report(before, E.rescrub(before)).select("rec_id", "candidates", "remaining")
+    after = E.rescrub(before).join(before.select("rec_id", "turn_ix", F.col("text_zh").alias("old")), ["rec_id", "turn_ix"])
+    # some turns are left as they were, so that something remains
+    return E.scrub_report(before, after.withColumn("text_zh", F.when(F.col("turn_ix") % 5 == 0, F.col("old")).otherwise(F.col("text_zh"))))
 
 
 _CUE = """CAST(row_number() OVER (PARTITION BY rec_id ORDER BY turn_ix) AS VARCHAR)"""
@@ -445,18 +561,20 @@ def k4_markdown(fx):
     return R.render_markdown(fx.turns(), fx.turns().select("rec_id", F.lit("en").alias("language")).distinct())
 
 
-@query("SELECT rec_id, CAST(count(*) AS INTEGER) AS n_turns, TRUE AS bilingual FROM fx_turns GROUP BY rec_id")
+@query(" pd AS (SELECT rec_id, turn_ix, speaker, \"start\", \"end\", " + _PUNCT.format("text") + r""" AS text, trim(text_zh, E' \n\t\r') AS text_zh FROM fx_turns), dt AS (SELECT rec_id, trim(string_agg(trim(text, E' \n\t\r'), ' ' ORDER BY turn_ix), E' \n\t\r') AS doc_text FROM pd GROUP BY rec_id)
+SELECT-> pd.rec_id, 'en' AS language, TRUE AS bilingual, doc_text, turn_ix, speaker, "start", "end", text, text_zh FROM pd JOIN dt ON pd.rec_id = dt.rec_id""")
 def k1_transcript_docs(fx):
-    return R.to_transcript_docs(fx.turns(), fx.turns().select("rec_id", F.lit("en").alias("language")).distinct()).select("rec_id", F.size("turns").alias("n_turns"), "bilingual")
+    d = R.to_transcript_docs(fx.turns(), fx.turns().select("rec_id", F.lit("en").alias("language")).distinct())
+    return d.select("rec_id", "language", "bilingual", F.col("text").alias("doc_text"), F.explode("turns").alias("t")).select("rec_id", "language", "bilingual", "doc_text", "t.*")
 
 
 def _notes(fx) -> DataFrame:
-    t = fx.turns().where("speaker = 'user' and turn_ix < 4")
+    t = fx.turns().where("speaker = 'user'")
     first = F.transform(F.slice(F.split("text", "[ \n\t]+"), 1, 2), lambda w: F.struct(w.alias("lemma"), F.lit("").alias("phonetic"), F.array(F.struct(F.lit("n").alias("pos"), F.lit("").alias("zh"), w.alias("en"), F.lit("").alias("example"))).alias("senses"), F.lit("x").alias("source")))
     return t.select("rec_id", F.concat(F.col("rec_id").cast("string"), F.lit("-"), F.col("turn_ix").cast("string")).alias("id"), F.lit("w").alias("word"), F.col("text").alias("text_en"), F.lit("").alias("text_zh"), F.when(F.col("turn_ix") == 2, None).otherwise(F.col("start")).alias("start"), F.lit(None).cast("double").alias("end"), F.lit("manual").alias("source"), (100.0 + F.col("turn_ix")).alias("created_at"), F.lit(None).cast("double").alias("updated_at"), first.alias("lemmas"), F.lit(None).cast(T.LEMMA_ENTRY).alias("dict"))
 
 
-_NOTES = " nt AS (SELECT rec_id, rec_id || '-' || turn_ix AS id, turn_ix, text, CASE WHEN turn_ix <> 2 THEN \"start\" END AS \"start\", string_split_regex(text, '[ \\n\\t]+') AS w FROM fx_turns WHERE speaker = 'user' AND turn_ix < 4)"
+_NOTES = " nt AS (SELECT rec_id, rec_id || '-' || turn_ix AS id, turn_ix, text, CASE WHEN turn_ix <> 2 THEN \"start\" END AS \"start\", string_split_regex(text, '[ \\n\\t]+') AS w FROM fx_turns WHERE speaker = 'user')"
 
 
 @query(_NOTES + ' SELECT-> rec_id, id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY "start" IS NULL, coalesce("start", 0), turn_ix) - 1 AS INTEGER) AS note_ix FROM nt')
@@ -464,25 +582,53 @@ def l3_note_order(fx):
     return E.note_order(_notes(fx)).select("rec_id", "id", "note_ix")
 
 
-@query(_NOTES + r""" SELECT-> CAST(rec_id AS VARCHAR) AS stem, id, array_to_string(list_filter(CASE WHEN lower(trim(w[1])) = lower(trim(coalesce(w[2], ''))) THEN [w[1]] ELSE [w[1], w[2]] END, lambda x: x IS NOT NULL AND x <> ''), '; ') AS dict_lemma, coalesce(CAST("start" AS VARCHAR), '') AS "start" FROM nt""")
+@query(_NOTES + r""", nl AS (SELECT *, list_filter(CASE WHEN lower(trim(w[1])) = lower(trim(coalesce(w[2], ''))) THEN [w[1]] ELSE [w[1], w[2]] END, lambda x: x IS NOT NULL AND x <> '') AS l FROM nt), ne AS (SELECT *, CASE WHEN len(l) > 0 THEN l ELSE ['w'] END AS lemmas, len(l) > 0 AS own FROM nl)
+SELECT-> CAST(rec_id AS VARCHAR) AS stem, 'w' AS word, text AS text_en, '' AS text_zh, array_to_string(lemmas, '; ') AS dict_lemma, CASE WHEN own THEN array_to_string(lemmas, ' | ') ELSE '' END AS dict_gloss,
+  coalesce(CAST("start" AS VARCHAR), '') AS "start", '' AS "end", 'manual' AS source, CAST(100.0::DOUBLE + turn_ix AS VARCHAR) AS created_at FROM ne""")
 def k5_notes_csv(fx):
-    n = _notes(fx).withColumn("source", F.col("id"))
-    return R.notes_csv(n).select("stem", F.col("source").alias("id"), "dict_lemma", "start")
+    return R.notes_csv(_notes(fx))
+
+
+def _note_changes(fx) -> DataFrame:
+    """For the first note of a recording two changes and one that fails, a new note with a word
+    and a second change of it, a change of no note, and one without texts."""
+    r = _notes(fx).groupBy("rec_id").agg(F.min(F.struct("created_at", "id")).alias("m")).select("rec_id", F.col("m.id").alias("first"))
+    new = F.concat(F.lit("new-"), F.col("rec_id").cast("string"))
 
+    def change(n, id_, en, start, remove="", word=""):
+        own = new if n == 3 else F.concat(F.lit(f"c{n}-"), F.col("rec_id").cast("string"))
+        return r.select(
+            "rec_id", own.alias("change_id"), id_.alias("id"), F.lit(word).alias("word"), F.lit(en).alias("text_en"), F.lit("").alias("text_zh"), F.lit(start).alias("start"), F.lit("").alias("end"), F.lit("").alias("source"),
+            F.lit(None).cast(T.LEMMA_ENTRY).alias("dict"), F.lit(False).alias("has_dict"), F.lit(remove).alias("remove_lemma"), F.lit(200.0 + n).alias("now"),
+        )
 
-@query(_NOTES + """ SELECT-> rec_id, id, CASE WHEN turn_ix = 0 THEN 'changed' ELSE text END AS text_en FROM nt UNION ALL SELECT DISTINCT rec_id, 'new-' || rec_id, 'added' FROM nt""")
+    none = F.lit(None).cast("string")
+    parts = [change(2, F.col("first"), "twice", "2.5", word="other"), change(1, F.col("first"), "once", "1.5"), change(4, F.col("first"), "never", "9", remove="no such word"), change(3, none, "added", "x", word="Apple"), change(5, new, "added again", "7"), change(6, F.lit("absent"), "lost", "1"), change(7, none, "  ", "1")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+@query(_NOTES + r""", nf AS (SELECT rec_id, arg_min(id, turn_ix) AS first FROM nt GROUP BY rec_id)
+SELECT-> nt.rec_id, nt.id, CASE WHEN id = first THEN 'other' ELSE 'w' END AS word, CASE WHEN id = first THEN 'twice' ELSE text END AS text_en, CASE WHEN id = first THEN 2.5::DOUBLE ELSE "start" END AS "start", 'manual' AS source, 100.0::DOUBLE + turn_ix AS created_at, CASE WHEN id = first THEN 202.0::DOUBLE END AS updated_at FROM nt JOIN nf ON nt.rec_id = nf.rec_id
+UNION ALL SELECT rec_id, 'new-' || rec_id, 'Apple', 'added again', 7.0::DOUBLE, 'manual', 203.0::DOUBLE, 205.0::DOUBLE FROM nf""")
 def u4_upsert_notes(fx):
-    n = _notes(fx)
-    base = dict(word=F.lit(""), text_zh=F.lit(""), start=F.lit("1.5"), end=F.lit(""), source=F.lit(""), dict=F.lit(None).cast(T.LEMMA_ENTRY), has_dict=F.lit(False), remove_lemma=F.lit(""), now=F.lit(200.0))
-    old = n.where(F.col("id").endswith("-0")).select("rec_id", F.lit(None).cast("string").alias("change_id"), "id", F.lit("changed").alias("text_en"), *[v.alias(k) for k, v in base.items()])
-    new = n.select("rec_id").distinct().select("rec_id", F.concat(F.lit("new-"), F.col("rec_id").cast("string")).alias("change_id"), F.lit(None).cast("string").alias("id"), F.lit("added").alias("text_en"), *[v.alias(k) for k, v in base.items()])
-    return E.upsert_notes(n, old.unionByName(new)).where("error is null").select("rec_id", "id", "text_en")
+    return E.upsert_notes(_notes(fx), _note_changes(fx))[0].select("rec_id", "id", "word", "text_en", "start", "source", "created_at", "updated_at")
+
 
+@query(_NOTES + """, nf AS (SELECT rec_id, arg_min(id, turn_ix) AS first FROM nt GROUP BY rec_id)
+SELECT-> rec_id, first AS id, 'c4-' || rec_id AS change_id, 'no such lemma' AS error FROM nf UNION ALL SELECT rec_id, 'absent', 'c6-' || rec_id, 'unknown note' FROM nf UNION ALL SELECT rec_id, 'c7-' || rec_id, 'c7-' || rec_id, 'no text' FROM nf""")
+def u4_failed_changes(fx):
+    return E.upsert_notes(_notes(fx), _note_changes(fx))[1]
 
-@query(_NOTES + " SELECT-> rec_id, id FROM nt WHERE turn_ix <> 0")
+
+@query(_NOTES + " SELECT-> rec_id, id, 'left' AS what FROM nt WHERE turn_ix <> 0 UNION ALL SELECT DISTINCT rec_id, 'absent-' || rec_id, 'missed' FROM nt")
 def u5_delete_notes(fx):
     n = _notes(fx)
-    return E.delete_notes(n, n.where(F.col("id").endswith("-0")).select("rec_id", "id"))[0].select("rec_id", "id")
+    ids = n.where(F.col("id").endswith("-0")).select("rec_id", "id").unionAll(n.select("rec_id", F.concat(F.lit("absent-"), F.col("rec_id").cast("string"))).distinct())
+    left, missed = E.delete_notes(n, ids)
+    return left.select("rec_id", "id", F.lit("left").alias("what")).unionAll(missed.select("rec_id", "id", F.lit("missed")))
 
 
 @query("""SELECT job_id, seq, line FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS r FROM fx_log) WHERE r <= 5""")
@@ -495,11 +641,11 @@ def l5_trim_cache(fx):
     return E.trim_cache(fx.table("events").select(F.col("event_id").cast("string").alias("lemma"), F.col("event_id").alias("inserted_seq"))).select("inserted_seq")
 
 
-@query(""" ca AS (SELECT 'u' || user_id AS lemma, min(event_id) AS s FROM events GROUP BY user_id) SELECT-> lemma, s AS inserted_seq FROM ca ORDER BY s DESC, lemma LIMIT 2000""")
+@query(""" ca AS (SELECT 'u' || user_id AS lemma, min(event_id) AS s FROM events GROUP BY user_id) SELECT-> lemma, s AS inserted_seq, CASE WHEN s % 2 = 0 THEN 'new' ELSE 'old' END AS entry FROM ca ORDER BY s DESC, lemma LIMIT 2000""")
 def u8_upsert_cache(fx):
     rows = fx.table("events").groupBy("user_id").agg(F.min("event_id").alias("inserted_seq")).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("lemma"), F.struct(F.lit("old").alias("v")).alias("entry"), "inserted_seq")
     found = rows.where("inserted_seq % 2 = 0").withColumn("entry", F.struct(F.lit("new").alias("v"))).withColumn("inserted_seq", F.col("inserted_seq") + 1_000_000_000)
-    return E.upsert_cache(rows, found).select("lemma", "inserted_seq")
+    return E.upsert_cache(rows, found).select("lemma", "inserted_seq", F.col("entry.v").alias("entry"))
 
 
 @query(""" pr AS (SELECT *, max(pct) OVER w AS m, max(pct // 5) OVER w AS f FROM fx_log WINDOW w AS (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT-> job_id, seq, (m IS NULL OR pct // 5 > f OR (pct >= 100 AND m < 100)) AS emit FROM pr""")
@@ -507,6 +653,12 @@ def w6_throttle_progress(fx):
     return E.throttle_progress(fx.log()).select("job_id", "seq", "emit")
 
 
+@query("""SELECT job_id, max(seq) + 1 AS seq, CAST(100 AS INTEGER) AS pct FROM fx_log WHERE job_id % 3 <> 0 GROUP BY job_id HAVING max(pct) < 100""")
+def w6_closing_ticks(fx):
+    jobs = fx.log().select("job_id", F.when(F.col("job_id") % 3 == 0, 0.0).otherwise(60.0).alias("duration")).distinct()
+    return E.closing_ticks(fx.log(), jobs)
+
+
 # --------------------------------------------------------------------------- signals
 
 
@@ -522,10 +674,10 @@ def m2_resample(fx):
     return S.resample_linear(fx.series(), 2, 3).select("series_id", "i", _r6("value"))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) / list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 6) AS norm FROM embeddings")
+@query("""SELECT vec_id, CAST(d - 1 AS INTEGER) AS d, round(v[d] / n, 6) AS x FROM (SELECT vec_id, embedding AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n, unnest(range(1, len(embedding) + 1)) AS d FROM embeddings)""")
 def m3_l2_normalize(fx):
     v = S.l2_normalize(F.col("embedding").cast("array<double>"))
-    return fx.table("embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"))
+    return fx.table("embeddings").select("vec_id", F.posexplode(v).alias("d", "x")).select("vec_id", "d", _r6("x"))
 
 
 @query(""" sz AS (SELECT series_id, max(i) + 1 AS n FROM fx_series GROUP BY series_id), wn AS (SELECT *, unnest(range(0, (greatest(1, n - 30 + 1) - 1) // 15 + 1)) AS win_ix FROM sz)
@@ -554,6 +706,6 @@ def m5_k_floor(fx):
     return fx.table("part").select("p_partkey", S.k_floor(F.col("p_size") % 5, (F.col("p_partkey") % 10).cast("int"), 2).alias("k"))
 
 
-@query()
+@query("SELECT rec_id, win_ix, CAST(k AS INTEGER) AS k, TRUE AS in_range FROM fx_windows, (VALUES (2), (3)) t(k)")
 def m6_cluster_windows(fx):
-    return S.cluster_windows(fx.windows(), [2, 3]).select("rec_id", "win_ix", "k", "label")
+    return S.cluster_windows(fx.windows(), [2, 3]).select("rec_id", "win_ix", "k", F.col("label").between(0, F.col("k") - 1).alias("in_range"))

@@ -39,13 +39,17 @@ def explode_turns(docs: DataFrame) -> DataFrame:
 
 def read_asr(spark: SparkSession, path: str) -> DataFrame:
     """Recogniser results; without segments the text, if any, is one segment at 0."""
-    df = _json(spark, path, ASR)
+    return asr_segments(_json(spark, path, ASR)).withColumn("rec_id", F.regexp_replace("file_name", r"(\.whisper)?\.json$", ""))
+
+
+def asr_segments(df: DataFrame) -> DataFrame:
+    """Recogniser documents whose text is one segment at 0 where they have no segments; language in lower case, ``en`` if blank."""
     segments = dict(df.dtypes)["segments"]
     one = F.array(F.struct(F.lit(0.0).alias("start"), F.lit(0.0).alias("end"), F.col("text"), F.array().cast(f"array<{WORD}>").alias("words"))).cast(segments)
     none = F.coalesce(F.size("segments"), F.lit(0)) <= 0
     df = df.withColumn("segments", F.when(none & (strip(F.coalesce("text", F.lit(""))) != ""), one).otherwise(F.coalesce("segments", F.array().cast(segments))))
     lang = F.lower(strip(F.coalesce("language", F.lit(""))))
-    return df.withColumn("language", F.when(lang == "", "en").otherwise(lang)).withColumn("rec_id", F.regexp_replace("file_name", r"(\.whisper)?\.json$", ""))
+    return df.withColumn("language", F.when(lang == "", "en").otherwise(lang))
 
 
 def read_speaker_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -68,11 +72,23 @@ def read_dictionary(spark: SparkSession, path: str, format: str = "parquet") ->
     return df.withColumn("key", F.lower("word"))
 
 
-def scan_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """Recording files by lower-cased name; contents are not read."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+def scan_recordings(spark: SparkSession, path: str, workdir: str | None = None) -> DataFrame:
+    """Recording files with their ``priority``: WAVs directly in ``workdir`` (0), then files directly
+    in ``path`` by kind (WAV 1, M4A 2, MP3 3), then all others (9); within it by lower-cased name.
+    A ``recording.wav`` directly in ``path`` is left out. Contents are not read."""
+    files = lambda p: spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p).select("path", "length")
+    df = files(path)
+    if workdir is not None and not f"{workdir.rstrip('/')}/".startswith(f"{path.rstrip('/')}/"):
+        df = df.unionAll(files(workdir))
+    plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+    folder = plain(F.url_decode(F.regexp_replace("path", "/[^/]*$", "")))
+    inside = lambda p: folder == plain(F.lit(p.rstrip("/")))
     df = df.withColumn("name", F.url_decode(F.element_at(F.split("path", "/"), -1))).withColumn("suffix", F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1)))
-    return df.where(F.col("suffix").isin(*SUFFIXES)).where("name <> 'recording.wav'").withColumn("rec_id", media_stem("name")).orderBy(F.lower("name"))
+    df = df.where(F.col("suffix").isin(*SUFFIXES)).where(~(inside(path) & (F.col("name") == "recording.wav")))
+    worked = inside(workdir) & (F.col("suffix") == ".wav") if workdir is not None else F.lit(False)
+    kinds = F.when(F.col("suffix") == ".wav", 1).when(F.col("suffix") == ".m4a", 2).when(F.col("suffix") == ".mp3", 3).otherwise(9)
+    priority = F.when(worked, 0).when(inside(path), kinds).otherwise(9)
+    return df.withColumn("rec_id", media_stem("name")).withColumn("priority", priority).orderBy("priority", F.lower("name"), "path")
 
 
 def wav_header_audit(files: DataFrame) -> DataFrame:
@@ -83,16 +99,20 @@ def wav_header_audit(files: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason).drop("content")
 
 
-def checkpoint_stage(spark: SparkSession, path: str, compute: Callable[[DataFrame | None], DataFrame], inputs: DataFrame | None = None, key: str = "rec_id") -> DataFrame:
-    """A stage's rows, computed once: a finished table is read, and only inputs whose key it lacks are computed and appended."""
-    from py4j.protocol import Py4JJavaError
-    from pyspark.errors import AnalysisException
+def _finished(spark: SparkSession, path: str) -> bool:
+    """Whether the job that wrote a folder came to its end: Spark leaves ``_SUCCESS`` then."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file)
 
-    try:
-        done = spark.read.parquet(path)
-    except (AnalysisException, Py4JJavaError):
+
+def checkpoint_stage(spark: SparkSession, path: str, compute: Callable[[DataFrame | None], DataFrame], inputs: DataFrame | None = None, key: str = "rec_id") -> DataFrame:
+    """A stage's rows, computed once: a finished table is read, and only inputs whose key it
+    lacks are computed and appended. A folder without ``_SUCCESS`` is written anew; an error
+    in reading a finished one is raised and nothing is overwritten."""
+    if not _finished(spark, path):
         compute(inputs).write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
+    done = spark.read.parquet(path)
     if inputs is not None:
         missing = inputs.join(done.select(key).distinct(), key, "left_anti")
         if not missing.isEmpty():

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import media_stem
-from colloquy.operators.turns import collect_words, make_turns, normalize_asr
-from colloquy.sources.files import ASR
+from colloquy.operators.turns import collect_words, make_turns, normalize_asr, split_turns
+from colloquy.sources.files import ASR, asr_segments
 
 
 def stream_ingest(spark: SparkSession, in_dir: str, out: str, checkpoint: str):
@@ -20,24 +20,27 @@ def stream_ingest(spark: SparkSession, in_dir: str, out: str, checkpoint: str):
     docs = files.withColumn("rec_id", F.regexp_replace(media_stem(name), r"\.whisper$", "")).where("_corrupt_record is null")
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        words = collect_words(normalize_asr(batch)).withColumn("speaker", F.lit(None).cast("string"))
+        words = collect_words(normalize_asr(asr_segments(batch))).withColumn("speaker", F.lit(None).cast("string"))
+        turns = split_turns(make_turns(words).withColumn("text_zh", F.lit("")))
         # a batch that runs again overwrites its own folder
-        make_turns(words).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        turns.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return docs.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).start()
 
 
 def stream_throttle(progress: DataFrame, step: int = 5) -> DataFrame:
-    """Ticks of (job_id, seq, pct) that pass the throttle; the state of a job is its greatest percent."""
+    """Ticks of (job_id, seq, pct) that pass the throttle; the state of a job is its greatest
+    percent. A tick without a percent ends its job: it gives 100 if that was not reached."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         most = state.get[0] if state.exists else -1
         rows = pd.concat(list(frames)).sort_values("seq")
         out = []
         for seq, pct in zip(rows["seq"], rows["pct"]):
+            pct = 100 if pd.isna(pct) else int(pct)
             if most < 0 or pct // step > most // step or (pct >= 100 and most < 100):
-                out.append((key[0], int(seq), int(pct)))
-            most = max(most, int(pct))
+                out.append((key[0], int(seq), pct))
+            most = max(most, pct)
         state.update((most,))
         yield pd.DataFrame(out, columns=["job_id", "seq", "pct"])
 
