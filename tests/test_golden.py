@@ -89,6 +89,108 @@ def test_translation_asks_only_for_misses(spark):
     assert out == {0: "嗯。", 1: "知。<New one.>", 2: "<New one.>"}
 
 
+def test_translation_is_asked_again_once(spark, tmp_path):
+    """An empty or contaminated answer is asked for once more; what the translator fails on stays English and is counted."""
+    turns = spark.createDataFrame([("r", i, t, "") for i, t in enumerate(["Good one.", "Bad one.", "Always bad.", "Empty one.", "Broken one. Good one."])], "rec_id string, turn_ix int, text string, text_zh string")
+    log = tmp_path / "asked"
+
+    def translate(pieces):
+        with open(log, "a") as f:
+            f.writelines(p + "\n" for p in pieces)
+        if "Broken one." in pieces:
+            raise RuntimeError("broken")
+        # the first list failed as a whole, so a piece's second turn is its first answer
+        first = log.read_text().split("\n").count("Bad one.") <= 2
+        answers = {"Good one.": "好的。", "Bad one.": "樓盤" if first else "壞的。", "Always bad.": "這樓盤的。", "Empty one.": ""}
+        return [answers[p] for p in pieces]
+
+    out = {r.turn_ix: (r.text_zh, r.untranslated) for r in X.translate_turns(turns.coalesce(1), None, translate).collect()}
+    assert out == {0: ("好的。", 0), 1: ("壞的。", 0), 2: ("這的。", 0), 3: ("Empty one.", 0), 4: ("Broken one.好的。", 1)}
+
+
+def test_range_edits_take_their_own_clip(spark):
+    """Two touching edits with padding: a word in both clips is taken once, and edits don't share turns."""
+    turns = spark.createDataFrame([("r", 0, "A", 0.0, 2.0, "one.", ""), ("r", 1, "B", 2.0, 4.0, "two.", ""), ("r", 2, "A", 5.0, 6.0, "three.", "")], "rec_id string, turn_ix int, speaker string, start double, end double, text string, text_zh string")
+    edits = spark.createDataFrame([("e1", "r", 0.0, 2.0, 1.0), ("e2", "r", 2.0, 4.0, 1.0), ("e3", "r", 3.0, 4.5, 1.0), ("e4", "r", 9.0, 9.5, 0.0)], "edit_id string, rec_id string, start double, end double, padding double")
+    words = [("e1", 0.5, 1.0, "alpha"), ("e1", 1.75, 2.25, "beta"), ("e1", 2.25, 2.75, "spill"), ("e2", 0.75, 1.25, "beta"), ("e2", 1.25, 1.75, "gamma")]
+    clips = spark.createDataFrame([(e, "r", i, w, s, t, 1.0 if e == "e2" else 0.0) for i, (e, s, t, w) in enumerate(words)], "edit_id string, rec_id string, word_ix int, word string, start double, end double, offset double")
+    after, report = E.apply_range_edits(turns, clips, edits)
+    assert "is_new" not in after.columns
+    assert [(r.speaker, r.text) for r in after.orderBy("turn_ix").collect()] == [("A", "alpha."), ("A", "beta."), ("B", "gamma."), ("A", "three.")]
+    got = {r.edit_id: (r.status, r.reason, r.kept_words) for r in report.collect()}
+    assert got == {"e1": ("applied", None, 1), "e2": ("applied", None, 2), "e3": ("rejected", "overlaps another edit", 0), "e4": ("rejected", "no words", 0)}
+
+
+def test_split_turns_between_words(spark):
+    """Turns with words are cut behind every third sentence, at word times; the last word closes one anyway."""
+    w = [("One.", 0.0, 0.4), ("Two.", 0.5, 0.9), ("Three.", 1.0, 1.4), ("Four", 1.5, 1.8), ("more.", 1.8, 2.0)]
+    words = [{"word": a, "start": b, "end": c} for a, b, c in w]
+    schema = "rec_id string, turn_ix int, speaker string, start double, end double, text string, text_zh string, words array<struct<word:string,start:double,end:double>>"
+    rows = [("r", 0, "A", 0.0, 2.0, "One. Two. Three. Four more.", "一。二。三。四。", words), ("r", 1, "A", 2.0, 3.0, "One. Two. Three.", "", words[:3]), ("r", 2, "A", 3.0, 4.0, "", "", [])]
+    got = [(r.turn_ix, r.part_ix, r.start, r.end, r.text, r.text_zh) for r in W.split_turns(spark.createDataFrame(rows, schema)).orderBy("turn_ix", "part_ix").collect()]
+    assert got == [(0, 0, 0.0, 1.4, "One. Two. Three.", "一。二。三。"), (0, 1, 1.5, 2.0, "Four more.", "四。"), (1, 0, 2.0, 3.0, "One. Two. Three.", ""), (2, 0, 3.0, 4.0, "", "")]
+
+
+def test_note_changes_are_folded(spark):
+    """Lemmas through two changes of one note: merge, then remove; and a note that is made and changed in one batch."""
+    from colloquy.functions.text import LEMMA_ENTRY
+
+    note = "rec_id string, id string, word string, text_en string, text_zh string, start double, end double, source string, created_at double, updated_at double, lemmas array<" + LEMMA_ENTRY + ">, dict " + LEMMA_ENTRY
+    notes = spark.createDataFrame([("r", "n", "Old", "t", "", 1.0, None, "manual", 5.0, None, None, None)], note)
+    change = "rec_id string, change_id string, id string, word string, text_en string, text_zh string, start string, end string, source string, dict " + LEMMA_ENTRY + ", has_dict boolean, remove_lemma string, now double"
+    expensive = {"lemma": "expensive", "phonetic": "", "senses": [], "source": "x"}
+    rows = [
+        ("r", "c1", "n", "", "t1", "", "", "", "", expensive, True, "", 10.0), ("r", "c2", "n", "", "t2", "", "2", "", "", None, False, "EXPENSIVE", 11.0), ("r", "c3", "n", "", "t3", "", "", "", "", None, False, "missing", 12.0),
+        ("r", "m", None, "apple", "u", "", "", "", "", None, False, "", 1.0), ("r", "c5", "m", "", "v", "", "", "", "", expensive, True, "", 2.0),
+    ]
+    after, failed = E.upsert_notes(notes, spark.createDataFrame(rows, change))
+    got = {r.id: (r.word, r.text_en, [e.lemma for e in r.lemmas], r.dict and r.dict.lemma, r.updated_at) for r in after.collect()}
+    assert got == {"n": ("Old", "t2", ["Old"], "Old", 11.0), "m": ("expensive", "v", ["apple", "expensive"], "expensive", 2.0)}
+    assert [(r.id, r.change_id, r.error) for r in failed.collect()] == [("n", "c3", "no such lemma")]
+
+
+def test_clusters_are_the_nearest_centers(spark):
+    rnd = random.Random(3)
+    rows = [(1, i, [rnd.gauss(3 * (i % 2), 1), rnd.gauss(3 * (1 - i % 2), 1), rnd.gauss(0, 1)]) for i in range(80)]
+    out = S.cluster_windows(spark.createDataFrame(rows, "rec_id int, win_ix int, embedding array<double>"), [2, 3]).collect()
+    assert len(out) == 160
+    for k in (2, 3):
+        label = {r.win_ix: r.label for r in out if r.k == k}
+        assert set(label.values()) == set(range(k))
+        unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for _, i, v in rows}
+        center = {c: [sum(unit[i][d] for i in unit if label[i] == c) for d in range(3)] for c in range(k)}
+        center = {c: [x / sum(y * y for y in v) ** 0.5 for x in v] for c, v in center.items()}
+        near = [max(center, key=lambda c: sum(a * b for a, b in zip(unit[i], center[c]))) == label[i] for i in unit]
+        assert sum(near) >= 76
+
+
+def test_notes_and_dictionary_files(spark, tmp_path):
+    d = tmp_path / "notes"
+    d.mkdir()
+    (d / "a.json").write_text(json.dumps({"stem": "a", "notes": [{"id": "1", "text_en": "x", "start": 2.5, "lemmas": [{"lemma": "go", "senses": [{"pos": "v", "zh": "去"}]}]}, {"id": "2"}]}))
+    (d / "b.json").write_text(json.dumps({"notes": [{"id": "3"}]}))
+    for name, text in (("c.json", "{broken"), ("d.json", json.dumps({"stem": "d"})), ("e.json", json.dumps({"stem": "e", "notes": "none"}))):
+        (d / name).write_text(text)
+    got = {(r.rec_id, r.id): r for r in files.read_notes(spark, str(d)).collect()}
+    assert set(got) == {("a", "1"), ("a", "2"), ("b", "3")} and got["a", "1"].start == 2.5 and got["a", "1"].lemmas[0].senses[0].zh == "去"
+    table = tmp_path / "dict.csv"
+    table.write_text('word,phonetic,definition,translation,pos\nApple,/a/,"a ""round"" fruit","n. 蘋果\nn. 樹",n:9\nbe,,,,\n')
+    rows = {r.key: r for r in files.read_dictionary(spark, str(table), "csv").collect()}
+    assert set(rows) == {"apple", "be"} and rows["apple"].translation == "n. 蘋果\nn. 樹" and rows["apple"].definition == 'a "round" fruit'
+    out = {r.query: r for r in E.lookup_words(spark.createDataFrame([("Apples!",), ("be",), ("two words",)], "query string"), files.read_dictionary(spark, str(table), "csv")).collect()}
+    assert out["Apples!"].ok and out["Apples!"].entry.lemma == "Apple" and [x.zh for x in out["Apples!"].entry.senses] == ["蘋果", "樹"]
+    assert not out["be"].ok and out["two words"].lemma is None
+
+
+def test_recordings_of_the_work_folder_come_first(spark, tmp_path):
+    work = tmp_path / "work"
+    work.mkdir()
+    for f in ("recording.wav", "b.m4a", "A.wav", "c.txt", "d.flac", "work/z.work.wav", "work/recording.wav", "work/y.mp3"):
+        (tmp_path / f).write_bytes(b"x")
+    got = [(r.priority, r.name) for r in files.scan_recordings(spark, str(tmp_path), str(work)).collect()]
+    assert got == [(0, "recording.wav"), (0, "z.work.wav"), (1, "A.wav"), (2, "b.m4a"), (9, "d.flac"), (9, "y.mp3")]
+
+
 def test_files(spark, tmp_path):
     d = tmp_path / "t"
     d.mkdir()
@@ -128,6 +230,14 @@ def test_checkpoint_computes_missing_only(spark, tmp_path):
     assert files.checkpoint_stage(spark, path, compute, ids(3)).count() == 3
     assert files.checkpoint_stage(spark, path, compute, ids(5)).count() == 5
     assert files.checkpoint_stage(spark, path, compute, ids(5)).count() == 5 and asked == [3, 2]
+    # a folder whose job did not end is written anew; one that can't be read is left alone
+    (tmp_path / "stage" / "_SUCCESS").unlink()
+    assert files.checkpoint_stage(spark, path, compute, ids(4)).count() == 4 and asked == [3, 2, 4]
+    for f in (tmp_path / "stage").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    with pytest.raises(Exception):  # noqa: B017
+        files.checkpoint_stage(spark, path, compute, ids(4)).count()
+    assert asked == [3, 2, 4]
 
 
 def test_streams(spark, tmp_path):
@@ -136,15 +246,17 @@ def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
     (src / "r1.whisper.json").write_text(json.dumps({"language": "en", "text": "", "segments": [{"start": 0, "end": 1, "text": " hi there", "words": [{"word": " hi", "start": 0, "end": 0.4, "probability": 0.9}, {"word": " there", "start": 2.0, "end": 2.4, "probability": 0.9}]}]}))
+    (src / "r2.whisper.json").write_text(json.dumps({"language": "en", "text": "Only a text. With four. Short ones. Here."}))
     q = stream_ingest(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.processAllAvailable()
     q.stop()
-    assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).orderBy("turn_ix").collect()] == ["hi.", "there."]
+    made = spark.read.parquet(str(tmp_path / "out")).orderBy("rec_id", "turn_ix", "part_ix").collect()
+    assert [(r.rec_id, r.text) for r in made] == [("r1", "hi."), ("r1", "there."), ("r2", "Only a text. With four. Short ones. Here.")]
     ticks = tmp_path / "ticks"
-    rows = [(1, i, p) for i, p in enumerate([0, 3, 5, 7, 10, 9, 95, 100, 100])]
+    rows = [(1, i, p) for i, p in enumerate([0, 3, 5, 7, 10, 9, 95, 100, 100])] + [(2, 0, 40), (2, 1, None)]
     spark.createDataFrame(rows, "job_id long, seq long, pct int").coalesce(1).write.parquet(str(ticks))
     live = spark.readStream.schema("job_id long, seq long, pct int").parquet(str(ticks))
     s = stream_throttle(live).writeStream.format("memory").queryName("throttled").outputMode("append").start()
     s.processAllAvailable()
     s.stop()
-    assert sorted(r.pct for r in spark.table("throttled").collect()) == [0, 5, 10, 95, 100]
+    assert sorted(r.pct for r in spark.table("throttled").collect()) == [0, 5, 10, 40, 95, 100, 100]
