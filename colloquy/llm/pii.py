@@ -124,7 +124,9 @@ SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
 def detect_pii(df: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:
-    """Adds ``out``, the spans of every whole text. Map-only: nothing is shuffled."""
+    """Adds ``out``, the spans of every whole text; a column of that name is replaced. A null
+    or empty text has none, repeated rows are repeated, an empty table stays empty. Map-only:
+    nothing is shuffled."""
 
     small_batches(df.sparkSession)
 
@@ -149,7 +151,8 @@ def redact(text: str | None) -> str | None:
 
 
 def redact_pii(df: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces the spans in ``text``; rows without personal data are unchanged."""
+    """Replaces the spans in ``text``; rows without personal data, null and empty texts are
+    unchanged, and so are all other columns. Repeated rows are repeated."""
 
     small_batches(df.sparkSession)
 
@@ -161,7 +164,9 @@ def redact_pii(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pii_report(documents: DataFrame) -> DataFrame:
-    """One row per document: counts and digest of the base spans, and all spans."""
+    """One row per document: counts and digest of the base spans, and all spans. A null text
+    counts as empty (no spans, the digest of nothing); repeated ids and rows give a row each;
+    an empty table gives none; other columns are not returned."""
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
     def report(batches):
