@@ -237,7 +237,7 @@ def lookup_words(queries: DataFrame, dictionary: DataFrame, fallback: DataFrame
         out = out.withColumn("other", none)
     else:
         entry = flatten_fallback_entry(F.col("lemma"), F.col("payload")).cast(LEMMA_ENTRY)
-        other = fallback.groupBy("lemma").agg(F.first("payload", ignorenulls=True).alias("payload")).withColumn("other", entry).where(senses("other.senses"))
+        other = fallback.groupBy("lemma").agg(F.min("payload").alias("payload")).withColumn("other", entry).where(senses("other.senses"))
         out = out.join(other.select("lemma", "other"), "lemma", "left")
     if cache is None:
         out = out.withColumn("known", none)

@@ -103,6 +103,16 @@ def w4_split_turns(fx):
     return W.split_turns(fx.turns()).select("rec_id", "turn_ix", "part_ix", _r6("start"), _r6("end"), "text", "text_zh")
 
 
+@query((_TURNS + """, sx AS (SELECT *, regexp_matches(word, '[.!?。！？]["''”’)\\]]*$') AS closes FROM tn_i),
+sy AS (SELECT *, coalesce(sum(CAST(closes AS INTEGER)) OVER (PARTITION BY rec_id, turn_ix ORDER BY word_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM sx),
+ch AS (SELECT *, CASE WHEN max(sentence) OVER (PARTITION BY rec_id, turn_ix) < 2 THEN 0 ELSE sentence // 2 END AS part FROM sy)
+SELECT-> rec_id, turn_ix, CAST(part AS INTEGER) AS part_ix, any_value(speaker) AS speaker, arg_min("start", word_ix) AS "start", arg_max("end", word_ix) AS "end",
+  regexp_replace(string_agg(CASE WHEN regexp_matches(word, '^[,.;:!?]') THEN word ELSE ' ' || word END, '' ORDER BY word_ix), '^ +', '') AS text, count(*) AS n_words FROM ch GROUP BY rec_id, turn_ix, part"""))
+def w4_split_spoken_turns(fx):
+    t = W.words_to_turns(W.smooth_speakers(fx.words())).withColumn("text_zh", F.lit(""))
+    return W.split_turns(t, 2).select("rec_id", "turn_ix", "part_ix", "speaker", "start", "end", "text", F.size("words").cast("long").alias("n_words"))
+
+
 @query("SELECT rec_id, count(DISTINCT speaker) AS n_speakers, count(*) AS n_turns, string_agg(DISTINCT speaker, ',' ORDER BY speaker) AS speakers FROM fx_turns GROUP BY rec_id")
 def a3_transcript_stats(fx):
     return W.transcript_stats(fx.turns())
