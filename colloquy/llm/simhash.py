@@ -120,131 +120,38 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "t
 
 # ------------------------------------------------------- similar texts, one of each group
 
-#: 64-bit lanes of a wide fingerprint, bytes of one posted gram and from one to the next, words of a shingle.
-LANES, GRAM_BYTES, STRIDE, WORDS = 48, 3, 2, 5
-#: Members before a member of a posting that it is compared with, besides the first.
-BEFORE = 32
-#: Sets of up to so many shingles are compared as sets: few shingles leave many ties in the bits.
-SMALL_SET = 100
+#: Words of a shingle, and the Jaccard similarity of shingle sets that counts as near.
+WORDS, SIMILAR = 5, 0.8
 #: One text of so many is read for the order of shingles, of which so many at most are put last.
 ORDER_SAMPLE, ORDER_MOST = 16, 200_000
-#: Differing bits of the first lane up to which a pair goes on to all lanes: five standard
-#: deviations over what a pair at SIMILAR has; of unrelated pairs 3 % go on.
-NEAR_LANE = 24
-#: Jaccard similarity of shingle sets that counts as near, and what it leaves of equal bits:
-#: equal sets' cosine is 2J/(1+J), and a bit differs with the share angle/pi.
-SIMILAR = 0.8
-DIFFERENT = float(np.arccos(2 * SIMILAR / (1 + SIMILAR)) / np.pi)
-#: Differing bits of a pair at SIMILAR are within so many: six standard deviations. Pairs
-#: below are near, pairs above are not, pairs between are compared as sets.
-_SPREAD = 6 * float(np.sqrt(64 * LANES * DIFFERENT * (1 - DIFFERENT)))
-SURE_BITS, MOST_BITS = 64 * LANES * DIFFERENT - _SPREAD, 64 * LANES * DIFFERENT + _SPREAD
+#: Ids or keys up to this number are broadcast (16 bytes each), more are joined by a shuffle.
+BROADCAST_ROWS = 250_000
+#: Members of postings are joined one by one to the largest group there while more pairs than
+#: this for each text would be left, for so many rounds at most. All pairs left are then compared.
+PAIRS_EACH, ROUNDS = 64, 6
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _majority(words: np.ndarray) -> np.ndarray:
-    """Bits (n_lanes * 64) set in more than half of the rows; counts are kept bit-sliced."""
-    n, planes = len(words), [words]
-    while len(planes[0]) > 1:
-        if len(planes[0]) % 2:
-            planes = [np.concatenate([p, np.zeros_like(p[:1])]) for p in planes]
-        half, carry, out = len(planes[0]) // 2, None, []
-        for p in planes:
-            a, b = p[:half], p[half:]
-            if carry is None:
-                out.append(a ^ b)
-                carry = a & b
-            else:
-                x = a ^ b
-                out.append(x ^ carry)
-                carry = (a & b) | (x & carry)
-        planes = [*out, carry]
-    counts = sum(np.unpackbits(p[0].astype(">u8").view(np.uint8)).astype(np.int64) << i for i, p in enumerate(planes))
-    return counts * 2 > n
-
-
-def _shingles(text: str | None, words: int) -> np.ndarray:
-    """Hashes of the distinct shingles of a whole text, ascending."""
+class _WordHash(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word, SEED)
+        return out
+
+
+def _shingles(text: str | None, words: int, memo: _WordHash) -> np.ndarray:
+    """64-bit hashes of the distinct shingles of a whole text, ascending; they are made of the words' hashes."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return np.empty(0, np.uint64)
-    joined, size = b" ".join(tokens), np.cumsum([0] + [len(t) + 1 for t in tokens])
-    n = max(1, len(tokens) - words + 1)
-    begin, end = size[:n].tolist(), (size[min(words, len(tokens)) :][:n] - 1).tolist()
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(begin, end)]), ">u8").astype(np.uint64))
-
-
-def wide_fingerprint(text: str | None, words: int = WORDS) -> bytes:
-    """LANES * 64 bits over the distinct shingles of a whole text; texts without words are all zero."""
-    return _wide(_shingles(text, words))
-
-
-def _wide(hashes: np.ndarray) -> bytes:
-    if not len(hashes):
-        return bytes(LANES * 8)
-    counts = None
-    for at in range(0, len(hashes), 1 << 14):
-        x = hashes[at : at + (1 << 14), None] + _STEP * np.arange(1, LANES + 1, dtype=np.uint64)[None, :]
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        if len(hashes) <= 1 << 14:
-            return np.packbits(_majority(x)).tobytes()
-        part = np.stack([np.unpackbits(r.astype(">u8").view(np.uint8)) for r in x]).sum(0, dtype=np.int64)
-        counts = part if counts is None else counts + part
-    return np.packbits(counts * 2 > len(hashes)).tobytes()
-
-
-def _grams(fps: DataFrame) -> DataFrame:
-    """``(gram, id, lane)``: postings for every second run of GRAM_BYTES positional bytes, with the first lane."""
-
-    def run(batches):
-        for batch in batches:
-            x = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8).reshape(-1, LANES * 8)
-            starts = np.arange(0, x.shape[1] - GRAM_BYTES + 1, STRIDE)
-            gram = np.repeat(starts[None, :], len(x), 0)
-            for i in range(GRAM_BYTES):
-                gram = (gram << 8) | x[:, starts + i]
-            lane = x[:, :8].copy().view(np.int64)[:, 0]
-            yield {"gram": gram.ravel(), "id": np.repeat(batch.column("id").to_numpy(), len(starts)), "lane": np.repeat(lane, len(starts))}
-
-    return map_batches(fps.select("id", "fp"), run, "gram long, id long, lane long")
-
-
-def _far(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) > NEAR_LANE
-
-
-def _meet(posted: DataFrame, *keys: str) -> DataFrame:
-    """``posted`` with ``others``: of the first member of a row's posting and the BEFORE
-    members before the row, the first two whose lanes are near; ``stray`` marks rows of
-    larger postings that aren't near the first. One sort; no list is longer than BEFORE."""
-    order, member = Window.partitionBy(*keys).orderBy("id"), F.struct("id", "lane")
-    met = posted.select(
-        *posted.columns,
-        F.first(member).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
-        F.collect_list(member).over(order.rowsBetween(-BEFORE, -1)).alias("before"),
-        F.count("*").over(Window.partitionBy(*keys)).alias("n"),
-    ).where("n > 1")
-    near = F.filter(F.concat(F.array("first"), "before"), lambda m: (m["id"] != F.col("id")) & ~_far(m["lane"], F.col("lane")))
-    others = F.slice(F.array_distinct(F.transform(near, lambda m: m["id"])), 1, 2)
-    stray = (F.col("n") > BEFORE + 2) & _far(F.col("first.lane"), F.col("lane"))
-    return met.select(*posted.columns, others.alias("others"), stray.alias("stray")).where(F.col("stray") | (F.size("others") > 0))
-
-
-def similar_pairs(fps: DataFrame) -> DataFrame:
-    """Candidate pairs ``(id, least)`` of distinct wide fingerprints ``(id, fp)``, some of
-    all: ``similar_groups`` doesn't use them, as only ``similar_links`` finds every pair.
-
-    A posting of up to BEFORE + 2 members is compared as a whole. Members of a larger one
-    that aren't near its first are posted once more together with each byte of their
-    first lane, so that unrelated members part, and meet there in the same way."""
-    met = cut(_meet(_grams(fps), "gram"))
-    lane_bytes = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(i.alias("place"), F.call_function("shiftright", F.col("lane"), i * 8).bitwiseAND(F.lit(255)).alias("byte")))
-    parted = met.where("stray").select("gram", "id", "lane", F.explode(lane_bytes).alias("k")).select("gram", "id", "lane", "k.place", "k.byte")
-    both = met.select("id", "others").unionAll(_meet(parted, "gram", "place", "byte").select("id", "others"))
-    return both.select("id", F.explode("others").alias("least")).distinct()
+    w = np.fromiter(map(memo.__getitem__, tokens), np.uint64, len(tokens))
+    n = max(1, len(w) - words + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(min(words, len(w))):
+        h = (h ^ w[i : i + n]) * _STEP
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
 
 
 def _needed(n):
@@ -258,8 +165,9 @@ def _common(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     one with common shingles last proposes few others."""
 
     def run(batches):
+        memo = _WordHash()
         for batch in batches:
-            yield {"shingle": np.concatenate([_shingles(t.as_py(), words) for t in batch.column("text")] or [np.empty(0, np.uint64)]).view(np.int64)}
+            yield {"shingle": np.concatenate([_shingles(t.as_py(), words, memo) for t in batch.column("text")] or [np.empty(0, np.uint64)]).view(np.int64)}
 
     sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(ORDER_SAMPLE)) == 0).select("text")
     seen = map_batches(sample, run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
@@ -278,135 +186,151 @@ def _rarest_first(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) ->
     return hashes[np.argsort(np.where(common[at] == hashes, ranks[at], 0), kind="stable")]
 
 
-def _possible(a: Column, b: Column) -> Column:
-    """Whether two sets that meet at places ``at`` (from 0) of their orders, with ``n``
-    shingles each, can reach SIMILAR by their sizes and by what is before and after."""
-    n, m, i, j = (x[c] for c in ("n", "at") for x in (a, b))
-    shared = F.least(i, j) + F.least(n - i, m - j)
-    return (F.least(n, m) >= SIMILAR * F.greatest(n, m) - 1e-6) & (shared >= SIMILAR / (1 + SIMILAR) * (n + m) - 1e-6)
-
-
-def _mark(hashes: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+def _possible(a: str, b: str) -> Column:
+    """Whether two sets whose first common shingle is at places ``at`` (from 0) of their
+    orders, with ``n`` shingles each, can reach SIMILAR: no shingle before is common. A pair
+    at SIMILAR passes this where it meets first, so where no meeting passes, it isn't one."""
+    n, m, i, j = (F.col(f"{x}.{c}") for c in ("n", "at") for x in (a, b))
+    return (F.least(n, m) >= SIMILAR * F.greatest(n, m) - 1e-6) & (F.least(n - i, m - j) >= SIMILAR / (1 + SIMILAR) * (n + m) - 1e-6)
 
 
 def _similar(x: bytes, y: bytes) -> bool:
-    """Whether two sets of hashes, each in any order, reach SIMILAR."""
+    """Whether two sets of hashes, each ascending, reach SIMILAR."""
     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     shared = len(np.intersect1d(x, y, assume_unique=True))
     return shared >= SIMILAR * (len(x) + len(y) - shared)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast if its rows are few. It is a checkpoint, so counting is cheap."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def set_postings(sets: DataFrame) -> DataFrame:
-    """``shingle, m (id, n, at)`` of sets ``(id, n, known)``: postings of the first shingles
-    of each set, so many that two sets at SIMILAR or more have one in common."""
+    """``shingle, m (id, n, at)`` of sets ``(id, n, first)``: postings of the first shingles
+    of each set, so many that two sets at SIMILAR or more have one in common. Postings
+    of one set alone are left out, as found by counts of their keys' 32 bits."""
 
     def run(batches):
         for batch in batches:
             n = batch.column("n").to_numpy().astype(np.int64)
-            posted = np.where(n > 0, n - _needed(n) + 1, 0)
-            first = [np.frombuffer(k, np.int64, int(p)) for k, p in zip(batch.column("known").to_pylist(), posted)]
+            first = [np.frombuffer(k, np.int64) for k in batch.column("first").to_pylist()]
+            posted = np.array([len(f) for f in first], np.int64)
             at = np.concatenate([np.arange(p) for p in posted] or [np.empty(0)])
-            yield {"shingle": np.concatenate(first or [np.empty(0, np.int64)]), "id": np.repeat(batch.column("id").to_numpy(), posted), "n": np.repeat(n, posted), "at": at.astype(np.int64)}
+            yield {"shingle": np.concatenate(first or [np.empty(0, np.int64)]), "id": np.repeat(batch.column("id").to_numpy(), posted), "n": np.repeat(n, posted).astype(np.int32), "at": at.astype(np.int32)}
+
+    posts = map_batches(sets.select("id", "n", "first"), run, "shingle long, id long, n int, at int").withColumn("key", F.shiftright("shingle", 32).cast("int"))
+    shared = cut(posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    return posts.join(_small(shared), "key").select("shingle", F.struct("id", "n", "at").alias("m"))
+
 
-    return map_batches(sets.select("id", "n", "known"), run, "shingle long, id long, n long, at long").select("shingle", F.struct("id", "n", "at").alias("m"))
+def _best(pairs: DataFrame) -> DataFrame:
+    """Of pairs ``(id, other)`` with repeats the one that occurs most for each ``id``."""
+    tally = pairs.groupBy("id", "other").agg(F.count("*").alias("c"))
+    return tally.groupBy("id").agg(F.max(F.struct("c", (-F.col("other")).alias("o"))).alias("b")).select("id", (-F.col("b.o")).alias("other"))
 
 
 def similar_links(sets: DataFrame, verify) -> DataFrame:
     """Verified pairs ``(a, b)`` whose components are those of all pairs of sets ``(id, n,
-    known)`` at SIMILAR or more; ``verify`` takes candidate pairs ``(id, least)``.
-
-    Every member of a posting is first compared with the first member of its largest
-    posting and with the one before it there. That joins most members of large groups;
-    then all other pairs of a posting that are not joined yet are compared, whatever its
-    size. Pairs that are joined through others need no link of their own."""
-    order = Window.partitionBy("shingle").orderBy("m.n", "m.id")
-    met = set_postings(sets).select(
-        "shingle",
-        "m",
-        F.count("*").over(Window.partitionBy("shingle")).alias("size"),
-        F.first("m").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
-        F.lag("m").over(order).alias("before"),
-    )
-    met = cut(met.where("size > 1"))
-    hubs = met.where("before is not null").groupBy(F.col("m.id").alias("id")).agg(F.max(F.struct("size", "shingle", F.col("first.id").alias("first"), F.col("before.id").alias("before"))).alias("h"))
-    tried = hubs.select("id", F.explode(F.array_distinct(F.array("h.first", "h.before"))).alias("least"))
-    links = cut(verify(tried))
-    joined = components(links)
-    member = met.select("shingle", "m", F.col("m.id").alias("node")).join(joined, "node", "left")
-    groups = cut(member.groupBy("shingle", F.coalesce("component", "node").alias("group")).agg(F.collect_list("m").alias("all")).withColumn("groups", F.count("*").over(Window.partitionBy("shingle"))).where("groups > 1"))
-    a = groups.select("shingle", F.col("group").alias("group_a"), F.col("all").alias("all_a"))
-    b = groups.select("shingle", F.col("group").alias("group_b"), F.col("all").alias("all_b"))
-    # the pairs of two lists, without those that can't be near, before any of them is a row
-    either = F.flatten(F.transform("all_a", lambda x: F.transform(F.filter("all_b", lambda y: _possible(x, y)), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
-    pairs = a.join(b, "shingle").where("group_a < group_b").select(F.explode(either).alias("p"))
-    rest = pairs.select(F.greatest("p.a", "p.b").alias("id"), F.least("p.a", "p.b").alias("least")).distinct()
+    first)`` at SIMILAR or more; ``verify`` takes candidate pairs ``(id, other)``.
+
+    Shared postings are tallied: every set is first compared with that smallest member of
+    its postings that it shares most with, which joins most of a large group through as
+    many pairs as it has members. Then, in postings that still hold several groups, the
+    members outside the largest are compared with one member of it, round by round while
+    many pairs would be left. Last, every pair of a posting whose ends are in different
+    groups is compared, whatever the size of the posting, so no link is lost."""
+    met = cut(set_postings(sets))
+    lead = met.groupBy("shingle").agg(F.min("m.id").alias("lead"), F.count("*").alias("c")).where("c > 1")
+    lead = lead.join(met.withColumnRenamed("m", "l"), "shingle").where("l.id = lead").select("shingle", "l")
+    star = met.join(lead, "shingle").where("m.id <> l.id").where(_possible("m", "l")).select(F.col("m.id").alias("id"), F.col("l.id").alias("other"))
+    links = cut(verify(_best(star)))
+    total = sets.count()
+    for turn in range(ROUNDS + 1):
+        # what is known to be joined: the smallest set that each is linked to, and what that one is linked to
+        up = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up"))
+        up = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("top"))
+        member = met.select("shingle", "m", F.col("m.id").alias("node")).join(_small(cut(up)), "node", "left").select("shingle", "m", F.coalesce("top", "node").alias("group"))
+        sizes = member.groupBy("shingle", "group").agg(F.count("*").alias("c"), F.min_by("m", F.xxhash64("m.id", F.lit(turn))).alias("one"))
+        most = sizes.groupBy("shingle").agg(F.count("*").alias("groups"), F.max(F.struct("c", "group", "one")).alias("top")).where("groups > 1")
+        open_ = cut(member.join(most, "shingle").select("shingle", "m", "group", "top"))
+        outside = open_.where("group <> top.group")
+        tried = outside.where(_possible("m", "top.one")).select(F.col("m.id").alias("id"), F.col("top.one.id").alias("other"), "top.c")
+        if turn == ROUNDS or (tried.agg(F.sum("c")).first()[0] or 0) <= PAIRS_EACH * total:
+            break
+        links = cut(links.unionAll(verify(_best(tried))))
+    a, b = outside.select("shingle", F.col("m").alias("x"), F.col("group").alias("group_x")), open_.select(F.col("shingle").alias("of"), F.col("m").alias("y"), F.col("group").alias("group_y"))
+    either = (F.col("shingle") == F.col("of")) & (F.col("group_x") != F.col("group_y")) & _possible("x", "y")
+    rest = a.join(b, either).select(F.greatest("x.id", "y.id").alias("id"), F.least("x.id", "y.id").alias("other")).distinct()
     return links.unionAll(verify(rest))
 
 
 def similar_groups(documents: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``doc_id, component_id`` for every distinct doc_id: texts whose shingle sets have
-    a similarity of SIMILAR or more are linked.
+    a similarity of SIMILAR or more are linked. Texts without words have equal (empty)
+    sets. Rows that repeat a doc_id are one document, linked by each of their texts.
 
-    Postings of shingles propose every pair at SIMILAR or more (``similar_links``). Texts
-    of up to SMALL_SET shingles are verified by the exact similarity of their sets; longer
-    ones on all bits, and by their sets, from the texts, where the bits leave doubt. Equal
-    fingerprints are merged first."""
+    Equal sets are merged first, by 128 bits of hash. Postings propose every other pair at
+    SIMILAR or more (``similar_links``). Of a proposed pair the shared posted shingles are
+    counted, and pairs that reach the least number of matches that SIMILAR guarantees are
+    verified by the exact similarity of their sets, read again from the texts."""
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
     common = rows.sparkSession.sparkContext.broadcast(_common(rows, words))
 
-    def run(batches):
+    def read(batches):
+        memo = _WordHash()
         for batch in batches:
-            out = {c: [] for c in ("fp", "n", "known", "mark")}
+            out = {c: [] for c in ("n", "first", "mark")}
             for t in batch.column("text"):
-                x = _shingles(t.as_py(), words)
-                # of larger sets only what is posted
-                kept = len(x) if len(x) <= SMALL_SET else len(x) - int(_needed(len(x))) + 1
-                for c, v in zip(out, (_wide(x), len(x), _rarest_first(x, *common.value)[:kept].tobytes(), _mark(x))):
+                x = _shingles(t.as_py(), words, memo)
+                first = _rarest_first(x, *common.value)[: len(x) - int(_needed(len(x))) + 1] if len(x) else x
+                for c, v in zip(out, (len(x), first.tobytes(), xxhash.xxh3_128_digest(x.tobytes()))):
                     out[c].append(v)
             yield out | {"doc_id": batch.column("doc_id")}
 
-    fps = cut(map_batches(rows, run, "doc_id long, fp binary, n long, known binary, mark long"))
-    distinct = cut(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "n", "known", "mark")).alias("m")).select("fp", F.col("m.doc_id").alias("id"), "m.n", "m.known", "m.mark"))
-    own = distinct.select("id", "fp", F.when(F.col("n") <= SMALL_SET, F.col("known")).alias("small"))
-    other = own.select(F.col("id").alias("least"), F.col("fp").alias("other"), F.col("small").alias("other_small"))
-
-    def by_bits(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, LANES) for c in ("fp", "other"))
-            bits = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
-            near, doubt = bits <= MOST_BITS, (bits > SURE_BITS) & (bits <= MOST_BITS)
-            for i, (x, y) in enumerate(zip(batch.column("small").to_pylist(), batch.column("other_small").to_pylist())):
-                if x is not None and y is not None:
-                    near[i], doubt[i] = _similar(x, y), False
-            near = pa.array(near)
-            yield {"a": batch.column("id").filter(near), "b": batch.column("least").filter(near), "doubt": pa.array(doubt).filter(near)}
+    read_ = cut(map_batches(rows, read, "doc_id long, n long, first binary, mark binary"))
+    equal = cut(read_.groupBy("mark").agg(F.min("doc_id").alias("id")))
+    sets = read_.withColumnRenamed("doc_id", "id").join(_small(equal), ["id", "mark"], "left_semi").select("id", "n", "first")
+    if sets.count() > sets.select("id").distinct().count():  # rows that repeat an id
+        sets = sets.distinct()
 
     def sets_of(batches):
+        memo = _WordHash()
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [_shingles(t.as_py(), words) for t in part.column("text")]
-                yield {"id": part.column("doc_id"), "mark": [_mark(x) for x in sets], "set": [x.tobytes() for x in sets]}
+                yield {"id": part.column("doc_id"), "set": [_shingles(t.as_py(), words, memo).tobytes() for t in part.column("text")]}
 
     def by_sets(batches):
         for batch in batches:
             near = pa.array([_similar(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"))], pa.bool_())
             yield {"a": batch.column("a").filter(near), "b": batch.column("b").filter(near)}
 
+    def by_counts(batches):
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            near = []
+            for i, (x, y) in enumerate(zip(batch.column("first").to_pylist(), batch.column("y").to_pylist())):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                # what is behind the posted shingles of one of the two can be shared as well
+                most = len(np.intersect1d(x, y, assume_unique=True)) + max(n[i] - len(x), m[i] - len(y))
+                near.append(most >= SIMILAR / (1 + SIMILAR) * (n[i] + m[i]) - 1e-6)
+            near = pa.array(near, pa.bool_())
+            yield {"id": batch.column("id").filter(near), "other": batch.column("other").filter(near)}
+
+    def asked(pairs, name):
+        return _small(cut(pairs.select(F.col("id").alias(name)).unionAll(pairs.select("other")).distinct()))
+
     def verify(pairs):
-        both = pairs.join(own, "id").join(other, "least").select("id", "least", "fp", "other", "small", "other_small")
-        found = cut(map_batches(both, by_bits, "a long, b long, doubt boolean"))
-        doubt = found.where("doubt").select("a", "b")
-        asked = doubt.select(F.col("a").alias("doc_id")).unionAll(doubt.select("b")).distinct()
-        # a repeated id can have other texts besides: the mark tells which is meant
-        sets = map_batches(rows.join(asked, "doc_id").select("doc_id", "text"), sets_of, "id long, mark long, set binary")
-        sets = cut(sets.join(distinct.select("id", "mark"), ["id", "mark"]).dropDuplicates(["id"]).select("id", "set"))
-        met = doubt.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        return found.where("not doubt").select("a", "b").unionAll(map_batches(met.select("a", "b", "x", "y"), by_sets, "a long, b long"))
-
-    linked = components(similar_links(distinct, verify))
-    root = distinct.join(linked, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.select("doc_id", "fp").join(root, "fp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        pairs = cut(pairs)
+        own = sets.join(asked(pairs, "id"), "id", "left_semi")
+        met = pairs.join(own, "id").join(own.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("first").alias("y")), "other")
+        pairs = cut(map_batches(met.select("id", "other", "n", "m", "first", "y"), by_counts, "id long, other long").distinct())
+        held = cut(map_batches(rows.join(asked(pairs, "doc_id"), "doc_id", "left_semi"), sets_of, "id long, set binary").distinct())
+        met = pairs.join(held.withColumnRenamed("set", "x"), "id").join(held.select(F.col("id").alias("other"), F.col("set").alias("y")), "other")
+        return map_batches(met.select(F.col("id").alias("a"), F.col("other").alias("b"), "x", "y"), by_sets, "a long, b long")
+
+    linked = components(cut(similar_links(sets, verify).unionAll(read_.join(equal, "mark").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))))
+    return rows.select("doc_id").distinct().join(linked, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
