@@ -5,18 +5,24 @@ consecutive words, repeats included. A fingerprint has 64 bits; a bit is 1 if se
 more than half of the shingles' XXH64 values (seed 42). Texts with fewer words than a
 shingle have one shingle, those without words the fingerprint zero.
 
-Fingerprints with at most two differing bits differ in at most two bytes, so six of
-their eight positional bytes are shared. Cutting the positions into four groups, two
-whole groups are shared: the inverted index posts every fingerprint under the bytes of
-each pair of groups (six postings). Pairs within a posting tally their shared
-positional bytes; those that reach six are verified by Hamming distance.
-
-Equal fingerprints are merged before the index. A posting with more than
-``MAX_POSTING`` fingerprints is not paired: each of its members is posted under itself
-and its 64 one-bit neighbours instead. Two members with at most two differing bits
-meet under a neighbour of both, and all that meet there are within two bits, so a link
-to the smallest is enough for exact components. At most 65 distinct fingerprints meet
-under one neighbour, so no group of any kind is unbounded.
+Fingerprints with at most two differing bits differ in at most two bytes, so six of their
+eight positional bytes are shared: that is the guaranteed minimum. The inverted index posts
+fingerprints by (position, byte). Lists of one byte would hold a 256th of all fingerprints,
+so they are kept within buckets: cutting the positions into four groups of two, a pair at
+the minimum shares two whole groups, and the bucket is the bytes of two groups (six buckets
+for a fingerprint). In a bucket the lists are those of the four other positions. A pair's
+tally is the number of positions, of buckets and lists, under which it meets; pairs that
+reach six are verified by Hamming distance, others are never looked at.
+
+Equal fingerprints are merged before the index. A list with more than ``MAX_POSTING``
+fingerprints is not paired: each of its members is posted under itself and its 64 one-bit
+neighbours instead. Two members with at most two differing bits meet under a neighbour of
+both, and all that meet there are within two bits, so a link to the smallest is enough for
+exact components. At most 65 distinct fingerprints meet under one neighbour, so no group of
+any kind is unbounded.
+
+``similar_groups`` links texts by the similarity of their sets of shingles instead, which
+64 bits can't tell: postings are of shingles, with the same filter by guaranteed matches.
 """
 
 from __future__ import annotations
@@ -66,37 +72,46 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text: str = "text
     return map_batches(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), run, "doc_id long, fp long")
 
 
+#: Places of the buckets: the two groups of positions whose bytes a bucket has.
+PLACES = list(combinations(range(4), 2))
+
+
 def _bytes(mask: int) -> Column:
     return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
 
-def _postings(fps: DataFrame) -> DataFrame:
-    """``(place, bytes, fp)``: one posting for each pair of the four groups of positions."""
-    groups = [0xFFFF << (16 * g) for g in range(4)]
-    keys = F.array(*[F.struct(F.lit(i).alias("place"), _bytes(a | b).alias("bytes")) for i, (a, b) in enumerate(combinations(groups, 2))])
+def _buckets(fps: DataFrame) -> DataFrame:
+    """``(place, bytes, fp)``: the six buckets of each fingerprint."""
+    group = [0xFFFF << (16 * g) for g in range(4)]
+    keys = F.array(*[F.struct(F.lit(i).alias("place"), _bytes(group[a] | group[b]).alias("bytes")) for i, (a, b) in enumerate(PLACES)])
     return fps.select("fp", F.explode(keys).alias("k")).select("k.place", "k.bytes", "fp")
 
 
-def _shared(a: str, b: str) -> Column:
-    """Number of positional bytes that two fingerprints share."""
-    x = F.col(a).bitwiseXOR(F.col(b))
-    return sum((F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(8))
+def _lists(members: DataFrame) -> DataFrame:
+    """``(place, bytes, position, byte, fp)``: postings of the four positions that a bucket leaves open."""
+    posting = lambda p: F.struct(F.lit(p).alias("position"), F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)).alias("byte"))
+    by_place = None
+    for i, pair in enumerate(PLACES):
+        postings = F.array(*[posting(2 * g + k) for g in range(4) if g not in pair for k in (0, 1)])
+        by_place = F.when(F.col("place") == i, postings) if by_place is None else by_place.when(F.col("place") == i, postings)
+    return members.select("place", "bytes", "fp", F.explode(by_place).alias("k")).select("place", "bytes", "k.position", "k.byte", "fp")
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of distinct fingerprints, each within MAX_BITS bits, whose
     components are those of all such pairs. ``fps`` has distinct fingerprints ``fp``."""
-    posts = _postings(fps)
-    shared = cut(posts.groupBy("place", "bytes").agg(F.count("*").alias("n")).where("n > 1"))
-    small = posts.join(shared.where(F.col("n") <= MAX_POSTING).select("place", "bytes"), ["place", "bytes"])
-    lists = small.groupBy("place", "bytes").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    pairs = (
-        lists.select(F.posexplode("fps").alias("i", "a"), "fps")
-        .select("a", F.explode(F.slice(F.col("fps"), F.col("i") + 2, F.size("fps"))).alias("b"))
-        .where(_shared("a", "b") >= 8 - MAX_BITS)
-        .where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)
-    )
-    hot = posts.join(shared.where(F.col("n") > MAX_POSTING).select("place", "bytes"), ["place", "bytes"]).select("fp").distinct()
+    bucket, key = ["place", "bytes"], ["place", "bytes", "position", "byte"]
+    posts = _buckets(fps)
+    several = posts.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
+    lists = cut(_lists(posts.join(several.select(*bucket), bucket)))
+    sizes = cut(lists.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"))
+    small = lists.join(sizes.where(F.col("n") <= MAX_POSTING).select(*key), key).groupBy(*key).agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    met = small.select("place", "position", F.posexplode("fps").alias("i", "a"), "fps").select("place", "position", "a", F.explode(F.slice(F.col("fps"), F.col("i") + 2, F.size("fps"))).alias("b"))
+    # positions under which a pair meets, as bits: those of the bucket's two groups and that of the list
+    held = F.element_at(F.array(*[F.lit(3 << (2 * a) | 3 << (2 * b)) for a, b in PLACES]), F.col("place") + 1)
+    tally = met.groupBy("a", "b").agg(F.bit_count(F.bit_or(held.bitwiseOR(F.call_function("shiftleft", F.lit(1), F.col("position"))))).alias("shared"))
+    pairs = tally.where(F.col("shared") >= 8 - MAX_BITS).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b")
+    hot = lists.join(sizes.where(F.col("n") > MAX_POSTING).select(*key), key).select("fp").distinct()
     flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)))
     around = hot.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"))
     stars = around.groupBy("middle").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)

@@ -303,8 +303,8 @@ def near_duplicate_vectors(embeddings: DataFrame, similar: float = SIMILAR) -> D
                     continue
                 near = x[at] @ c.T
                 own = near.argmax(1)
-                gaps = np.linalg.norm(c[own][:, None, :] - c[None, :, :], axis=2)
-                goes = (near[np.arange(len(at)), own][:, None] - near <= reach * gaps + 1e-9) & (np.arange(len(c))[None, :] < own[:, None])
+                gaps = np.sqrt(np.maximum(2 - 2 * c[own] @ c.T, 0))  # centroids have length one
+                goes = (near[np.arange(len(at)), own][:, None] - near <= reach * gaps + 1e-7) & (np.arange(len(c))[None, :] < own[:, None])
                 goes[np.arange(len(at)), own] = True
                 i, j = np.nonzero(goes)
                 row, cell, member = [*row, at[i]], [*cell, j.astype(np.int32)], [*member, own[i] == j]
