@@ -36,12 +36,12 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 K = 20
 SCALE = 64
-#: Cells of a dimension; a code of two dimensions is one byte.
-CELLS = 16
+#: Cells of a dimension: a code is one byte.
+CELLS = 256
 #: Vectors of a block of codes, queries of a block, and of these so many at a time.
-DATA_BLOCK, QUERY_BLOCK, STEP = 8192, 8192, 256
+DATA_BLOCK, QUERY_BLOCK, STEP = 16_384, 8192, 128
 #: Vectors that place the cells' edges and give every query a first bar.
-SAMPLE = 4096
+SAMPLE = 16_384
 #: Scaled components are below this, so that scores are exact in a long.
 LARGEST = 1 << 28
 
@@ -56,23 +56,23 @@ def _up(x: np.ndarray) -> np.ndarray:
 
 
 def _edges(sample: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Ends of the cells, dimensions x (CELLS + 1): cells of about equal filling, from the least to the greatest value."""
+    """Ends of the cells, dimensions x (CELLS + 1), from the least to the greatest value: a
+    cell for each integer if they suffice, else cells of about equal filling."""
     inner = np.quantile(sample, np.arange(1, CELLS) / CELLS, axis=0).T if len(sample) else np.repeat(low[:, None], CELLS - 1, 1)
-    return np.concatenate([low[:, None], np.clip(np.round(inner), low[:, None], high[:, None]), high[:, None]], axis=1)
+    single = low[:, None] + np.arange(CELLS - 1)[None, :]
+    inner = np.where((high - low < CELLS)[:, None], single, np.floor(inner))
+    return np.concatenate([low[:, None], np.clip(inner, low[:, None], high[:, None]), high[:, None]], axis=1)
 
 
 def _encode(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Codes of integer vectors, two dimensions a byte: a cell's values lie from its lower to its upper end."""
-    code = np.stack([np.searchsorted(e[1:-1], v, side="left") for e, v in zip(edges, x.T)], axis=1).astype(np.uint8)
-    code = np.pad(code, ((0, 0), (0, code.shape[1] % 2)))
-    return code[:, ::2] << 4 | code[:, 1::2]
+    """Codes of integer vectors, a byte for each dimension: the number of inner ends below a value."""
+    return np.stack([np.searchsorted(e[1:-1], v, side="left") for e, v in zip(edges, x.T)], axis=1).astype(np.uint8)
 
 
 def _decode(codes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Middle and half width of the cells of packed codes."""
-    code = np.stack([codes >> 4, codes & 15], axis=2).reshape(len(codes), -1)[:, : len(edges)]
+    """Middle and half width of the cells of codes: integers above the lower end, up to the upper one."""
     dims = np.arange(len(edges))
-    low, high = edges[dims, code], edges[dims, code + 1]
+    low, high = edges[dims, codes] + (codes > 0), edges[dims, codes.astype(np.int64) + 1]
     return (low + high) / 2, (high - low) / 2
 
 
@@ -99,8 +99,8 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame:
     ``every`` the ``k`` rows of another vec_id with the highest integer inner product, ties
     to the smaller vec_id; components are floor(64 * x).
 
-    The approximation file holds a code of CELLS cells a dimension for every vector, 16
-    times smaller than the vectors. Blocks of codes meet blocks of queries, give bounds of
+    The approximation file holds a code of CELLS cells a dimension for every vector, a byte
+    for each. Blocks of codes meet blocks of queries, give bounds of
     every score, and pairs whose upper bound reaches the kth lower bound of the query are
     kept. Exact vectors are then read for these alone, through joins on their ids: first
     those of the highest bounds, whose kth score is a new bar, then the rest that reaches it.
@@ -138,9 +138,10 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame:
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = pdf["vec_id"].to_numpy(np.int64), _matrix(pdf["x"], dim)
         bar = np.full(len(ids), -np.inf)
-        if len(sample_ids) > k:
-            scores = np.where(sample_ids[None, :] == ids[:, None], -np.inf, _down(x @ sample.T))
-            bar = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+        for at in range(0, len(ids) if len(sample_ids) > k else 0, STEP):
+            part = slice(at, at + STEP)
+            scores = np.where(sample_ids[None, :] == ids[part, None], -np.inf, _down(x[part] @ sample.T))
+            bar[part] = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
         return pd.DataFrame({"q_block": [pdf["q_block"].iloc[0]], "q_ids": [ids.tobytes()], "q": [x.astype(np.int32).tobytes()], "bar": [bar.tobytes()]})
 
     asked = exact.where(F.pmod("vec_id", F.lit(every)) == 0)

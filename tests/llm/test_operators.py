@@ -119,12 +119,12 @@ def test_top_k(spark, monkeypatch):
     assert vectors.top_k(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("sample", [4096, 25])
-def test_top_k_equals_its_sql(spark, monkeypatch, sample):
+@pytest.mark.parametrize("sample, cells", [(4096, 256), (25, 3)])
+def test_top_k_equals_its_sql(spark, monkeypatch, sample, cells):
     """Repeated ids and rows, ties at the last place, few distinct values, clashing columns."""
     import duckdb
 
-    for name, value in (("DATA_BLOCK", 30), ("QUERY_BLOCK", 5), ("SAMPLE", sample), ("STEP", 2)):
+    for name, value in (("DATA_BLOCK", 30), ("QUERY_BLOCK", 5), ("SAMPLE", sample), ("STEP", 2), ("CELLS", cells)):
         monkeypatch.setattr(vectors, name, value)
     rng = np.random.default_rng(8)
     rows = [(int(i), [float(v) for v in rng.integers(-2, 3, 6) / 4]) for i in rng.integers(-40, 160, 300)]
