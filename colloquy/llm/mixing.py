@@ -16,26 +16,26 @@ there are. The schedule's rows (Q at most) meet the documents through a join.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.llm.common import cut
 
-#: Slots of one period: the precision of the weights. More sources than that lengthen it.
-PERIOD = 1000
+#: Slots of one period: the precision of the weights. It is lengthened to so many for each source.
+PERIOD, SLOTS_EACH = 1000, 4
 #: Natural shares to this power are the default targets (1 keeps them, 0 makes them equal).
 POWER = 0.7
 BLOCK_ROWS = 16
-#: About so many rows are ordered together.
-ORDERED_ROWS = 10_000
 #: Slots whose classes are found in one step of the schedule.
 _STRETCH = 1000
 PLACES = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_epoch")
 
 
 def integer_weights(counts: DataFrame, power: float = POWER, period: int = PERIOD, targets: dict | None = None) -> DataFrame:
-    """``source, n, w``: weights that add up to ``period``, at least 1 for every source, in
+    """``source, n, w``: weights that add up to ``period`` (or more with many sources), at least 1 for every source, in
     proportion to ``targets`` (source to share, of any sum) or else to n**power, by largest
     remainders (ties to the smaller source). A source without a target gets the least weight."""
     alone = Window.partitionBy()
@@ -45,7 +45,7 @@ def integer_weights(counts: DataFrame, power: float = POWER, period: int = PERIO
         schema = T.StructType([T.StructField("_of", T.StringType()), T.StructField("x", T.DoubleType())])
         given = counts.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], schema)
         share = counts.join(given, F.col("source").cast("string").eqNullSafe(F.col("_of")), "left").select("source", "n", F.coalesce("x", F.lit(0.0)).alias("x"))
-    share = share.withColumn("m", F.count("*").over(alone)).withColumn("slots", F.greatest(F.lit(period), F.col("m")))
+    share = share.withColumn("m", F.count("*").over(alone)).withColumn("slots", F.greatest(F.lit(period), SLOTS_EACH * F.col("m")))
     share = share.withColumn("exact", F.round(F.col("slots") * F.col("x") / F.greatest(F.sum("x").over(alone), F.lit(1e-300)), 9))
     # every source has one slot; those with a claim to more share what the slots of the others leave
     more = F.greatest(F.col("exact") - 1, F.lit(0.0))
@@ -130,8 +130,8 @@ def mix(documents: DataFrame, power: float = POWER, period: int = PERIOD, block_
     plan = _lengths(schedule(integer_weights(counts.select(F.when(F.col("named"), F.col("of")).alias("source"), "n"), power, period, targets)), block_rows)
     plan = cut(plan.select(F.col("source").isNotNull().alias("named"), F.coalesce("source", F.lit("")).alias("of"), "n", "rows", "w", "period", "slots"))
     # the order of a source is cut into parts by hash, so that no source is sorted in one place;
-    # a part starts after those before it
-    parts = max(1, -(-total // ORDERED_ROWS))
+    # a part starts after those before it, so neither parts nor the rows of one are more than the root
+    parts = max(1, math.isqrt(total))
     rows = rows.withColumn("part", F.floor((F.col("key") / 2.0**64 + 0.5) * parts))
     sizes = rows.groupBy("named", "of", "part").agg(F.count("*").alias("size"))
     before = F.sum("size").over(Window.partitionBy("named", "of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
