@@ -356,8 +356,11 @@ def near_duplicate_vectors(embeddings: DataFrame, similar: float = SIMILAR) -> D
     counts = found.groupBy("key").agg(F.sum("n").alias("n"))
     roots = distinct.select("key", "least", "copies").join(linked, F.col("key") == F.col("node"), "left").join(counts, "key", "left")
     roots = roots.select("key", "least", F.coalesce("component", "key").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    result = units.select("vec_id", "key").join(roots.join(least, "root").select("key", "n_links", "component_id"), "key").select("vec_id", "n_links", "component_id")
+    # groups of several vectors only, so that members of one group needn't meet in one place
+    least = cut(roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")).where("size > 1").drop("size"))
+    least = F.broadcast(least) if least.count() <= BROADCAST_ROWS else least
+    roots = roots.join(least, "root", "left").select("key", "n_links", F.coalesce("component_id", "least").alias("component_id"))
+    result = units.select("vec_id", "key").join(roots, "key").select("vec_id", "n_links", "component_id")
     apart = rows.where("label is null").unionAll(rows.where("label is not null and v is null"))
     broken = rows.where("label is not null and v is not null").withColumn("v", F.col("v").cast("array<double>"))
     broken = broken.where(F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) | ~F.exists("v", lambda c: F.coalesce(c, F.lit(0.0)) != 0))
