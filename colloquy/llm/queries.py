@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import bpe, html_extract, mixing, pii, simhash, suffixes, toxicity, vectors, warc
+from colloquy.llm import bpe, fim, html_extract, mixing, periodic, pii, simhash, suffixes, toxicity, vectors, vptree, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,8 +57,20 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_nearest(spark, sf_dir):
+    return vptree.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_fim(spark, sf_dir):
+    return fim.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic(spark, sf_dir):
+    return periodic.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii, op2_top_k, op3_simhash, op4_mixing, op5_suffixes, op6_embedding_dups, op7_html, op8_toxicity, op9_bpe, op10_warc)}
+    return {f.__name__: f for f in (op1_pii, op2_top_k, op3_simhash, op4_mixing, op5_suffixes, op6_embedding_dups, op7_html, op8_toxicity, op9_bpe, op10_warc, op11_nearest, op12_fim, op13_periodic)}
 
 
 _OP2_SQL = """
@@ -86,5 +98,17 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN
 """
 
 
+_OP12_SQL = r"""
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+         list_transform(range(0, 4), lambda i: CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), CAST(8 * i + 1 AS INTEGER), 8) AS BIGINT)) AS h FROM documents),
+r AS (SELECT *, CAST(len(w) AS BIGINT) AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS b FROM h),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+             array_to_string(w[1 : a], '') AS p, array_to_string(w[a + 1 : b], '') AS m, array_to_string(w[b + 1 : n], '') AS s FROM r)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": _OP2_SQL, "op10_warc": _OP10_SQL}
+    return {"op2_top_k": _OP2_SQL, "op10_warc": _OP10_SQL, "op12_fim": _OP12_SQL}
