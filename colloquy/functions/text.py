@@ -15,6 +15,7 @@ THANKS = "謝謝。"
 # Phrases that a translator adds, removed in this order, and what marks them.
 STRAY_PHRASES = (r"沒有任何樓盤符合您的搜尋結果\.?", r"沒有任何樓盤符合您的搜尋\s*[-—–-]?\s*", r"沒有任何樓盤符合您的搜尋\.?")
 STRAY_MARKS = ("樓盤", "搜尋結果")
+# Suffixes of recordings.
 SUFFIXES = (".wav", ".m4a", ".mp3", ".aac", ".flac", ".ogg", ".caf", ".aiff", ".aif")
 # The form of a single word, and what is cleaned after the phrases are removed, in this order.
 LEMMA = r"^[a-z]+(?:'[a-z]+)?(?:-[a-z]+)*$"
@@ -32,9 +33,13 @@ def media_stem(name) -> Column:
     return F.when(name.endswith(".work.wav"), F.regexp_replace(name, r"\.work\.wav$", "")).otherwise(F.regexp_replace(name, r"(?<=[^/])\.[^./]+$", ""))
 
 
+def path_stem(name: Column) -> Column:
+    """Without the last suffix; a leading dot starts no suffix."""
+    return F.regexp_replace(name, r"(?<=[^/])\.[^./]+$", "")
+
+
 def same_stem(name: Column, stem: Column) -> Column:
-    path_stem = F.regexp_replace(name, r"(?<=[^/])\.[^./]+$", "")
-    return (media_stem(name) == stem) | (path_stem == stem) | F.startswith(name, F.concat(stem, F.lit(".")))
+    return (media_stem(name) == stem) | (path_stem(name) == stem) | F.startswith(name, F.concat(stem, F.lit(".")))
 
 
 def format_ts(seconds: Column) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colloquy.functions.text import LEMMA_ENTRY, coerce_time, flatten_fallback_entry, glossary, is_contaminated, lemma_entry, lemma_variants, media_stem, merge_lemma, normalize_query, note_lemmas, parse_dict_row, remove_lemma, same_stem, scrub_zh, strip
-from colloquy.operators.intervals import turns_inside_ranges, turns_outside_ranges
+from colloquy.functions.text import LEMMA_ENTRY, coerce_time, flatten_fallback_entry, glossary, is_contaminated, lemma_entry, lemma_variants, media_stem, merge_lemma, normalize_query, note_lemmas, parse_dict_row, path_stem, remove_lemma, same_stem, scrub_zh, strip
+from colloquy.operators.intervals import turns_outside_ranges
+from colloquy.operators.render import WORDS
 
 RANGE_LIMIT = 180.0
 
@@ -59,15 +61,25 @@ def edit_report(old: DataFrame, new: DataFrame, kept_words: DataFrame, edits: Da
     return out.withColumn("status", F.when(F.col("kept_words") == 0, "rejected").otherwise("applied"))
 
 
+def _words_like(turns: DataFrame, words):
+    """Words with the fields that the turns' words have, or those of an export if the turns have none."""
+    kind = turns.schema["words"].dataType if "words" in turns.columns else T._parse_datatype_string(WORDS)
+    return lambda have: F.transform(words, lambda w: F.struct(*[(w[f.name] if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.elementType.fields]))
+
+
 def apply_range_edits(turns: DataFrame, clip_words: DataFrame, edits: DataFrame, durations: DataFrame | None = None, memory: DataFrame | None = None, translate=None) -> tuple[DataFrame, DataFrame]:
     """Turns after re-transcription of the ranges, and a report with a row for each edit.
 
     ``clip_words`` have (edit_id, rec_id, word_ix, word, start, end) in clip time and
-    ``offset``; an edit takes words of its own clip only, those with their midpoint in its
-    range. Where two ranges touch, a word at the shared end belongs to the later one. Each
+    ``offset``; an edit takes words of its own clip only, those with a text and their midpoint
+    in its range. Where two ranges touch, a word at the shared end belongs to the later one. Each
     edit makes its own turns, translated if a memory or a translator is given. Edits that
     are not valid, that overlap an earlier one of the batch on the same recording, or that
-    have no words change nothing; the report gives the ``reason``."""
+    have no words change nothing; the report gives the ``reason``.
+
+    Turns keep all their columns, ``words`` among them; new turns have their words in the
+    recording's time, and null in columns that only old ones have. Both results come from one
+    table of old and new turns with the edits that each belongs to."""
     from colloquy.functions.text import punctuate
     from colloquy.operators.intervals import inherit_speaker
     from colloquy.operators.translate import translate_turns
@@ -76,16 +88,17 @@ def apply_range_edits(turns: DataFrame, clip_words: DataFrame, edits: DataFrame,
     if durations is None:
         durations = edits.select("rec_id").distinct().withColumn("duration", F.lit(None).cast("double"))
     checked = validate_edits(edits.select("edit_id", "rec_id", "start", "end", "padding"), durations)
-    checked = checked.withColumns({c: F.col(c).try_cast("double") for c in ("start", "end")})
-    valid = checked.where("reason is null")
-    by_time = Window.partitionBy("rec_id").orderBy("start", "edit_id")
+    checked = checked.withColumns({c: F.col(c).try_cast("double") for c in ("start", "end")}).withColumn("ok", F.col("reason").isNull())
+    by_time = Window.partitionBy("rec_id", "ok").orderBy("start", "edit_id")
     until = F.max("end").over(by_time.rowsBetween(Window.unboundedPreceding, -1))
-    valid = valid.withColumn("apart", until.isNull() | (F.col("start") >= until))
-    apart = valid.where("apart").withColumn("shared_end", F.coalesce(F.lead("start").over(by_time) == F.col("end"), F.lit(False)))
+    checked = checked.withColumn("apart", F.col("ok") & (until.isNull() | (F.col("start") >= until)))
+    following = F.lead("start").over(Window.partitionBy("rec_id", "apart").orderBy("start", "edit_id"))
+    checked = checked.withColumn("shared_end", F.coalesce(following == F.col("end"), F.lit(False)))
+    apart = checked.where("apart")
     own = apart.select("edit_id", F.col("start").alias("_s"), F.col("end").alias("_e"), "shared_end")
     middle = (F.col("start") + F.col("end")) / 2
-    kept = shift_times(clip_words).drop("offset").join(own, "edit_id").where(middle.between(F.col("_s"), F.col("_e")) & ~(F.col("shared_end") & (middle == F.col("_e"))))
-    ix = F.row_number().over(Window.partitionBy("rec_id").orderBy("_s", "start", "end", "word_ix")) - 1
+    kept = shift_times(clip_words.where(strip(F.col("word")) != "")).drop("offset").join(own, "edit_id").where(middle.between(F.col("_s"), F.col("_e")) & ~(F.col("shared_end") & (middle == F.col("_e"))))
+    ix = F.row_number().over(Window.partitionBy("edit_id").orderBy("start", "end", "word_ix")) - 1
     kept = kept.withColumn("word_ix", ix).drop("_s", "_e", "shared_end")
     # turns are made within an edit, so its id stands for the recording until they are
     new = words_to_turns(inherit_speaker(kept, turns).drop("rec_id").withColumnRenamed("edit_id", "rec_id")).withColumn("text", punctuate(F.col("text")))
@@ -93,22 +106,38 @@ def apply_range_edits(turns: DataFrame, clip_words: DataFrame, edits: DataFrame,
     new = new.withColumn("turn_ix", F.row_number().over(Window.partitionBy("rec_id").orderBy("turn_ix", "part_ix")) - 1)
     if memory is not None or translate is not None:
         new = translate_turns(new, memory, translate)
-    new = new.withColumnRenamed("rec_id", "edit_id").join(apart.select("edit_id", "rec_id"), "edit_id")
-    spoken = apart.join(kept.select("edit_id").distinct(), "edit_id", "left_semi")
-    columns = ["rec_id", "turn_ix", "speaker", "start", "end", "text", "text_zh"]
-    after = splice_turns(turns.select(*columns), new.select(*columns), spoken)
-
-    count = lambda df, name: df.groupBy("edit_id").agg(F.count("*").alias(name))
-    ranges = spoken.select("edit_id", "rec_id", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    replaced = count(turns.join(ranges, "rec_id").where(F.least("end", "_e") - F.greatest("start", "_s") > 0), "replaced_turns")
-    report = checked.select("edit_id", "rec_id", "reason").join(valid.select("edit_id", "apart"), "edit_id", "left")
-    for part in (replaced, count(new, "new_turns"), count(kept, "kept_words")):
-        report = report.join(part, "edit_id", "left")
-    report = report.na.fill(0, ["replaced_turns", "new_turns", "kept_words"])
+    have = {f.name for f in new.schema["words"].dataType.elementType.fields}
+    new = new.withColumn("words", _words_like(turns, F.col("words"))(have)).withColumnRenamed("rec_id", "edit_id").join(apart.select("edit_id", "rec_id"), "edit_id")
+    columns = [*turns.columns, *(["words"] if "words" not in turns.columns else [])]
+    ranges = apart.groupBy("rec_id").agg(F.collect_list(F.struct("edit_id", F.col("start").alias("s"), F.col("end").alias("e"))).alias("_ranges"))
+    hit = F.transform(F.filter("_ranges", lambda r: F.least("end", r["e"]) - F.greatest("start", r["s"]) > 0), lambda r: r["edit_id"])
+    id_type = dict(edits.dtypes)["edit_id"]
+    none = F.array().cast(f"array<{id_type}>")
+    old = turns.join(ranges, "rec_id", "left").select(*turns.columns, F.coalesce(hit, none).alias("_hit"), F.lit(None).cast(id_type).alias("_edit"))
+    both = old.unionByName(new.select(*[c for c in new.columns if c in columns], none.alias("_hit"), F.col("edit_id").alias("_edit")), allowMissingColumns=True)
+    # edits with words: only these replace
+    spoken = F.collect_set("_edit").over(Window.partitionBy("rec_id"))
+    both = both.withColumn("_hit", F.array_intersect("_hit", spoken))
+    ix = F.row_number().over(Window.partitionBy("rec_id").orderBy("start", "end", F.col("_edit").isNotNull(), "turn_ix")) - 1
+    after = both.where(F.size("_hit") == 0).withColumn("_ix", ix).select(*[F.col("_ix").alias(c) if c == "turn_ix" else F.col(c) for c in columns])
+
+    each = both.select(F.explode(F.when(F.col("_edit").isNotNull(), F.array("_edit")).otherwise(F.col("_hit"))).alias("edit_id"), F.col("_edit").isNotNull().alias("fresh"), F.size("words").alias("n"))
+    counts = each.groupBy("edit_id").agg(F.count_if(~F.col("fresh")).alias("replaced_turns"), F.count_if("fresh").alias("new_turns"), F.sum(F.when(F.col("fresh"), F.col("n"))).alias("kept_words"))
+    report = checked.select("edit_id", "rec_id", "reason", "apart").join(counts, "edit_id", "left").na.fill(0, ["replaced_turns", "new_turns", "kept_words"])
     why = F.coalesce("reason", F.when(~F.col("apart"), "overlaps another edit"), F.when(F.col("kept_words") == 0, "no words"))
     return after, report.select("edit_id", "rec_id", why.alias("reason"), "replaced_turns", "new_turns", "kept_words", F.when(why.isNull(), "applied").otherwise("rejected").alias("status"))
 
 
+def edit_table(table, clip_words: DataFrame, edits: DataFrame, durations: DataFrame | None = None, memory: DataFrame | None = None, translate=None) -> tuple[int, DataFrame]:
+    """Applies range edits to the turns of a :class:`colloquy.sources.store.VersionedTable` by
+    recording: the new version, and the report. Only buckets of edited recordings are rewritten;
+    ``table.undo()`` goes back. The report reads the snapshot before, whose files stay."""
+    seen = table.version()
+    change = lambda old: apply_range_edits(old, clip_words, edits, durations, memory, translate)
+    version = table.update(edits.select("rec_id"), lambda old: change(old)[0], expected=seen)
+    return version, change(table.read(seen))[1]
+
+
 def restore_version(versions: DataFrame, current: DataFrame) -> DataFrame:
     """The last version below the current one of each recording; ``error`` if none has turns."""
     before = versions.join(current, "rec_id").where(F.col("version") < F.col("current")).groupBy("rec_id").agg(F.max_by("turns", "version").alias("turns"))
@@ -116,12 +145,18 @@ def restore_version(versions: DataFrame, current: DataFrame) -> DataFrame:
     return out.withColumn("error", F.when(F.coalesce(F.size("turns"), F.lit(0)) <= 0, "nothing to restore"))
 
 
-def rescrub(turns: DataFrame) -> DataFrame:
-    """``text_zh`` set from the glossary, else scrubbed; ``changed`` and ``to_translate`` (it was contaminated and has English)."""
+def rescrub(turns: DataFrame, memory: DataFrame | None = None, translate=None) -> DataFrame:
+    """``text_zh`` set from the glossary, else scrubbed; ``changed`` and ``to_translate`` (it was
+    contaminated and has English). With a memory or a translator the turns to translate are
+    translated anew; without, they keep what the scrubbing left."""
+    from colloquy.operators.translate import translate_turns
+
     old, known = F.coalesce("text_zh", F.lit("")), glossary(F.col("text"))
-    new = F.coalesce(known, scrub_zh(old))
-    out = turns.withColumn("_new", new).withColumn("to_translate", known.isNull() & is_contaminated(old) & (strip(F.coalesce("text", F.lit(""))) != ""))
-    return out.withColumn("changed", F.col("_new") != old).withColumn("text_zh", F.col("_new")).drop("_new")
+    out = turns.withColumn("_old", old).withColumn("to_translate", known.isNull() & is_contaminated(old) & (strip(F.coalesce("text", F.lit(""))) != "")).withColumn("text_zh", F.coalesce(known, scrub_zh(old)))
+    if memory is not None or translate is not None:
+        again = translate_turns(out.where("to_translate"), memory, translate).select(*out.columns)
+        out = out.where(~F.col("to_translate")).unionByName(again)
+    return out.withColumn("changed", F.col("text_zh") != F.col("_old")).drop("_old")
 
 
 def scrub_report(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -206,16 +241,26 @@ def delete_notes(notes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def delete_recordings(files: DataFrame, stems: DataFrame) -> DataFrame:
-    """``kind, name, stem, deleted``; recording.wav is never deleted. A name is met under
-    its stems and under each of its dotted prefixes, so the join is an equi-join."""
+    """``kind, name, stem, deleted``; recording.wav is never deleted. A name is met under its stems
+    and under each of its dotted prefixes, so the join is an equi-join; of several stems the first
+    one counts. Files of the kind ``notes`` belong to one recording, whose stem is the name
+    without ``.json``."""
     parts = F.split("name", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))
-    keys = F.array_distinct(F.concat(prefixes, F.array(media_stem("name"))))
-    hits = files.select("kind", "name", F.explode(keys).alias("stem")).join(stems.select("stem"), "stem").where(same_stem(F.col("name"), F.col("stem"))).where("name <> 'recording.wav'")
+    keys = F.when(F.col("kind") == "notes", F.array(F.regexp_replace("name", r"\.json$", ""))).otherwise(F.array_distinct(F.concat(prefixes, F.array(media_stem("name")))))
+    met = files.select("kind", "name", F.explode(keys).alias("stem")).join(stems.select("stem").distinct(), "stem")
+    hits = met.where((F.col("kind") == "notes") | same_stem(F.col("name"), F.col("stem"))).where("name <> 'recording.wav'")
     hits = hits.groupBy("kind", "name").agg(F.min("stem").alias("stem"))
     return files.join(hits, ["kind", "name"], "left").withColumn("deleted", F.col("stem").isNotNull())
 
 
+def deletion_report(deleted: DataFrame, stems: DataFrame) -> DataFrame:
+    """``stem, n_deleted, n_notes, names`` of every stem asked for: how many files went, how many of
+    them were notes, and their names in order. ``deleted`` is what :func:`delete_recordings` gives."""
+    gone = deleted.where("deleted").groupBy("stem").agg(F.count("*").alias("n_deleted"), F.count_if(F.col("kind") == "notes").alias("n_notes"), F.array_sort(F.collect_list("name")).alias("names"))
+    return stems.select("stem").distinct().join(gone, "stem", "left").na.fill(0, ["n_deleted", "n_notes"]).withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+
+
 # ------------------------------------------------------------------------- lookup
 
 
@@ -262,12 +307,13 @@ def upsert_cache(cache: DataFrame, found: DataFrame, most: int = 2000) -> DataFr
 
 
 def library(recordings: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Recordings with the transcript that fits best: its stem, its stem as work file, else the first by name."""
+    """Recordings with the transcript that fits best: its stem, its stem as work file, else the first
+    by name whose stem is the recording's. Recogniser results and checkpoints are no transcripts."""
     r = recordings.withColumn("stem", media_stem("name"))
-    parts = F.split("transcript_name", r"\.")
-    keys = F.array_distinct(F.concat(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), ".")), F.array(media_stem("transcript_name"))))
-    t = transcripts.select(F.col("name").alias("transcript_name")).withColumn("stem", F.explode(keys)).where(same_stem(F.col("transcript_name"), F.col("stem")))
-    rank = F.when(F.col("transcript_name") == F.concat("stem", F.lit(".json")), 0).when(F.col("transcript_name") == F.concat("stem", F.lit(".work.json")), 1).otherwise(2)
+    name = F.col("transcript_name")
+    keys = F.array_distinct(F.array(media_stem(name), path_stem(name), F.regexp_replace(name, r"\.work\.json$", "")))
+    t = transcripts.select(F.col("name").alias("transcript_name")).where(name.endswith(".json") & ~name.rlike(r"\.(whisper|turns)\.json$")).withColumn("stem", F.explode(keys))
+    rank = F.when(name == F.concat("stem", F.lit(".json")), 0).when(name == F.concat("stem", F.lit(".work.json")), 1).otherwise(2)
     best = t.groupBy("stem").agg(F.min(F.struct(rank.alias("rank"), "transcript_name")).alias("b")).select("stem", F.col("b.transcript_name").alias("transcript_name"))
     return r.join(best, "stem", "left").withColumn("has_transcript", F.col("transcript_name").isNotNull())
 

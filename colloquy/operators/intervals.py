@@ -1,35 +1,73 @@
 """Interval and nearest-time joins between words and segments of the same recording.
 
-Both joins are equi-joins or sorts by recording: an overlap join meets in time bins, so
-its cost follows the number of overlapping pairs, and a nearest join is two window
-functions over one sort. No theta join is planned.
+An overlap join cogroups words and segments by recording and long slices of time, and finds
+the segments of a slice's words by binary search; a nearest join is two window functions
+over one sort. No theta join is planned.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SPEAKER = "SPEAKER_01"
-BIN_SECONDS = 8.0
+#: Words of a recording that start within so many seconds meet in one task.
+SLICE_SECONDS = 6 * 3600.0
+#: Pairs of a word and a segment that are compared at once.
+PAIRS = 1 << 20
 
 
 def interval_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0))
 
 
-def _bins(start: Column, end: Column, width: float) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width)))
-
-
-def overlap_argmax(words: DataFrame, segments: DataFrame, width: float = BIN_SECONDS) -> DataFrame:
-    """``rec_id, word_ix, seg_ix, speaker`` of the segment that overlaps each word most; ties
-    to the lowest seg_ix; words without overlap are absent."""
-    w = words.select("rec_id", "word_ix", F.col("start").alias("ws"), F.col("end").alias("we"), _bins(F.col("start"), F.col("end"), width).alias("bin"))
-    s = segments.select("rec_id", "seg_ix", "speaker", F.col("start").alias("ss"), F.col("end").alias("se"), _bins(F.col("start"), F.col("end"), width).alias("bin"))
-    met = w.join(s, ["rec_id", "bin"]).withColumn("overlap", interval_overlap(F.col("ws"), F.col("we"), F.col("ss"), F.col("se"))).where("overlap > 0")
-    best = F.max(F.struct("overlap", (-F.col("seg_ix")).alias("neg"), "speaker")).alias("best")
-    return met.groupBy("rec_id", "word_ix").agg(best).select("rec_id", "word_ix", (-F.col("best.neg")).alias("seg_ix"), F.col("best.speaker").alias("speaker"))
+def most_overlapping(ws: np.ndarray, we: np.ndarray, ss: np.ndarray, se: np.ndarray) -> np.ndarray:
+    """For each word the place of the segment that overlaps it most, ties to the first one; -1
+    where none does.
+
+    Segments are taken by classes of length, each twice as long as the last. In a class sorted
+    by start those that can overlap a word are neighbours: they start before it ends and no
+    earlier than the class's longest segment before it starts. So a long segment is looked at
+    for the words it covers and hides no short ones."""
+    best, gain = np.full(len(ws), -1), np.zeros(len(ws))
+    length = se - ss
+    kind = np.where(length > 0, np.frexp(np.where(length > 0, length, 1.0))[1], np.iinfo(np.int32).max)
+    for c in np.unique(kind[length > 0]):
+        some = np.flatnonzero(kind == c)
+        some = some[np.argsort(ss[some], kind="stable")]
+        starts, longest = ss[some], length[some].max()
+        # a margin for the rounding of the difference; what doesn't overlap gives no gain
+        first = np.searchsorted(starts, ws - longest - 1e-9 * (np.abs(ws) + longest), "left")
+        count = np.maximum(np.searchsorted(starts, we, "left") - first, 0)
+        total = np.concatenate([[0], np.cumsum(count)])
+        at = 0
+        while at < len(ws):
+            end = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+            n = count[at:end]
+            if n.any():
+                word = np.repeat(np.arange(at, end), n)
+                seg = some[np.arange(len(word)) - np.repeat(total[at:end] - total[at], n) + np.repeat(first[at:end], n)]
+                over = np.minimum(we[word], se[seg]) - np.maximum(ws[word], ss[seg])
+                order = np.lexsort((seg, -over, word))
+                top = order[np.concatenate([[True], np.diff(word[order]) > 0])]
+                w, s, o = word[top], seg[top], over[top]
+                wins = (o > gain[w]) | ((o > 0) & (o == gain[w]) & (s < best[w]))
+                best[w[wins]], gain[w[wins]] = s[wins], o[wins]
+            at = end
+    return best
+
+
+def nearest_places(t: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    """For each time the place of the nearest midpoint, ties to the first one; there is one at least."""
+    order = np.argsort(middle, kind="stable")
+    sorted_, first = np.unique(middle[order], return_index=True)
+    place = order[first]
+    after = np.searchsorted(sorted_, t, "left")
+    a, b = np.minimum(after, len(place) - 1), np.maximum(after - 1, 0)
+    da, db = np.abs(sorted_[a] - t), np.abs(t - sorted_[b])
+    return np.where((db < da) | ((db == da) & (place[b] < place[a])), place[b], place[a])
 
 
 def nearest(probes: DataFrame, centers: DataFrame) -> DataFrame:
@@ -59,19 +97,48 @@ def renumber_first_seen(df: DataFrame, label: str = "speaker", order: str = "ix"
     return joined.drop("_label", "_first").withColumn(out, F.col("_name")).drop("_name")
 
 
-def assign_speakers_by_overlap(words: DataFrame, segments: DataFrame, renumber: bool = True, width: float = BIN_SECONDS) -> DataFrame:
+def assign_speakers_by_overlap(words: DataFrame, segments: DataFrame, renumber: bool = True, slice_seconds: float = SLICE_SECONDS) -> DataFrame:
     """Words with ``speaker`` of the segment of greatest overlap, else of the nearest midpoint;
-    SPEAKER_01 in recordings without segments."""
+    SPEAKER_01 in recordings without segments and for words without times. Ties go to the lowest
+    seg_ix. Words may repeat and have any other columns; segments without times count for none.
+
+    Words are shuffled once, by recording and the slice of time in which they start, and meet the
+    segments there (see :func:`most_overlapping`). A segment goes to each slice with a word that
+    could overlap it or have the nearest midpoint in it: those from its start, or the midpoint
+    before its own, less the recording's longest word, to its end, or the midpoint behind it.
+    That is one slice for all but the longest recordings, whatever the segment's length."""
     named = renumber_first_seen(segments, order="seg_ix") if renumber else segments.withColumn("speaker", F.when(F.coalesce("speaker", F.lit("")) == "", DEFAULT_SPEAKER).otherwise(F.col("speaker")))
     words = words.drop("speaker")
-    best = overlap_argmax(words, named, width).select("rec_id", "word_ix", F.col("speaker").alias("by_overlap"))
-    left = words.join(best, ["rec_id", "word_ix"], "left")
-    middle = lambda a, b: ((F.col(a) + F.col(b)) / 2).alias("t")
-    probes = left.where("by_overlap is null").select("rec_id", "word_ix", middle("start", "end"))
-    near = nearest(probes, named.select("rec_id", F.col("seg_ix").alias("ix"), middle("start", "end"), "speaker"))
-    near = near.select("rec_id", "word_ix", F.col("speaker").alias("by_time"))
-    out = left.join(near, ["rec_id", "word_ix"], "left")
-    return out.withColumn("speaker", F.coalesce("by_overlap", "by_time", F.lit(DEFAULT_SPEAKER))).drop("by_overlap", "by_time")
+    at = lambda t: F.floor(t / slice_seconds)
+    extent = words.groupBy("rec_id").agg(F.min("start").alias("_min"), F.max("start").alias("_max"), F.greatest(F.lit(0.0), F.max(F.col("end") - F.col("start"))).alias("_long"))
+    s = named.select("rec_id", F.col("seg_ix").alias("_ix"), F.col("start").cast("double").alias("_s"), F.col("end").cast("double").alias("_e"), F.col("speaker").alias("_speaker")).where("_s is not null and _e is not null")
+    s = s.withColumn("_t", (F.col("_s") + F.col("_e")) / 2)
+    # of segments with the same midpoint the first one borders on the midpoints on both sides
+    before = F.lag("_t").over(Window.partitionBy("rec_id").orderBy("_t", "_ix"))
+    after = F.lead("_t").over(Window.partitionBy("rec_id").orderBy("_t", F.desc("_ix")))
+    s = s.withColumn("_b", before).withColumn("_a", after).join(extent, "rec_id")
+    low = F.when(F.col("_b").isNull(), at(F.col("_min"))).otherwise(at(F.least("_s", "_b") - F.col("_long")))
+    high = F.when(F.col("_a").isNull(), at(F.greatest("_max", "_e"))).otherwise(at(F.greatest("_e", "_a")))
+    low, high = F.greatest(low, at(F.col("_min"))), F.least(high, at(F.col("_max")))
+    s = s.where(low <= high).select("rec_id", F.explode(F.sequence(low, high)).alias("_slice"), "_ix", "_s", "_e", "_t", "_speaker")
+    out = words.withColumn("speaker", F.lit(""))
+    names = out.columns
+
+    def assign(left: pa.Table, right: pa.Table) -> pa.Table:
+        speaker = np.full(left.num_rows, DEFAULT_SPEAKER, object)
+        if right.num_rows and left.num_rows:
+            right = right.sort_by([("_ix", "ascending"), ("_s", "ascending"), ("_e", "ascending"), ("_speaker", "ascending")])
+            ss, se, st = (right.column(c).to_numpy() for c in ("_s", "_e", "_t"))
+            ws, we = (left.column(c).cast(pa.float64()).to_numpy() for c in ("start", "end"))
+            timed = np.flatnonzero(~np.isnan(ws) & ~np.isnan(we))
+            place = most_overlapping(ws[timed], we[timed], ss, se)
+            lost = place < 0
+            place[lost] = nearest_places((ws[timed] + we[timed])[lost] / 2, st)
+            speaker[timed] = np.array(right.column("_speaker").to_pylist(), object)[place]
+        return left.append_column("speaker", pa.array(speaker, pa.string())).select(names)
+
+    keyed = words.withColumn("_slice", at(F.col("start").cast("double")))
+    return keyed.groupBy("rec_id", "_slice").cogroup(s.groupBy("rec_id", "_slice")).applyInArrow(assign, out.schema)
 
 
 def assign_nearest(words: DataFrame, windows: DataFrame) -> DataFrame:

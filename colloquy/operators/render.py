@@ -51,22 +51,35 @@ def render_markdown(turns: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select("rec_id", F.concat(F.regexp_replace(F.concat(head, "body"), r"(?U)\s+$", ""), F.lit("\n")).alias("content"))
 
 
+WORDS = "array<struct<word:string,start:double,end:double,probability:double,speaker:string>>"
+
+
+def transcript_words(turns: DataFrame):
+    """The words of a turn in their exported form: an empty list if there are none, fields that are missing null."""
+    if "words" not in turns.columns:
+        return F.array().cast(WORDS)
+    have = {f.name for f in turns.schema["words"].dataType.elementType.fields}
+    kinds = (("word", "string"), ("start", "double"), ("end", "double"), ("probability", "double"), ("speaker", "string"))
+    word = lambda w: F.struct(*[(w[f] if f in have else F.lit(None)).cast(t).alias(f) for f, t in kinds])
+    return F.coalesce(F.transform("words", word), F.array().cast(WORDS))
+
+
 def to_transcript_docs(turns: DataFrame, docs: DataFrame) -> DataFrame:
-    """One document per recording with its turns in order."""
-    listed = F.array_sort(F.collect_list(F.struct("turn_ix", "speaker", "start", "end", "text", "text_zh")))
+    """One document per recording with its turns, and their words, in order."""
+    listed = F.array_sort(F.collect_list(F.struct("turn_ix", "speaker", "start", "end", "text", "text_zh", transcript_words(turns).alias("words"))))
     texts = F.array_join(F.transform(listed, lambda t: strip(t["text"])), " ")
     out = _ready(turns).groupBy("rec_id").agg(listed.alias("turns"), strip(texts).alias("text"))
     return out.join(docs.select("rec_id", "language"), "rec_id", "left").withColumn("bilingual", F.lit(True))
 
 
-def notes_csv(notes: DataFrame) -> DataFrame:
-    """Columns of the exported table; write with :func:`write_notes_csv`."""
+def notes_csv(notes: DataFrame, *more: str) -> DataFrame:
+    """Columns of the exported table, and ``more`` columns of the notes; write it with :func:`write_notes_csv` or as files of recordings."""
     lemmas = note_lemmas(F.col("lemmas"), F.col("dict"), F.coalesce("word", F.lit("")))
     gloss = F.transform("_l", lambda e: strip(F.coalesce(F.nullif(F.get(e["senses"], F.lit(0))["zh"], F.lit("")), F.get(e["senses"], F.lit(0))["en"], F.lit(""))))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return notes.withColumn("_l", lemmas).select(
         F.col("rec_id").cast("string").alias("stem"), text("word").alias("word"), text("text_en").alias("text_en"), text("text_zh").alias("text_zh"), F.array_join(F.transform("_l", lambda e: e["lemma"]), "; ").alias("dict_lemma"),
-        F.array_join(F.filter(gloss, lambda g: g != ""), " | ").alias("dict_gloss"), text("start").alias("start"), text("end").alias("end"), text("source").alias("source"), text("created_at").alias("created_at"),
+        F.array_join(F.filter(gloss, lambda g: g != ""), " | ").alias("dict_gloss"), text("start").alias("start"), text("end").alias("end"), text("source").alias("source"), text("created_at").alias("created_at"), *more,
     )
 
 

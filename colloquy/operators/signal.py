@@ -87,16 +87,3 @@ def choose_k(scores: DataFrame, least: int = 2, most: int = 4) -> DataFrame:
 def k_floor(k: Column, windows: Column, least: int) -> Column:
     raised = F.when((F.lit(least) >= 2) & (k < 2) & (windows >= 4), 2).otherwise(k)
     return F.greatest(F.lit(1), F.least(raised, windows))
-
-
-def cluster_windows(windows: DataFrame, ks: list[int], seed: int = 1) -> DataFrame:
-    """Labels for each k by cosine k-means over the whole corpus: rec_id, win_ix, k, label."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    data = windows.select("rec_id", "win_ix", array_to_vector(l2_normalize(F.col("embedding").cast("array<double>"))).alias("features"))
-    parts = [KMeans(k=k, seed=seed, distanceMeasure="cosine").fit(data).transform(data).select("rec_id", "win_ix", F.lit(k).alias("k"), F.col("prediction").alias("label")) for k in ks]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out

@@ -6,10 +6,12 @@ its SQL states the same result in another way where it can.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as T
+from colloquy.operators import blocks as K
+from colloquy.operators import clusters as C
 from colloquy.operators import edits as E
 from colloquy.operators import intervals as I
 from colloquy.operators import render as R
@@ -240,11 +242,11 @@ def f1_media_stem(fx):
 
 
 def _docs_of(fx) -> DataFrame:
-    return fx.table("customer").select(F.concat(F.lit("rec"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 4 == 0, ".work.json").when(F.col("c_custkey") % 4 == 1, ".json").otherwise(".v2.json")).alias("name"))
+    return fx.table("customer").select(F.concat(F.lit("rec"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 4 == 0, ".work.json").when(F.col("c_custkey") % 4 == 1, ".json").when(F.col("c_custkey") % 4 == 2, ".v2.json").otherwise(".whisper.json")).alias("name"))
 
 
-@query(_NAMES + """, dn AS (SELECT 'rec' || c_custkey || CASE c_custkey % 4 WHEN 0 THEN '.work.json' WHEN 1 THEN '.json' ELSE '.v2.json' END AS t FROM customer),
-bs AS (SELECT ns.name, ns.stem, arg_min(t, CASE WHEN t = ns.stem || '.json' THEN '0' WHEN t = ns.stem || '.work.json' THEN '1' ELSE '2' || t END) AS transcript_name FROM ns JOIN dn ON starts_with(t, ns.stem || '.') GROUP BY ns.name, ns.stem)
+@query(_NAMES + """, dn AS (SELECT 'rec' || c_custkey || CASE c_custkey % 4 WHEN 0 THEN '.work.json' WHEN 1 THEN '.json' WHEN 2 THEN '.v2.json' ELSE '.whisper.json' END AS t FROM customer),
+bs AS (SELECT ns.name, ns.stem, arg_min(t, CASE WHEN t = ns.stem || '.json' THEN '0' WHEN t = ns.stem || '.work.json' THEN '1' ELSE '2' || t END) AS transcript_name FROM ns JOIN dn ON t IN (ns.stem || '.json', ns.stem || '.work.json') GROUP BY ns.name, ns.stem)
 SELECT-> ns.name, ns.stem, bs.transcript_name, bs.transcript_name IS NOT NULL AS has_transcript FROM ns LEFT JOIN bs ON ns.name = bs.name""")
 def j5_library(fx):
     return E.library(_names(fx), _docs_of(fx)).select("name", "stem", "transcript_name", "has_transcript")
@@ -257,6 +259,16 @@ def u6_delete_recordings(fx):
     return E.delete_recordings(_names(fx).withColumn("kind", F.lit("recording")), stems).select("name", "stem", "deleted")
 
 
+@query(_NAMES + """, sd AS (SELECT DISTINCT 'rec' || (c_custkey * 3) AS stem FROM customer), fl AS (SELECT 'recording' AS kind, name, stem FROM ns UNION ALL SELECT DISTINCT 'notes', stem || '.json', stem FROM ns),
+h AS (SELECT fl.kind, fl.name, min(sd.stem) AS stem FROM fl JOIN sd ON fl.stem = sd.stem OR (fl.kind = 'recording' AND starts_with(fl.name, sd.stem || '.')) GROUP BY ALL)
+SELECT-> sd.stem, count(h.name) AS n_deleted, count(h.name) FILTER (WHERE h.kind = 'notes') AS n_notes, coalesce(string_agg(h.name, ',' ORDER BY h.name), '') AS names FROM sd LEFT JOIN h ON sd.stem = h.stem GROUP BY sd.stem""")
+def u6_deletion_report(fx):
+    stems = fx.table("customer").select(F.concat(F.lit("rec"), (F.col("c_custkey") * 3).cast("string")).alias("stem"))
+    notes = _names(fx).select(F.lit("notes").alias("kind"), F.concat(T.media_stem("name"), F.lit(".json")).alias("name")).distinct()
+    gone = E.delete_recordings(_names(fx).select(F.lit("recording").alias("kind"), "name").unionAll(notes), stems)
+    return E.deletion_report(gone, stems).withColumn("names", F.array_join("names", ","))
+
+
 # ---------------------------------------------------------------- scalars and filters
 
 
@@ -485,7 +497,20 @@ tn AS (SELECT *, sum(fresh) OVER (PARTITION BY edit_id ORDER BY "start", "end",
 sx AS (SELECT *, coalesce(sum(CAST(closes AS INTEGER)) OVER (PARTITION BY edit_id, t ORDER BY "start", "end", word_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM tn),
 ch AS (SELECT *, CASE WHEN max(sentence) OVER (PARTITION BY edit_id, t) < 3 THEN 0 ELSE sentence // 3 END AS part, max(sentence) OVER (PARTITION BY edit_id, t) < 3 AS whole FROM sx),
 nt AS (SELECT edit_id, any_value(rec_id) AS rec_id, t, part, any_value(speaker) AS speaker, arg_min("start", word_ix) AS "start", arg_max("end", word_ix) AS "end", any_value(whole) AS whole,
-       regexp_replace(string_agg(CASE WHEN regexp_matches(word, '^[,.;:!?]') THEN word ELSE ' ' || word END, '' ORDER BY word_ix), '^ +', '') AS text FROM ch GROUP BY edit_id, t, part)"""
+       regexp_replace(string_agg(CASE WHEN regexp_matches(word, '^[,.;:!?]') THEN word ELSE ' ' || word END, '' ORDER BY word_ix), '^ +', '') AS text, string_agg(word || '@' || "start" || '-' || "end", ' ' ORDER BY word_ix) AS words FROM ch GROUP BY edit_id, t, part)"""
+
+
+def _spoken(fx) -> DataFrame:
+    """The turns with words: the first word of the text, for the whole turn."""
+    first = F.struct(F.element_at(F.split("text", "[ \n\t]+"), 1).alias("word"), "start", "end", F.lit(1.0).alias("probability"), "speaker")
+    return fx.turns().withColumn("words", F.array(first)).withColumn("reviewed", F.col("turn_ix") % 2 == 0)
+
+
+def _told(words) -> object:
+    return F.array_join(F.transform(words, lambda w: F.concat(w["word"], F.lit("@"), w["start"].cast("string"), F.lit("-"), w["end"].cast("string"))), " ")
+
+
+_FIRST_WORD = "string_split_regex(text, '[ \\n\\t]+')[1] || '@' || \"start\" || '-' || \"end\""
 
 
 def _touching(fx) -> tuple[DataFrame, DataFrame]:
@@ -499,12 +524,12 @@ def _touching(fx) -> tuple[DataFrame, DataFrame]:
 
 
 @query((_U2 + """,
-al AS (SELECT rec_id, speaker, "start", "end", CASE WHEN whole THEN PUNCT ELSE text END AS text, 1 AS is_new, edit_id || printf('%09d', CAST(t * 1000 + part AS INTEGER)) AS o FROM nt
-  UNION ALL SELECT rec_id, speaker, "start", "end", text, 0, printf('%09d', turn_ix) FROM fx_turns t WHERE NOT EXISTS (SELECT 1 FROM ed JOIN nt ON ed.edit_id = nt.edit_id WHERE ed.rec_id = t.rec_id AND least(t."end", ed.e) - greatest(t."start", ed.s) > 0))
-SELECT-> rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY "start", "end", is_new, o) - 1 AS INTEGER) AS turn_ix, speaker, "start", "end", text FROM al""").replace("PUNCT", _PUNCT.format("text")))
+al AS (SELECT rec_id, speaker, "start", "end", CASE WHEN whole THEN PUNCT ELSE text END AS text, 1 AS is_new, edit_id || printf('%09d', CAST(t * 1000 + part AS INTEGER)) AS o, words, NULL AS reviewed FROM nt
+  UNION ALL SELECT rec_id, speaker, "start", "end", text, 0, printf('%09d', turn_ix), FIRST, turn_ix % 2 = 0 FROM fx_turns t WHERE NOT EXISTS (SELECT 1 FROM ed JOIN nt ON ed.edit_id = nt.edit_id WHERE ed.rec_id = t.rec_id AND least(t."end", ed.e) - greatest(t."start", ed.s) > 0))
+SELECT-> rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY "start", "end", is_new, o) - 1 AS INTEGER) AS turn_ix, speaker, "start", "end", text, words, reviewed FROM al""").replace("PUNCT", _PUNCT.format("text")).replace("FIRST", _FIRST_WORD))
 def u2_apply_range_edits(fx):
     edits, clips = _touching(fx)
-    return E.apply_range_edits(fx.turns(), clips, edits)[0].select("rec_id", "turn_ix", "speaker", "start", "end", "text")
+    return E.apply_range_edits(_spoken(fx), clips, edits)[0].select("rec_id", "turn_ix", "speaker", "start", "end", "text", _told(F.col("words")).alias("words"), "reviewed")
 
 
 @query(_U2 + """, bad AS (SELECT 'c' || rec_id AS edit_id, rec_id, CASE WHEN rec_id % 2 = 0 THEN 'overlaps another edit' ELSE 'empty range' END AS reason FROM (SELECT DISTINCT rec_id FROM fx_turns)),
@@ -571,11 +596,12 @@ def k4_markdown(fx):
     return R.render_markdown(fx.turns(), fx.turns().select("rec_id", F.lit("en").alias("language")).distinct())
 
 
-@query(" pd AS (SELECT rec_id, turn_ix, speaker, \"start\", \"end\", " + _PUNCT.format("text") + r""" AS text, trim(text_zh, E' \n\t\r') AS text_zh FROM fx_turns), dt AS (SELECT rec_id, trim(string_agg(trim(text, E' \n\t\r'), ' ' ORDER BY turn_ix), E' \n\t\r') AS doc_text FROM pd GROUP BY rec_id)
-SELECT-> pd.rec_id, 'en' AS language, TRUE AS bilingual, doc_text, turn_ix, speaker, "start", "end", text, text_zh FROM pd JOIN dt ON pd.rec_id = dt.rec_id""")
+@query(" pd AS (SELECT rec_id, " + _FIRST_WORD + ' AS "first", turn_ix, speaker, "start", "end", ' + _PUNCT.format("text") + r""" AS text, trim(text_zh, E' \n\t\r') AS text_zh FROM fx_turns), dt AS (SELECT rec_id, trim(string_agg(trim(text, E' \n\t\r'), ' ' ORDER BY turn_ix), E' \n\t\r') AS doc_text FROM pd GROUP BY rec_id)
+SELECT-> pd.rec_id, 'en' AS language, TRUE AS bilingual, doc_text, turn_ix, speaker, "start", "end", text, text_zh, CASE WHEN turn_ix % 3 = 2 THEN '' ELSE "first" END AS words FROM pd JOIN dt ON pd.rec_id = dt.rec_id""")
 def k1_transcript_docs(fx):
-    d = R.to_transcript_docs(fx.turns(), fx.turns().select("rec_id", F.lit("en").alias("language")).distinct())
-    return d.select("rec_id", "language", "bilingual", F.col("text").alias("doc_text"), F.explode("turns").alias("t")).select("rec_id", "language", "bilingual", "doc_text", "t.*")
+    turns = _spoken(fx).withColumn("words", F.when(F.col("turn_ix") % 3 != 2, F.col("words")))
+    d = R.to_transcript_docs(turns, fx.turns().select("rec_id", F.lit("en").alias("language")).distinct())
+    return d.select("rec_id", "language", "bilingual", F.col("text").alias("doc_text"), F.explode("turns").alias("t")).select("rec_id", "language", "bilingual", "doc_text", "t.*").withColumn("words", _told(F.col("words")))
 
 
 def _notes(fx) -> DataFrame:
@@ -663,10 +689,11 @@ def w6_throttle_progress(fx):
     return E.throttle_progress(fx.log()).select("job_id", "seq", "emit")
 
 
-@query("""SELECT job_id, max(seq) + 1 AS seq, CAST(100 AS INTEGER) AS pct FROM fx_log WHERE job_id % 3 <> 0 GROUP BY job_id HAVING max(pct) < 100""")
+@query("""SELECT job_id, max(seq) + 1 AS seq, CAST(100 AS INTEGER) AS pct FROM fx_log WHERE job_id % 3 <> 0 GROUP BY job_id HAVING max(CASE WHEN job_id % 2 = 0 THEN pct * 9 // 10 ELSE pct END) < 100""")
 def w6_closing_ticks(fx):
-    jobs = fx.log().select("job_id", F.when(F.col("job_id") % 3 == 0, 0.0).otherwise(60.0).alias("duration")).distinct()
-    return E.closing_ticks(fx.log(), jobs)
+    log = fx.log().withColumn("pct", F.when(F.col("job_id") % 2 == 0, F.floor(F.col("pct") * 9 / 10)).otherwise(F.col("pct")).cast("int"))
+    jobs = log.select("job_id", F.when(F.col("job_id") % 3 == 0, 0.0).otherwise(60.0).alias("duration")).distinct()
+    return E.closing_ticks(log, jobs)
 
 
 # --------------------------------------------------------------------------- signals
@@ -677,23 +704,54 @@ def m1_downmix(fx):
     return S.downmix_normalize(fx.series()).select("series_id", "i", _r6("value"))
 
 
-@query(""" sz AS (SELECT series_id, max(i) + 1 AS n, greatest(1, CAST(round_even((max(i) + 1) * 3 / 2, 0) AS BIGINT)) AS m FROM fx_series GROUP BY series_id), gj AS (SELECT *, unnest(range(0, m)) AS j FROM sz),
+#: Samples of a block in the queries: small, so that series have many.
+_BLOCK = 4096
+
+
+@query(""" st AS (SELECT *, CASE WHEN i % 3 = 0 THEN value * 2 ELSE value END AS v FROM fx_series UNION ALL SELECT *, -value FROM fx_series WHERE i % 3 = 0), mo AS (SELECT series_id, i, avg(v) AS v FROM st GROUP BY ALL), pk AS (SELECT series_id, max(abs(v)) AS p FROM mo GROUP BY series_id)
+SELECT-> mo.series_id, i, round(CASE WHEN p > 1 THEN v / p ELSE v END, 6) AS value FROM mo JOIN pk ON mo.series_id = pk.series_id""")
+def m1_downmix_blocks(fx):
+    """A second channel that has every third sample."""
+    x, third = fx.series(), F.col("i") % 3 == 0
+    two = x.withColumn("channel", F.lit(0)).withColumn("value", F.when(third, F.col("value") * 2).otherwise(F.col("value"))).unionAll(x.where(third).withColumn("channel", F.lit(1)).withColumn("value", -F.col("value")))
+    return K.to_samples(K.downmix_blocks(K.to_blocks(two, _BLOCK))).select("series_id", "i", _r6("value"))
+
+
+_RESAMPLED = """ sz AS (SELECT series_id, max(i) + 1 AS n, greatest(1, CAST(round_even((max(i) + 1) * 3 / 2, 0) AS BIGINT)) AS m FROM fx_series GROUP BY series_id), gj AS (SELECT *, unnest(range(0, m)) AS j FROM sz),
 ps AS (SELECT *, greatest(0.0, least(n - 1.0::DOUBLE, (j + 0.5::DOUBLE) * n / m - 0.5::DOUBLE)) AS pos FROM gj)
-SELECT-> ps.series_id, j AS i, round(a.value * (1 - (pos - floor(pos))) + coalesce(b.value, a.value) * (pos - floor(pos)), 6) AS value FROM ps JOIN fx_series a ON a.series_id = ps.series_id AND a.i = CAST(floor(pos) AS BIGINT) LEFT JOIN fx_series b ON b.series_id = ps.series_id AND b.i = CAST(floor(pos) AS BIGINT) + 1""")
+SELECT-> ps.series_id, j AS i, round(a.value * (1 - (pos - floor(pos))) + coalesce(b.value, a.value) * (pos - floor(pos)), 6) AS value FROM ps JOIN fx_series a ON a.series_id = ps.series_id AND a.i = CAST(floor(pos) AS BIGINT) LEFT JOIN fx_series b ON b.series_id = ps.series_id AND b.i = CAST(floor(pos) AS BIGINT) + 1"""
+
+
+@query(_RESAMPLED)
 def m2_resample(fx):
     return S.resample_linear(fx.series(), 2, 3).select("series_id", "i", _r6("value"))
 
 
+@query(_RESAMPLED)
+def m2_resample_blocks(fx):
+    blocks = K.to_blocks(fx.series().withColumn("channel", F.lit(0)), _BLOCK).drop("channel")
+    return K.to_samples(K.resample_blocks(blocks, 2, 3)).select("series_id", "i", _r6("value"))
+
+
 @query("""SELECT vec_id, CAST(d - 1 AS INTEGER) AS d, round(v[d] / n, 6) AS x FROM (SELECT vec_id, embedding AS v, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) AS n, unnest(range(1, len(embedding) + 1)) AS d FROM embeddings)""")
 def m3_l2_normalize(fx):
     v = S.l2_normalize(F.col("embedding").cast("array<double>"))
     return fx.table("embeddings").select("vec_id", F.posexplode(v).alias("d", "x")).select("vec_id", "d", _r6("x"))
 
 
-@query(""" sz AS (SELECT series_id, max(i) + 1 AS n FROM fx_series GROUP BY series_id), wn AS (SELECT *, unnest(range(0, (greatest(1, n - 30 + 1) - 1) // 15 + 1)) AS win_ix FROM sz)
-SELECT-> wn.series_id, win_ix, count(*) AS n_samples, round(sqrt(avg(value * value)), 6) AS rms FROM wn JOIN fx_series s ON s.series_id = wn.series_id AND s.i >= win_ix * 15 AND s.i < least(n, win_ix * 15 + 30) GROUP BY ALL HAVING count(*) >= 8 AND sqrt(avg(value * value)) >= 0.01""")
+_WINDOWS = """ sz AS (SELECT series_id, max(i) + 1 AS n FROM fx_series GROUP BY series_id), wn AS (SELECT *, unnest(range(0, (greatest(1, n - 30 + 1) - 1) // 15 + 1)) AS win_ix FROM sz)
+SELECT-> wn.series_id, win_ix, count(*) AS n_samples, round(sqrt(avg(value * value)), 6) AS rms, (win_ix * 15 + least(n, win_ix * 15 + 30)) / 40 AS center
+FROM wn JOIN fx_series s ON s.series_id = wn.series_id AND s.i >= win_ix * 15 AND s.i < least(n, win_ix * 15 + 30) GROUP BY wn.series_id, win_ix, n HAVING count(*) >= 8 AND sqrt(avg(value * value)) >= 0.01"""
+
+
+@query(_WINDOWS)
 def w7_hop_windows(fx):
-    return S.hop_windows(fx.series(), rate=20.0).select("series_id", "win_ix", "n_samples", _r6("rms"))
+    return S.hop_windows(fx.series(), rate=20.0).select("series_id", "win_ix", "n_samples", _r6("rms"), "center")
+
+
+@query(_WINDOWS)
+def w7_hop_window_blocks(fx):
+    return K.hop_window_blocks(K.to_blocks(fx.series().withColumn("channel", F.lit(0)), _BLOCK), rate=20.0).select("series_id", "win_ix", "n_samples", _r6("rms"), "center")
 
 
 @query(""" nv AS (SELECT vec_id % 5 AS rec_id, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS v FROM embeddings),
@@ -716,6 +774,23 @@ def m5_k_floor(fx):
     return fx.table("part").select("p_partkey", S.k_floor(F.col("p_size") % 5, (F.col("p_partkey") % 10).cast("int"), 2).alias("k"))
 
 
-@query("SELECT rec_id, win_ix, CAST(k AS INTEGER) AS k, TRUE AS in_range FROM fx_windows, (VALUES (2), (3)) t(k)")
+@query(""" m6_v AS (SELECT CAST(vec_id // 10 AS BIGINT) AS rec, CAST(vec_id AS INTEGER) AS win, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * y)))) AS v FROM embeddings),
+m6_d AS (SELECT a.rec, a.win AS a, b.win AS b, 1 - list_dot_product(a.v, b.v) AS d FROM m6_v a JOIN m6_v b ON a.rec = b.rec AND a.win <> b.win),
+m6_s AS (WITH RECURSIVE st AS (SELECT rec, win, win AS cl, count(*) OVER (PARTITION BY rec) AS k FROM m6_v
+  UNION ALL SELECT rec, win, CASE WHEN cl = drop_ THEN into_ ELSE cl END, k - 1 FROM (
+    WITH cur AS (SELECT * FROM st WHERE k > 2),
+    pr AS (SELECT x.rec, x.cl AS p, y.cl AS q, avg(m6_d.d) AS d FROM cur x JOIN m6_d ON x.rec = m6_d.rec AND x.win = m6_d.a JOIN cur y ON y.rec = x.rec AND y.win = m6_d.b WHERE x.cl < y.cl GROUP BY ALL),
+    mn AS (SELECT rec, arg_min({'p': p, 'q': q}, d) AS m FROM pr GROUP BY rec)
+    SELECT cur.*, mn.m.p AS into_, mn.m.q AS drop_ FROM cur JOIN mn ON cur.rec = mn.rec)) SELECT * FROM st)
+SELECT-> rec AS rec_id, win AS win_ix, CAST(k AS INTEGER) AS k, min(win) OVER (PARTITION BY rec, k, cl) AS first_win FROM m6_s WHERE k IN (2, 3)""")
 def m6_cluster_windows(fx):
-    return S.cluster_windows(fx.windows(), [2, 3]).select("rec_id", "win_ix", "k", F.col("label").between(0, F.col("k") - 1).alias("in_range"))
+    """The partitions by average linkage of recordings of ten windows: each window with the first of its cluster."""
+    w = fx.windows().withColumn("rec_id", F.floor(F.col("win_ix") / 10))
+    out = C.cluster_windows(w, [2, 3], spectral=False)
+    return out.withColumn("first_win", F.min("win_ix").over(Window.partitionBy("rec_id", "k", "label"))).select("rec_id", "win_ix", "k", "first_win")
+
+
+@query()
+def m6_window_speakers(fx):
+    """The number of speakers of each recording, by silhouette, and the labels of its windows."""
+    return C.window_speakers(fx.windows())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import LEMMA_ENTRY, SENSES, SUFFIXES, media_stem, strip
+from colloquy.sources.names import last_part, metadata_name
 
 WORD = "struct<word:string,start:double,end:double,probability:double,speaker:string>"
 TURN = f"struct<speaker:string,start:double,end:double,text:string,text_zh:string,words:array<{WORD}>>"
@@ -21,9 +22,9 @@ DICTIONARY = "word string, phonetic string, definition string, translation strin
 
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Whole-file JSON; broken files and those that are no objects are left out."""
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return df.withColumn("file_name", F.url_decode(name)).where("_corrupt_record is null").drop("_corrupt_record")
+    texts = spark.read.text(path, wholetext=True).select(metadata_name().alias("file_name"), strip(F.regexp_replace("value", "^\ufeff", "")).alias("_text"))
+    parsed = texts.where(F.startswith("_text", F.lit("{"))).withColumn("_d", F.from_json("_text", schema, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    return parsed.where("_d._corrupt_record is null").select("_d.*", "file_name").drop("_corrupt_record")
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
@@ -54,7 +55,7 @@ def asr_segments(df: DataFrame) -> DataFrame:
 
 def read_speaker_segments(spark: SparkSession, path: str) -> DataFrame:
     """Diarizer output: the object on the last line of each file, exploded in list order."""
-    lines = spark.read.text(path, wholetext=True).withColumn("rec_id", media_stem(F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))))
+    lines = spark.read.text(path, wholetext=True).withColumn("rec_id", media_stem(metadata_name()))
     last = F.element_at(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n"), -1)
     found = lines.select("rec_id", F.from_json(last, SEGMENTS.replace(", _corrupt_record string", "")).alias("d"))
     return found.select("rec_id", F.posexplode("d.segments").alias("seg_ix", "s")).select("rec_id", "seg_ix", "s.*")
@@ -81,9 +82,9 @@ def scan_recordings(spark: SparkSession, path: str, workdir: str | None = None)
     if workdir is not None and not f"{workdir.rstrip('/')}/".startswith(f"{path.rstrip('/')}/"):
         df = df.unionAll(files(workdir))
     plain = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
-    folder = plain(F.url_decode(F.regexp_replace("path", "/[^/]*$", "")))
+    folder = plain(F.regexp_replace("path", "/[^/]*$", ""))
     inside = lambda p: folder == plain(F.lit(p.rstrip("/")))
-    df = df.withColumn("name", F.url_decode(F.element_at(F.split("path", "/"), -1))).withColumn("suffix", F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1)))
+    df = df.withColumn("name", last_part(F.col("path"))).withColumn("suffix", F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1)))
     df = df.where(F.col("suffix").isin(*SUFFIXES)).where(~(inside(path) & (F.col("name") == "recording.wav")))
     worked = inside(workdir) & (F.col("suffix") == ".wav") if workdir is not None else F.lit(False)
     kinds = F.when(F.col("suffix") == ".wav", 1).when(F.col("suffix") == ".m4a", 2).when(F.col("suffix") == ".mp3", 3).otherwise(9)

@@ -131,6 +131,9 @@ def test_split_turns_between_words(spark):
     assert got == [(0, 0, 0.0, 1.4, "One. Two. Three.", "一。二。三。"), (0, 1, 1.5, 2.0, "Four more.", "四。"), (1, 0, 2.0, 3.0, "One. Two. Three.", ""), (2, 0, 3.0, 4.0, "", "")]
 
 
+NOTE = "rec_id string, id string, word string, text_en string, text_zh string, start double, end double, source string, created_at double, updated_at double, lemmas array<" + T.LEMMA_ENTRY + ">, dict " + T.LEMMA_ENTRY
+
+
 def test_note_changes_are_folded(spark):
     """Lemmas through two changes of one note: merge, then remove; and a note that is made and changed in one batch."""
     from colloquy.functions.text import LEMMA_ENTRY
@@ -149,21 +152,6 @@ def test_note_changes_are_folded(spark):
     assert [(r.id, r.change_id, r.error) for r in failed.collect()] == [("n", "c3", "no such lemma")]
 
 
-def test_clusters_are_the_nearest_centers(spark):
-    rnd = random.Random(3)
-    rows = [(1, i, [rnd.gauss(3 * (i % 2), 1), rnd.gauss(3 * (1 - i % 2), 1), rnd.gauss(0, 1)]) for i in range(80)]
-    out = S.cluster_windows(spark.createDataFrame(rows, "rec_id int, win_ix int, embedding array<double>"), [2, 3]).collect()
-    assert len(out) == 160
-    for k in (2, 3):
-        label = {r.win_ix: r.label for r in out if r.k == k}
-        assert set(label.values()) == set(range(k))
-        unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for _, i, v in rows}
-        center = {c: [sum(unit[i][d] for i in unit if label[i] == c) for d in range(3)] for c in range(k)}
-        center = {c: [x / sum(y * y for y in v) ** 0.5 for x in v] for c, v in center.items()}
-        near = [max(center, key=lambda c: sum(a * b for a, b in zip(unit[i], center[c]))) == label[i] for i in unit]
-        assert sum(near) >= 76
-
-
 def test_notes_and_dictionary_files(spark, tmp_path):
     d = tmp_path / "notes"
     d.mkdir()
@@ -238,25 +226,3 @@ def test_checkpoint_computes_missing_only(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         files.checkpoint_stage(spark, path, compute, ids(4)).count()
     assert asked == [3, 2, 4]
-
-
-def test_streams(spark, tmp_path):
-    from colloquy.streaming.jobs import stream_ingest, stream_throttle
-
-    src = tmp_path / "in"
-    src.mkdir()
-    (src / "r1.whisper.json").write_text(json.dumps({"language": "en", "text": "", "segments": [{"start": 0, "end": 1, "text": " hi there", "words": [{"word": " hi", "start": 0, "end": 0.4, "probability": 0.9}, {"word": " there", "start": 2.0, "end": 2.4, "probability": 0.9}]}]}))
-    (src / "r2.whisper.json").write_text(json.dumps({"language": "en", "text": "Only a text. With four. Short ones. Here."}))
-    q = stream_ingest(spark, str(src), str(tmp_path / "out"), str(tmp_path / "cp"))
-    q.processAllAvailable()
-    q.stop()
-    made = spark.read.parquet(str(tmp_path / "out")).orderBy("rec_id", "turn_ix", "part_ix").collect()
-    assert [(r.rec_id, r.text) for r in made] == [("r1", "hi."), ("r1", "there."), ("r2", "Only a text. With four. Short ones. Here.")]
-    ticks = tmp_path / "ticks"
-    rows = [(1, i, p) for i, p in enumerate([0, 3, 5, 7, 10, 9, 95, 100, 100])] + [(2, 0, 40), (2, 1, None)]
-    spark.createDataFrame(rows, "job_id long, seq long, pct int").coalesce(1).write.parquet(str(ticks))
-    live = spark.readStream.schema("job_id long, seq long, pct int").parquet(str(ticks))
-    s = stream_throttle(live).writeStream.format("memory").queryName("throttled").outputMode("append").start()
-    s.processAllAvailable()
-    s.stop()
-    assert sorted(r.pct for r in spark.table("throttled").collect()) == [0, 5, 10, 40, 95, 100, 100]
