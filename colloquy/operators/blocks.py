@@ -19,13 +19,20 @@ SIZE = 1 << 16
 
 def to_blocks(samples: DataFrame, size: int = SIZE) -> DataFrame:
     """Blocks of long rows (series_id, channel, i, value). What a channel lacks within its blocks
-    is null, and so are repeated samples but the greatest."""
+    is null; of repeated samples the greatest counts."""
+    kinds = dict(samples.dtypes)
     n = samples.groupBy("series_id").agg((F.max("i") + 1).cast("long").alias("n"))
-    one = samples.groupBy("series_id", "channel", F.floor(F.col("i") / size).alias("_b"), "i").agg(F.max("value").cast("double").alias("value"))
-    block = one.groupBy("series_id", "channel", "_b").agg(F.map_from_entries(F.collect_list(F.struct("i", "value"))).alias("_m")).join(n, "series_id")
-    start = F.col("_b") * size
-    filled = F.transform(F.sequence(start, F.least(start + size, F.col("n")) - 1), lambda i: F.try_element_at("_m", i))
-    return block.select("series_id", "channel", start.alias("start"), "n", filled.alias("samples"))
+
+    def fill(table: pa.Table) -> pa.Table:
+        start = table.column("b")[0].as_py() * size
+        x = np.full(min(size, table.column("n")[0].as_py() - start), np.nan)
+        at, values = table.column("i").to_numpy() - start, table.column("value").to_numpy()
+        np.fmax.at(x, at, values)
+        one = lambda c: table.column(c).slice(0, 1)
+        return pa.table({"series_id": one("series_id"), "channel": one("channel"), "start": pa.array([start], pa.int64()), "n": one("n"), "samples": _lists([x])})
+
+    dealt = samples.join(n, "series_id").select("series_id", "channel", F.floor(F.col("i") / size).alias("b"), F.col("i").cast("long").alias("i"), F.col("value").cast("double").alias("value"), "n")
+    return dealt.groupBy("series_id", "channel", "b").applyInArrow(fill, f"series_id {kinds['series_id']}, channel {kinds['channel']}, start long, n long, samples array<double>")
 
 
 def to_samples(blocks: DataFrame) -> DataFrame:
@@ -45,7 +52,7 @@ def _rows(batch: pa.RecordBatch):
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     values = np.concatenate(arrays) if arrays else np.zeros(0)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.float64()))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.float64(), from_pandas=True))  # nan: null
 
 
 def downmix_blocks(blocks: DataFrame) -> DataFrame:
@@ -67,9 +74,8 @@ def downmix_blocks(blocks: DataFrame) -> DataFrame:
         return pa.table({"series_id": table.column("series_id").slice(0, 1), "start": table.column("start").slice(0, 1), "n": table.column("n").slice(0, 1), "samples": _lists([out])})
 
     mono = blocks.groupBy("series_id", "start").applyInArrow(mean, f"series_id {kind}, start long, n long, samples array<double>")
-    size = lambda x: F.when(F.isnan(x), 0.0).otherwise(F.abs(x))
-    peak = mono.groupBy("series_id").agg(F.max(F.array_max(F.transform("samples", size))).alias("_peak"))
-    scaled = F.transform("samples", lambda x: F.when(~F.isnan(x), F.when(F.col("_peak") > 1, x / F.col("_peak")).otherwise(x)))
+    peak = mono.groupBy("series_id").agg(F.max(F.greatest(F.array_max("samples"), -F.array_min("samples"))).alias("_peak"))
+    scaled = F.when(F.col("_peak") > 1, F.transform("samples", lambda x: x / F.col("_peak"))).otherwise(F.col("samples"))
     return mono.join(peak, "series_id").select("series_id", "start", "n", scaled.alias("samples"))
 
 

@@ -125,17 +125,20 @@ def assign_speakers_by_overlap(words: DataFrame, segments: DataFrame, renumber:
     names = out.columns
 
     def assign(left: pa.Table, right: pa.Table) -> pa.Table:
-        speaker = np.full(left.num_rows, DEFAULT_SPEAKER, object)
-        if right.num_rows and left.num_rows:
-            right = right.sort_by([("_ix", "ascending"), ("_s", "ascending"), ("_e", "ascending"), ("_speaker", "ascending")])
-            ss, se, st = (right.column(c).to_numpy() for c in ("_s", "_e", "_t"))
-            ws, we = (left.column(c).cast(pa.float64()).to_numpy() for c in ("start", "end"))
-            timed = np.flatnonzero(~np.isnan(ws) & ~np.isnan(we))
-            place = most_overlapping(ws[timed], we[timed], ss, se)
-            lost = place < 0
-            place[lost] = nearest_places((ws[timed] + we[timed])[lost] / 2, st)
-            speaker[timed] = np.array(right.column("_speaker").to_pylist(), object)[place]
-        return left.append_column("speaker", pa.array(speaker, pa.string())).select(names)
+        if not right.num_rows or not left.num_rows:
+            return left.append_column("speaker", pa.array([DEFAULT_SPEAKER] * left.num_rows, pa.string())).select(names)
+        ss, se, st = (right.column(c).to_numpy() for c in ("_s", "_e", "_t"))
+        order = np.lexsort((se, ss, right.column("_ix").to_numpy()))
+        ws, we = (left.column(c).cast(pa.float64()).to_numpy() for c in ("start", "end"))
+        timed = np.flatnonzero(~np.isnan(ws) & ~np.isnan(we))
+        place = most_overlapping(ws[timed], we[timed], ss[order], se[order])
+        lost = place < 0
+        place[lost] = nearest_places((ws[timed] + we[timed])[lost] / 2, st[order])
+        # one more name, for words without times
+        who = np.full(left.num_rows, len(order))
+        who[timed] = order[place]
+        speakers = pa.chunked_array([*right.column("_speaker").chunks, pa.array([DEFAULT_SPEAKER], pa.string())]).take(pa.array(who))
+        return left.append_column("speaker", speakers).select(names)
 
     keyed = words.withColumn("_slice", at(F.col("start").cast("double")))
     return keyed.groupBy("rec_id", "_slice").cogroup(s.groupBy("rec_id", "_slice")).applyInArrow(assign, out.schema)

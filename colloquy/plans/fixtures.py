@@ -17,10 +17,15 @@ class Fixtures:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def words(self) -> DataFrame:
-        c = self.table("conversations").select(F.col("conv_id").alias("rec_id"), "turn", "role", "text", F.posexplode(F.split("text", "[ \n\t]+")).alias("pos", "word")).where("word <> ''")
-        k = F.row_number().over(Window.partitionBy("rec_id").orderBy("turn", "role", "text", "pos")) - 1
+        """Words by (turn, role, text, position); those of equal rows alternate. They are numbered by the
+        counts of the rows before, so that no word is sorted."""
+        c = self.table("conversations").groupBy(F.col("conv_id").alias("rec_id"), "turn", "role", "text").agg(F.count("*").cast("int").alias("copies"))
+        c = c.withColumn("w", F.filter(F.split("text", "[ \n\t]+"), lambda w: w != "")).withColumn("n", F.size("w") * F.col("copies"))
+        before = F.sum("n").over(Window.partitionBy("rec_id").orderBy("turn", "role", "text")) - F.col("n")
+        c = c.withColumn("before", before).select("rec_id", "turn", "role", "copies", "before", F.posexplode("w").alias("pos", "word"))
+        c = c.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
         swapped = F.when(F.length("word") % 7 == 0, F.when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "user").otherwise(F.col("role"))).otherwise(F.col("role"))
-        c = c.withColumn("word_ix", k)
+        c = c.withColumn("word_ix", (F.col("before") + F.col("pos") * F.col("copies") + F.col("copy")).cast("int"))
         return c.select("rec_id", "word_ix", "word", (0.25 * F.col("word_ix") + F.col("turn")).alias("start"), (0.25 * F.col("word_ix") + F.col("turn") + 0.25).alias("end"), swapped.alias("speaker"), "turn", "role")
 
     def segments(self) -> DataFrame:
