@@ -3,6 +3,9 @@ Times are multiples of 0.125, so doubles are exact and ties are reproducible."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,13 @@ class Fixtures:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def folder(self, name: str) -> str:
+        """A new folder for files that a query writes and reads: in the session's shared folder, or a temporary one where Spark runs in one process."""
+        shared = self.spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not self.spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        return f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
     def words(self) -> DataFrame:
         """Words by (turn, role, text, position); those of equal rows alternate. They are numbered by the
         counts of the rows before, so that no word is sorted."""

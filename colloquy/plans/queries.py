@@ -16,8 +16,11 @@ from colloquy.operators import edits as E
 from colloquy.operators import intervals as I
 from colloquy.operators import render as R
 from colloquy.operators import signal as S
+from colloquy.operators import translate as X
 from colloquy.operators import turns as W
 from colloquy.plans.fixtures import VIEWS, Fixtures
+from colloquy.sources import files, outputs, wav
+from colloquy.streaming import jobs
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -794,3 +797,115 @@ def m6_cluster_windows(fx):
 def m6_window_speakers(fx):
     """The number of speakers of each recording, by silhouette, and the labels of its windows."""
     return C.window_speakers(fx.windows())
+
+
+# ------------------------------------------------------- files, written from the tables and read again
+
+
+def _written(fx, name: str, files: DataFrame) -> str:
+    """The folder of (name, content) rows written as files."""
+    path = fx.folder(name)
+    outputs.write_files(files, path)
+    return path
+
+
+def _odd(c) -> object:
+    """Stems of recordings with characters that paths escape."""
+    return F.concat(F.lit("r+ %"), c.cast("string"))
+
+
+@query(" pd AS (SELECT rec_id, turn_ix, speaker, \"start\", \"end\", " + _PUNCT.format("text") + r""" AS text, trim(text_zh, E' \n\t\r') AS text_zh FROM fx_turns)
+SELECT-> 'r+ %' || rec_id AS rec_id, turn_ix, speaker, "start", "end", text, text_zh FROM pd""")
+def s1_read_transcripts(fx):
+    """The four files of each recording, of which the documents are read."""
+    path = fx.folder("outputs")
+    turns = fx.turns().withColumn("rec_id", _odd(F.col("rec_id")))
+    outputs.write_outputs(turns, turns.select("rec_id", F.lit("en").alias("language")).distinct(), path)
+    return files.explode_turns(files.read_transcripts(fx.spark, path + "/*.json")).select("rec_id", "turn_ix", "speaker", "start", "end", "text", "text_zh")
+
+
+@query(""" ps AS (SELECT rec_id, turn, min("start") AS "start", max("end") AS "end", string_agg(word, ' ' ORDER BY word_ix) AS word FROM fx_words WHERE turn % 4 = 3 GROUP BY rec_id, turn),
+al AS (SELECT rec_id, turn, 0 AS pos, word, "start", "end" FROM ps UNION ALL SELECT rec_id, turn, word_ix, word, "start", "end" FROM fx_words WHERE turn % 4 <> 3 AND length(word) <> 3)
+SELECT-> 'r+ %' || rec_id AS rec_id, 'en' AS language, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY "start", "end", turn, pos) - 1 AS INTEGER) AS word_ix, word, "start", "end" FROM al""")
+def s2_read_asr(fx):
+    docs = _asr(fx).select(F.concat(_odd(F.col("rec_id")), F.lit(".whisper.json")).alias("name"), F.to_json(F.struct("language", "text", "segments")).alias("content"))
+    read = files.read_asr(fx.spark, _written(fx, "asr", docs))
+    return W.collect_words(W.normalize_asr(read)).join(read.select("rec_id", "language"), "rec_id").select("rec_id", "language", "word_ix", "word", "start", "end")
+
+
+@query("SELECT 'r+ %' || rec_id AS rec_id, CAST(row_number() OVER (PARTITION BY rec_id ORDER BY seg_ix) - 1 AS INTEGER) AS seg_ix, \"start\", \"end\", speaker FROM fx_segments")
+def s3_read_speaker_segments(fx):
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seg_ix", "start", "end", "speaker"))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["speaker"].alias("speaker")))
+    docs = fx.segments().groupBy("rec_id").agg(listed.alias("segments"))
+    text = F.concat(F.lit("loading {model}\n"), F.to_json(F.struct(F.lit("cpu").alias("mode"), "segments")), F.lit("\n"))
+    return files.read_speaker_segments(fx.spark, _written(fx, "segments", docs.select(F.concat(_odd(F.col("rec_id")), F.lit(".json")).alias("name"), text.alias("content"))))
+
+
+@query(_NOTES + " SELECT-> 'r+ %' || rec_id AS rec_id, id, text AS text_en, \"start\", 100.0::DOUBLE + turn_ix AS created_at, len(list_filter(w[1:2], lambda x: x IS NOT NULL)) AS n_lemmas FROM nt")
+def s4_read_notes(fx):
+    n = _notes(fx)
+    docs = n.groupBy("rec_id").agg(F.collect_list(F.struct(*[c for c in n.columns if c != "rec_id"])).alias("notes"))
+    text = F.when(F.col("rec_id") % 2 == 0, F.to_json(F.struct(_odd(F.col("rec_id")).alias("stem"), "notes"))).otherwise(F.to_json(F.struct("notes")))
+    read = files.read_notes(fx.spark, _written(fx, "notes", docs.select(F.concat(_odd(F.col("rec_id")), F.lit(".json")).alias("name"), text.alias("content"))))
+    return read.select("rec_id", "id", "text_en", "start", "created_at", F.size("lemmas").cast("long").alias("n_lemmas"))
+
+
+@query("SELECT upper(word) AS word, word AS key, phonetic, 'the \"' || word || '\"' || chr(10) || 'x, y' AS definition, nullif(translation, '') AS translation FROM fx_dict")
+def s5_read_dictionary(fx):
+    path = fx.folder("dictionary")
+    d = fx.dictionary().select(F.upper("word").alias("word"), "phonetic", F.concat(F.lit('the "'), "word", F.lit('"\nx, y')).alias("definition"), F.nullif("translation", F.lit("")).alias("translation"), "pos")
+    d.write.option("header", True).option("escape", '"').csv(path)
+    return files.read_dictionary(fx.spark, path, "csv").select("word", "key", "phonetic", "definition", "translation")
+
+
+_FILES = " fl AS (SELECT 'a+ %' || s_suppkey || CASE s_suppkey % 5 WHEN 0 THEN '.WAV' WHEN 1 THEN '.m4a' WHEN 2 THEN '.mp3' WHEN 3 THEN '.flac' ELSE '.txt' END AS name, s_suppkey FROM supplier)"
+
+
+@query(_FILES + " SELECT-> name, regexp_replace(name, '\\.[^.]+$', '') AS rec_id, CAST(CASE s_suppkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 9 END AS INTEGER) AS priority, CAST(length(name) AS BIGINT) AS length FROM fl WHERE s_suppkey % 5 <> 4")
+def s6_scan_recordings(fx):
+    k = F.col("s_suppkey") % 5
+    name = F.concat(F.lit("a+ %"), F.col("s_suppkey").cast("string"), F.when(k == 0, ".WAV").when(k == 1, ".m4a").when(k == 2, ".mp3").when(k == 3, ".flac").otherwise(".txt"))
+    path = _written(fx, "recordings", fx.table("supplier").select(name.alias("name"), name.alias("content")))
+    return files.scan_recordings(fx.spark, path).select("name", "rec_id", "priority", "length")
+
+
+@query("""SELECT 'a+ %' || s_suppkey || '.wav' AS name, CAST(44 + 2000 AS BIGINT) AS length, CAST(44 AS BIGINT) AS bytes_read,
+  CASE WHEN s_suppkey % 5 = 1 THEN 'not mono' WHEN s_suppkey % 5 = 2 THEN 'not 16 kHz' WHEN s_suppkey % 5 = 3 THEN 'not 16-bit' END AS reason FROM supplier""")
+def s7_wav_headers(fx):
+    k = F.col("s_suppkey") % 5
+    little = lambda v, n: F.to_binary(F.concat(*[F.lpad(F.hex(F.shiftright(v, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(n)]), F.lit("hex"))
+    zeros = lambda n: F.to_binary(F.repeat(F.lit("00"), F.lit(n)), F.lit("hex"))
+    channels, rate, bits = F.when(k == 1, 2).otherwise(1), F.when(k == 2, 8000).otherwise(16000), F.when(k == 3, 24).otherwise(16)
+    content = F.concat(zeros(22), little(channels, 2), little(rate, 4), zeros(6), little(bits, 2), zeros(8 + 2000))
+    rows = fx.table("supplier").select(F.concat(F.lit("a+ %"), F.col("s_suppkey").cast("string"), F.lit(".wav")).alias("name"), content.alias("content"))
+    return wav.read_wav_headers(fx.spark, _written(fx, "wav", rows)).select("name", "length", "bytes_read", "reason")
+
+
+@query("SELECT CAST(rec_id AS BIGINT) AS rec_id, count(*) AS n FROM fx_turns GROUP BY rec_id")
+def k6_checkpoint_stage(fx):
+    """A stage over some recordings, then over all: only those that are missing are computed and appended."""
+    path = fx.folder("stage")
+    compute = lambda some: some.groupBy("rec_id").agg(F.count("*").alias("n"))
+    files.checkpoint_stage(fx.spark, path, compute, fx.turns().where("rec_id % 3 = 0"))
+    return files.checkpoint_stage(fx.spark, path, compute, fx.turns())
+
+
+@query("""SELECT rec_id, word_ix AS turn_ix, '譯A' || word_ix || '.' || CASE WHEN word_ix % 7 % 2 = 0 THEN '記' || (word_ix % 7) || '。' ELSE '譯B' || (word_ix % 7) || '.' END AS text_zh, CAST(0 AS INTEGER) AS untranslated FROM fx_words""")
+def x1_translate_turns(fx):
+    """Two sentences a turn: a translator is asked for the distinct ones that a memory lacks."""
+    n = (F.col("word_ix") % 7).cast("string")
+    turns = fx.words().select("rec_id", F.col("word_ix").alias("turn_ix"), F.concat(F.lit("A"), F.col("word_ix").cast("string"), F.lit(". B"), n, F.lit(".")).alias("text"), F.lit("").alias("text_zh"))
+    memory = fx.words().where("word_ix % 7 % 2 = 0").select(F.concat(F.lit("B"), n, F.lit(".")).alias("piece"), F.concat(F.lit("記"), n, F.lit("。")).alias("zh")).distinct()
+    return X.translate_turns(turns, memory, lambda pieces: ["譯" + p for p in pieces]).select("rec_id", "turn_ix", "text_zh", "untranslated")
+
+
+@query(""" ps AS (SELECT rec_id, turn, min("start") AS "start", max("end") AS "end", string_agg(word, ' ' ORDER BY word_ix) AS word FROM fx_words WHERE turn % 4 = 3 GROUP BY rec_id, turn),
+al AS (SELECT rec_id, word, "start", "end" FROM ps UNION ALL SELECT rec_id, word, "start", "end" FROM fx_words WHERE turn % 4 <> 3 AND length(word) <> 3)
+SELECT-> 'r+ %' || rec_id AS rec_id, min("start") AS "start", max("end") AS "end", count(*) AS n_words FROM al GROUP BY rec_id""")
+def st1_stream_ingest(fx):
+    """Recogniser files as a stream, in one batch or several, into a versioned table of turns."""
+    docs = _asr(fx).select(F.concat(_odd(F.col("rec_id")), F.lit(".whisper.json")).alias("name"), F.to_json(F.struct("language", "text", "segments")).alias("content"))
+    out = fx.folder("ingested")
+    q = jobs.stream_ingest(fx.spark, _written(fx, "arriving", docs), out, fx.folder("progress"), buckets=8, available_now=True)
+    q.awaitTermination()
+    return jobs.ingested(fx.spark, out).groupBy("rec_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum(F.size("words")).alias("n_words"))

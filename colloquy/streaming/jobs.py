@@ -26,9 +26,10 @@ def ingest_batch(batch: DataFrame, table: VersionedTable, transaction: tuple[str
     return table.upsert(split_turns(make_turns(words).withColumn("text_zh", F.lit(""))), transaction)
 
 
-def stream_ingest(spark: SparkSession, in_dir: str, out: str, checkpoint: str, buckets: int = 16):
+def stream_ingest(spark: SparkSession, in_dir: str, out: str, checkpoint: str, buckets: int = 16, available_now: bool = False):
     """Starts a query that turns each new file, one whole recording, into turns of the versioned
-    table ``out`` (read it with :func:`ingested`).
+    table ``out`` (read it with :func:`ingested`); with ``available_now`` it ends when the files
+    that are there are through.
 
     Exactly once: the files of a batch count from the moment when the table's log has an entry
     with the batch's number. A batch that stopped before it leaves files that nothing names and
@@ -37,7 +38,8 @@ def stream_ingest(spark: SparkSession, in_dir: str, out: str, checkpoint: str, b
     name = metadata_name()
     docs = files.select("*", F.regexp_replace(media_stem(name), r"\.whisper$", "").alias("rec_id"), F.col("_metadata.file_modification_time").alias("_modified"), name.alias("_file")).where("_corrupt_record is null")
     table = VersionedTable(spark, out, "rec_id", buckets)
-    return docs.writeStream.foreachBatch(lambda batch, n: ingest_batch(batch, table, (f"ingest {checkpoint}", n))).option("checkpointLocation", checkpoint).start()
+    writer = docs.writeStream.trigger(availableNow=True) if available_now else docs.writeStream
+    return writer.foreachBatch(lambda batch, n: ingest_batch(batch, table, (f"ingest {checkpoint}", n))).option("checkpointLocation", checkpoint).start()
 
 
 def ingested(spark: SparkSession, out: str) -> DataFrame:
