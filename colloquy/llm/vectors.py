@@ -36,14 +36,16 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 K = 20
 SCALE = 64
-#: Cells of a dimension: a code is one byte.
-CELLS = 256
+#: Cells of a dimension, at least two integers wide; a code is one byte.
+CELLS = 32
 #: Vectors of a block of codes, queries of a block, and of these so many at a time.
 DATA_BLOCK, QUERY_BLOCK, STEP = 16_384, 8192, 128
-#: Vectors that place the cells' edges and give every query a first bar.
+#: Vectors that place the cells' edges; bounds from their codes give every query a first bar.
 SAMPLE = 16_384
-#: Scaled components are below this, so that scores are exact in a long.
+#: Scores of scaled components below this are exact in a long; vectors with larger ones are scored by integers of any size.
 LARGEST = 1 << 28
+#: Vectors of a block of those, digits of a score of doubles, and the ends of a long.
+LARGE_BLOCK, DIGITS, LONG = 256, 640, (-(1 << 63), (1 << 63) - 1)
 
 
 def _down(x: np.ndarray) -> np.ndarray:
@@ -56,11 +58,12 @@ def _up(x: np.ndarray) -> np.ndarray:
 
 
 def _edges(sample: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Ends of the cells, dimensions x (CELLS + 1), from the least to the greatest value: a
-    cell for each integer if they suffice, else cells of about equal filling."""
+    """Ends of the cells, dimensions x (CELLS + 1), from the least to the greatest value: cells of
+    an equal number of integers, two at least, if eight suffice, else cells of about equal filling."""
     inner = np.quantile(sample, np.arange(1, CELLS) / CELLS, axis=0).T if len(sample) else np.repeat(low[:, None], CELLS - 1, 1)
-    single = low[:, None] + np.arange(CELLS - 1)[None, :]
-    inner = np.where((high - low < CELLS)[:, None], single, np.floor(inner))
+    width = np.maximum(2, np.ceil((high - low + 1) / CELLS))[:, None]
+    even = low[:, None] + width * np.arange(1, CELLS)[None, :] - 1
+    inner = np.where(width <= 8, even, np.floor(inner))
     return np.concatenate([low[:, None], np.clip(inner, low[:, None], high[:, None]), high[:, None]], axis=1)
 
 
@@ -106,19 +109,82 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame:
     those of the highest bounds, whose kth score is a new bar, then the rest that reaches it.
 
     Repeated rows are candidates of their own; rows that repeat a query's id are one query
-    with the scores of each. Vectors with a scaled component of LARGEST or more in size
-    take no part; neither do rows without an id."""
+    with the scores of each. Rows without an id take no part. Vectors with a scaled component of
+    LARGEST or more in size are scored by integers of any size, in blocks, against all others;
+    scores that a long can't hold rank by their exact value and are given as the nearest long."""
     rows = _valid(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v")), "v").where("vec_id is not null")
-    scaled = rows.select("vec_id", F.transform("v", lambda c: F.floor(SCALE * c)).alias("x")).where(~F.exists("x", lambda c: F.abs(c) >= LARGEST))
+    is_large = F.exists("v", lambda c: F.abs(SCALE * c) >= LARGEST)
+    large = rows.where(is_large)
+    if not large.isEmpty():
+        return _ranked_exactly(_top_k(rows.where(~is_large), k, every), _large_scores(rows, large, is_large, k, every), k)
+    return _ranked(_top_k(rows, k, every), k, F.desc("score"))
+
+
+def _ranked(scored: DataFrame, k: int, by) -> DataFrame:
+    """``query_id, rank, vec_id, score`` of scored pairs with ``copies``."""
+    each = scored.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(by, "vec_id"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _ranked_exactly(plain: DataFrame, large: DataFrame, k: int) -> DataFrame:
+    """As :func:`_ranked`, by scores written out in digits: ``large`` has them in ``key``."""
+    digits = F.lpad(F.regexp_replace(F.col("score").cast("string"), "^-", ""), DIGITS, "0")
+    key = F.when(F.col("score") < 0, F.concat(F.lit("0"), F.translate(digits, "0123456789", "9876543210"))).otherwise(F.concat(F.lit("1"), digits))
+    return _ranked(plain.withColumn("key", key).unionByName(large), k, F.desc("key"))
+
+
+def _large_scores(rows: DataFrame, large: DataFrame, is_large, k: int, every: int) -> DataFrame:
+    """``query_id, vec_id, score, copies, key`` of the pairs with a large vector on either side that
+    can be among the ``k`` best: blocks of large vectors meet blocks of all others."""
+    dim = rows.agg(F.max(F.size("v"))).first()[0]
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        n = max(1, math.ceil(df.count() / LARGE_BLOCK))
+        pack = lambda pdf: pd.DataFrame({name: [pdf["at"].iloc[0]], f"{name}_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], f"{name}_v": [_matrix(pdf["v"], dim).tobytes()]})
+        return cut(df.withColumn("at", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n))).groupBy("at").applyInPandas(pack, f"{name} long, {name}_ids binary, {name}_v binary"))
+
+    def score(batches):
+        for batch in batches:
+            for b in batch.to_pylist():
+                ids, integers = {}, {}
+                for c in ("q", "d"):
+                    ids[c] = np.frombuffer(b[f"{c}_ids"], np.int64)
+                    ratios = [x.as_integer_ratio() for x in np.frombuffer(b[f"{c}_v"], np.float64).tolist()]
+                    integers[c] = np.array([SCALE * n // m for n, m in ratios] + [None], object)[:-1].reshape(len(ids[c]), dim)
+                found = []
+                for i, row in zip(ids["q"].tolist(), integers["q"] @ integers["d"].T):
+                    best = sorted(((-int(x), j) for j, x in zip(ids["d"].tolist(), row) if j != i))[:k]
+                    found += [(i, j, -x) for x, j in best]
+                written = [f"{abs(x):0{DIGITS}}" for *_, x in found]
+                turned = str.maketrans("0123456789", "9876543210")
+                yield {"query_id": [f[0] for f in found], "vec_id": [f[1] for f in found], "score": [min(max(f[2], LONG[0]), LONG[1]) for f in found], "copies": [1] * len(found), "key": ["1" + w if f[2] >= 0 else "0" + w.translate(turned) for f, w in zip(found, written)]}
+
+    asks = F.pmod("vec_id", F.lit(every)) == 0
+    meets = ((rows.where(asks), large), (large.where(asks), rows.where(~is_large)))
+    parts = []
+    for queries, data in meets:
+        q, d = blocks(queries, "q"), blocks(data, "d")
+        # every block of queries meets every block of data: an equi-join on the number of the latter
+        m = max(1, math.ceil(data.count() / LARGE_BLOCK))
+        met = q.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))).join(d, "d")
+        parts.append(map_batches(met.select("q_ids", "q_v", "d_ids", "d_v"), score, "query_id long, vec_id long, score long, copies long, key string"))
+    return parts[0].unionAll(parts[1])
+
+
+def _top_k(rows: DataFrame, k: int, every: int) -> DataFrame:
+    """``query_id, vec_id, score, copies`` of the ``k`` best of every query, and maybe more, by the approximation file."""
+    scaled = rows.select("vec_id", F.transform("v", lambda c: F.floor(SCALE * c)).alias("x"))
     exact = cut(scaled.groupBy("vec_id", "x").agg(F.count("*").alias("copies")))
     n, dim = exact.agg(F.count("*"), F.max(F.size("x"))).first()
     if not n or not dim:
-        return exact.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.col("vec_id").alias("score"))
+        return exact.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.col("vec_id").alias("score"), "copies")
     at = lambda i: F.coalesce(F.get("x", F.lit(i)), F.lit(0))
     ends = exact.agg(*[f(at(i)).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(dim)]).first()
     sample = exact.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec_id", "x").toPandas()
     sample_ids, sample = sample["vec_id"].to_numpy(np.int64), _matrix(sample["x"], dim)
     edges = _edges(sample, np.array(ends[:dim], float), np.array(ends[dim:], float))
+    sample_middle, sample_half = _decode(_encode(sample, edges), edges)
 
     def write(batches):
         ids, codes, held = [], [], 0
@@ -140,8 +206,8 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame:
         bar = np.full(len(ids), -np.inf)
         for at in range(0, len(ids) if len(sample_ids) > k else 0, STEP):
             part = slice(at, at + STEP)
-            scores = np.where(sample_ids[None, :] == ids[part, None], -np.inf, _down(x[part] @ sample.T))
-            bar[part] = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+            lower = _down(x[part] @ sample_middle.T - np.abs(x[part]) @ sample_half.T)
+            bar[part] = -np.partition(-np.where(sample_ids[None, :] == ids[part, None], -np.inf, lower), k - 1, axis=1)[:, k - 1]
         return pd.DataFrame({"q_block": [pdf["q_block"].iloc[0]], "q_ids": [ids.tobytes()], "q": [x.astype(np.int32).tobytes()], "bar": [bar.tobytes()]})
 
     asked = exact.where(F.pmod("vec_id", F.lit(every)) == 0)
@@ -165,9 +231,7 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = 20) -> DataFrame:
     best = cut(_scores(kept.withColumn("turn", first).where(F.col("turn") <= 2 * k).drop("turn"), exact, k))
     bars = best.groupBy("query_id").agg(F.sum("copies").alias("n"), F.min("score").alias("bar")).where(F.col("n") >= k)
     rest = kept.join(best.select("query_id", "vec_id").distinct(), ["query_id", "vec_id"], "left_anti").join(bars, "query_id", "left").where(F.col("bar").isNull() | (F.col("upper") >= F.col("bar")))
-    both = best.unionAll(_scores(rest, exact, k)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k)).cast("int"))))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.unionAll(_scores(rest, exact, k)).select("query_id", "vec_id", "score", "copies")
 
 
 def _reach(bounded: DataFrame, lower: str, k: int) -> DataFrame:

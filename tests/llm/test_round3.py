@@ -241,3 +241,46 @@ def test_runs_of_a_long_text_are_found_in_time():
     ids[50_000:140_000] = np.resize(ids[50_000:75_000], 90_000)
     runs = periodic.runs_of(ids)
     assert len(runs) == 1 and runs[0][2] == 25_000 and runs[0][0] <= 50_000 and runs[0][1] >= 90_000
+
+
+# -------------------------------------------------------------------------- op2
+
+
+def best_by_hand(rows, k=20, every=20):
+    """``[(query_id, rank, vec_id, score)]`` with integers of any size; scores are given as the nearest long."""
+    whole = [(i, [64 * n // d for n, d in (float(c).as_integer_ratio() for c in v)]) for i, v in rows]
+    out = []
+    for i, q in whole:
+        if i % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in whole if j != i)[:k]
+            out += [(i, n + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("size", [5e6, 2.0**58, 1e300])
+def test_top_k_of_very_large_components(spark, size):
+    """They take part as queries and as candidates; scores beyond a long rank by their exact value."""
+    from colloquy.llm import vectors
+
+    rnd = random.Random(8)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(300)]
+    for i in (0, 7, 20, 33, 100, 150):
+        rows[i] = (i, [size * rnd.uniform(-1, 1), 1.0, -0.3, size if i % 2 else 0.0])
+    got = vectors.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    assert sorted(map(tuple, got.collect())) == best_by_hand(rows)
+
+
+def test_cells_are_coarse_and_spare_exact_vectors(spark):
+    """On the given table every cell holds two integers or more, and few pairs are left by the bounds."""
+    from colloquy.llm import vectors
+
+    x = np.floor(64 * np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()], float))
+    edges = vectors._edges(x, x.min(0), x.max(0))
+    middle, half = vectors._decode(vectors._encode(x, edges), edges)
+    assert (np.abs(x - middle) <= half).all() and (half[:, :] > 0).mean() > 0.99 and len(np.unique(middle[:, 0])) <= vectors.CELLS
+    ids = np.arange(len(x))
+    q = ids[::20]
+    left = vectors._bounds(q, x[q], np.full(len(q), -np.inf), ids, middle, half, vectors.K)
+    assert len(left[0]) < 0.1 * len(q) * len(x)
+    scores = x[q] @ x.T
+    assert (left[2] <= scores[np.searchsorted(q, left[0].astype(int)), left[1].astype(int)]).all() and (scores[np.searchsorted(q, left[0].astype(int)), left[1].astype(int)] <= left[3]).all()
