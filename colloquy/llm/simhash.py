@@ -350,9 +350,10 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text: str = "te
 
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows of ``documents`` without all but the smallest id of each group of similar
-    texts; of rows that repeat an id one stays. Rows without an id stay. Texts without
-    words are equal to each other."""
+    texts; of rows that repeat an id, which are one document, the one of the least hash of
+    its text stays. Rows without an id stay. Texts without words are equal to each other."""
     kept = similar_groups(documents, id_col, text).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
     named = documents.where(F.col(id_col).isNotNull())
-    one = named.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text), text))
+    one = named.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").withColumn("_nth", first).where("_nth = 1").drop("_nth")
     return one.unionAll(documents.where(F.col(id_col).isNull()))

@@ -36,8 +36,9 @@ from pyspark.sql import functions as F
 
 from colloquy.llm.common import cut, map_batches, slices
 
-#: Labelled texts of a class that are learnt from, and bytes of them; texts are read whole.
-FIT_ROWS, FIT_BYTES = 2_000, 12 << 20
+#: Labelled texts of a class that are learnt from, and bytes of them; texts are read whole. A text
+#: of more than FIT_TEXT bytes would leave no place for others: such texts are taken after the rest.
+FIT_ROWS, FIT_BYTES, FIT_TEXT = 2_000, 12 << 20, 1 << 20
 #: Share of the last order that is the same for every word.
 EVEN = 0.5
 WINDOW = 48
@@ -142,8 +143,10 @@ def _sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
     few = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS) for c in (0, 1)]
     texts = _texts(documents).join(F.broadcast(few[0].unionAll(few[1])), "doc_id").where("text is not null")  # at most 2 * FIT_ROWS ids
     texts = texts.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min(place).alias("at"))
-    held = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("at"))
-    return cut(texts.withColumn("held", held).where(F.col("held") <= FIT_BYTES).select("text", "toxic", "at.fold"))
+    # whole texts until the bytes are full, very long ones last; the first one of a class always stays
+    order = Window.partitionBy("toxic").orderBy(F.octet_length("text") > FIT_TEXT, "at")
+    texts = texts.withColumn("held", F.sum(F.octet_length("text")).over(order)).withColumn("nth", F.row_number().over(order))
+    return cut(texts.where((F.col("held") <= FIT_BYTES) | (F.col("nth") == 1)).select("text", "toxic", "at.fold"))
 
 
 def _shared(documents: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int]:

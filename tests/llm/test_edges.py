@@ -79,3 +79,22 @@ def test_pipeline_edges(spark, tmp_path):
         got = corpus_pipeline.run(spark, folder).collect()
         # texts without words are one group, and the repeated row is one document; the mixture may repeat rows
         assert {r.doc_id for r in got} == ({None, 1, 3} if some else set()) and all(r.same for r in got)
+
+
+def test_a_very_long_text_leaves_its_class_the_others(spark, monkeypatch):
+    """A text over the sample's bytes is taken last, so the class keeps its other texts; alone it still stands for its class."""
+    monkeypatch.setattr(toxicity, "FIT_BYTES", 5_000)
+    monkeypatch.setattr(toxicity, "FIT_TEXT", 1_000)
+    d, labels = toxic_table(spark)
+    first = labels.where("toxic = 1 and crc32(cast(doc_id as string)) % 5 <> 0").orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+    d = d.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("vile words "), F.lit(1000))).otherwise(F.col("text")))
+    taken = {c: [r.text for r in toxicity._sample(d, labels).where(F.col("toxic") == c).collect()] for c in (0, 1)}
+    assert len(taken[1]) > 20 and len(taken[0]) > 20 and max(map(len, taken[1])) < 1_000
+    only = toxicity._sample(d.where(F.col("doc_id") == first), labels).collect()
+    assert [r.toxic for r in only] == [1]
+
+
+def test_of_a_repeated_id_the_same_row_stays(spark):
+    rows = [(1, " ".join(f"{c}{i}" for i in range(40))) for c in "abcdef"]
+    kept = {simhash.drop_near_duplicates(spark.createDataFrame(some, "doc_id long, text string").repartition(n)).first().text for n, some in ((1, rows), (3, rows[::-1]), (5, rows[3:] + rows[:3]))}
+    assert len(kept) == 1
