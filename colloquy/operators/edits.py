@@ -234,6 +234,21 @@ def _earlier(x, y):
     return F.when(key(x) < key(y), -1).when(key(x) > key(y), 1).otherwise(0)
 
 
+def upsert_notes_table(table, changes: DataFrame) -> tuple[int, DataFrame]:
+    """:func:`upsert_notes` on a :class:`colloquy.sources.store.VersionedTable` of notes by recording:
+    the new version, and the changes that failed. Buckets without a changed note keep their files."""
+    seen = table.version()
+    version = table.update(changes.select("rec_id"), lambda old: upsert_notes(old, changes)[0], expected=seen)
+    return version, upsert_notes(table.read(seen), changes)[1]
+
+
+def delete_notes_table(table, ids: DataFrame) -> tuple[int, DataFrame]:
+    """:func:`delete_notes` on a versioned table of notes: the new version, and the ids that matched none."""
+    seen = table.version()
+    version = table.update(ids.select("rec_id"), lambda old: delete_notes(old, ids)[0], expected=seen)
+    return version, delete_notes(table.read(seen), ids)[1]
+
+
 def delete_notes(notes: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The notes left, and the ids that matched none."""
     key = ["rec_id", "id"]
@@ -264,15 +279,46 @@ def deletion_report(deleted: DataFrame, stems: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------- lookup
 
 
-def lookup_words(queries: DataFrame, dictionary: DataFrame, fallback: DataFrame | None = None, cache: DataFrame | None = None) -> DataFrame:
+#: Bits of a piece of a key filter, and the pieces: 4 MB in all, whatever the number of keys.
+PIECE, PIECES = 1 << 15, 1024
+
+
+def _places(key, salt: int):
+    """Piece and bit of a key in a filter."""
+    at = F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(PIECE * PIECES))
+    return F.floor(at / PIECE), at % PIECE
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """``piece, bits``: a Bloom filter of a column by two hashes, as bitmaps built by an aggregate, of
+    which the shuffle sees one for each task and piece. It has PIECES rows of 4 KB at most."""
+    at = keys.select(F.explode(F.array(*[F.struct(*[c.alias(n) for c, n in zip(_places(F.col(key), salt), ("piece", "bit"))]) for salt in (0, 1)])).alias("p")).select("p.*")
+    return at.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))
+
+
+def may_hold(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is in the filter, and a few more; the filter's size is bounded, so it is broadcast."""
+    out = rows
+    for salt in (0, 1):
+        piece, bit = _places(F.col(key), salt)
+        byte = F.conv(F.hex(F.substring("bits", (F.floor(F.col("_bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        met = out.withColumn("piece", piece).withColumn("_bit", bit).join(F.broadcast(found), "piece")
+        out = met.where(F.call_function("getbit", byte, (F.col("_bit") % 8).cast("int")) == 1).select(*rows.columns)
+    return out
+
+
+def lookup_words(queries: DataFrame, dictionary: DataFrame, fallback: DataFrame | None = None, cache: DataFrame | None = None, filtered: bool = False) -> DataFrame:
     """``query, lemma, ok, cached, source, entry`` of every distinct query: a cached entry with
     senses, unless it is the fallback's and the dictionary has the word; else the dictionary over
     the variants of the word, the first with a translation; else the ``fallback`` (lemma,
-    payload), if it has senses. What is no single word has no lemma. Rows of one key go by word."""
+    payload), if it has senses. What is no single word has no lemma. Rows of one key go by word.
+    With ``filtered`` variants that the dictionary can't have are left out before the join by a filter
+    of its keys, which pays for a dictionary too large to be broadcast."""
     q = queries.select("query").distinct().withColumn("lemma", normalize_query(F.col("query")))
     row = F.struct("word", "phonetic", "definition", "translation", "pos")
     d = dictionary.where(strip(F.coalesce("translation", F.lit(""))) != "").groupBy(F.lower("word").alias("key")).agg(F.min_by(row, "word").alias("row"))
     each = q.where("lemma is not null").select("lemma").distinct().select("lemma", F.posexplode(lemma_variants(F.col("lemma"))).alias("variant_ix", "key"))
+    each = may_hold(each, "key", key_filter(d, "key")) if filtered else each
     hit = each.join(d, "key").groupBy("lemma").agg(F.min_by("row", "variant_ix").alias("row"))
     main = parse_dict_row(*[F.col(f"row.{c}") for c in ("word", "phonetic", "definition", "translation", "pos")])
     out = q.join(hit, "lemma", "left").withColumn("main", main.cast(LEMMA_ENTRY)).drop("row")
@@ -299,11 +345,28 @@ def trim_cache(cache: DataFrame, most: int = 2000) -> DataFrame:
     return cache.orderBy(F.desc("inserted_seq"), "lemma").limit(most)
 
 
+def merge_cache(cache: DataFrame, found: DataFrame) -> DataFrame:
+    """New entries replace those of the same lemma at their old place."""
+    both = cache.withColumn("_turn", F.lit(0)).unionByName(found.withColumn("_turn", F.lit(1)))
+    return both.groupBy("lemma").agg(F.max_by("entry", F.struct("_turn", "inserted_seq")).alias("entry"), F.min("inserted_seq").alias("inserted_seq"))
+
+
 def upsert_cache(cache: DataFrame, found: DataFrame, most: int = 2000) -> DataFrame:
     """New entries replace those of the same lemma at their old place, then the oldest go."""
-    both = cache.withColumn("_turn", F.lit(0)).unionByName(found.withColumn("_turn", F.lit(1)))
-    merged = both.groupBy("lemma").agg(F.max_by("entry", F.struct("_turn", "inserted_seq")).alias("entry"), F.min("inserted_seq").alias("inserted_seq"))
-    return trim_cache(merged, most)
+    return trim_cache(merge_cache(cache, found), most)
+
+
+def upsert_cache_table(table, found: DataFrame, most: int = 2000) -> int:
+    """:func:`upsert_cache` on a :class:`colloquy.sources.store.VersionedTable` by lemma: buckets of the
+    new entries are rewritten, and then those that hold an entry older than the ``most`` last ones,
+    if there are any."""
+    version = table.update(found.select("lemma"), lambda old: merge_cache(old, found).select(*old.columns))
+    order = table.read(version).select("inserted_seq", "lemma").orderBy(F.desc("inserted_seq"), "lemma")
+    last = order.limit(most).orderBy("inserted_seq", F.desc("lemma")).first()
+    if last is None:
+        return version
+    stays = (F.col("inserted_seq") > last["inserted_seq"]) | ((F.col("inserted_seq") == last["inserted_seq"]) & (F.col("lemma") <= last["lemma"]))
+    return table.update(table.read(version).where(~stays).select("lemma"), lambda old: old.where(stays), expected=version)
 
 
 def library(recordings: DataFrame, transcripts: DataFrame) -> DataFrame:

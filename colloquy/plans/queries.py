@@ -216,7 +216,7 @@ def _cache(fx) -> DataFrame:
     return w.select("lemma", F.struct("lemma", F.lit("").alias("phonetic"), senses.alias("senses"), source.alias("source")).cast(T.LEMMA_ENTRY).alias("entry"))
 
 
-@query(_Q + "," + _VARIANTS + """,
+_LOOKUP = _Q + "," + _VARIANTS + """,
 ht AS (SELECT vr.query, arg_min(d.word, vr.ix) AS headword FROM vr JOIN fx_dict d ON d.word = vr.key AND d.translation <> '' GROUP BY vr.query),
 fb AS (SELECT word FROM fx_dict WHERE length(word) % 3 <> 0),
 al AS (SELECT lq.query, ht.headword, fb.word IS NOT NULL AS other, length(lq.query) % 4 = 0 AND regexp_matches(lq.query, '^[a-m]') AND NOT (length(lq.query) % 8 = 0 AND ht.headword IS NOT NULL) AS stays
@@ -224,14 +224,22 @@ al AS (SELECT lq.query, ht.headword, fb.word IS NOT NULL AS other, length(lq.que
 SELECT-> query, query AS lemma, stays OR headword IS NOT NULL OR other AS ok, stays AS cached,
   CASE WHEN stays THEN CASE WHEN length(query) % 8 = 0 THEN 'free-dictionary' ELSE 'ecdict' END WHEN headword IS NOT NULL THEN 'ecdict' WHEN other THEN 'free-dictionary' END AS source,
   CASE WHEN stays THEN query WHEN headword IS NOT NULL THEN headword WHEN other THEN query END AS headword,
-  CASE WHEN stays THEN 'c::cached ' || query WHEN headword IS NOT NULL THEN 'n:' || headword || ':the ' || headword WHEN other THEN 'noun::a ' || query || '|verb::to ' || query || '|verb::to ' || query || ' it|noun::one ' || query || '|noun::two ' || query || '|noun::three ' || query END AS senses FROM al""")
-def j4_lookup_words(fx):
+  CASE WHEN stays THEN 'c::cached ' || query WHEN headword IS NOT NULL THEN 'n:' || headword || ':the ' || headword WHEN other THEN 'noun::a ' || query || '|verb::to ' || query || '|verb::to ' || query || ' it|noun::one ' || query || '|noun::two ' || query || '|noun::three ' || query END AS senses FROM al"""
+
+
+@query(_LOOKUP)
+def j4_lookup_words(fx, filtered: bool = False):
     q = fx.words().where(F.col("word").rlike("^[A-Za-z]+$")).select(F.lower("word").alias("query"))
-    out = E.lookup_words(q, fx.dictionary(), fx.fallback(), _cache(fx))
+    out = E.lookup_words(q, fx.dictionary(), fx.fallback(), _cache(fx), filtered)
     senses = F.array_join(F.transform("entry.senses", lambda x: F.concat_ws(":", x["pos"], x["zh"], x["en"])), "|")
     return out.select("query", "lemma", "ok", "cached", "source", F.col("entry.lemma").alias("headword"), senses.alias("senses"))
 
 
+@query(_LOOKUP)
+def j4_lookup_words_filtered(fx):
+    return j4_lookup_words(fx, filtered=True)
+
+
 def _names(fx) -> DataFrame:
     return fx.table("orders").select(F.concat(F.lit("rec"), (F.col("o_orderkey") % 5000).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, ".work.wav").when(F.col("o_orderkey") % 3 == 1, ".m4a").otherwise(".v2.wav")).alias("name")).distinct()
 

@@ -134,19 +134,21 @@ def test_split_turns_between_words(spark):
 NOTE = "rec_id string, id string, word string, text_en string, text_zh string, start double, end double, source string, created_at double, updated_at double, lemmas array<" + T.LEMMA_ENTRY + ">, dict " + T.LEMMA_ENTRY
 
 
+CHANGE = "rec_id string, change_id string, id string, word string, text_en string, text_zh string, start string, end string, source string, dict " + T.LEMMA_ENTRY + ", has_dict boolean, remove_lemma string, now double"
+
+
 def test_note_changes_are_folded(spark):
     """Lemmas through two changes of one note: merge, then remove; and a note that is made and changed in one batch."""
     from colloquy.functions.text import LEMMA_ENTRY
 
     note = "rec_id string, id string, word string, text_en string, text_zh string, start double, end double, source string, created_at double, updated_at double, lemmas array<" + LEMMA_ENTRY + ">, dict " + LEMMA_ENTRY
     notes = spark.createDataFrame([("r", "n", "Old", "t", "", 1.0, None, "manual", 5.0, None, None, None)], note)
-    change = "rec_id string, change_id string, id string, word string, text_en string, text_zh string, start string, end string, source string, dict " + LEMMA_ENTRY + ", has_dict boolean, remove_lemma string, now double"
     expensive = {"lemma": "expensive", "phonetic": "", "senses": [], "source": "x"}
     rows = [
         ("r", "c1", "n", "", "t1", "", "", "", "", expensive, True, "", 10.0), ("r", "c2", "n", "", "t2", "", "2", "", "", None, False, "EXPENSIVE", 11.0), ("r", "c3", "n", "", "t3", "", "", "", "", None, False, "missing", 12.0),
         ("r", "m", None, "apple", "u", "", "", "", "", None, False, "", 1.0), ("r", "c5", "m", "", "v", "", "", "", "", expensive, True, "", 2.0),
     ]
-    after, failed = E.upsert_notes(notes, spark.createDataFrame(rows, change))
+    after, failed = E.upsert_notes(notes, spark.createDataFrame(rows, CHANGE))
     got = {r.id: (r.word, r.text_en, [e.lemma for e in r.lemmas], r.dict and r.dict.lemma, r.updated_at) for r in after.collect()}
     assert got == {"n": ("Old", "t2", ["Old"], "Old", 11.0), "m": ("expensive", "v", ["apple", "expensive"], "expensive", 2.0)}
     assert [(r.id, r.change_id, r.error) for r in failed.collect()] == [("n", "c3", "no such lemma")]

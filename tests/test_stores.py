@@ -237,3 +237,41 @@ def test_throttled_jobs_leave_no_state(spark, tmp_path):
     log = spark.createDataFrame([(j, s, 100 if p is None else p) for j, s, p in rows], schema)
     want = sorted(tuple(r) for r in E.throttle_progress(log).where("emit").select("job_id", "seq", "pct").collect()) + [(2, 3, 100)]
     assert got == sorted(want) and max(states) > 0 and states[-1] == 0
+
+
+def test_notes_and_cache_of_tables(spark, tmp_path):
+    """Only buckets with changes are rewritten; results are those of the operators on whole tables."""
+    from colloquy.operators import edits as E
+    from tests.test_golden import CHANGE, NOTE
+
+    notes = VersionedTable(spark, str(tmp_path / "notes"), "rec_id", 16)
+    rows_ = [(f"r{i}", "n", "w", "t", "", 1.0, None, "manual", 5.0, None, None, None) for i in range(20)]
+    notes.replace(spark.createDataFrame(rows_, NOTE))
+    change = spark.createDataFrame([("r3", "c", "n", "x", "new", "", "", "", "", None, False, "", 9.0), ("new", "c", None, "y", "fresh", "", "", "", "", None, False, "", 9.0), ("r3", "d", "absent", "", "t", "", "", "", "", None, False, "", 9.0)], CHANGE)
+    before = notes.entry()["parts"]
+    version, failed = E.upsert_notes_table(notes, change)
+    after = notes.entry()["parts"]
+    assert version == 2 and [(r.id, r.error) for r in failed.collect()] == [("absent", "unknown note")]
+    assert sum(after.get(b) != before.get(b) for b in set(before) | set(after)) <= 2
+    want = E.upsert_notes(notes.read(1), change)[0]
+    assert sorted(map(str, notes.read().collect())) == sorted(map(str, want.select(*notes.read().columns).collect()))
+    version, missed = E.delete_notes_table(notes, spark.createDataFrame([("r3", "n"), ("r4", "zz")], "rec_id string, id string"))
+    assert version == 3 and notes.read().count() == 20 and [tuple(r) for r in missed.collect()] == [("r4", "zz")]
+
+    cache = VersionedTable(spark, str(tmp_path / "cache"), "lemma", 8)
+    entries = lambda *pairs: spark.createDataFrame([(f"l{i:02}", {"v": v}, s) for i, v, s in pairs], "lemma string, entry struct<v:string>, inserted_seq long")
+    old, found = entries(*[(i, "old", i) for i in range(30)]), entries((5, "new", 100), (40, "new", 101), (41, "new", 102))
+    cache.replace(old)
+    E.upsert_cache_table(cache, found, most=25)
+    assert rows(cache.read()) == rows(E.upsert_cache(old, found, 25).select("lemma", "entry", "inserted_seq"))
+    assert cache.read().count() == 25
+
+
+def test_key_filter_lets_all_keys_pass(spark):
+    from colloquy.operators import edits as E
+
+    keys = spark.range(2000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    found = E.key_filter(keys, "key")
+    probes = keys.unionAll(spark.range(20_000).select(F.concat(F.lit("other"), F.col("id")).alias("key")))
+    left = E.may_hold(probes, "key", found)
+    assert left.where("key like 'k%'").count() == 2000 and left.count() < 2200 and found.count() <= E.PIECES
