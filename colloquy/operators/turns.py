@@ -84,18 +84,21 @@ def split_turns(turns: DataFrame, max_sentences: int = MAX_SENTENCES) -> DataFra
     ends = F.filter(F.transform("words", lambda w, k: F.when(ends_sentence(w["word"]) & (k < F.size("words") - 1), k)), lambda k: k.isNotNull())
     t = t.withColumn("_spoken", spoken).withColumn("_s", F.when(spoken, ends)).withColumn("_sent", split_sentences(F.col("text")))
     t = t.withColumn("_n", F.when(spoken, F.size("_s") + 1).otherwise(F.size("_sent")))
-    whole = t.where(F.col("_n") <= n).withColumn("part_ix", F.lit(0))
-    cut = t.where(F.col("_n") > n).withColumn("part_ix", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / n).cast("int"))))
+    # one pass: a turn that is short enough is its only part and keeps its columns
+    whole = F.col("_n") <= n
+    t = t.withColumn("part_ix", F.explode(F.sequence(F.lit(0), F.when(whole, 0).otherwise(F.floor((F.col("_n") - 1) / n)).cast("int"))))
     i, j = F.col("part_ix") * n, F.least(F.col("part_ix") * n + n, F.col("_n"))
     first, last = F.coalesce(F.get("_s", i - 1) + 1, F.lit(0)), F.coalesce(F.get("_s", j - 1), F.size("words") - 1)
-    mine = F.slice("words", first + 1, last - first + 1)
     span = F.greatest(F.lit(0.05), F.col("end") - F.col("start"))
-    cut = cut.withColumn("_w", F.when(F.col("_spoken"), mine))
-    cut = cut.withColumn("_from", F.when(F.col("_spoken"), F.get(F.col("_w"), F.lit(0))["start"]).otherwise(F.col("start") + span * i / F.col("_n")))
-    cut = cut.withColumn("_to", F.when(F.col("_spoken"), F.element_at("_w", -1)["end"]).otherwise(F.col("start") + span * j / F.col("_n")))
-    cut = cut.withColumn("text", F.when(F.col("_spoken"), join_words(F.transform("_w", lambda w: w["word"]))).otherwise(F.array_join(F.slice("_sent", i + 1, j - i), " ")))
-    cut = cut.withColumn("text_zh", zh_slice(F.col("_zh"), i, j, F.col("_n"))).withColumn("start", F.col("_from")).withColumn("end", F.col("_to")).withColumn("words", F.col("_w"))
-    return whole.unionByName(cut.drop("_w", "_from", "_to")).drop("_zh", "_spoken", "_s", "_sent", "_n")
+    t = t.withColumn("_w", F.when(~whole & F.col("_spoken"), F.slice("words", first + 1, last - first + 1)))
+    made = {
+        "start": F.when(F.col("_spoken"), F.get(F.col("_w"), F.lit(0))["start"]).otherwise(F.col("start") + span * i / F.col("_n")),
+        "end": F.when(F.col("_spoken"), F.element_at("_w", -1)["end"]).otherwise(F.col("start") + span * j / F.col("_n")),
+        "text": F.when(F.col("_spoken"), join_words(F.transform("_w", lambda w: w["word"]))).otherwise(F.array_join(F.slice("_sent", i + 1, j - i), " ")),
+        "text_zh": zh_slice(F.col("_zh"), i, j, F.col("_n")),
+        "words": F.col("_w"),
+    }
+    return t.withColumns({c: F.when(whole, F.col(c)).otherwise(x) for c, x in made.items()}).drop("_zh", "_spoken", "_s", "_sent", "_n", "_w")
 
 
 def transcript_stats(turns: DataFrame) -> DataFrame:

@@ -228,3 +228,40 @@ def test_checkpoint_computes_missing_only(spark, tmp_path):
     with pytest.raises(Exception):  # noqa: B017
         files.checkpoint_stage(spark, path, compute, ids(4)).count()
     assert asked == [3, 2, 4]
+
+
+NAMES = ("a+b", "50% off", "c%20d", "e f", "g#h", "i?j", "k&l", "ü", "m,n", "o[p]", "q{r}", "s;t=u")
+
+
+def test_names_are_as_they_are(spark, tmp_path):
+    """Names with what paths escape, through every reader; a list at the top of a file is no document."""
+    for n in NAMES:
+        (tmp_path / f"{n}.json").write_text(json.dumps({"turns": [{"text": "x", "start": 0}], "notes": [{"id": "1"}], "segments": [{"start": 0, "end": 1, "speaker": "S"}], "text": "y"}))
+        (tmp_path / f"{n}.wav").write_bytes(b"x")
+    (tmp_path / "list.json").write_text(json.dumps([{"turns": [{"text": "x"}]}]))
+    here = f"{tmp_path}/*.json"
+    read = {"transcripts": files.read_transcripts(spark, here), "asr": files.read_asr(spark, here), "segments": files.read_speaker_segments(spark, here), "notes": files.read_notes(spark, here)}
+    for name, df in read.items():
+        assert sorted(r.rec_id for r in df.collect()) == sorted(NAMES), name
+    assert sorted(r.rec_id for r in files.scan_recordings(spark, str(tmp_path)).collect()) == sorted(NAMES)
+
+
+def test_transcripts_are_chosen_by_their_whole_stem(spark):
+    names = lambda *n: spark.createDataFrame([(x,) for x in n], "name string")
+    got = {r.name: r.transcript_name for r in E.library(names("a.m4a", "a.v2.m4a", "b.wav", "c.work.wav", "d.wav"), names("a.v2.json", "b.whisper.json", "b.turns.json", "c.work.json", "d.work.json", "d.json", "d.txt")).collect()}
+    assert got == {"a.m4a": None, "a.v2.m4a": "a.v2.json", "b.wav": None, "c.work.wav": "c.work.json", "d.wav": "d.json"}
+
+
+def test_rescrub_translates_what_was_contaminated(spark):
+    turns = spark.createDataFrame([("r", 0, "Good one.", "好。沒有任何樓盤符合您的搜尋結果。"), ("r", 1, "Yeah.", "樓盤"), ("r", 2, "Fine.", "好。"), ("r", 3, "", "樓盤")], "rec_id string, turn_ix int, text string, text_zh string")
+    got = {r.turn_ix: (r.text_zh, r.changed, r.to_translate) for r in E.rescrub(turns, translate=lambda pieces: [f"<{p}>" for p in pieces]).collect()}
+    assert got[0] == ("<Good one.>", True, True) and got[1] == ("嗯。", True, False) and got[2] == ("好。", False, False) and got[3][2] is False
+    assert {r.turn_ix: r.text_zh for r in E.rescrub(turns).collect()}[0].startswith("好。")
+
+
+def test_deletion_by_stem(spark):
+    files_ = spark.createDataFrame([("recording", "a.wav"), ("recording", "a.work.wav"), ("recording", "recording.wav"), ("out", "a.v2.json"), ("notes", "a.json"), ("notes", "a.v2.json"), ("out", "ab.json")], "kind string, name string")
+    stems = spark.createDataFrame([("a",), ("recording",), ("none",)], "stem string")
+    gone = E.delete_recordings(files_, stems)
+    assert {(r.kind, r.name) for r in gone.where("deleted").collect()} == {("recording", "a.wav"), ("recording", "a.work.wav"), ("out", "a.v2.json"), ("notes", "a.json")}
+    assert {r.stem: (r.n_deleted, r.n_notes, r.names) for r in E.deletion_report(gone, stems).collect()} == {"a": (4, 1, ["a.json", "a.v2.json", "a.wav", "a.work.wav"]), "recording": (0, 0, []), "none": (0, 0, [])}
