@@ -24,7 +24,8 @@ A batch of documents keeps only the first of its equal contexts before the shuff
 others are known to be repeated.
 
 Hashes are 64-bit polynomials over random byte values; two of them (104 bits) decide
-that windows are equal, and where the bytes are at hand they are compared as well.
+that windows are equal; where windows of contexts are compared in one place, all that the
+hashes call equal are compared by their bytes as well.
 
 A document is a doc_id and a text. Rows that repeat both are counted, not sorted: the first
 is as any document, the others stand in it whole. Rows that repeat the doc_id only are
@@ -173,13 +174,23 @@ def _suffixes(texts: list[bytes], docs: np.ndarray, copies: np.ndarray):
 
 
 def _windows(contexts: list[bytes], docs: np.ndarray, copies: np.ndarray, firsts: np.ndarray):
-    """``key, context, doc, copy, place`` of every window of the contexts (places hold single windows), and the windows' bytes."""
+    """``key, context, doc, copy, place`` of every window of the contexts (places hold single windows), and where the windows start in the joined contexts."""
     data, starts = join(contexts)
     at = np.concatenate([np.arange(a, b - LENGTH + 1) for a, b in zip(starts[:-1], starts[1:])])
     keys = _keys(_Windows(data), data, at, at, at + LENGTH, at, at + LENGTH)
     of = np.searchsorted(starts, at, side="right") - 1
     rows = _signed(keys[0]), _signed(keys[1]), docs[of], copies[of], _place(firsts[of] + at - starts[of], 0, 0)
-    return rows, np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at] if len(at) and len(at) * LENGTH <= 64 * BATCH else None
+    return rows, data, at
+
+
+def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the windows of bytes that start at ``a`` are those at ``b``, some at a time so that few are copied."""
+    out = np.ones(len(a), bool)
+    step = max(1, BATCH // LENGTH)
+    for i in range(0, len(a), step):
+        view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+        out[i : i + step] = (view[a[i : i + step]] == view[b[i : i + step]]).all(1)
+    return out
 
 
 def _order(*columns: np.ndarray) -> np.ndarray:
@@ -270,14 +281,13 @@ def _runs_of(col, rows, left, right_key) -> dict:
 def _compare(col, contexts: list[bytes]) -> dict:
     """Windows of contexts with the same anchor string: all but the first of equals are repeated."""
     first, _, _ = _unplace(col["place"])
-    rows, data = _windows(contexts, col["doc"], col["copy"], first)
+    rows, data, start = _windows(contexts, col["doc"], col["copy"], first)
     order = _order(*rows)
     key, context, doc, copy, place = (c[order] for c in rows)
     again = np.zeros(len(key), bool)
     again[1:] = (key[1:] == key[:-1]) & (context[1:] == context[:-1])
-    if data is not None:
-        at = np.flatnonzero(again)
-        again[at] = (data[order[at]] == data[order[at - 1]]).all(1)
+    at = np.flatnonzero(again)
+    again[at] = _equal(data, start[order[at]], start[order[at - 1]])
     doc, copy, place = doc[again], copy[again], place[again]
     # neighbouring windows of one document as one place
     order = np.lexsort([place, copy, doc])
