@@ -142,8 +142,11 @@ ORDER_SAMPLE, ORDER_MOST = 16, 200_000
 #: Ids or keys up to this number are broadcast (16 bytes each), more are joined by a shuffle.
 BROADCAST_ROWS = 250_000
 #: Members of postings are joined one by one to the largest group there while more pairs than
-#: this for each text would be left, for so many rounds at most. All pairs left are then compared.
-PAIRS_EACH, ROUNDS = 64, 6
+#: this for each text would be left, for so many rounds at most, and as long as a round joins
+#: at least one in so many that it tries.
+PAIRS_EACH, ROUNDS, JOINED_OF = 64, 6, 8
+#: Then postings with more pairs left than that are split: by size, and by so many further shingles.
+DEEPER = 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -201,12 +204,12 @@ def _rarest_first(hashes: np.ndarray, common: np.ndarray, ranks: np.ndarray) ->
     return hashes[np.argsort(np.where(common[at] == hashes, ranks[at], 0), kind="stable")]
 
 
-def _possible(a: str, b: str) -> Column:
-    """Whether two sets whose first common shingle is at places ``at`` (from 0) of their
-    orders, with ``n`` shingles each, can reach SIMILAR: no shingle before is common. A pair
-    at SIMILAR passes this where it meets first, so where no meeting passes, it isn't one."""
+def _possible(a: str, b: str, shared: int = 1) -> Column:
+    """Whether two sets whose common shingle number ``shared`` is at places ``at`` (from 0) of
+    their orders, with ``n`` shingles each, can reach SIMILAR: no other before is common. A
+    pair at SIMILAR passes this where it meets first, so where no meeting passes, it isn't one."""
     n, m, i, j = (F.col(f"{x}.{c}") for c in ("n", "at") for x in (a, b))
-    return (F.least(n, m) >= SIMILAR * F.greatest(n, m) - 1e-6) & (F.least(n - i, m - j) >= SIMILAR / (1 + SIMILAR) * (n + m) - 1e-6)
+    return (F.least(n, m) >= SIMILAR * F.greatest(n, m) - 1e-6) & (F.least(n - i, m - j) + (shared - 1) >= SIMILAR / (1 + SIMILAR) * (n + m) - 1e-6)
 
 
 def _similar(x: bytes, y: bytes) -> bool:
@@ -229,7 +232,7 @@ def set_postings(sets: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             n = batch.column("n").to_numpy().astype(np.int64)
-            first = [np.frombuffer(k, np.int64) for k in batch.column("first").to_pylist()]
+            first = [np.frombuffer(k, np.int64)[: m - k_ + 1] for k, m, k_ in zip(batch.column("first").to_pylist(), n, _needed(n))]
             posted = np.array([len(f) for f in first], np.int64)
             at = np.concatenate([np.arange(p) for p in posted] or [np.empty(0)])
             yield {"shingle": np.concatenate(first or [np.empty(0, np.int64)]), "id": np.repeat(batch.column("id").to_numpy(), posted), "n": np.repeat(n, posted).astype(np.int32), "at": at.astype(np.int32)}
@@ -253,8 +256,9 @@ def similar_links(sets: DataFrame, verify) -> DataFrame:
     its postings that it shares most with, which joins most of a large group through as
     many pairs as it has members. Then, in postings that still hold several groups, the
     members outside the largest are compared with one member of it, round by round while
-    many pairs would be left. Last, every pair of a posting whose ends are in different
-    groups is compared, whatever the size of the posting, so no link is lost."""
+    many pairs would be left and such comparisons join many. Last, every pair of a posting
+    whose ends are in different groups is compared, in the parts of ``rest_pairs``, so no
+    link is lost."""
     met = cut(set_postings(sets))
     lead = met.groupBy("shingle").agg(F.min("m.id").alias("lead"), F.count("*").alias("c")).where("c > 1")
     lead = lead.join(met.withColumnRenamed("m", "l"), "shingle").where("l.id = lead").select("shingle", "l")
@@ -273,13 +277,90 @@ def similar_links(sets: DataFrame, verify) -> DataFrame:
         tried = outside.where(_possible("m", "top.one")).select(F.col("m.id").alias("id"), F.col("top.one.id").alias("other"), "top.c")
         if turn == ROUNDS or (tried.agg(F.sum("c")).first()[0] or 0) <= PAIRS_EACH * total:
             break
-        links = cut(links.unionAll(verify(_best(tried))))
-    a, b = outside.select("shingle", F.col("m").alias("x"), F.col("group").alias("group_x")), open_.select(F.col("shingle").alias("of"), F.col("m").alias("y"), F.col("group").alias("group_y"))
-    either = (F.col("shingle") == F.col("of")) & (F.col("group_x") != F.col("group_y")) & _possible("x", "y")
-    rest = a.join(b, either).select(F.greatest("x.id", "y.id").alias("id"), F.least("x.id", "y.id").alias("other")).distinct()
+        found = cut(verify(_best(tried)))
+        links = links.unionAll(found)
+        if found.count() * JOINED_OF < tried.select("id").distinct().count():  # others than these are what the postings hold
+            break
+    rest = rest_pairs(open_.select("shingle", "m", "group"), sets)
     return links.unionAll(verify(rest))
 
 
+def _weighed(rows: DataFrame, shared: int) -> DataFrame:
+    """``rows`` of keys with several groups, with the largest group ``top`` of the key, the
+    ``pairs`` that members outside it make with all, the number ``many`` of members and the
+    number ``ahead`` of rows that a split by a further shingle gives."""
+    ahead = F.greatest(F.col("m.n") - F.ceil(SIMILAR * F.col("m.n") - 1e-9) + shared - F.col("m.at"), F.lit(0))
+    sizes = rows.groupBy("key", "group").agg(F.count("*").alias("c"), F.sum(ahead).alias("a"))
+    keys = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("c", "group")).alias("most"), F.sum("c").alias("many"), F.sum("a").alias("ahead")).where("groups > 1")
+    return rows.join(keys.select("key", F.col("most.group").alias("top"), ((F.col("many") - F.col("most.c")) * F.col("many")).alias("pairs"), "many", "ahead"), "key")
+
+
+def _by_size(rows: DataFrame) -> DataFrame:
+    """Keys split by sizes: class k holds sizes from (just over) 1.25**k, so sets at SIMILAR are in one
+    class or in neighbours. Each set is in its own class and in the next; ``own`` tells which."""
+    k = F.floor(F.log(F.col("m.n").cast("double")) / F.log(F.lit(1 / SIMILAR + 1e-6)))
+    either = F.explode(F.array(F.struct(k.alias("k"), F.lit(True).alias("own")), F.struct((k + 1).alias("k"), F.lit(False).alias("own"))))
+    return rows.select("key", "m", "group", either.alias("e")).select(F.col("key").alias("parent"), F.xxhash64("key", "e.k").alias("key"), "m", "group", "e.own")
+
+
+def _by_shingle(rows: DataFrame, sets: DataFrame, shared: int) -> DataFrame:
+    """Keys split by the next common shingle: two sets at SIMILAR that have ``shared`` in
+    common, up to places ``at``, have another one at a later place, of which the last is
+    ``n - needed + shared``."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "first", 1 << 18):
+                n, at = (part.column(c).to_numpy().astype(np.int64) for c in ("n", "at"))
+                first = [np.frombuffer(f, np.int64)[a + 1 : m - k + shared + 1] for f, a, m, k in zip(part.column("first").to_pylist(), at, n, _needed(n))]
+                many = [len(f) for f in first]
+                held = {c: np.repeat(part.column(c).to_numpy(zero_copy_only=False), many) for c in ("key", "id", "n", "group", "own")}
+                places = np.concatenate([np.arange(a + 1, a + 1 + c) for a, c in zip(at, many)])
+                yield held | {"at": places.astype(np.int32), "shingle": np.concatenate(first)}
+
+    met = rows.select("key", "m.id", "m.n", "m.at", "group", "own").join(sets.select("id", F.col("n").cast("int").alias("n"), "first"), ["id", "n"])
+    out = map_batches(met.select("key", "id", "n", "at", "group", "own", "first"), run, "key long, id long, n int, at int, group long, own boolean, shingle long")
+    return out.select(F.col("key").alias("parent"), F.xxhash64("key", "shingle").alias("key"), F.struct("id", "n", "at").alias("m"), "group", "own")
+
+
+def _across(rows: DataFrame, shared: int) -> DataFrame:
+    """Pairs ``(id, other)`` of a key whose ends are in different groups and can reach SIMILAR."""
+    a = rows.where("group <> top").select("key", F.col("m").alias("x"), F.col("group").alias("group_x"), F.col("own").alias("own_x"))
+    b = rows.select("key", F.col("m").alias("y"), F.col("group").alias("group_y"), F.col("own").alias("own_y"))
+    met = a.join(b, "key").where("group_x <> group_y and (own_x or own_y)").where(_possible("x", "y", shared))
+    return met.select(F.greatest("x.id", "y.id").alias("id"), F.least("x.id", "y.id").alias("other"))
+
+
+def rest_pairs(postings: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``(id, other)`` of ``postings (shingle, m, group)`` whose ends are in different
+    groups: all of those at SIMILAR, and others.
+
+    A posting whose pairs are more than PAIRS_EACH for each member is split by the sizes of
+    its sets, and then, while that at least halves its pairs and gives fewer rows than pairs,
+    by a further shingle that sets at SIMILAR must have in common, DEEPER times at most. So
+    unlike texts that share a frequent shingle are parted, and no pair at SIMILAR is."""
+    now = cut(_weighed(postings.select(F.col("shingle").alias("key"), "m", "group", F.lit(True).alias("own")), 1))
+    many = lambda rows, ahead: rows.where(F.col("pairs") > F.greatest(PAIRS_EACH * F.col("many"), 2 * F.col("ahead") if ahead else F.lit(0)))
+    hot = many(now, False)
+    if hot.isEmpty():
+        return _across(now, 1).distinct()
+    few = now.where(F.col("pairs") <= PAIRS_EACH * F.col("many"))
+    out, now = _across(few, 1), cut(_weighed(_by_size(hot).drop("parent"), 1))
+    for shared in range(1, DEEPER + 1):
+        hot = many(now, True)
+        if hot.isEmpty():
+            break
+        parts = cut(_weighed(_by_shingle(hot, sets, shared), shared + 1))
+        after = parts.groupBy("key").agg(F.first("parent").alias("parent"), F.first("pairs").alias("pairs")).groupBy("parent").agg(F.sum("pairs").alias("after"))
+        before = hot.groupBy("key").agg(F.first("pairs").alias("pairs"))
+        split = cut(before.join(after, F.col("key") == F.col("parent"), "left").where(2 * F.coalesce("after", F.lit(0)) <= F.col("pairs")).select("key"))
+        out = out.unionAll(_across(now.join(split, "key", "left_anti"), shared))
+        now = parts.join(split.withColumnRenamed("key", "parent"), "parent", "left_semi").drop("parent")
+    else:
+        shared = DEEPER + 1
+    return out.unionAll(_across(now, shared)).distinct()
+
+
 def similar_groups(documents: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """``doc_id, component_id`` for every distinct doc_id: texts whose shingle sets have
     a similarity of SIMILAR or more are linked. Texts without words have equal (empty)
@@ -298,7 +379,7 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text: str = "te
             out = {c: [] for c in ("n", "first", "mark")}
             for t in batch.column("text"):
                 x = _shingles(t.as_py(), words, memo)
-                first = _rarest_first(x, *common.value)[: len(x) - int(_needed(len(x))) + 1] if len(x) else x
+                first = _rarest_first(x, *common.value)[: len(x) - int(_needed(len(x))) + 1 + DEEPER] if len(x) else x
                 for c, v in zip(out, (len(x), first.tobytes(), xxhash.xxh3_128_digest(x.tobytes()))):
                     out[c].append(v)
             yield out | {"doc_id": batch.column("doc_id")}

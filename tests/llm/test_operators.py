@@ -261,10 +261,11 @@ def test_all_small_pairs_are_found(spark):
     assert got == base_groups(texts) == {i: i - i % 2 for i in range(120)}
 
 
-@pytest.mark.parametrize("common", [1, 16])
-def test_copies_among_texts_of_one_template(spark, monkeypatch, common):
+@pytest.mark.parametrize("common, each", [(1, 64), (16, 64), (16, 0)])
+def test_copies_among_texts_of_one_template(spark, monkeypatch, common, each):
     """Many texts share a passage and are at about 0.72; the copies among them are found."""
     monkeypatch.setattr(simhash, "ORDER_SAMPLE", common)
+    monkeypatch.setattr(simhash, "PAIRS_EACH", each)
     rnd = random.Random(13)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
     passage = [word() for _ in range(252)]
@@ -274,6 +275,42 @@ def test_copies_among_texts_of_one_template(spark, monkeypatch, common):
     assert got == base_groups(texts) and len(set(got.values())) == 200
 
 
+def test_one_shingle_in_many_unlike_texts(spark, monkeypatch):
+    """A shingle that 20,000 unlike texts post parts into keys with few pairs; their near copies are found."""
+    monkeypatch.setattr(simhash, "ORDER_MOST", 1)
+    rnd = random.Random(5)
+    memo, word = simhash._WordHash(), lambda: "".join(rnd.choice("abcdefgh") for _ in range(7))
+    shared = min((" ".join(word() for _ in range(5)) for _ in range(3000)), key=lambda t: simhash._shingles(t, 5, memo)[0])
+    texts = [" ".join([shared, *(word() for _ in range(9 + i % 40))]) for i in range(20_000)]
+    near = {20_000 + k: i for k, i in enumerate(range(0, 20_000, 50))}
+    texts += [texts[i] + " tail" for i in near.values()]
+    pairs = []
+    across = simhash.rest_pairs
+
+    def counted(*args):
+        out = across(*args)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "rest_pairs", counted)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, texts)).collect()}
+    assert got == {i: near.get(i, i) for i in range(len(texts))}
+    assert sum(pairs) < len(texts)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_splits_of_postings_lose_no_pair(spark, monkeypatch, seed):
+    """Texts of a few words in many orders, where every posting is split as far as it goes."""
+    monkeypatch.setattr(simhash, "PAIRS_EACH", 0)
+    monkeypatch.setattr(simhash, "ROUNDS", 0)
+    rnd = random.Random(seed)
+    lines = [" ".join(rnd.choice("abcdefghijklmn") for _ in range(8)) for _ in range(14)]
+    texts = [" ".join(rnd.sample(lines, rnd.choice([2, 5, 6, 7]))) for _ in range(250)]
+    texts += [t + " x" * rnd.randrange(4) for t in texts[:60]]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, texts)).collect()}
+    assert got == base_groups(texts)
+
+
 # -------------------------------------------------------------------------- op4
 
 
