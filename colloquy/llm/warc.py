@@ -189,15 +189,32 @@ def read_archive(path: str, fs=None) -> Iterator[bytes]:
 
 # -------------------------------------------------------------------------- Spark
 
+#: Digests of several records that are broadcast at most (about 100 bytes each); more are joined
+#: by a shuffle, where the rows of a digest are dealt to so many parts.
+BROADCAST_DIGESTS, DIGEST_PARTS = 100_000, 32
+#: Archives that a task reads.
+ARCHIVES_EACH = 4
+
+
+def _with_first(rows: DataFrame) -> DataFrame:
+    """``rows (page_id, url, payload)`` with ``first``, the smallest page_id of an equal
+    payload. Only digests are grouped, and only those of several records are joined, so
+    payloads stay where they are, or are spread evenly, however many are equal."""
+    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
+    several = cut(rows.groupBy("sha1").agg(F.count("*").alias("n"), F.min("page_id").alias("least")).where("n > 1").select("sha1", "least"))
+    if several.count() <= BROADCAST_DIGESTS:
+        met = rows.join(F.broadcast(several), "sha1", "left")
+    else:
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(DIGEST_PARTS)).cast("int"))
+        met = dealt.join(several.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(DIGEST_PARTS - 1)))), ["sha1", "part"], "left")
+    return met.select("page_id", "url", "payload", F.coalesce("least", "page_id").alias("first"))
+
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Writes a record per row of ``pages`` (page_id, url, html) and returns the archives
     ``(path, n_records)``, already written. A null html has an empty payload."""
     folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("sha1", F.sha1("payload"))
-    firsts = rows.groupBy("sha1").agg(F.min("page_id").alias("first"))
-    rows = rows.join(firsts, "sha1")
 
     def write(batches):
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -227,7 +244,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
         if n:
             yield close()
 
-    return cut(map_batches(rows.select("page_id", "url", "payload", "first"), write, "path string, n_records long"))
+    return cut(map_batches(_with_first(rows), write, "path string, n_records long"))
 
 
 def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
@@ -252,7 +269,8 @@ def read_archives(archives: DataFrame, payloads: bool = False) -> DataFrame:
 
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    paths = archives.select("path").repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism))
+    tasks = max(1, archives.sparkSession.sparkContext.defaultParallelism, archives.count() // ARCHIVES_EACH)
+    paths = archives.select("path").repartition(tasks)
     return map_batches(paths, read, schema).select(*(names if payloads else names[:-1]))
 
 

@@ -43,7 +43,9 @@ def test_bpe_edges(spark):
     assert bpe.encoding_digest(d.limit(0), path).count() == 0 and bpe.encode_and_check(d.limit(0), path).count() == 0
 
 
-def test_warc_edges(spark):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_warc_edges(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
     d = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (2, "u", "a")], "page_id long, url string, html string").withColumn("payload", F.lit(1)).withColumn("record_type", F.lit(2)).withColumn("member", F.lit(3))
     got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(d).collect())
     assert got == [(1, "response", None), (2, "revisit", 1), (2, "revisit", 1)]

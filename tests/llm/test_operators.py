@@ -631,7 +631,10 @@ def test_bpe_memory_is_constant(coder):
 # ------------------------------------------------------------------------- op10
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_warc(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
+    monkeypatch.setattr(warc, "ARCHIVES_EACH", 1)
     html = ["<p>a</p>", "", None, "<p>a</p>", "é\r\n\r\nz", "x" * 200_000]
     rows = [(i, f"http://e/{i}", h) for i, h in enumerate(html)] + [(None, None, "<p>a</p>")]
     got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
