@@ -70,23 +70,23 @@ def nearest_places(t: np.ndarray, middle: np.ndarray) -> np.ndarray:
     return np.where((db < da) | ((db == da) & (place[b] < place[a])), place[b], place[a])
 
 
-def nearest(probes: DataFrame, centers: DataFrame) -> DataFrame:
-    """``rec_id, word_ix, ix, speaker`` of the center nearest in time to each probe.
+def nearest(times: DataFrame, centers: DataFrame) -> DataFrame:
+    """``rec_id, t, ix, speaker`` of the center nearest to each time.
 
-    ``probes`` have (rec_id, word_ix, t), ``centers`` (rec_id, ix, t, speaker). Ties go to
-    the lowest ix; recordings without centers give null."""
+    ``times`` have (rec_id, t), ``centers`` (rec_id, ix, t, speaker). Ties go to the lowest ix;
+    recordings without centers give null."""
     one = centers.groupBy("rec_id", "t").agg(F.min_by(F.struct("ix", "speaker"), "ix").alias("c"))
-    both = one.select("rec_id", "t", F.struct(F.col("t").alias("t"), F.col("c.ix").alias("ix"), F.col("c.speaker").alias("speaker")).alias("c"), F.lit(None).cast("long").alias("word_ix"))
-    both = both.unionByName(probes.select("rec_id", "t", F.lit(None).cast(both.schema["c"].dataType).alias("c"), F.col("word_ix").cast("long").alias("word_ix")))
+    both = one.select("rec_id", "t", F.struct(F.col("t").alias("t"), F.col("c.ix").alias("ix"), F.col("c.speaker").alias("speaker")).alias("c"), F.lit(False).alias("asked"))
+    both = both.unionByName(times.select("rec_id", "t", F.lit(None).cast(both.schema["c"].dataType).alias("c"), F.lit(True).alias("asked")))
     order = Window.partitionBy("rec_id").orderBy("t")
     # frames that end at the partition's end are scanned anew for each row, so the centers ahead are found in descending order
     down = Window.partitionBy("rec_id").orderBy(F.desc("t"))
     back = F.last("c", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     ahead = F.last("c", ignorenulls=True).over(down.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    both = both.withColumn("b", back).withColumn("a", ahead).where("word_ix is not null")
+    both = both.withColumn("b", back).withColumn("a", ahead).where("asked")
     db, da = F.abs(F.col("t") - F.col("b.t")), F.abs(F.col("a.t") - F.col("t"))
     pick = F.when(F.col("b").isNull() | (da < db) | ((da == db) & (F.col("a.ix") < F.col("b.ix"))), F.col("a")).otherwise(F.col("b"))
-    return both.withColumn("p", pick).select("rec_id", F.col("word_ix").cast("int").alias("word_ix"), F.col("p.ix").alias("ix"), F.col("p.speaker").alias("speaker"))
+    return both.withColumn("p", pick).select("rec_id", "t", F.col("p.ix").alias("ix"), F.col("p.speaker").alias("speaker"))
 
 
 def renumber_first_seen(df: DataFrame, label: str = "speaker", order: str = "ix", out: str = "speaker") -> DataFrame:
@@ -145,12 +145,16 @@ def assign_speakers_by_overlap(words: DataFrame, segments: DataFrame, renumber:
 
 
 def assign_nearest(words: DataFrame, windows: DataFrame) -> DataFrame:
-    """Words with the renumbered label of the window whose center is nearest to their midpoint."""
+    """Words with the renumbered label of the window whose center is nearest to their midpoint.
+
+    Only the distinct midpoints of a recording are sorted with its centers; words find theirs by
+    recording and midpoint, so the words of a recording don't meet in one task."""
     named = renumber_first_seen(windows.select("rec_id", "win_ix", "center", "label"), label="label", order="win_ix")
     centers = named.select("rec_id", F.col("win_ix").alias("ix"), F.col("center").alias("t"), "speaker")
-    probes = words.select("rec_id", "word_ix", ((F.col("start") + F.col("end")) / 2).alias("t"))
-    near = nearest(probes, centers).select("rec_id", "word_ix", "speaker")
-    return words.drop("speaker").join(near, ["rec_id", "word_ix"], "left").withColumn("speaker", F.coalesce("speaker", F.lit(DEFAULT_SPEAKER)))
+    words = words.drop("speaker").withColumn("_t", (F.col("start") + F.col("end")) / 2)
+    near = nearest(words.select("rec_id", F.col("_t").alias("t")).distinct(), centers).select(F.col("rec_id").alias("_rec"), F.col("t").alias("_at"), "speaker")
+    met = words.join(near, (F.col("rec_id") == F.col("_rec")) & F.col("_t").eqNullSafe(F.col("_at")), "left").drop("_t", "_rec", "_at")
+    return met.withColumn("speaker", F.coalesce("speaker", F.lit(DEFAULT_SPEAKER)))
 
 
 def inherit_speaker(words: DataFrame, old_turns: DataFrame) -> DataFrame:

@@ -165,8 +165,7 @@ rk AS (SELECT pw.rec_id, pw.word_ix, c.name, row_number() OVER (PARTITION BY pw.
 SELECT-> rec_id, word_ix, coalesce(name, 'SPEAKER_01') AS speaker FROM rk WHERE r = 1""".replace(" WHERE rec_id < 70 AND word_ix < 100", ""))
 def j2_nearest(fx):
     w = fx.words().withColumn("word_ix", F.col("rec_id") * 100000 + F.col("word_ix")).withColumn("rec_id", F.col("rec_id") % 7)
-    near = I.assign_nearest(w.withColumn("word_ix", F.col("word_ix").cast("int")), fx.windows())
-    return near.select("rec_id", F.col("word_ix").cast("long").alias("word_ix"), "speaker")
+    return I.assign_nearest(w, fx.windows()).select("rec_id", "word_ix", "speaker")
 
 
 @query(""" pr AS (SELECT w.rec_id, w.word_ix, g.speaker AS name, g.turn_ix, greatest(0, least(w."end", g."end") - greatest(w."start", g."start")) AS o, abs((w."start" + w."end") / 2 - (g."start" + g."end") / 2) AS d FROM fx_words w JOIN fx_turns g ON w.rec_id = g.rec_id),
