@@ -1,8 +1,12 @@
 """What larger tables showed: wide numbers, rare segments, memory and plans."""
 
+import tracemalloc
+
 import duckdb
+import numpy as np
 import pytest
 
+from colloquy.operators import clusters as C
 from colloquy.operators import intervals as I
 from colloquy.plans import queries as Q
 
@@ -27,3 +31,19 @@ def test_a_segment_whose_words_all_lack_times(spark, tmp_path, name):
     want = con.sql(Q.oracle_sql()[name])
     got = Q.queries()[name](spark, str(tmp_path)).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_neighbour_graph_holds_few_products_at_once():
+    x = C.units(np.random.default_rng(3).normal(size=(3000, 8)))
+    tracemalloc.start()
+    got = C._graph(x, C.NEIGHBOURS)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # all products of two windows are 72 MB
+    assert most < 40 << 20
+    near = np.argsort(-(x @ x.T - 3 * np.eye(len(x))), axis=1, kind="stable")[:, : C.NEIGHBOURS - 1]
+    want = {}
+    for i, row in enumerate(near.tolist()):
+        for j in row:
+            want[i, j], want[j, i] = want.get((i, j), 0) + 0.5, want.get((j, i), 0) + 0.5
+    assert {(a, b): w for a, b, w in zip(*(v.tolist() for v in got))} == want
