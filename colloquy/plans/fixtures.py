@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Tasks by recording for each part of the conversations.
+TASKS = 16
+
 
 class Fixtures:
     """The views of one data folder."""
@@ -28,9 +31,11 @@ class Fixtures:
 
     def words(self) -> DataFrame:
         """Words by (turn, role, text, position); those of equal rows alternate. They are numbered by the
-        counts of the rows before, so that no word is sorted."""
+        counts of the rows before, so that no word is sorted. A row gives many words, so recordings
+        are dealt to TASKS parts for each part that is read, more than their bytes alone would need."""
         c = self.table("conversations").groupBy(F.col("conv_id").alias("rec_id"), "turn", "role", "text").agg(F.count("*").cast("int").alias("copies"))
         c = c.withColumn("w", F.filter(F.split("text", "[ \n\t]+"), lambda w: w != "")).withColumn("n", F.size("w") * F.col("copies"))
+        c = c.repartition(TASKS * self.table("conversations").rdd.getNumPartitions(), "rec_id")
         before = F.sum("n").over(Window.partitionBy("rec_id").orderBy("turn", "role", "text")) - F.col("n")
         c = c.withColumn("before", before).select("rec_id", "turn", "role", "copies", "before", F.posexplode("w").alias("pos", "word"))
         c = c.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))

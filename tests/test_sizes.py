@@ -8,7 +8,9 @@ import pytest
 
 from colloquy.operators import clusters as C
 from colloquy.operators import intervals as I
+from colloquy.operators import turns as W
 from colloquy.plans import queries as Q
+from colloquy.plans.fixtures import Fixtures
 
 
 def test_nearest_takes_numbers_over_an_integer(spark):
@@ -47,3 +49,12 @@ def test_neighbour_graph_holds_few_products_at_once():
         for j in row:
             want[i, j], want[j, i] = want.get((i, j), 0) + 0.5, want.get((j, i), 0) + 0.5
     assert {(a, b): w for a, b, w in zip(*(v.tolist() for v in got))} == want
+
+
+def test_smoothing_sorts_words_once_and_words_are_dealt_to_many_tasks(spark, tmp_path):
+    path = f"{tmp_path}/conversations.parquet"
+    spark.createDataFrame([(c, 0, "user", "some words of a turn") for c in range(50)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(path)
+    words = spark.createDataFrame([("r", 0, "a", 0.0, 0.1)], "rec_id string, word_ix int, speaker string, start double, end double")
+    plan = W.smooth_speakers(words)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
+    assert Fixtures(spark, str(tmp_path)).words().rdd.getNumPartitions() >= 16
