@@ -361,10 +361,11 @@ def rest_pairs(postings: DataFrame, sets: DataFrame) -> DataFrame:
     return out.unionAll(_across(now, shared)).distinct()
 
 
-def similar_groups(documents: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def similar_groups(documents: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, linked: DataFrame | None = None) -> DataFrame:
     """``doc_id, component_id`` for every distinct doc_id: texts whose shingle sets have
-    a similarity of SIMILAR or more are linked. Texts without words have equal (empty)
-    sets. Rows that repeat a doc_id are one document, linked by each of their texts.
+    a similarity of SIMILAR or more are linked, and so are the ids ``(a, b)`` of ``linked``.
+    Texts without words have equal (empty) sets. Rows that repeat a doc_id are one document,
+    linked by each of their texts.
 
     Equal sets are merged first, by 128 bits of hash. Postings propose every other pair at
     SIMILAR or more (``similar_links``). Of a proposed pair the shared posted shingles are
@@ -425,15 +426,18 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text: str = "te
         met = pairs.join(held.withColumnRenamed("set", "x"), "id").join(held.select(F.col("id").alias("other"), F.col("set").alias("y")), "other")
         return map_batches(met.select(F.col("id").alias("a"), F.col("other").alias("b"), "x", "y"), by_sets, "a long, b long")
 
-    linked = components(cut(similar_links(sets, verify).unionAll(read_.join(equal, "mark").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))))
-    return rows.select("doc_id").distinct().join(linked, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    links = similar_links(sets, verify).unionAll(read_.join(equal, "mark").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    joined = components(cut(links if linked is None else links.unionAll(linked.select("a", "b"))))
+    return rows.select("doc_id").distinct().join(joined, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``documents`` without all but the smallest id of each group of similar
-    texts; of rows that repeat an id, which are one document, the one of the least hash of
+    """Rows of ``documents`` without all but the smallest id of each group of near-duplicates:
+    those of :func:`near_duplicates`, by fingerprints, joined with those of similar sets of
+    shingles, which fingerprints of 64 bits alone would leave; of rows that repeat an id, which are one document, the one of the least hash of
     its text stays. Rows without an id stay. Texts without words are equal to each other."""
-    kept = similar_groups(documents, id_col, text).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    near = near_duplicates(documents, id_col, text).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    kept = similar_groups(documents, id_col, text, linked=near).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
     named = documents.where(F.col(id_col).isNotNull())
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text), text))
     one = named.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").withColumn("_nth", first).where("_nth = 1").drop("_nth")
