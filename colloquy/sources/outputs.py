@@ -22,6 +22,9 @@ from colloquy.operators import render
 from colloquy.operators.edits import note_order
 from colloquy.sources.stores import file_system
 
+#: Files in an Arrow batch.
+BATCH_ROWS = 200
+
 
 @dataclass
 class Written(WriterCommitMessage):
@@ -89,8 +92,17 @@ class WholeFiles(DataSource):
 
 def write_files(files: DataFrame, path: str) -> None:
     """Writes ``name, content`` (text in UTF-8, or bytes) rows as files of a folder, all or none."""
-    files.sparkSession.dataSource.register(WholeFiles)
-    files.select("name", "content").write.format("whole_files").mode("append").option("path", path).save()
+    spark = files.sparkSession
+    spark.dataSource.register(WholeFiles)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    # a row is a whole file, and a task has a batch of them in memory several times
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        files.select("name", "content").write.format("whole_files").mode("append").option("path", path).save()
+    finally:
+        spark.conf.set(key, before)
 
 
 def json_files(docs: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ import pytest
 
 from colloquy.operators import clusters as C
 from colloquy.operators import intervals as I
+from colloquy.operators import translate as X
 from colloquy.operators import turns as W
 from colloquy.plans import queries as Q
 from colloquy.plans.fixtures import Fixtures
+from colloquy.sources import outputs
 
 
 def test_nearest_takes_numbers_over_an_integer(spark):
@@ -58,3 +60,25 @@ def test_smoothing_sorts_words_once_and_words_are_dealt_to_many_tasks(spark, tmp
     plan = W.smooth_speakers(words)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1
     assert Fixtures(spark, str(tmp_path)).words().rdd.getNumPartitions() >= 16
+
+
+def test_files_are_written_by_small_batches(spark, tmp_path):
+    def sized(frames):
+        for pdf in frames:
+            yield pdf.assign(content=str(len(pdf)))
+
+    rows = spark.range(450).coalesce(1).selectExpr("concat(id, '.txt') name", "'x' content")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    outputs.write_files(rows.mapInPandas(sized, "name string, content string"), str(tmp_path))
+    sizes = {int(f.read_text()) for f in tmp_path.glob("*.txt")}
+    assert len(list(tmp_path.glob("*.txt"))) == 450 and max(sizes) <= outputs.BATCH_ROWS and spark.conf.get(key) == before
+
+
+def test_a_piece_is_cleaned_before_it_meets_the_turns(spark):
+    turns = spark.createDataFrame([("r", i, "Same words here. Same words here.", "") for i in range(3)], "rec_id string, turn_ix int, text string, text_zh string")
+    out = X.translate_turns(turns, None, lambda some: ["譯。。。 沒有任何樓盤符合您的搜尋結果" for _ in some])
+    assert [r.text_zh for r in out.collect()] == ["譯。譯。"] * 3
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joined = next(line for line in plan.splitlines() if "collect_list" in line)
+    assert "regexp_replace" not in plan[plan.index(joined) + len(joined) :].split("Join LeftOuter")[0]
