@@ -59,7 +59,9 @@ def translate_turns(turns: DataFrame, memory: DataFrame | None = None, translate
 
         missing = known.where("zh is null").select("piece").mapInPandas(run, "piece string, zh string, failed boolean")
         known = known.where("zh is not null").unionByName(missing)
-    done = pieces.join(known, "piece", "left").withColumn("zh", F.when(F.col("failed"), F.col("piece")).otherwise(_clean(F.coalesce("zh", "piece"), F.col("piece"))))
+    # a piece is cleaned once, however often it occurs
+    known = known.withColumn("zh", F.when(F.col("failed"), F.col("piece")).otherwise(_clean(F.coalesce("zh", "piece"), F.col("piece"))))
+    done = pieces.join(known, "piece", "left")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("ix", "zh"))), lambda p: p["zh"])
     whole = done.groupBy("rec_id", "turn_ix").agg(scrub_zh(F.array_join(listed, "")).alias("_made"), F.count_if("failed").cast("int").alias("_failed"))
     out = t.drop("text_zh").join(whole, ["rec_id", "turn_ix"], "left").withColumn("text_zh", strip(F.coalesce("_whole", "_made", F.lit(""))))
