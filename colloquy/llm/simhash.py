@@ -237,9 +237,10 @@ def set_postings(sets: DataFrame) -> DataFrame:
             at = np.concatenate([np.arange(p) for p in posted] or [np.empty(0)])
             yield {"shingle": np.concatenate(first or [np.empty(0, np.int64)]), "id": np.repeat(batch.column("id").to_numpy(), posted), "n": np.repeat(n, posted).astype(np.int32), "at": at.astype(np.int32)}
 
-    posts = map_batches(sets.select("id", "n", "first"), run, "shingle long, id long, n int, at int").withColumn("key", F.shiftright("shingle", 32).cast("int"))
-    shared = cut(posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    return posts.join(_small(shared), "key").select("shingle", F.struct("id", "n", "at").alias("m"))
+    posts = map_batches(sets.select("id", "n", "first"), run, "shingle long, id long, n int, at int")
+    key = F.shiftright("shingle", 32).cast("int")
+    shared = cut(posts.groupBy(key.alias("key")).agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    return posts.join(_small(shared), key == F.col("key"), "left_semi").select("shingle", F.struct("id", "n", "at").alias("m"))
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -260,8 +261,7 @@ def similar_links(sets: DataFrame, verify) -> DataFrame:
     whose ends are in different groups is compared, in the parts of ``rest_pairs``, so no
     link is lost."""
     met = cut(set_postings(sets))
-    lead = met.groupBy("shingle").agg(F.min("m.id").alias("lead"), F.count("*").alias("c")).where("c > 1")
-    lead = lead.join(met.withColumnRenamed("m", "l"), "shingle").where("l.id = lead").select("shingle", "l")
+    lead = met.groupBy("shingle").agg(F.min("m").alias("l"), F.count("*").alias("c")).where("c > 1").select("shingle", "l")
     star = met.join(lead, "shingle").where("m.id <> l.id").where(_possible("m", "l")).select(F.col("m.id").alias("id"), F.col("l.id").alias("other"))
     links = cut(verify(_best(star)))
     total = sets.count()
@@ -390,6 +390,8 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text: str = "te
     sets = read_.withColumnRenamed("doc_id", "id").join(_small(equal), ["id", "mark"], "left_semi").select("id", "n", "first")
     if sets.count() > sets.select("id").distinct().count():  # rows that repeat an id
         sets = sets.distinct()
+    if equal.count() > BROADCAST_ROWS:  # joined by a shuffle, which is made once
+        sets = cut(sets)
 
     def sets_of(batches):
         memo = _WordHash()
@@ -414,17 +416,22 @@ def similar_groups(documents: DataFrame, id_col: str = "doc_id", text: str = "te
             near = pa.array(near, pa.bool_())
             yield {"id": batch.column("id").filter(near), "other": batch.column("other").filter(near)}
 
-    def asked(pairs, name):
-        return _small(cut(pairs.select(F.col("id").alias(name)).unionAll(pairs.select("other")).distinct()))
+    def named(pairs, end):
+        return _small(cut(pairs.select(F.col(end).alias("id")).distinct()))
+
+    def held(pairs, end):
+        of = rows.join(named(pairs, end).withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        return map_batches(of, sets_of, "id long, set binary")
 
     def verify(pairs):
+        # few pairs go to the sets, so that only the sets of pairs are shuffled, once for each end
         pairs = cut(pairs)
-        own = sets.join(asked(pairs, "id"), "id", "left_semi")
-        met = pairs.join(own, "id").join(own.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("first").alias("y")), "other")
+        y = sets.join(named(pairs, "other"), "id", "left_semi").select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("first").alias("y"))
+        met = sets.join(_small(pairs), "id").join(y, "other")
         pairs = cut(map_batches(met.select("id", "other", "n", "m", "first", "y"), by_counts, "id long, other long").distinct())
-        held = cut(map_batches(rows.join(asked(pairs, "doc_id"), "doc_id", "left_semi"), sets_of, "id long, set binary").distinct())
-        met = pairs.join(held.withColumnRenamed("set", "x"), "id").join(held.select(F.col("id").alias("other"), F.col("set").alias("y")), "other")
-        return map_batches(met.select(F.col("id").alias("a"), F.col("other").alias("b"), "x", "y"), by_sets, "a long, b long")
+        y = held(pairs, "other").select(F.col("id").alias("other"), F.col("set").alias("y"))
+        met = held(pairs, "id").join(_small(pairs), "id").join(y, "other")
+        return map_batches(met.select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("set").alias("x"), "y"), by_sets, "a long, b long")
 
     links = similar_links(sets, verify).unionAll(read_.join(equal, "mark").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     joined = components(cut(links if linked is None else links.unionAll(linked.select("a", "b"))))
@@ -437,8 +444,14 @@ def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text: str
     shingles, which fingerprints of 64 bits alone would leave; of rows that repeat an id, which are one document, the one of the least hash of
     its text stays. Rows without an id stay. Texts without words are equal to each other."""
     near = near_duplicates(documents, id_col, text).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    kept = similar_groups(documents, id_col, text, linked=near).where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    named = documents.where(F.col(id_col).isNotNull())
+    groups = similar_groups(documents, id_col, text, linked=near)
+    gone = _small(cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))))
+    kept = documents.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    twice = cut(documents.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_twice")).count().where("count > 1").select("_twice"))
+    if twice.isEmpty():
+        return kept
+    # only rows that repeat an id are sorted with their texts
+    repeated = F.col(id_col) == F.col("_twice")
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text), text))
-    one = named.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").withColumn("_nth", first).where("_nth = 1").drop("_nth")
-    return one.unionAll(documents.where(F.col(id_col).isNull()))
+    one = kept.join(_small(twice), repeated, "left_semi").withColumn("_nth", first).where("_nth = 1").drop("_nth")
+    return one.unionAll(kept.join(_small(twice), repeated, "left_anti"))
